@@ -4,8 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["sources", "clean", "quality", "split", "features", "decide", "evaluate", "incidents",
-           "workbench", "drift", "models", "streaming"]
+MODULES = ["features", "evaluate", "decide", ]
 
 
 def load():

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -21,3 +22,15 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
             ORACLES[name] = sql
         return fn
     return add
+
+
+def ntz(df: DataFrame) -> DataFrame:
+    """Timestamps without zone, the type the SQL side reports."""
+    cols = [c for c, t in df.dtypes if t == "timestamp"]
+    return df.withColumns({c: F.col(c).cast("timestamp_ntz") for c in cols}) if cols else df
+
+
+def r6(df: DataFrame, *cols: str) -> DataFrame:
+    """Round doubles to 6 places (all of them when none is named)."""
+    names = cols or [c for c, t in df.dtypes if t in ("double", "float")]
+    return df.withColumns({c: F.round(F.col(c).cast("double"), 6) for c in names})

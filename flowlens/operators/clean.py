@@ -130,7 +130,7 @@ def normalise_incident_rows(df: DataFrame) -> DataFrame:
     flow_count, risk_score, risk_level, src_ip, dst_ip, dst_port, first_seen, last_seen,
     top_features_json, brief_json, all strings (null = absent).
     """
-    unit = lambda c: F.greatest(F.lit(0.0), F.least(F.lit(1.0), c))
+    unit = lambda c: F.when(c.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), c)))
     out = df.withColumn("attack_family", normalise_family(F.col("attack_family"), F.col("verdict")))
     out = out.withColumn("verdict", normalise_verdict(F.col("verdict"), F.col("attack_family")))
     fam = F.col("attack_family")
@@ -149,8 +149,9 @@ def normalise_incident_rows(df: DataFrame) -> DataFrame:
         "top_features": F.slice(F.from_json("top_features_json", FEATURE_ITEMS), 1, 10),
         "brief": F.from_json("brief_json", "struct<text:string,source:string>"),
     })
+    given = F.col("risk_score").try_cast("int")
     score = F.coalesce(
-        F.greatest(F.lit(0), F.least(F.lit(100), F.col("risk_score").try_cast("int"))),
+        F.when(given.isNotNull(), F.greatest(F.lit(0), F.least(F.lit(100), given))),
         risk_score(F.col("verdict"), F.col("max_confidence"), F.col("severity"), F.col("flow_count")),
     )
     out = out.withColumn("risk_score", score)

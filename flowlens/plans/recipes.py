@@ -49,7 +49,7 @@ def _bucketed(df: DataFrame, cols: Sequence[str], buckets: int) -> tuple[DataFra
         splitsArray=value_splits(df, cols, buckets),
         inputCols=list(cols), outputCols=outs, handleInvalid="keep",
     )
-    return b.transform(df), outs
+    return b.transform(df).withColumns({o: F.col(o).cast("int") for o in outs}), outs
 
 
 def _finite(c: Column) -> Column:
@@ -141,7 +141,7 @@ def quantiles(
     cells = F.explode(F.array(*[
         F.struct(
             F.lit(c).alias("feature"), F.col(inner[i]).alias("_v"),
-            (F.col(outs[i]) if outs else F.lit(0.0)).alias("_b"),
+            (F.col(outs[i]) if outs else F.lit(0)).alias("_b"),
         )
         for i, c in enumerate(cols)
     ]))
@@ -172,6 +172,7 @@ def running_totals(
     tmp = per_value.withColumn("_d", F.col(value).cast("double"))
     splits = value_splits(df.select(F.col(value).cast("double").alias("_d")), ["_d"], buckets)
     b = Bucketizer(splitsArray=splits, inputCols=["_d"], outputCols=["_b"], handleInvalid="keep").transform(tmp)
+    b = b.withColumn("_b", F.col("_b").cast("int"))
     by_key = Window.partitionBy(*(keys or [F.lit(0)]))
     before = by_key.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     hist = b.groupBy(*keys, "_b").agg(*[F.sum(s).alias(f"_h_{s}") for s in sums])
@@ -205,14 +206,14 @@ def number_rows(df: DataFrame, order: Sequence[str], out: str = "seq", keys: Seq
     placed = (
         df.repartitionByRange(parts, *by).sortWithinPartitions(*by)
         .withColumn("_pid", F.spark_partition_id())
-        .withColumn("_pos", F.monotonically_increasing_id().bitwiseAND(F.lit(LOCAL_INDEX_MASK)))
+        .withColumn("_in_part", F.monotonically_increasing_id().bitwiseAND(F.lit(LOCAL_INDEX_MASK)))
     )
     placed = durable(placed)
     few = Window.partitionBy(F.lit(0)).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = placed.groupBy("_pid").agg(F.count(F.lit(1)).alias("_c")).select(
         "_pid", F.coalesce(F.sum("_c").over(few), F.lit(0)).alias("_off"))
     numbered = placed.join(bounded_broadcast(offsets), "_pid").withColumn(
-        out, F.col("_off") + F.col("_pos")).drop("_pid", "_pos", "_off")
+        out, F.col("_off") + F.col("_in_part")).drop("_pid", "_in_part", "_off")
     if not keys:
         return numbered
     starts = bounded_broadcast(numbered.groupBy(*keys).agg(F.min(out).alias("_start")))

@@ -6,7 +6,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from flowlens import constants as K
 from flowlens.functions.exprs import snake
@@ -26,20 +25,17 @@ REPLAY_META = (
 )
 
 
-def flow_csv_schema() -> StructType:
+def flow_csv_schema() -> str:
     """The 91 pinned columns with their types, in file order."""
-    schema = StructType()
-    for c in K.FLOW_CSV_COLUMNS:
-        kind = "string" if c in TEXT_COLUMNS else "int" if c in INT_COLUMNS else "timestamp" if c == "Timestamp" else "double"
-        schema = schema.add(c, kind)
-    return schema
+    def kind(c: str) -> str:
+        if c in TEXT_COLUMNS:
+            return "string"
+        return "int" if c in INT_COLUMNS else "timestamp" if c == "Timestamp" else "double"
+    return ", ".join(f"`{c}` {kind(c)}" for c in K.FLOW_CSV_COLUMNS)
 
 
-def honeypot_csv_schema() -> StructType:
-    schema = StructType()
-    for c, kind in K.HONEYPOT_CSV_TYPES.items():
-        schema = schema.add(c, kind)
-    return schema
+def honeypot_csv_schema() -> str:
+    return ", ".join(f"{c} {kind}" for c, kind in K.HONEYPOT_CSV_TYPES.items())
 
 
 def read_flow_csv(spark: SparkSession, path: str | Sequence[str], strict: bool = True) -> DataFrame:
@@ -57,13 +53,13 @@ def read_flow_csv(spark: SparkSession, path: str | Sequence[str], strict: bool =
 
 
 def read_honeypot_csv(spark: SparkSession, path: str | Sequence[str], strict: bool = True) -> DataFrame:
-    """Daily honeypot CSV: 16 pinned columns plus ``day`` taken from the file name (yyyy.MM.dd...)."""
+    """Daily honeypot CSV: 16 pinned columns plus ``day`` from the yyyy.MM.dd in the file's path."""
     df = (
         spark.read.schema(honeypot_csv_schema()).option("header", True).option("enforceSchema", not strict)
         .option("mode", "FAILFAST" if strict else "PERMISSIVE").csv(path)
     )
-    name = F.regexp_extract(F.col("_metadata.file_name"), r"(\d{4}\.\d{2}\.\d{2})", 1)
-    return df.withColumn("day", F.to_date(name, "yyyy.MM.dd"))
+    stamp = F.regexp_extract(F.col("_metadata.file_path"), r".*(\d{4}\.\d{2}\.\d{2})", 1)
+    return df.select(*K.HONEYPOT_CSV_TYPES, F.to_date(stamp, "yyyy.MM.dd").alias("day"))
 
 
 def write_canonical(df: DataFrame, path: str, day: str = "day", salt_files: int = 1, order: Sequence[str] = ("row",)) -> None:

@@ -8,8 +8,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
-from flowlens.plans.recipes import bounded_broadcast
-
 
 def first_delivery(df: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
     """One row per key: the first in ``order``."""
@@ -69,7 +67,7 @@ def file_manifest(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
 def verify_manifest(manifest: DataFrame, present: DataFrame) -> DataFrame:
     """Files that are missing, unlisted or different."""
     want = manifest.select("name", F.col("size").alias("_s"), F.col("sha256").alias("_h"))
-    both = want.join(bounded_broadcast(present), "name", "full_outer")
+    both = want.join(present, "name", "full_outer")
     problem = (
         F.when(F.col("sha256").isNull(), "missing").when(F.col("_h").isNull(), "unlisted")
         .when((F.col("sha256") != F.col("_h")) | (F.col("size") != F.col("_s")), "mismatched")
