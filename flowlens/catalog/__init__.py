@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["features", "evaluate", "decide", ]
+MODULES = ["incidents", "workbench", "drift", ]
 
 
 def load():

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from flowlens import constants as K
 from flowlens.functions.detection import drift_status
 from flowlens.functions.exprs import finite
-from flowlens.plans.recipes import bounded_broadcast, number_rows, quantiles, running_totals
+from flowlens.operators.features import transform
+from flowlens.plans.recipes import bounded_broadcast, number_rows, quantiles, running_totals, smallest_by_hash
 
 REFERENCE_SCHEMA = "feature string, edges array<double>, expected array<double>, n bigint"
 
@@ -169,3 +170,12 @@ def drift_guidance(report: DataFrame) -> DataFrame:
         "guidance",
         F.when(F.col("psi") >= K.PSI_ALERT, GUIDANCE_ALERT).when(F.col("psi") >= K.PSI_WATCH, GUIDANCE_WATCH)
         .otherwise(GUIDANCE_OK))
+
+
+def refresh_reference(
+    benign_train: DataFrame, params: DataFrame, ids: Sequence[str], cap: int = 1_000_000, seed: int = 7,
+) -> DataFrame:
+    """Reference from the transformed benign training rows, at most ``cap`` of them."""
+    sample = smallest_by_hash(benign_train, [], ids, cap, seed)
+    ready = transform(sample, params)
+    return build_reference(ready, ready.columns)

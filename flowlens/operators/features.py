@@ -221,15 +221,17 @@ def _thousands(x: Column, decimals: int) -> Column:
     return F.format_number(x, decimals)
 
 
-def four_digits(x: Column) -> Column:
-    """Four significant digits with thousands commas, trailing zeros dropped, exponent form when far from 1."""
-    power = F.floor(F.log10(F.abs(x)))
-    near = F.rint(x / F.pow(F.lit(10.0), power - 3)) * F.pow(F.lit(10.0), power - 3)
-    power = F.floor(F.log10(F.abs(near)) + F.lit(1e-12)).cast("int")
-    plain = F.call_function("format_number", x, F.greatest(F.lit(3) - power, F.lit(0)))
+def significant(x: Column, digits: int, commas: bool) -> Column:
+    """``digits`` significant digits, trailing zeros dropped, exponent form far from 1."""
+    keep = digits - 1
+    unit = F.pow(F.lit(10.0), F.floor(F.log10(F.abs(x))) - keep)
+    power = F.floor(F.log10(F.abs(F.rint(x / unit) * unit)) + F.lit(1e-12)).cast("int")
+    plain = F.call_function("format_number", x, F.greatest(F.lit(keep) - power, F.lit(0)))
+    if not commas:
+        plain = F.replace(plain, F.lit(","), F.lit(""))
     plain = F.when(plain.contains("."), F.regexp_replace(plain, "\\.?0+$", "")).otherwise(plain)
-    science = F.regexp_replace(F.format_string("%.3e", x), "\\.?0+e", "e")
-    return F.when(x == 0, "0").when((power < -4) | (power >= 4), science).otherwise(plain)
+    science = F.regexp_replace(F.format_string(f"%.{keep}e", x), "\\.?0+e", "e")
+    return F.when(x == 0, "0").when((power < -4) | (power >= digits), science).otherwise(plain)
 
 
 def describe_vs_normal(df: DataFrame, baseline: DataFrame, feature: str = "feature", value: str = "value") -> DataFrame:
@@ -241,9 +243,9 @@ def describe_vs_normal(df: DataFrame, baseline: DataFrame, feature: str = "featu
         F.when(x >= 10, _thousands(F.rint(x), 0)).otherwise(_thousands(x, 1)), F.lit("x"))
     text = (
         F.when(r.isNull() & (v > F.col("p95")), F.concat(
-            label, F.lit(" is "), four_digits(v), F.lit(", above the benign 95th percentile ("),
-            four_digits(F.col("p95")), F.lit(")")))
-        .when(r.isNull(), F.concat(label, F.lit(" is "), four_digits(v), F.lit(" (benign traffic is usually 0)")))
+            label, F.lit(" is "), significant(v, 4, True), F.lit(", above the benign 95th percentile ("),
+            significant(F.col("p95"), 4, True), F.lit(")")))
+        .when(r.isNull(), F.concat(label, F.lit(" is "), significant(v, 4, True), F.lit(" (benign traffic is usually 0)")))
         .when(r >= 2, F.concat(label, F.lit(" is "), times(r), F.lit(" the benign median")))
         .when((r > 0) & (r <= 0.5), F.concat(label, F.lit(" is "), times(1 / r), F.lit(" below the benign median")))
         .otherwise(F.concat(label, F.lit(" is close to the benign median")))
@@ -260,7 +262,7 @@ def format_shift(value: Column, median: Column) -> Column:
     return (
         F.when(median.isNull(), "No baseline")
         .when((median == 0) & (value == 0), "Matches normal (0.0)")
-        .when(median == 0, F.concat(F.lit("+"), F.format_string("%.6g", value), F.lit(" above baseline (0.0)")))
+        .when(median == 0, F.concat(F.lit("+"), significant(value, 6, False), F.lit(" above baseline (0.0)")))
         .when(value == median, "Matches normal")
         .when(r >= 2, F.concat(_thousands(r, 1), F.lit("× higher than normal")))
         .when((r > 0) & (r <= 0.5), F.concat(_thousands(F.try_divide(median, value), 1), F.lit("× lower than normal")))

@@ -95,7 +95,7 @@ def actions(spark: SparkSession, sf_dir: str) -> DataFrame:
 ACTIONS_SQL = """actions AS (SELECT event_id AS action_id, cast(user_id AS varchar) AS incident_id,
  'analyst' || cast(event_id % 7 AS varchar) AS analyst,
  CASE event_type WHEN 'view' THEN 'note' WHEN 'click' THEN 'acknowledge' WHEN 'signup' THEN 'confirm' WHEN 'error' THEN 'escalate' ELSE 'resolve' END AS action,
- ts AS at FROM events)"""
+ ts AS "at" FROM events)"""
 
 MEASURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
