@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["incidents", "workbench", "drift", ]
+MODULES = [
+    "sources", "clean", "quality", "split", "features", "decide", "evaluate", "incidents", "workbench",
+    "drift", "models", "streaming",
+]
 
 
 def load():

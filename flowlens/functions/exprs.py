@@ -51,6 +51,11 @@ def ratio(num: Column, den: Column) -> Column:
     return F.coalesce(F.try_divide(num.cast("double"), den.cast("double")), F.lit(0.0))
 
 
+def fixed(x: Column, decimals: int) -> Column:
+    """Fixed-point text without thousands commas; ties follow the exact binary value."""
+    return F.replace(F.format_number(x, decimals), F.lit(","), F.lit(""))
+
+
 def failed(rules: Iterable[tuple[str, Column]]) -> Column:
     """Names of the rules that hold, in order; each rule is (name, broken-condition)."""
     checks = F.array(*[F.when(F.coalesce(cond, F.lit(False)), F.lit(name)) for name, cond in rules])

@@ -2,9 +2,21 @@
 
 from __future__ import annotations
 
+import json
+import random
+import time
+from collections.abc import Sequence
+from dataclasses import dataclass
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from flowlens import constants as K
+from flowlens.models.forest import ForestParams, fit_binary_forest, fit_family_forest, score
+from flowlens.operators.decide import budget_scores, class_weights, threshold_for_fpr
+from flowlens.operators.evaluate import holdout_report, recall_by_tool, worst_tool
+
 
 def rank_configs(results: DataFrame, config: str, main: str, tie: str) -> DataFrame:
     """Configurations by mean objective over their units, then by the tie-break, then by name.
@@ -15,3 +27,126 @@ def rank_configs(results: DataFrame, config: str, main: str, tie: str) -> DataFr
         F.round(F.avg(main), 6).alias("objective"), F.round(F.avg(tie), 6).alias("tie_break"))
     w = Window.orderBy(F.desc("objective"), F.desc("tie_break"), config)
     return per.withColumn("rank", F.row_number().over(w))
+
+
+@dataclass
+class Setting:
+    """Columns and sizes shared by repeated fits."""
+
+    features: Sequence[str]
+    binary: ForestParams
+    family: ForestParams
+
+
+def run_holdouts(
+    train: DataFrame, val: DataFrame, evaluation: DataFrame, units: Sequence[tuple[str, str]], setting: Setting,
+    seeds: Sequence[int] = (7,), budgets: Sequence[float] = tuple(K.HOLDOUT_BUDGETS),
+) -> DataFrame:
+    """Refit both heads without each unit (column, value) and report how the unit is then treated.
+
+    One model with everything per seed gives the ceiling. Output: unit, seed and the
+    hold-out report columns.
+    """
+    attack = F.col("family") != "BENIGN"
+    out = []
+    for seed in seeds:
+        full = fit_binary_forest(train, setting.features, attack, setting.binary, seed)
+        seen = [score(d, setting.features, full).withColumnRenamed("p_attack", "p_full") for d in (val, evaluation)]
+        for col, value in units:
+            kept = train.where(F.col(col) != value)
+            binary = fit_binary_forest(kept, setting.features, attack, setting.binary, seed)
+            family = fit_family_forest(kept.where(attack), setting.features, "family", setting.family, seed)
+            v, e = (score(d, setting.features, binary, family).withColumn("p", F.col("p_attack")) for d in seen)
+            report = holdout_report(v, e, F.col(col) == value, budgets)
+            out.append(report.withColumns({"unit": F.lit(value), "seed": F.lit(seed)}))
+    return reduce(DataFrame.unionByName, out)
+
+
+# values a tuned setting may take (fixed values)
+SEARCH_SPACE = {
+    "depth": [10, 16, 24, 30],
+    "min_rows": [1, 2, 5, 20, 100],
+    "features": ["sqrt", "0.2", "0.5"],
+    "balanced": [False, True],
+}
+DEFAULT_CONFIG = {"depth": 30, "min_rows": 2, "features": "sqrt", "balanced": True}
+
+
+def random_configs(n: int, seed: int = 7) -> list[dict]:
+    """The default setting and ``n`` distinct random ones."""
+    rng = random.Random(seed)
+    found = [dict(DEFAULT_CONFIG)]
+    every = 1
+    for v in SEARCH_SPACE.values():
+        every *= len(v)
+    while len(found) < min(n + 1, every):
+        c = {k: rng.choice(v) for k, v in SEARCH_SPACE.items()}
+        if c not in found:
+            found.append(c)
+    return found
+
+
+def _unit_recalls(train: DataFrame, val: DataFrame, features: Sequence[str], tools: Sequence[str], config: dict,
+                  trees: int, seed: int, budgets: Sequence[float]) -> list[tuple]:
+    attack = F.col("family") != "BENIGN"
+    params = ForestParams(trees, config["depth"], config["min_rows"], config["features"])
+    weight = "class_weight" if config["balanced"] else None
+    rows = []
+    for tool in tools:
+        kept = train.where(F.col("tool") != tool).withColumn("_attack", attack)
+        if weight:
+            kept = class_weights(kept, "_attack")
+        model = fit_binary_forest(kept, features, attack, params, seed, weight)
+        scored = score(val, features, model).select("p_attack", "tool", "family")
+        cuts = {r["budget"]: r["score"] for r in budget_scores(scored.where(~attack), "p_attack", budgets).collect()}
+        hit = scored.where(F.col("tool") == tool).agg(*[
+            F.avg((F.col("p_attack") > cuts[b]).cast("double")).alias(f"r{i}") for i, b in enumerate(budgets)]).head()
+        rows.append((json.dumps(config, sort_keys=True), tool, seed, hit["r0"], hit["r1"]))
+    return rows
+
+
+def tune(
+    train: DataFrame, val: DataFrame, features: Sequence[str], tools: Sequence[str], n: int = 10, trees: int = 60,
+    seed: int = 7, confirm_seeds: Sequence[int] = (8, 9), limit_s: float | None = None,
+    budgets: tuple[float, float] = (0.0005, 0.0001),
+) -> tuple[DataFrame, DataFrame]:
+    """Random search for unseen-tool recall: (ranking of all tried, ranking of the best three re-run on new seeds).
+
+    ``limit_s`` stops starting new settings; the default setting is always tried first.
+    """
+    spark = train.sparkSession
+    schema = "config string, unit string, seed int, main double, tie double"
+    start, rows = time.monotonic(), []
+    for c in random_configs(n, seed):
+        if rows and limit_s is not None and time.monotonic() - start > limit_s:
+            break
+        rows += _unit_recalls(train, val, features, tools, c, trees, seed, budgets)
+    ranked = rank_configs(spark.createDataFrame(rows, schema), "config", "main", "tie")
+    best = [json.loads(r["config"]) for r in ranked.orderBy("rank").limit(3).collect()]
+    again = [x for s in confirm_seeds for c in best for x in _unit_recalls(train, val, features, tools, c, trees, s, budgets)]
+    return ranked, rank_configs(spark.createDataFrame(again, schema), "config", "main", "tie")
+
+
+def ablation(
+    train: DataFrame, evaluation: DataFrame, variants: dict[str, Sequence[str]], params: ForestParams,
+    budget: float = 0.001, seed: int = 7, held_tool: str | None = None, minimum: int = K.LOW_SUPPORT,
+) -> DataFrame:
+    """Refit per feature variant: recall at the budget and the worst tool.
+
+    With ``held_tool`` the tool is left out of training and its recall reported.
+    """
+    attack = F.col("family") != "BENIGN"
+    rows = []
+    for name, features in variants.items():
+        kept = train if held_tool is None else train.where(F.col("tool") != held_tool)
+        model = fit_binary_forest(kept, list(features), attack, params, seed)
+        scored = score(evaluation, list(features), model).select("p_attack", "tool", "family")
+        cut = threshold_for_fpr(scored.where(~attack), "p_attack", budget)
+        per = recall_by_tool(scored, "tool", F.col("p_attack") > cut, attack)
+        total = per.agg(F.sum("hits").alias("h"), F.sum("n").alias("n")).head()
+        worst = worst_tool(per, "tool", minimum).head()
+        held = per.where(F.col("tool") == held_tool).head() if held_tool else None
+        rows.append((name, len(features), float(total["h"] / total["n"]) if total["n"] else 0.0,
+                     worst["tool"], worst["recall"], held["recall"] if held else None))
+    return train.sparkSession.createDataFrame(
+        rows, "variant string, features int, recall double, worst_tool string, worst_recall double, held_recall double")

@@ -179,3 +179,20 @@ def refresh_reference(
     sample = smallest_by_hash(benign_train, [], ids, cap, seed)
     ready = transform(sample, params)
     return build_reference(ready, ready.columns)
+
+
+def windowed_index(df: DataFrame, ref: DataFrame, ts: str, window: str, slide: str) -> DataFrame:
+    """Index per event-time window and feature: ``start, feature, n, psi``; for tables and streams.
+
+    The reference's shares are literals here, so a stream needs no join.
+    """
+    edges, width = _edges(ref)
+    shares = {r["feature"]: list(r["expected"]) for r in ref.collect()}
+    expected = F.map_from_arrays(
+        F.array(*[F.lit(f) for f in shares]),
+        F.array(*[F.array(*[F.lit(float(x)) for x in e]) for e in shares.values()]))
+    counted = _binned(df, edges, [ts]).groupBy(F.window(ts, window, slide).alias("w"), "feature").agg(
+        F.count(F.lit(1)).alias("n"), F.array(*[F.count_if(F.col("bin") == b) for b in range(width)]).alias("_counts"))
+    return counted.select(
+        F.col("w.start").alias("start"), "feature", "n",
+        _psi_of(F.col("_counts"), F.element_at(expected, F.col("feature")), F.col("n")).alias("psi"))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowlens import constants as K
-from flowlens.functions.exprs import is_attack_truth, is_outlier_truth, ratio, wilson
+from flowlens.functions.exprs import fixed, is_attack_truth, is_outlier_truth, ratio, wilson
 from flowlens.operators.decide import _with_budgets, budget_scores, decide_flags, operating_points
 from flowlens.plans.recipes import bounded_broadcast, quantiles, running_totals
 
@@ -123,9 +123,10 @@ def low_support(report: DataFrame, minimum: int = K.LOW_SUPPORT) -> DataFrame:
     """Caveat line for families with some but too few test flows."""
     return report.where((F.col("sample_support") > 0) & (F.col("sample_support") < minimum)).select(
         "family",
-        F.format_string(
-            "%s: only %d test flows, so its metrics are unreliable (recall 95%% CI %.2f-%.2f)",
-            "family", "sample_support", "recall_lo", "recall_hi").alias("caveat"))
+        F.concat(
+            F.col("family"), F.lit(": only "), F.col("sample_support").cast("string"),
+            F.lit(" test flows, so its metrics are unreliable (recall 95% CI "),
+            fixed(F.col("recall_lo"), 2), F.lit("-"), fixed(F.col("recall_hi"), 2), F.lit(")")).alias("caveat"))
 
 
 def recall_by_tool(df: DataFrame, tool: str, flagged: Column, attack: Column) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowlens import constants as K
-from flowlens.functions.exprs import finite
+from flowlens.functions.exprs import finite, fixed
 from flowlens.plans.recipes import bounded_broadcast, quantiles
 
 SPEC_COLUMNS = "pos int, name string, clip_lo double, clip_hi double, log1p boolean, train_median double"
@@ -266,5 +266,5 @@ def format_shift(value: Column, median: Column) -> Column:
         .when(value == median, "Matches normal")
         .when(r >= 2, F.concat(_thousands(r, 1), F.lit("× higher than normal")))
         .when((r > 0) & (r <= 0.5), F.concat(_thousands(F.try_divide(median, value), 1), F.lit("× lower than normal")))
-        .otherwise(F.concat(F.when(percent > 0, "+").otherwise(""), F.format_string("%.1f", percent), F.lit("% vs normal")))
+        .otherwise(F.concat(F.when(percent > 0, "+").otherwise(""), fixed(percent, 1), F.lit("% vs normal")))
     )

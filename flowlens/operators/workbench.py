@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowlens import constants as K
-from flowlens.functions.exprs import lookup
+from flowlens.functions.exprs import fixed, lookup
 from flowlens.plans.recipes import quantiles
 
 
@@ -143,7 +143,7 @@ def metric_bands(df: DataFrame, precision: str = "precision", mtta: str = "mtta_
         "precision_band": F.when(p.isNull(), "none").when(p >= 0.85, "ok").when(p >= 0.70, "medium").otherwise("high"),
         "precision_text": F.when(p.isNull(), PRECISION_NONE).when(p >= 0.85, PRECISION_GOOD).otherwise(PRECISION_LOW),
         "mtta_text": F.when(m.isNull(), MTTA_NONE).when(m < 120, MTTA_FAST).when(m < 300, MTTA_FAIR).otherwise(MTTA_SLOW),
-        "mtta_label": F.when(m.isNull(), "—").when(m < 60, F.format_string("%.0f s", m))
-        .when(m < 3600, F.format_string("%.1f min", m / 60)).otherwise(F.format_string("%.2f hr", m / 3600)),
+        "mtta_label": F.when(m.isNull(), "—").when(m < 60, F.concat(fixed(m, 0), F.lit(" s")))
+        .when(m < 3600, F.concat(fixed(m / 60, 1), F.lit(" min"))).otherwise(F.concat(fixed(m / 3600, 2), F.lit(" hr"))),
     })
 
