@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,17 +17,17 @@ from flowlens.plans.recipes import bounded_broadcast, number_rows, quantiles, ru
 REFERENCE_SCHEMA = "feature string, edges array<double>, expected array<double>, n bigint"
 
 
-def _bin(value: Column, edges: Sequence[float]) -> Column:
-    """Number of edges at or below the value."""
-    arr = F.array(*[F.lit(float(e)) for e in edges]) if edges else F.array().cast("array<double>")
-    return F.when(value.isNotNull(), F.size(F.filter(arr, lambda e: e <= value)))
-
-
 def _binned(df: DataFrame, edges: dict[str, list[float]], keys: Sequence[str]) -> DataFrame:
-    """keys, feature, bin; non-finite values are left out."""
+    """keys, feature, bin = number of edges at or below the value; non-finite values are left out."""
+    names = list(edges)
+    vals = df.select(*keys, *[finite(F.col(c)).alias(f"_v{i}") for i, c in enumerate(names)])
+    binned = Bucketizer(
+        splitsArray=[[float("-inf"), *edges[c], float("inf")] for c in names],
+        inputCols=[f"_v{i}" for i in range(len(names))], outputCols=[f"_b{i}" for i in range(len(names))],
+        handleInvalid="keep").transform(vals)
     cells = F.explode(F.array(*[
-        F.struct(F.lit(c).alias("feature"), _bin(finite(F.col(c)), e).alias("bin")) for c, e in edges.items()]))
-    return df.select(*keys, cells.alias("_x")).select(*keys, "_x.feature", "_x.bin").where(F.col("bin").isNotNull())
+        F.struct(F.lit(c).alias("feature"), F.col(f"_b{i}").cast("int").alias("bin")) for i, c in enumerate(names)]))
+    return binned.select(*keys, cells.alias("_x")).select(*keys, "_x.feature", "_x.bin").where(F.col("bin").isNotNull())
 
 
 def build_reference(df: DataFrame, cols: Sequence[str], bins: int = 10) -> DataFrame:
@@ -71,9 +72,10 @@ def psi(df: DataFrame, ref: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 
 
 def _index(binned: DataFrame, ref: DataFrame, keys: Sequence[str], width: int) -> DataFrame:
-    counted = binned.groupBy(*keys, "feature").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.array(*[F.count_if(F.col("bin") == b) for b in range(width)]).alias("_counts"))
+    cells = binned.groupBy(*keys, "feature", "bin").agg(F.count(F.lit(1)).alias("_c"))
+    counted = cells.groupBy(*keys, "feature").agg(
+        F.sum("_c").alias("n"),
+        F.array(*[F.coalesce(F.sum(F.when(F.col("bin") == b, F.col("_c"))), F.lit(0)) for b in range(width)]).alias("_counts"))
     return counted.join(bounded_broadcast(ref.select("feature", "expected")), "feature").select(
         *keys, "feature", "n", _psi_of(F.col("_counts"), F.col("expected"), F.col("n")).alias("psi"))
 

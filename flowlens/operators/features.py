@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from flowlens import constants as K
 from flowlens.functions.exprs import finite, fixed
-from flowlens.plans.recipes import bounded_broadcast, quantiles
+from flowlens.plans.recipes import BROADCAST_ROWS, bounded_broadcast, quantiles, running_totals
+from flowlens.session import durable
 
 SPEC_COLUMNS = "pos int, name string, clip_lo double, clip_hi double, log1p boolean, train_median double"
 
@@ -60,18 +61,30 @@ def group_clip_bounds(
     return per.groupBy("feature").agg(F.min("lo").alias("clip_lo"), F.max("hi").alias("clip_hi"))
 
 
+def _mean_ranks(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """Average rank of every distinct value per feature, shifted so a feature's ranks have mean 0."""
+    t = running_totals(_melt(df, cols), "value", {"c": F.count(F.lit(1))}, ["feature"])
+    return t.select("feature", "value", (F.col("c_below") + F.col("c") / 2 - F.col("c_total") / 2).alias("rank"))
+
+
 def spearman_matrix(df: DataFrame, cols: Sequence[str], fill: Mapping[str, float] | None = None) -> DataFrame:
     """Absolute Spearman correlation of every ordered pair (average ranks on ties).
 
-    Rows are imputed first (``fill``, else 0) because the ranking works on full rows.
+    Rows are imputed first (``fill``, else 0) because the correlation works on full rows.
+    Ranks are computed once per distinct value; a feature with few distinct values gets
+    them by a broadcast of checked size, others by a shuffled join.
     """
-    ready = df.select(*[F.coalesce(finite(F.col(c)), F.lit(float((fill or {}).get(c, 0.0)))).alias(c) for c in cols])
-    vec = VectorAssembler(inputCols=list(cols), outputCol="_v").transform(ready).select("_v")
-    m = Correlation.corr(vec, "_v", "spearman").head()[0].toArray()
-    rows = [
-        (i, j, a, b, float(abs(m[i, j]))) for i, a in enumerate(cols) for j, b in enumerate(cols)
-    ]
-    return df.sparkSession.createDataFrame(rows, "i int, j int, feature_a string, feature_b string, rho double")
+    cols = list(cols)
+    rows = df.select(*[F.coalesce(finite(F.col(c)), F.lit(float((fill or {}).get(c, 0.0)))).alias(c) for c in cols])
+    ranks = durable(_mean_ranks(rows, cols))
+    sizes = {r["feature"]: r["count"] for r in ranks.groupBy("feature").count().collect()}
+    for c in sorted(cols, key=lambda x: sizes.get(x, 0)):
+        mine = ranks.where(F.col("feature") == c).select(F.col("value").alias(c), F.col("rank").alias(f"_r_{c}"))
+        rows = rows.join(F.broadcast(mine) if sizes.get(c, 0) <= BROADCAST_ROWS else mine, c)
+    vec = VectorAssembler(inputCols=[f"_r_{c}" for c in cols], outputCol="_v").transform(rows).select("_v")
+    m = Correlation.corr(vec, "_v", "pearson").head()[0].toArray()
+    cells = [(i, j, a, b, float(abs(m[i, j]))) for i, a in enumerate(cols) for j, b in enumerate(cols)]
+    return df.sparkSession.createDataFrame(cells, "i int, j int, feature_a string, feature_b string, rho double")
 
 
 def prune_correlated(rho: DataFrame, order: Sequence[str], thr: float = 0.95) -> DataFrame:

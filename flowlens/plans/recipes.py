@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from flowlens.session import durable
 
 BROADCAST_ROWS = 50_000
-BUCKETS = 512
+BUCKETS = 256
 LOCAL_INDEX_MASK = (1 << 33) - 1
 
 
