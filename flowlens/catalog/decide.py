@@ -48,7 +48,7 @@ BUDGETS = [0.0, *K.CURVE_BUDGETS]
 def m9_threshold(spark, sf_dir):
     benign = B.flows(spark, sf_dir).where(F.col("family") == "BENIGN")
     s = D.budget_scores(benign, "p_attack", BUDGETS)
-    hits = D._with_budgets(benign.select("p_attack"), [{"b": r["budget"], "s": r["score"]} for r in s.collect()])
+    hits = D.with_budgets(benign.select("p_attack"), [{"b": r["budget"], "s": r["score"]} for r in s.collect()])
     count = hits.groupBy(F.col("b").alias("budget")).agg(F.count_if(F.col("p_attack") > F.col("s")).alias("flagged"))
     return s.join(count, "budget")
 

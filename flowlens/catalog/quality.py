@@ -49,7 +49,7 @@ def flawed(spark, sf_dir):
  UNION ALL SELECT 'price', 0, 0, count(*) FILTER (l_returnflag = 'R'), count(*) FILTER (l_returnflag IN ('A', 'N')) FROM lineitem""")
 def p3_quality(spark, sf_dir):
     df, cols = flawed(spark, sf_dir), ["l_quantity", "tax", "price"]
-    return Q.column_quality(df, cols).join(F.broadcast(Q.rows_with_nonfinite(df, cols)))
+    return Q.column_quality(df, cols).withColumn("rows_with_nonfinite", F.lit(Q.rows_with_nonfinite(df, cols).head()[0]).cast("bigint"))
 
 
 @query("p4_day_profile", f"""WITH {B.FLOWS_SQL}, c AS (SELECT day, user_id, tool, min(observed_at) AS t FROM flows GROUP BY 1, 2, 3),

@@ -80,7 +80,7 @@ def s2_read_daily(spark, sf_dir):
  SELECT event_id, tool, f_value, day FROM flows, last WHERE day >= d - 6 AND tool IN ('signup', 'error')""")
 def s4_scan_pruned(spark, sf_dir):
     path = fresh_path(spark, "canonical")
-    R.write_canonical(B.flows(spark, sf_dir), path, salt_files=2, order=["event_id"])
+    R.write_canonical(B.flows(spark, sf_dir), path)
     last = spark.read.parquet(path).agg(F.max("day")).head()[0]
     days = [r[0] for r in spark.range(7).select(F.date_sub(F.lit(last), F.col("id").cast("int"))).collect()]
     return R.scan_flows(spark, path, days, ["signup", "error"], ["event_id", "tool", "f_value", "day"])

@@ -74,7 +74,7 @@ def threshold_for_fpr(benign: DataFrame, p: str, budget: float) -> float:
     return float(got["score"])
 
 
-def _with_budgets(df: DataFrame, taus: Sequence[dict]) -> DataFrame:
+def with_budgets(df: DataFrame, taus: Sequence[dict]) -> DataFrame:
     """One copy of each row per budget with that budget's thresholds (a handful of literals)."""
     rows = F.array(*[
         F.struct(*[F.lit(v).cast("double").alias(k) for k, v in t.items()]) for t in taus])
@@ -96,7 +96,7 @@ def operating_points(
     if not base:
         raise ValueError("no benign rows to calibrate on")
     taus = [{"budget": r["budget"], "tau_binary": r["score"]} for r in base]
-    flagged = _with_budgets(val.where(familiar).select(p, fconf), taus).where(F.col(p) > F.col("tau_binary"))
+    flagged = with_budgets(val.where(familiar).select(p, fconf), taus).where(F.col(p) > F.col("tau_binary"))
     cut = quantiles(flagged, [fconf], {"q": false_novel}, keys=["budget"]).collect()
     by_budget = {r["budget"]: float(r["q"]) for r in cut}
     for t in taus:
@@ -116,7 +116,7 @@ def operating_curve(
 ) -> DataFrame:
     """Per budget: thresholds, benign FPR, recall, weighted precision, novel share, recall per family."""
     taus = operating_points(val, budgets, p=p, fconf=fconf)
-    rows = _with_budgets(evaluation.select(p, fconf, family, weight), taus)
+    rows = with_budgets(evaluation.select(p, fconf, family, weight), taus)
     flagged, novel = decide_flags(F.col(p), F.col(fconf))
     attack, w = F.col(family) != "BENIGN", F.col(weight)
     mass = lambda cond: F.sum(F.when(cond, w).otherwise(0.0))
@@ -157,10 +157,9 @@ def select_for_explanation(
     runs = session_marks(attacks, keys, ts, gap_s, [F.min(order).alias("best")])
     best = runs.groupBy(*keys, "session").agg(F.min("best").alias("best"))
     reps = best.select("best.*").orderBy("neg", "id").limit(max(cap, ceiling))
-    chosen = [r["id"] for r in reps.collect()]
-    room = max(0, cap - len(chosen))
-    ranked = attacks.select((-F.col(p)).alias("neg"), F.col(row_id).alias("id"))
+    chosen = bounded_broadcast(reps.select(F.col("id").alias(row_id)), max(cap, ceiling))
+    room = max(0, cap - chosen.count())
     if room:
-        rest = ranked.where(~F.col("id").isin(chosen)).orderBy("neg", "id").limit(room)
-        chosen += [r["id"] for r in rest.collect()]
-    return df.where(F.col(row_id).isin(chosen))
+        rest = attacks.join(chosen, row_id, "left_anti").orderBy(F.desc(p), row_id).limit(room).select(row_id)
+        chosen = bounded_broadcast(chosen.unionByName(rest), cap)
+    return df.join(chosen, row_id, "left_semi")

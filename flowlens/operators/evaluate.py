@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from flowlens import constants as K
 from flowlens.functions.exprs import fixed, is_attack_truth, is_outlier_truth, ratio, wilson
-from flowlens.operators.decide import _with_budgets, budget_scores, decide_flags, operating_points
+from flowlens.operators.decide import with_budgets, budget_scores, decide_flags, operating_points
 from flowlens.plans.recipes import bounded_broadcast, quantiles, running_totals
 
 
@@ -158,7 +158,7 @@ def holdout_report(
             budget_scores(val.where(F.col(family) == "BENIGN"), p_full, budgets).collect()}
     for t in taus:
         t["tau_full"] = full[t["budget"]]
-    rows = _with_budgets(evaluation.select(p, fconf, p_full, family, F.col(weight).alias("_w"), held.alias("_held")), taus)
+    rows = with_budgets(evaluation.select(p, fconf, p_full, family, F.col(weight).alias("_w"), held.alias("_held")), taus)
     flagged, novel = decide_flags(F.col(p), F.col(fconf))
     rows = rows.select("budget", "tau_binary", "tau_family", "_w", "_held", flagged.alias("_f"), novel.alias("_n"),
                        (F.col(p_full) > F.col("tau_full")).alias("_ff"), (F.col(family) == "BENIGN").alias("_b"))

@@ -97,10 +97,13 @@ def live_metrics(flows: DataFrame, incidents: DataFrame, actions: DataFrame, now
     a = reviews.agg(
         F.try_divide(yes.cast("double"), (yes + no).cast("double")).alias("analyst_confirmed_precision"),
         F.try_divide(no.cast("double"), (yes + no).cast("double")).alias("fp_dismiss_rate"))
-    parts = [x.withColumn("_one", F.lit(1)) for x in (f, i, a)]
-    joined = parts[0].join(parts[1], "_one").join(parts[2], "_one").drop("_one")
-    return joined.withColumns({
-        "latency_ms_p50": F.lit(float(q["p50"]) if q else 0.0), "latency_ms_p95": F.lit(float(q["p95"]) if q else 0.0)})
+    reviewed, served = a.head(), f.head()
+    figures = {
+        "flows_scored_total": F.lit(served[0]).cast("bigint"), "flows_per_sec_1m": F.lit(served[1]).cast("double"),
+        "analyst_confirmed_precision": F.lit(reviewed[0]).cast("double"), "fp_dismiss_rate": F.lit(reviewed[1]).cast("double"),
+        "latency_ms_p50": F.lit(float(q["p50"]) if q else 0.0), "latency_ms_p95": F.lit(float(q["p95"]) if q else 0.0),
+    }
+    return i.withColumns(figures)
 
 
 def analyst_matrix(actions: DataFrame, analyst: str = "analyst", action: str = "action") -> DataFrame:

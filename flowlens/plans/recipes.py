@@ -234,20 +234,21 @@ def smallest_by_hash(
     before anything is ranked, so at most ``cap`` rows of a key meet in one task.
     ``cap`` is a number or a column over ``keys``.
     """
-    keys = list(keys) or ["_all"]
+    keys = list(keys)
     hashed = (
         df.withColumn("_h", F.xxhash64(F.lit(seed), *[F.col(c) for c in ids]))
         .withColumn("_cap", F.lit(cap).cast("bigint") if isinstance(cap, int) else cap.cast("bigint"))
         .where(F.col("_cap") > 0)
     )
-    if keys == ["_all"]:
-        hashed = hashed.withColumn("_all", F.lit(0))
     at = order_statistics(hashed, [*keys, "_cap"], "_h",
                           {"_edge": lambda n: F.least(n, F.col("_cap")) - 1})
-    edges = bounded_broadcast(at.select(*keys, "_edge"))
-    near = hashed.join(edges, keys).where(F.col("_h") <= F.col("_edge"))
-    w = Window.partitionBy(*keys).orderBy("_h", *ids)
+    if keys:
+        near = hashed.join(bounded_broadcast(at.select(*keys, "_edge")), keys).where(F.col("_h") <= F.col("_edge"))
+    else:
+        top = at.head()
+        near = hashed.where(F.col("_h") <= F.lit(top["_edge"])) if top else hashed.limit(0)
+    w = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("_h", *ids)
     return (
         near.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= F.col("_cap"))
-        .drop("_h", "_edge", "_r", "_cap", "_all")
+        .drop("_h", "_edge", "_r", "_cap")
     )

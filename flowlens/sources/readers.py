@@ -62,17 +62,13 @@ def read_honeypot_csv(spark: SparkSession, path: str | Sequence[str], strict: bo
     return df.select(*K.HONEYPOT_CSV_TYPES, F.to_date(stamp, "yyyy.MM.dd").alias("day"))
 
 
-def write_canonical(df: DataFrame, path: str, day: str = "day", salt_files: int = 1, order: Sequence[str] = ("row",)) -> None:
+def write_canonical(df: DataFrame, path: str, day: str = "day") -> None:
     """Parquet (zstd), one directory per day.
 
-    A day may be spread over ``salt_files`` tasks so a day that owns most rows is not
-    written by one of them.
+    Rows are rebalanced by day: adaptive execution splits a day that owns most rows over
+    several tasks and files, and merges small days into one task.
     """
-    spread = F.pmod(F.xxhash64(*[F.col(c) for c in order]), F.lit(salt_files))
-    (
-        df.repartition(F.col(day), spread).sortWithinPartitions(day, *order)
-        .write.mode("overwrite").partitionBy(day).option("compression", "zstd").parquet(path)
-    )
+    df.hint("rebalance", day).write.mode("overwrite").partitionBy(day).option("compression", "zstd").parquet(path)
 
 
 def scan_flows(

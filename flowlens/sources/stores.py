@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
 from collections.abc import Sequence
 
+import pandas as pd
+from pyarrow.fs import FileSystem
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 
+READ_BYTES = 8 << 20
+
+
 def first_delivery(df: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
     """One row per key: the first in ``order``."""
     return df.groupBy(F.col(key).alias("_key")).agg(
@@ -56,12 +63,25 @@ def spec_fingerprint(spec: DataFrame, order: str = "pos") -> DataFrame:
     return spec.agg(F.sha2(F.to_json(rows), 256).alias("sha256"), F.count(F.lit(1)).alias("features"))
 
 
+@F.pandas_udf("string")
+def _file_sha256(paths: pd.Series) -> pd.Series:
+    def digest(path: str) -> str:
+        uri = re.sub(r"^file:/(?!/)", "file:///", path)
+        files, name = FileSystem.from_uri(uri)
+        h = hashlib.sha256()
+        with files.open_input_stream(name) as f:
+            while chunk := f.read(READ_BYTES):
+                h.update(chunk)
+        return h.hexdigest()
+    return paths.map(digest)
+
+
 def file_manifest(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
-    """Name, size and SHA-256 of every file."""
+    """Name, size and SHA-256 of every file. Files are read in pieces, so their size does not matter."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", True).load(path)
     return files.select(
         F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("size"),
-        F.sha2("content", 256).alias("sha256"))
+        _file_sha256("path").alias("sha256"))
 
 
 def verify_manifest(manifest: DataFrame, present: DataFrame) -> DataFrame:
