@@ -146,7 +146,10 @@ def i12_ratio(spark, sf_dir):
 CLOSES_SQL = "closes AS (SELECT src_ip, dst_ip, fam AS corr_family, observed_at AS at FROM hits0 WHERE tool IN ('purchase', 'view'))"
 
 
-@query("t3_guard", f"WITH {B.SCORED_SQL}, " + islands_sql(GAP, "closes").replace(" hits AS (", f" {CLOSES_SQL}, hits AS (", 1) + f" SELECT {SESSION_COLS} FROM inc")
+GUARD_SQL = f"WITH {B.SCORED_SQL}, " + islands_sql(GAP, "closes").replace(" hits AS (", f" {CLOSES_SQL}, hits AS (", 1)
+
+
+@query("t3_guard", GUARD_SQL + f" SELECT {SESSION_COLS} FROM inc")
 def t3_guard(spark, sf_dir):
     hits = I.correlation_key(B.scored(spark, sf_dir).where(F.col("verdict") != "benign"))
     closes = hits.where(F.col("tool").isin("purchase", "view")).select(*I.KEYS, F.col("observed_at").alias("at"))

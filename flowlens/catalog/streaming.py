@@ -6,13 +6,15 @@ from pyspark.sql import functions as F
 
 from flowlens.catalog.drift import FLOW_FEATURES, FLOW_REF_SQL, flow_reference
 from flowlens.catalog.evaluate import OUTCOMES, REPLAY_SQL, replay_rows
-from flowlens.catalog.incidents import islands_sql
+from flowlens.catalog.incidents import GAP, GUARD_SQL, islands_sql
 from flowlens.catalog.models import FEATURES, SMALL, SMALL_FAMILY, attack
 from flowlens.catalog.registry import ntz, query, r6
 from flowlens.models import forest as M
+from flowlens.operators import incidents as I
 from flowlens.plans import bindings as B
 from flowlens.session import fresh_path
 from flowlens.streaming import jobs as J
+from flowlens.streaming.incident_store import IncidentStore, as_close_events, as_flow_events
 
 FILES = 4
 WIDE = "3650 days"
@@ -62,6 +64,30 @@ def t2_stream_sessions(spark, sf_dir):
                              "max_confidence", "severity", "first_seen", "last_seen")))
 
 
+def in_order(spark, df, files=FILES):
+    """The rows as files written one after the other in time order, read back one per trigger."""
+    path = fresh_path(spark, "ordered")
+    span = df.agg(F.min(F.unix_micros("observed_at")), F.max(F.unix_micros("observed_at"))).head()
+    step = (span[1] - span[0]) // files + 1
+    for i in range(files):
+        part = df.where(F.floor((F.unix_micros("observed_at") - F.lit(span[0])) / F.lit(step)) == i)
+        part.write.mode("append").parquet(path)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 8).parquet(path)
+
+
+@query("t3_stream_guard", GUARD_SQL + " SELECT incident_id, fam AS attack_family, verdict, dst_port, flow_count, round(max_confidence, 6) AS max_confidence, round(severity, 6) AS severity, first_seen, last_seen FROM inc")
+def t3_stream_guard(spark, sf_dir):
+    s = B.scored(spark, sf_dir)
+    hits = I.correlation_key(s.where(F.col("verdict") != "benign"))
+    closes = hits.where(F.col("tool").isin("purchase", "view")).select(*I.KEYS, F.col("observed_at").alias("at"))
+    events = as_flow_events(s).unionByName(as_close_events(closes))
+    store = IncidentStore(fresh_path(spark, "incident_store"), gap_s=GAP, delay_s=3600)
+    last = store.run_available(in_order(spark, events))
+    both = store.final_incidents(spark).unionByName(store.open_incidents(spark, last))
+    return ntz(r6(both.select("incident_id", "attack_family", "verdict", "dst_port", "flow_count", "max_confidence", "severity",
+                              "first_seen", "last_seen")))
+
+
 T4_SQL = FLOW_REF_SQL + """, wins AS (SELECT DISTINCT date_trunc('day', observed_at) - INTERVAL 1 DAY * k AS start FROM quiet, range(2) t(k)),
  wl AS (SELECT start, feature, v FROM wins JOIN (SELECT observed_at, 'f_value' AS feature, f_value AS v FROM quiet UNION ALL SELECT observed_at, 'f_k', f_k FROM quiet UNION ALL SELECT observed_at, 'p_attack', p_attack FROM quiet) x ON observed_at >= start AND observed_at < start + INTERVAL 2 DAY),
  o AS (SELECT start, feature, len(list_filter(edges, lambda e: e <= v)) AS bin, count(*) AS c FROM wl JOIN ref USING (feature) GROUP BY ALL), g AS (SELECT start, feature, cast(sum(c) AS bigint) AS n FROM o GROUP BY ALL),

@@ -35,30 +35,31 @@ def _sub_ticks(df: DataFrame, closes: DataFrame, keys: list[str], ts: str) -> Da
     return joined.withColumn("_sub", before.cast("bigint")).drop("_ats")
 
 
-def session_marks(
-    df: DataFrame, keys: Sequence[str], ts: str, gap_s: int = K.SESSION_GAP_S,
-    aggs: Sequence[Column] = (), closes: DataFrame | None = None, at: str = "at",
-) -> DataFrame:
-    """Partial sessions: one row per key and gap-wide tick, numbered by session within the key.
+def close_marks(closes: DataFrame, keys: Sequence[str], gap_s: int, at: str = "at") -> DataFrame:
+    """Distinct close times per key with the tick they fall into."""
+    return closes.select(*keys, F.unix_micros(at).alias("_at"), _tick(at, gap_s).alias("_tick")).distinct()
 
-    Rows closer than the gap always share a session, and all rows inside one tick are
-    closer than that, so a tick folds to one row (count, times, ``aggs``) before the
-    per-key window runs. The window then sees at most span / gap rows per key, however
-    many flows the key has. With ``closes`` (keys + ``at``) a session also ends at a
-    close event that lies between two of its rows.
-    """
+
+def fold_ticks(
+    df: DataFrame, keys: Sequence[str], ts: str, gap_s: int, aggs: Sequence[Column] = (), marks: DataFrame | None = None,
+) -> DataFrame:
+    """One row per key, gap-wide tick and stretch between closes: first and last time and ``aggs``."""
     keys = list(keys)
-    gap_us = gap_s * 1_000_000
     ticked = df.withColumn("_tick", _tick(ts, gap_s))
-    if closes is None:
+    if marks is None:
         ticked = ticked.withColumn("_sub", F.lit(0).cast("bigint"))
     else:
-        marks = closes.select(*keys, F.unix_micros(at).alias("_at"), _tick(at, gap_s).alias("_tick")).distinct()
         ticked = _sub_ticks(ticked, marks, keys, ts)
     us = F.unix_micros(ts)
-    folded = ticked.groupBy(*keys, "_tick", "_sub").agg(
-        F.min(us).alias("_lo"), F.max(us).alias("_hi"), *aggs)
-    if closes is not None:
+    return ticked.groupBy(*keys, "_tick", "_sub").agg(F.min(us).alias("_lo"), F.max(us).alias("_hi"), *aggs)
+
+
+def number_sessions(folded: DataFrame, keys: Sequence[str], gap_s: int, marks: DataFrame | None = None) -> DataFrame:
+    """Add ``session``: a new one starts after a gap or behind a close event."""
+    keys = list(keys)
+    if marks is None:
+        folded = folded.withColumn("_epoch", F.col("_sub"))
+    else:
         extra = marks.groupBy(*keys, "_tick").agg(F.count(F.lit(1)).alias("_closed"))
         earlier = Window.partitionBy(*keys).orderBy("_tick").rangeBetween(Window.unboundedPreceding, -1)
         folded = (
@@ -67,17 +68,31 @@ def session_marks(
             .withColumn("_epoch", F.coalesce(F.sum("_closed").over(earlier), F.lit(0)) + F.col("_sub"))
             .where(F.col("_lo").isNotNull()).drop("_closed")
         )
-    else:
-        folded = folded.withColumn("_epoch", F.lit(0).cast("bigint"))
     w = Window.partitionBy(*keys).orderBy("_tick", "_sub")
     starts = (
         F.lag("_hi").over(w).isNull()
-        | (F.col("_lo") - F.lag("_hi").over(w) > gap_us)
+        | (F.col("_lo") - F.lag("_hi").over(w) > gap_s * 1_000_000)
         | (F.col("_epoch") != F.lag("_epoch").over(w))
     )
     return folded.withColumn("_new", starts.cast("bigint")).withColumn("session", F.sum("_new").over(w)).drop("_new", "_epoch")
 
 
+def session_marks(
+    df: DataFrame, keys: Sequence[str], ts: str, gap_s: int = K.SESSION_GAP_S,
+    aggs: Sequence[Column] = (), closes: DataFrame | None = None, at: str = "at",
+) -> DataFrame:
+    """Partial sessions: one row per key and gap-wide tick, numbered by session within the key.
+
+    Rows closer than the gap always share a session, and all rows inside one tick are
+    closer than that, so a tick folds to one row (count, times, ``aggs``) before the
+    per-key window runs. The window then sees at most span / gap rows per key, however
+    many flows the key has. With ``closes`` (keys + ``at``) a session also ends at a
+    close event that lies between two of its rows.
+    """
+    marks = None if closes is None else close_marks(closes, keys, gap_s, at)
+    return number_sessions(fold_ticks(df, keys, ts, gap_s, aggs, marks), keys, gap_s, marks)
+
+
 def sessionize(df: DataFrame, keys: Sequence[str], ts: str, gap_s: int = K.SESSION_GAP_S,
                closes: DataFrame | None = None) -> DataFrame:
     """One row per session: keys, session number, count, first and last time."""
@@ -94,13 +109,30 @@ def _incident_id(keys: Sequence[str], first_us: Column) -> Column:
     return F.concat(F.lit("INC-"), F.upper(F.substring(F.sha2(text, 256), 1, 12)))
 
 
-def _incident_marks(flows: DataFrame, gap_s: int, closes: DataFrame | None, ts: str) -> DataFrame:
+def first_fold(ts: str) -> list[Column]:
+    """Per-tick partial aggregates of an incident."""
     first = F.struct(
         F.unix_micros(ts).alias("us"), F.col("flow_id"), F.col("dst_port"), F.col("verdict"), F.col("model_version"))
-    return session_marks(flows, KEYS, ts, gap_s, [
-        F.count(F.lit(1)).alias("n"), F.max("confidence").alias("conf"), F.sum("severity").alias("sev"),
-        F.min(first).alias("first"),
-    ], closes)
+    return [F.count(F.lit(1)).alias("n"), F.max("confidence").alias("conf"), F.sum("severity").alias("sev"),
+            F.min(first).alias("first")]
+
+
+def merge_fold() -> list[Column]:
+    """The same aggregates merged over partial rows."""
+    return [F.min("_lo").alias("_lo"), F.max("_hi").alias("_hi"), F.sum("n").alias("n"), F.max("conf").alias("conf"),
+            F.sum("sev").alias("sev"), F.min("first").alias("first")]
+
+
+def incident_rows(merged: DataFrame) -> DataFrame:
+    """Merged sessions -> incident columns."""
+    return merged.select(
+        _incident_id(KEYS, F.col("_lo")).alias("incident_id"),
+        "src_ip", "dst_ip", F.col("corr_family").alias("attack_family"),
+        F.col("first.verdict").alias("verdict"), F.col("first.dst_port").alias("dst_port"),
+        F.col("first.model_version").alias("model_version"), F.lit("new").alias("status"),
+        F.col("n").alias("flow_count"), F.col("conf").alias("max_confidence"), (F.col("sev") / F.col("n")).alias("severity"),
+        F.timestamp_micros("_lo").alias("first_seen"), F.timestamp_micros("_hi").alias("last_seen"),
+    )
 
 
 def incident_aggregates(
@@ -112,20 +144,8 @@ def incident_aggregates(
     severity and model_version.
     """
     hits = correlation_key(flows.where(F.col("verdict") != K.BENIGN_VERDICT))
-    marks = _incident_marks(hits, gap_s, closes, ts)
-    merged = marks.groupBy(*KEYS, "session").agg(
-        F.sum("n").alias("flow_count"), F.max("conf").alias("max_confidence"),
-        (F.sum("sev") / F.sum("n")).alias("severity"),
-        F.min("_lo").alias("_lo"), F.max("_hi").alias("_hi"), F.min("first").alias("first"),
-    )
-    return merged.select(
-        _incident_id(KEYS, F.col("_lo")).alias("incident_id"),
-        "src_ip", "dst_ip", F.col("corr_family").alias("attack_family"),
-        F.col("first.verdict").alias("verdict"), F.col("first.dst_port").alias("dst_port"),
-        F.col("first.model_version").alias("model_version"), F.lit("new").alias("status"),
-        "flow_count", "max_confidence", "severity",
-        F.timestamp_micros("_lo").alias("first_seen"), F.timestamp_micros("_hi").alias("last_seen"),
-    )
+    marks = session_marks(hits, KEYS, ts, gap_s, first_fold(ts), closes)
+    return incident_rows(marks.groupBy(*KEYS, "session").agg(*merge_fold()))
 
 
 def add_risk(incidents: DataFrame) -> DataFrame:
@@ -160,8 +180,7 @@ def link_flows(flows: DataFrame, gap_s: int = K.SESSION_GAP_S, ts: str = "observ
     if closes is None:
         ticked = ticked.withColumn("_sub", F.lit(0).cast("bigint"))
     else:
-        near = closes.select(*KEYS, F.unix_micros("at").alias("_at"), _tick("at", gap_s).alias("_tick")).distinct()
-        ticked = _sub_ticks(ticked, near, KEYS, ts)
+        ticked = _sub_ticks(ticked, close_marks(closes, KEYS, gap_s), KEYS, ts)
     linked = ticked.join(ids, [*KEYS, "_tick", "_sub"], "left")
     rest = keyed.where(quiet).withColumn("incident_id", F.lit(None).cast("string"))
     cols = [*flows.columns, "incident_id"]

@@ -10,6 +10,7 @@ import pandas as pd
 from pyarrow.fs import FileSystem
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 from pyspark.sql.utils import AnalysisException
 
 
@@ -63,7 +64,7 @@ def spec_fingerprint(spec: DataFrame, order: str = "pos") -> DataFrame:
     return spec.agg(F.sha2(F.to_json(rows), 256).alias("sha256"), F.count(F.lit(1)).alias("features"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _file_sha256(paths: pd.Series) -> pd.Series:
     def digest(path: str) -> str:
         uri = re.sub(r"^file:/(?!/)", "file:///", path)

@@ -1,3 +1,5 @@
+from datetime import datetime, timedelta
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -6,6 +8,7 @@ from flowlens.models import attribution as A
 from flowlens.models import forest as M
 from flowlens.models import isolation as ISO
 from flowlens.models import tuning as T
+from flowlens.streaming.incident_store import IncidentStore, as_close_events, as_flow_events
 
 FEATURES = ["a", "b", "c"]
 
@@ -54,3 +57,30 @@ def test_isolation_forest_ranks_planted_rows_top(spark, rows):
 def test_random_configs_are_distinct_and_repeatable():
     a = T.random_configs(6, 3)
     assert a == T.random_configs(6, 3) and len({str(c) for c in a}) == 7 and a[0] == T.DEFAULT_CONFIG
+
+
+FLOW = "flow_id string, observed_at timestamp, src_ip string, dst_ip string, dst_port int, verdict string, attack_family string, confidence double, severity double, model_version string"
+
+
+def test_incident_store_over_batches(spark, tmp_path):
+    t0 = datetime(2026, 1, 1)
+    at = lambda s: t0 + timedelta(seconds=s)
+    flow = lambda i, s, src="a": (f"f{i}", at(s), src, "d", 80, "known_attack", "DoS", .9, .8, "1")
+    frame = lambda *r: as_flow_events(spark.createDataFrame(list(r), FLOW))
+    close = lambda s: as_close_events(spark.createDataFrame([("a", "d", "DoS", at(s))], "src_ip string, dst_ip string, corr_family string, at timestamp"))
+    store = IncidentStore(str(tmp_path / "store"), delay_s=600)
+    batches = [
+        frame(flow(0, 0), flow(1, 180)),
+        frame(flow(2, 100), flow(3, 400)),
+        close(420),
+        frame(flow(4, 500), flow(5, 500, "b")),
+        frame(flow(6, 5000)),
+        frame(flow(7, 10), flow(8, 5100)),
+    ]
+    for i, b in enumerate(batches):
+        store.update(b, i)
+        store.update(b, i)
+    final = sorted((r["src_ip"], r["flow_count"], r["first_seen"]) for r in store.final_incidents(spark).collect())
+    assert final == [("a", 1, at(500)), ("a", 4, at(0)), ("b", 1, at(500))]
+    assert [(r["flow_count"], r["first_seen"]) for r in store.open_incidents(spark, 5).collect()] == [(2, at(5000))]
+    assert [r["flow_id"] for r in store.late_rows(spark).collect()] == ["f7"]
