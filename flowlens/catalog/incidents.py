@@ -66,8 +66,8 @@ def i3_incidents(spark, sf_dir):
 
 
 def attributions(spark, sf_dir):
-    """Three signed contributions per flow; every third flow is not explained."""
-    f = B.scored(spark, sf_dir).where(F.col("protocol") == 6)
+    """Three signed contributions per flow; flows of low confidence are not explained."""
+    f = B.scored(spark, sf_dir).where(F.col("confidence") >= 0.6)
     parts = F.array(
         F.struct(F.lit("value").alias("feature"), F.col("f_value").alias("value"), ((F.col("p_attack") - 0.4) * 0.7310585).alias("c")),
         F.struct(F.lit("k").alias("feature"), F.col("f_k").alias("value"), ((0.5 - F.col("fconf")) * 0.6224593).alias("c")),
@@ -76,8 +76,8 @@ def attributions(spark, sf_dir):
         "flow_id", "ts", "x.feature", "x.value", F.col("x.c").alias("contribution"), F.lit(1.0).alias("baseline_median"))
 
 
-ATTR_SQL = """attr AS (SELECT flow_id, observed_at AS ts, 'value' AS feature, f_value AS value, (p_attack - 0.4e0) * 0.7310585e0 AS c FROM scored WHERE protocol = 6
- UNION ALL SELECT flow_id, observed_at, 'k', f_k, (0.5e0 - fconf) * 0.6224593e0 FROM scored WHERE protocol = 6 UNION ALL SELECT flow_id, observed_at, 'pct', anomaly_pct, anomaly_pct * 0.0017615e0 FROM scored WHERE protocol = 6)"""
+ATTR_SQL = """attr AS (SELECT flow_id, observed_at AS ts, 'value' AS feature, f_value AS value, (p_attack - 0.4e0) * 0.7310585e0 AS c FROM scored WHERE confidence >= 0.6e0
+ UNION ALL SELECT flow_id, observed_at, 'k', f_k, (0.5e0 - fconf) * 0.6224593e0 FROM scored WHERE confidence >= 0.6e0 UNION ALL SELECT flow_id, observed_at, 'pct', anomaly_pct, anomaly_pct * 0.0017615e0 FROM scored WHERE confidence >= 0.6e0)"""
 
 
 @query("i4_top_features", f"""WITH {B.SCORED_SQL}, {islands_sql()}, {ATTR_SQL}, l AS (SELECT flow_id, incident_id FROM marked JOIN inc USING (src_ip, dst_ip, fam, session)),

@@ -112,10 +112,12 @@ def d7_weights(spark, sf_dir):
     return r6(w.join(bounded_broadcast(names), "c_nationkey").select("o_orderkey", "n_name", "weight"))
 
 
-@query("d8_working_set", D1_SQL + """ SELECT split, event_id, round(f_value, 6) AS f_value FROM parts WHERE split <> 'purged' AND protocol = 6""")
+@query("d8_working_set", D1_SQL + """ SELECT split, event_id, round(f_value, 6) AS f_value FROM parts WHERE split <> 'purged' AND (split <> 'train' OR family <> 'BENIGN' OR f_value < 40)""")
 def d8_working_set(spark, sf_dir):
     f = split_flows(spark, sf_dir)
-    index = f.select("event_id", "split", ((F.col("split") != "purged") & (F.col("protocol") == 6)).alias("in_sample"))
+    index = f.select("event_id", "split", 
+                     ((F.col("split") != "purged") & ((F.col("split") != "train") | (F.col("family") != "BENIGN")
+                                                      | (F.col("f_value") < 40))).alias("in_sample"))
     got = S.materialise_working_set(B.flows(spark, sf_dir), index, ["event_id"], fresh_path(spark, "working_set"))
     return r6(got.select("split", "event_id", "f_value"))
 

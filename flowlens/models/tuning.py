@@ -44,8 +44,8 @@ def run_holdouts(
 ) -> DataFrame:
     """Refit both heads without each unit (column, value) and report how the unit is then treated.
 
-    One model with everything per seed gives the ceiling. Output: unit, seed and the
-    hold-out report columns.
+    One model with everything per seed gives the ceiling. Rows need family, tool and the
+    weight ``w``. Output: unit, seed and the hold-out report columns, a row per budget.
     """
     attack = F.col("family") != "BENIGN"
     out = []
@@ -56,9 +56,14 @@ def run_holdouts(
             kept = train.where(F.col(col) != value)
             binary = fit_binary_forest(kept, setting.features, attack, setting.binary, seed)
             family = fit_family_forest(kept.where(attack), setting.features, "family", setting.family, seed)
-            v, e = (score(d, setting.features, binary, family).withColumn("p", F.col("p_attack")) for d in seen)
-            report = holdout_report(v, e, F.col(col) == value, budgets)
-            out.append(report.withColumns({"unit": F.lit(value), "seed": F.lit(seed)}))
+            needed = ["p", "fconf", "p_full", "family", "tool", "w"]
+            v, e = (score(d, setting.features, binary, family).withColumn("p", F.col("p_attack")).select(*needed).persist()
+                    for d in seen)
+            report = holdout_report(v, e, F.col(col) == value, budgets).withColumns(
+                {"unit": F.lit(value), "seed": F.lit(seed)})
+            out.append(train.sparkSession.createDataFrame(report.collect(), report.schema))
+            v.unpersist()
+            e.unpersist()
     return reduce(DataFrame.unionByName, out)
 
 
@@ -97,10 +102,11 @@ def _unit_recalls(train: DataFrame, val: DataFrame, features: Sequence[str], too
         if weight:
             kept = class_weights(kept, "_attack")
         model = fit_binary_forest(kept, features, attack, params, seed, weight)
-        scored = score(val, features, model).select("p_attack", "tool", "family")
+        scored = score(val, features, model).select("p_attack", "tool", "family").persist()
         cuts = {r["budget"]: r["score"] for r in budget_scores(scored.where(~attack), "p_attack", budgets).collect()}
         hit = scored.where(F.col("tool") == tool).agg(*[
             F.avg((F.col("p_attack") > cuts[b]).cast("double")).alias(f"r{i}") for i, b in enumerate(budgets)]).head()
+        scored.unpersist()
         rows.append((json.dumps(config, sort_keys=True), tool, seed, hit["r0"], hit["r1"]))
     return rows
 
@@ -140,7 +146,7 @@ def ablation(
     for name, features in variants.items():
         kept = train if held_tool is None else train.where(F.col("tool") != held_tool)
         model = fit_binary_forest(kept, list(features), attack, params, seed)
-        scored = score(evaluation, list(features), model).select("p_attack", "tool", "family")
+        scored = score(evaluation, list(features), model).select("p_attack", "tool", "family").persist()
         cut = threshold_for_fpr(scored.where(~attack), "p_attack", budget)
         per = recall_by_tool(scored, "tool", F.col("p_attack") > cut, attack)
         total = per.agg(F.sum("hits").alias("h"), F.sum("n").alias("n")).head()
@@ -148,5 +154,6 @@ def ablation(
         held = per.where(F.col("tool") == held_tool).head() if held_tool else None
         rows.append((name, len(features), float(total["h"] / total["n"]) if total["n"] else 0.0,
                      worst["tool"], worst["recall"], held["recall"] if held else None))
+        scored.unpersist()
     return train.sparkSession.createDataFrame(
         rows, "variant string, features int, recall double, worst_tool string, worst_recall double, held_recall double")
