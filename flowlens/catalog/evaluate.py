@@ -201,6 +201,15 @@ def a14_monthly(spark, sf_dir):
         F.col("p_attack") >= 0.6, F.col("anomaly_pct") >= 90, F.col("w")))
 
 
+@query("a14_monthly_auc", f"""WITH {B.FLOWS_SQL}, m AS (SELECT day, p_attack AS s, family <> 'BENIGN' AS y, w FROM flows WHERE family <> 'Botnet'),
+ g AS (SELECT day, s, sum(CASE WHEN y THEN w ELSE 0e0 END) AS p, sum(CASE WHEN y THEN 0e0 ELSE w END) AS q FROM m GROUP BY 1, 2),
+ c AS (SELECT *, sum(p) OVER (PARTITION BY day ORDER BY s DESC) AS cp, sum(q) OVER (PARTITION BY day ORDER BY s DESC) AS cq, sum(p) OVER (PARTITION BY day) AS tp, sum(q) OVER (PARTITION BY day) AS tq FROM g)
+ SELECT day, round(sum(q * (cp - p / 2)) / nullif(max(tp) * max(tq), 0), 6) AS roc_auc, CASE WHEN max(tp) > 0 AND max(tq) > 0 THEN round(sum(p * cp / (cp + cq)) / max(tp), 6) END AS pr_auc FROM c GROUP BY 1""")
+def a14_monthly_auc(spark, sf_dir):
+    known = B.flows(spark, sf_dir).where(F.col("family") != "Botnet")
+    return r6(E.ranking_quality(known, F.col("family") != "BENIGN", "p_attack", F.col("w"), keys=["day"]))
+
+
 @query("a15_recal", f"""WITH {B.FLOWS_SQL}, weekly AS (SELECT *, strftime(observed_at, '%G-%V') AS period FROM flows),
  cut AS (SELECT period, min(epoch_us(observed_at)) + cast(floor(0.2e0 * (max(epoch_us(observed_at)) - min(epoch_us(observed_at)))) AS bigint) AS c FROM weekly GROUP BY 1),
  win AS (SELECT weekly.* FROM weekly JOIN cut USING (period) WHERE epoch_us(observed_at) < c AND family = 'BENIGN'),

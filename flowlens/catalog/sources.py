@@ -86,22 +86,40 @@ def s4_scan_pruned(spark, sf_dir):
     return R.scan_flows(spark, path, days, ["signup", "error"], ["event_id", "tool", "f_value", "day"])
 
 
-@query("s5_replay_read", f"""WITH {B.FLOWS_SQL} SELECT flow_id, observed_at, src_ip,
+REPLAY_ROWS_SQL = f"""WITH {B.FLOWS_SQL} SELECT flow_id, observed_at, src_ip,
  cast(CASE WHEN protocol = 17 THEN 0 ELSE src_port END AS integer) AS src_port, protocol, ground_truth,
- round(cast(cast(f_value AS float) AS double), 4) AS f_value FROM flows""")
-def s5_replay_read(spark, sf_dir):
+ round(cast(cast(f_value AS float) AS double), 4) AS f_value FROM flows"""
+
+
+def replay_files(spark, sf_dir):
     f = B.flows(spark, sf_dir)
     path = fresh_path(spark, "replay")
     f.select(
         "flow_id", F.date_format("observed_at", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("observed_at"),
         F.lit(0.0).alias("t_rel_s"), "src_ip", F.when(F.col("protocol") == 17, -1).otherwise(F.col("src_port")).alias("src_port"),
         "dst_ip", "dst_port", "protocol", "ground_truth", "tool", F.col("f_value").cast("float"),
-    ).write.option("header", True).option("compression", "gzip").csv(path)
-    df = R.read_replay(spark, path, ["protocol", "f_value"])
+    ).repartition(4).write.option("header", True).option("compression", "gzip").csv(path)
+    return path
+
+
+def replay_columns(df):
     return ntz(df.select("flow_id", "observed_at", "src_ip", "src_port", "protocol", "ground_truth",
                          F.round(F.col("f_value").cast("double"), 4).alias("f_value")))
 
 
+@query("s5_replay_read", REPLAY_ROWS_SQL)
+def s5_replay_read(spark, sf_dir):
+    return replay_columns(R.read_replay(spark, replay_files(spark, sf_dir), ["protocol", "f_value"]))
+
+
+@query("s5_replay_stream", REPLAY_ROWS_SQL)
+def s5_replay_stream(spark, sf_dir):
+    from flowlens.streaming.jobs import run_available
+
+    live = R.stream_replay(spark, replay_files(spark, sf_dir), ["protocol", "f_value"], files_per_trigger=2)
+    return replay_columns(run_available(live, fresh_path(spark, "replayed")))
+
+
 @query("s6_upsert_ignore", f"""WITH {B.FLOWS_SQL} SELECT flow_id, tool, round(f_value, 6) AS f_value FROM flows""")
 def s6_upsert_ignore(spark, sf_dir):
     f = B.flows(spark, sf_dir).select("flow_id", "tool", "observed_at", "f_value")
