@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from flowlens.catalog.registry import query, r6
 from flowlens.models import attribution as A
+from flowlens.models import bundle as BU
 from flowlens.models import forest as M
 from flowlens.models import isolation as ISO
 from flowlens.models import smote as SM
@@ -15,6 +16,7 @@ from flowlens.operators import evaluate as E
 from flowlens.operators import features as FE
 from flowlens.operators import split as S
 from flowlens.plans import bindings as B
+from flowlens.session import fresh_path
 
 FEATURES = ["f_value", "f_k", "protocol", "dst_port"]
 SMALL = M.ForestParams(trees=10, depth=6, min_rows=5, features="0.8", bins=64)
@@ -134,6 +136,19 @@ def m15_importance(spark, sf_dir):
     return r6(A.global_importance(e.select(pairs.alias("p")).select("p.*")))
 
 
+@query("a16_bundle_parity", "SELECT count(*) AS rows, 1e0 AS agreement FROM events")
+def a16_bundle_parity(spark, sf_dir):
+    train, val, _ = parts(spark, sf_dir)
+    rows = [(i, c, 0.0, 70000.0, c == "f_value", None) for i, c in enumerate(FEATURES)]
+    spec = spark.createDataFrame(rows, FE.SPEC_COLUMNS)
+    made = BU.fit_bundle(train, val, spec, ["event_id"], 0.01, binary_params=SMALL, family_params=SMALL_FAMILY)
+    path = fresh_path(spark, "bundle")
+    BU.save_bundle(made, path)
+    flows = B.flows(spark, sf_dir).drop("p_attack", "fconf")
+    a, b = (BU.detect(flows, x).select("flow_id", "p_attack") for x in (made, BU.load_bundle(spark, path)))
+    return E.parity_check(a, b, "flow_id", "p_attack", made.rules.head()["tau_binary"])
+
+
 @query("a11_run_holdouts")
 def a11_run_holdouts(spark, sf_dir):
     train, val, test = parts(spark, sf_dir)

@@ -192,15 +192,20 @@ def fit_transformer(df: DataFrame, spec: DataFrame) -> DataFrame:
 
 def transform(df: DataFrame, params: DataFrame | TransformParams, keep: Sequence[str] = (), scaled: bool = False) -> DataFrame:
     """One projection: non-finite out, clip, impute, log, optionally standardise, 32-bit float last."""
+    return df.select(*keep, *[c.alias(n) for n, c in transform_columns(params, scaled).items()])
+
+
+def transform_columns(params: DataFrame | TransformParams, scaled: bool = False) -> dict[str, Column]:
+    """The transformer as one expression per feature, in spec order."""
     if isinstance(params, DataFrame):
         params = TransformParams([r.asDict() for r in params.orderBy("pos").collect()])
-    out = []
+    out = {}
     for r in params.rows:
         x = _finished(r)
         if scaled:
             x = (x - F.lit(r["mean"])) / F.lit(r["std"])
-        out.append(x.cast("float").alias(r["name"]))
-    return df.select(*keep, *out)
+        out[r["name"]] = x.cast("float")
+    return out
 
 
 def variant_spec(spec: DataFrame, drop: Sequence[str] = (), optional: Sequence[str] = ()) -> DataFrame:

@@ -78,10 +78,11 @@ def _file_sha256(paths: pd.Series) -> pd.Series:
 
 
 def file_manifest(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
-    """Name, size and SHA-256 of every file. Files are read in pieces, so their size does not matter."""
+    """Name below ``path``, size and SHA-256 of every file. Files are read in pieces, so their size does not matter."""
+    root = re.sub(r"^[a-z0-9]+:/*", "/", path).rstrip("/") + "/"
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", True).load(path)
     return files.select(
-        F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("size"),
+        F.substring_index("path", root, -1).alias("name"), F.col("length").alias("size"),
         _file_sha256("path").alias("sha256"))
 
 

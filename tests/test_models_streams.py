@@ -5,9 +5,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from flowlens.models import attribution as A
+from flowlens.models import bundle as BU
 from flowlens.models import forest as M
 from flowlens.models import isolation as ISO
 from flowlens.models import tuning as T
+from flowlens.operators import features as FE
 from flowlens.streaming.incident_store import IncidentStore, as_close_events, as_flow_events
 
 FEATURES = ["a", "b", "c"]
@@ -59,6 +61,24 @@ def test_random_configs_are_distinct_and_repeatable():
     assert a == T.random_configs(6, 3) and len({str(c) for c in a}) == 7 and a[0] == T.DEFAULT_CONFIG
 
 
+def test_bundle_detects_alike_after_reload_and_notices_tampering(spark, rows, tmp_path):
+    spec = spark.createDataFrame([(i, f, -50.0, 50.0, False, None) for i, f in enumerate(FEATURES)], FE.SPEC_COLUMNS)
+    made = BU.fit_bundle(rows, rows, spec, ["id"], 0.01, binary_params=SMALL, family_params=SMALL)
+    got = BU.detect(rows, made)
+    benign = got.where("family = 'BENIGN'")
+    assert benign.where("verdict <> 'benign'").count() <= 0.01 * benign.count()
+    assert got.where("family <> 'BENIGN' and verdict <> 'benign'").count() > 700
+    assert set(r[0] for r in got.where("verdict = 'novel_anomaly'").select("attack_family").distinct().collect()) <= {"Unknown"}
+    path = str(tmp_path / "bundle")
+    BU.save_bundle(made, path)
+    again = BU.detect(rows, BU.load_bundle(spark, path))
+    cols = ["id", "p_attack", "verdict", "confidence", "attack_family", "severity"]
+    assert got.select(*cols).exceptAll(again.select(*cols)).count() == 0
+    next((tmp_path / "bundle" / "rules").glob("part-*")).write_text('{"tau_binary":0.1}')
+    with pytest.raises(ValueError, match="mismatched"):
+        BU.load_bundle(spark, path)
+
+
 FLOW = "flow_id string, observed_at timestamp, src_ip string, dst_ip string, dst_port int, verdict string, attack_family string, confidence double, severity double, model_version string"
 
 
