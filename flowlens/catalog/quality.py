@@ -124,7 +124,7 @@ def v3_spec_check(spark, sf_dir):
     name = F.col("event_type")
     spec = q.select(
         F.lit(0).alias("pos"), name.alias("name"),
-        F.when(name == "view", F.col("hi")).when(name == "signup", -F.col("lo")).otherwise(F.col("lo")).alias("clip_lo"),
+        F.when(name == "view", F.col("hi")).when(name == "signup", -F.col("lo") - 1).otherwise(F.col("lo")).alias("clip_lo"),
         F.when(name == "view", F.col("lo")).otherwise(F.col("hi")).alias("clip_hi"), (name == "signup").alias("log1p"))
     base = q.select(
         F.lit(0).alias("pos"), name.alias("feature"), "p05",
