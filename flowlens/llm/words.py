@@ -48,6 +48,9 @@ _BYTES = Powers(_BASE)
 _WORDS = Powers(0xA0761D6478BD642F)
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: Every ASCII sign that is no letter or digit separates.
+SIGNS = np.ones(256, dtype=bool)
+SIGNS[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
 _EXACT = mix(np.arange(1, 257, dtype=_U) * _U(_ODD))
 _LOWER = _EXACT.copy()
 _LOWER[65:91] = _EXACT[97:123]
@@ -108,15 +111,15 @@ def _hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool) -
     return out
 
 
-def words_of(texts: pa.Array, lower: bool = False, piece: int = PIECE_BYTES) -> Iterator[Words]:
-    """Words of a string column, piece by piece; null texts have none."""
+def words_of(texts: pa.Array, lower: bool = False, piece: int = PIECE_BYTES, gaps: np.ndarray = _SPACE) -> Iterator[Words]:
+    """Words of a string column, piece by piece; null texts have none. ``gaps`` tells for each byte if it separates words."""
     at, data = _buffers(texts)
     n, first = len(at) - 1, 0
     while first < n:
         last = max(first + 1, int(np.searchsorted(at, at[first] + piece, side="right")) - 1)
         own = data[at[first]:at[last]]
         offsets = at[first:last + 1] - at[first]
-        inside = ~_SPACE[own]
+        inside = ~gaps[own]
         begins, closes = inside.copy(), inside.copy()
         begins[1:] &= ~inside[:-1]
         closes[:-1] &= ~inside[1:]
