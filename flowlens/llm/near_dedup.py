@@ -9,8 +9,9 @@ a text without words has an empty set and no links). Two documents are linked wh
 3. In every bucket of a band, each member is compared with the bucket's smallest id; links that hold
    on the full sets are joined to groups.
 4. What is still apart inside a bucket (members outside the group of its smallest id) is compared with
-   every member of another group of that bucket, so no candidate of the banding is left out, while a
-   large group of copies costs one comparison per member.
+   every member of another group of that bucket, so no candidate of the banding is left out. That happens in
+   blocks: full sets of at most ``BLOCK`` members each meet inside a task, and only the links between groups
+   leave it. A large group of copies costs one comparison per member.
 5. All links together give the groups.
 
 With 32 bands of 5 rows a pair at the limit of 0.75 meets in some band with probability 0.9998.
@@ -22,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowlens.llm.components import connected_components
@@ -31,6 +32,8 @@ from flowlens.llm.superminhash import band_keys, signatures
 from flowlens.llm.words import distinct_shingles, mix, words_of
 
 _SALT = np.uint64(0x5851F42D4C957F2D)
+BLOCK = 128
+_COLUMNS = 4_096
 
 
 def _sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -98,6 +101,80 @@ def _sets(texts: pa.Array, owners: pa.Array | None, words: int) -> Iterator[np.n
             yield values[at[j]:at[j + 1]]
 
 
+def _meetings(placed: DataFrame, block: int) -> DataFrame:
+    """Rows of ``band, doc_id, group, main`` dealt to meetings ``band, x, y`` of at most about two blocks.
+
+    Members outside the main group (apart) meet all others: blocks of them with blocks of the main group, and with one
+    another. Members of the main group never meet each other.
+    """
+    counts = placed.groupBy("band").agg(
+        F.count_if(F.col("group") == F.col("main")).alias("_in"), F.count_if(F.col("group") != F.col("main")).alias("_apart"))
+    rows = placed.join(counts, "band").withColumns({
+        "_in": F.ceil(F.col("_in") / F.lit(block)).cast("int"), "_apart": F.ceil(F.col("_apart") / F.lit(block)).cast("int")})
+    apart = F.col("group") != F.col("main")
+    own = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.when(apart, F.col("_apart")).otherwise(F.col("_in"))).cast("int")
+
+    def each(n: str, make) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.col(n) - 1), lambda other: F.struct(*make(other)))
+
+    with_main = each("_in", lambda o: (F.col("_own").alias("x"), o.alias("y")))
+    with_apart = each("_apart", lambda o: (F.least("_own", o).alias("x"), (F.col("_in") + F.greatest("_own", o)).alias("y")))
+    of_main = each("_apart", lambda o: (o.alias("x"), F.col("_own").alias("y")))
+    places = F.when(apart, F.concat(with_main, with_apart)).otherwise(of_main)
+    rows = rows.withColumn("_own", own).select("band", "doc_id", "group", F.explode(places).alias("_at"))
+    return rows.select("band", "doc_id", "group", "_at.x", "_at.y")
+
+
+def shared_counts(values: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
+    """How many values each two of n sets share; ``owner`` tells the set of each value."""
+    order = np.argsort(values, kind="stable")
+    v, r = values[order], owner[order]
+    new = np.concatenate([[True], v[1:] != v[:-1]]) if len(v) else np.zeros(0, dtype=bool)
+    column = np.cumsum(new) - 1
+    often = np.bincount(column)[column] > 1 if len(v) else new
+    r, column = r[often], column[often]
+    if len(column):
+        column = np.cumsum(np.concatenate([[True], column[1:] != column[:-1]])) - 1
+    out = np.zeros((n, n), dtype=np.float32)
+    for lo in range(0, int(column[-1]) + 1 if len(column) else 0, _COLUMNS):
+        a, b = np.searchsorted(column, [lo, lo + _COLUMNS])
+        grid = np.zeros((n, _COLUMNS), dtype=np.float32)
+        grid[r[a:b], column[a:b] - lo] = 1
+        out += grid @ grid.T
+    return out
+
+
+def _links_between_groups(meetings: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links ``a, b`` between group ids, one per group and meeting at most, from full sets."""
+
+    def meet(table: pa.Table) -> pa.Table:
+        group = table["group"].to_numpy()
+        values, owner, sizes = [], [], np.zeros(len(group), dtype=np.int64)
+        if (group != group[0]).any():
+            for i, own in enumerate(_sets(table["text"].combine_chunks(), None, words)):
+                sizes[i] = len(own)
+                values.append(own)
+                owner.append(np.full(len(own), i))
+        if not values:
+            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+        shared = shared_counts(np.concatenate(values), np.concatenate(owner), len(group))
+        linked = (100 * shared >= percent * (sizes[:, None] + sizes[None, :] - shared)) & (shared > 0)
+        left, right = np.nonzero(linked & (group[:, None] != group[None, :]))
+        names, member = np.unique(group, return_inverse=True)
+        label = names.copy()
+        while True:
+            new = label.copy()
+            np.minimum.at(new, member[left], label[member[right]])
+            if (new == label).all():
+                break
+            label = new
+        tied = label != names
+        return pa.table({"a": label[tied], "b": names[tied]})
+
+    rows = meetings.join(texts, "doc_id").select("band", "x", "y", "group", "text")
+    return rows.groupBy("band", "x", "y").applyInArrow(meet, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, bands: int = 32, rows: int = 5) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for every row of ``docs`` (``doc_id long, text string``).
 
@@ -127,12 +204,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, bands: i
     placed = placed.select("band", "doc_id", F.coalesce("component", "doc_id").alias("group"))
     split = placed.groupBy("band").agg(F.min("group").alias("main"), F.max("group").alias("_last")).where("main < _last")
     placed = placed.join(split.select("band", "main"), "band")
-    apart = placed.where(F.col("group") != F.col("main")).select("band", F.col("doc_id").alias("b"), F.col("group").alias("group_b"))
-    rest = placed.join(apart, "band").where(
-        (F.col("group") != F.col("group_b")) & ((F.col("group") == F.col("main")) | (F.col("doc_id") < F.col("b"))))
-    rest = rest.select(F.least("doc_id", "b").alias("a"), F.greatest("doc_id", "b").alias("b")).distinct()
-    rest = rest.join(stars, ["a", "b"], "left_anti")
-    second = _verified(rest, texts, words, percent)
+    second = stored(_links_between_groups(_meetings(placed, BLOCK), texts, words, percent).distinct(), "group_links")
 
     links = copies.select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).unionByName(first).unionByName(second)
     found = connected_components(links)

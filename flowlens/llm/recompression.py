@@ -81,8 +81,8 @@ class _Symbols:
         return _Symbols(name, self.text[first], self.begin[first], self.end[last], low, high)
 
 
-def anchors(w: Words, window: int = WINDOW, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
-    """Start (word number in the piece) and anchor name of every window of the piece."""
+def anchors(w: Words, window: int = WINDOW, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start (word number in the piece), anchor name and the anchor's own place of every window of the piece."""
     n, text = len(w.hashes), w.text_of_word()
     best = np.full(n, np.iinfo(np.uint64).max, dtype=_U)
     fits = np.zeros(n, dtype=bool)
@@ -91,6 +91,7 @@ def anchors(w: Words, window: int = WINDOW, rounds: int = ROUNDS) -> tuple[np.nd
     at = np.arange(n)
     level = _Symbols(w.hashes, text, at, at + 1, at, at + 1)
     run = np.concatenate([np.zeros(1, dtype=_U), np.cumsum(w.hashes, dtype=_U)])
+    tried = []
     for r in range(rounds + 1):
         if r:
             level = level.runs(2 * r + 1).pairs(mix_salt(r))
@@ -102,16 +103,26 @@ def anchors(w: Words, window: int = WINDOW, rounds: int = ROUNDS) -> tuple[np.nd
         reach = np.clip(high, 0, n)
         name = mix(level.name * _MUL ^ (run[reach] - run[np.clip(low, 0, n)]))
         order = (_U(rounds - r) << _U(60)) | (name >> _U(4))
-        first, last = high - window, low
-        edge = w.offsets[level.text]
-        first = np.maximum(first, edge)
+        first = np.maximum(high - window, w.offsets[level.text])
+        keep = inside & (first <= low)
+        first, last, order, begin = first[keep], low[keep], order[keep], level.begin[keep]
+        tried.append((first, last, order, begin))
         for step in range(window):
-            here = np.flatnonzero(inside & (first + step <= last))
+            here = np.flatnonzero(first + step <= last)
             if not len(here):
                 break
             np.minimum.at(best, first[here] + step, order[here])
+    # the same name may stand at several places of a window; the leftmost is its anchor
+    place = np.full(n, n)
+    for first, last, order, begin in tried:
+        for step in range(window):
+            here = np.flatnonzero(first + step <= last)
+            if not len(here):
+                break
+            here = here[order[here] == best[first[here] + step]]
+            np.minimum.at(place, first[here] + step, begin[here])
     start = np.flatnonzero(fits)
-    return start, best[start]
+    return start, best[start], place[start]
 
 
 def mix_salt(r: int) -> int:
@@ -151,12 +162,12 @@ def anchor_runs(docs: DataFrame, window: int, rounds: int) -> DataFrame:
             ids = _ids(batch.column("doc_id"))
             parts = []
             for w in words_of(batch.column("text")):
-                start, name = anchors(w, window, rounds)
+                start, name, anchor = anchors(w, window, rounds)
                 if not len(start):
                     continue
                 text = w.text_of_word()[start]
                 new = np.ones(len(start), dtype=bool)
-                new[1:] = (name[1:] != name[:-1]) | (text[1:] != text[:-1]) | (start[1:] != start[:-1] + 1)
+                new[1:] = (name[1:] != name[:-1]) | (anchor[1:] != anchor[:-1]) | (text[1:] != text[:-1]) | (start[1:] != start[:-1] + 1)
                 first = np.flatnonzero(new)
                 run = np.diff(np.concatenate([first, [len(start)]]))
                 text, own = text[first], start[first]
@@ -236,8 +247,10 @@ def window_rows(texts: DataFrame, window: int) -> DataFrame:
             a, b, doc, start = a[order], b[order], doc[order], start[order]
             first = np.ones(len(a), dtype=bool)
             first[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-            # same doc_id and start in two rows of one id: neither is earlier
-            later_doc, later_start = doc[~first], start[~first]
+            lead = np.flatnonzero(first)[np.cumsum(first) - 1]
+            # in two rows of one id the same start is no earlier one
+            later = (doc != doc[lead]) | (start != start[lead])
+            later_doc, later_start = doc[later], start[later]
             order = np.lexsort((later_start, later_doc))
             later_doc, later_start = later_doc[order], later_start[order]
             new = np.ones(len(later_doc), dtype=bool)
@@ -256,7 +269,10 @@ def window_rows(texts: DataFrame, window: int) -> DataFrame:
 
 
 def cut_texts(texts: DataFrame, window: int) -> DataFrame:
-    """``doc_id, text, n_removed, kept_sha256``: texts without the words that their runs of repeated windows cover."""
+    """``doc_id, sha, text, n_removed, kept_sha256``: texts without the words that their runs of repeated windows cover.
+
+    ``sha`` is the hash of all words, as in :func:`word_sequences`.
+    """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -264,18 +280,19 @@ def cut_texts(texts: DataFrame, window: int) -> DataFrame:
                 n = len(w.offsets) - 1
                 which, start, run = _runs_of(batch, w.first, w.first + n)
                 gone = _marked(len(w.hashes), w.offsets, which, start, run, window)
-                kept, counts = [], []
+                kept, counts, shas = [], [], []
                 data = w.data.tobytes()
                 for j in range(n):
                     lo, hi = w.offsets[j], w.offsets[j + 1]
                     stay = np.flatnonzero(~gone[lo:hi]) + lo
                     counts.append(hi - lo - len(stay))
                     kept.append(b" ".join([data[s:e] for s, e in zip(w.starts[stay].tolist(), w.ends[stay].tolist(), strict=True)]))
+                    shas.append(hashlib.sha256(b" ".join(data[w.text_offsets[j]:w.text_offsets[j + 1]].split())).hexdigest())
                 yield pa.RecordBatch.from_arrays([
-                    batch.column("doc_id").slice(w.first, n), pa.array([k.decode() for k in kept], pa.string()), pa.array(counts, pa.int64()),
-                    pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string())], names=["doc_id", "text", "n_removed", "kept_sha256"])
+                    batch.column("doc_id").slice(w.first, n), pa.array(shas, pa.string()), pa.array([k.decode() for k in kept], pa.string()), pa.array(counts, pa.int64()),
+                    pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string())], names=["doc_id", "sha", "text", "n_removed", "kept_sha256"])
 
-    return texts.mapInArrow(read, "doc_id long, text string, n_removed long, kept_sha256 string")
+    return texts.mapInArrow(read, "doc_id long, sha string, text string, n_removed long, kept_sha256 string")
 
 
 def repeated_windows(docs: DataFrame, firsts: DataFrame, window: int = WINDOW, rounds: int = ROUNDS) -> DataFrame:
@@ -307,10 +324,10 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS)
     removed = repeated_windows(plain, firsts.select(F.col("_first").alias("doc_id")).distinct(), window, rounds)
     removed = removed.groupBy("doc_id").agg(F.collect_list(F.struct("start", "run")).alias("runs"))
     cut = cut_texts(plain.join(removed, "doc_id").select("doc_id", "text", "runs"), window).select(
-        F.col("doc_id").alias("_id"), F.col("n_removed").alias("_n"), F.col("kept_sha256").alias("_sha"))
+        F.col("doc_id").alias("_id"), F.col("sha").alias("_of"), F.col("n_removed").alias("_n"), F.col("kept_sha256").alias("_sha")).distinct()
     # a later copy of a whole text is repeated from its first word to its last
     whole = F.col("_copy") & (F.col("n_words") >= window)
-    rows = seen.join(cut, F.col("doc_id") == F.col("_id"), "left")
+    rows = seen.join(cut, (F.col("doc_id") == F.col("_id")) & (F.col("sha") == F.col("_of")), "left")
     return rows.select(
         F.when(F.col("doc_id") != _NO_ID, F.col("doc_id")).alias("doc_id"), "n_words",
         F.when(whole, F.col("n_words")).otherwise(F.coalesce("_n", F.lit(0))).alias("n_removed"),

@@ -148,9 +148,12 @@ def _ordered(spans: Column) -> Column:
 def secret_digest(docs: DataFrame, **how) -> DataFrame:
     """Counts per base kind, the hash of the base spans and all spans as text, per row of ``docs``."""
     found = find_secrets(docs, **how)
-    counts = {f"n_{k}": F.size(F.filter("base", lambda x, k=k: x["kind"] == k)).cast("long") for k in KINDS[:3]}
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter("base", lambda x: x["kind"] == kind)).cast("long")
+
     return found.select(
-        "doc_id", *[c.alias(n) for n, c in counts.items()],
+        "doc_id", *[count(k).alias(f"n_{k}") for k in KINDS[:3]],
         F.sha2(_joined(F.col("base")), 256).alias("base_sha256"),
         _joined(_ordered(F.concat("base", "added"))).alias("spans"),
         F.size("added").cast("long").alias("n_entropy"),
