@@ -9,7 +9,6 @@ from flowlens.catalog.registry import ntz, query, r6
 from flowlens.functions.exprs import snake_expr
 from flowlens.operators import clean as C
 from flowlens.plans import bindings as B
-from flowlens.plans.recipes import bounded_broadcast
 
 
 def _cases(column: str, mapping: dict) -> str:
@@ -40,7 +39,7 @@ def c2_map_family(spark, sf_dir):
         .when(kind == "error", "Web Attack - XSS").otherwise("Mystery - Attempted").alias("label"),
         ((F.col("user_id") % 5 == 0) | (kind == "signup")).alias("attempted"))
     gone = C.unmapped_labels(df).select(F.concat(F.col("label"), F.lit(K.ATTEMPTED_SUFFIX)).alias("label"), F.lit(True).alias("unmapped"))
-    return C.map_family(df, attempted="attempted").join(bounded_broadcast(gone), "label", "left").select(
+    return C.map_family(df, attempted="attempted").join(gone, "label", "left").select(
         "event_id", "label", "family", F.coalesce("unmapped", F.lit(False)).alias("unmapped"))
 
 

@@ -91,22 +91,24 @@ def m13_weights(spark, sf_dir):
     return r6(D.class_weights(B.table(spark, sf_dir, "embeddings").select("vec_id", "label"), "label"))
 
 
-def select_sql(cap: int, ceiling: int, gap_s: int) -> str:
+def select_sql(cap: int, ceiling: int, gap_s: int, batch: str) -> str:
+    by = f"{batch}, src_ip, dst_ip, fam"
     return f"""WITH {B.SCORED_SQL}, a AS (SELECT *, CASE WHEN verdict = 'novel_anomaly' THEN 'Unknown' ELSE attack_family END AS fam FROM scored WHERE verdict <> 'benign'),
- g AS (SELECT *, CASE WHEN epoch_us(observed_at) - lag(epoch_us(observed_at)) OVER w > cast({gap_s} AS bigint) * 1000000 THEN 1 ELSE 0 END AS brk FROM a WINDOW w AS (PARTITION BY src_ip, dst_ip, fam ORDER BY observed_at, flow_id)),
- s AS (SELECT *, sum(brk) OVER (PARTITION BY src_ip, dst_ip, fam ORDER BY observed_at, flow_id) AS run FROM g),
- best AS (SELECT *, row_number() OVER (PARTITION BY src_ip, dst_ip, fam, run ORDER BY p_attack DESC, flow_id) AS r FROM s),
- reps AS (SELECT flow_id FROM best WHERE r = 1 ORDER BY p_attack DESC, flow_id LIMIT {max(cap, ceiling)}),
- ranked AS (SELECT flow_id, row_number() OVER (ORDER BY p_attack DESC, flow_id) AS k FROM best WHERE flow_id NOT IN (SELECT flow_id FROM reps)),
- rest AS (SELECT flow_id FROM ranked WHERE k <= greatest(0, {cap} - (SELECT count(*) FROM reps)))
+ g AS (SELECT *, CASE WHEN epoch_us(observed_at) - lag(epoch_us(observed_at)) OVER w > cast({gap_s} AS bigint) * 1000000 THEN 1 ELSE 0 END AS brk FROM a WINDOW w AS (PARTITION BY {by} ORDER BY observed_at, flow_id)),
+ s AS (SELECT *, sum(brk) OVER (PARTITION BY {by} ORDER BY observed_at, flow_id) AS run FROM g),
+ best AS (SELECT *, row_number() OVER (PARTITION BY {by}, run ORDER BY p_attack DESC, flow_id) AS r FROM s),
+ reps AS (SELECT {batch}, flow_id FROM best WHERE r = 1 QUALIFY row_number() OVER (PARTITION BY {batch} ORDER BY p_attack DESC, flow_id) <= {max(cap, ceiling)}),
+ n AS (SELECT {batch}, count(*) AS held FROM best WHERE r = 1 GROUP BY 1),
+ ranked AS (SELECT b.{batch}, flow_id, row_number() OVER (PARTITION BY b.{batch} ORDER BY p_attack DESC, flow_id) AS k FROM best b WHERE r > 1),
+ rest AS (SELECT flow_id FROM ranked JOIN n USING ({batch}) WHERE k <= {cap} - held)
  SELECT flow_id FROM reps UNION ALL SELECT flow_id FROM rest"""
 
 
-@query("m16_select", select_sql(25, 100, 300))
+@query("m16_select", select_sql(25, 100, 300, "batch"))
 def m16_select(spark, sf_dir):
-    return D.select_for_explanation(B.scored(spark, sf_dir)).select("flow_id")
+    return D.select_for_explanation(B.scored(spark, sf_dir), "batch").select("flow_id")
 
 
-@query("m16_select_day_runs", select_sql(400, 100, 86400))
+@query("m16_select_day_runs", select_sql(400, 100, 86400, "day"))
 def m16_select_day_runs(spark, sf_dir):
-    return D.select_for_explanation(B.scored(spark, sf_dir), cap=400, gap_s=86400).select("flow_id")
+    return D.select_for_explanation(B.scored(spark, sf_dir), "day", cap=400, gap_s=86400).select("flow_id")

@@ -121,4 +121,4 @@ def r9_refresh(spark, sf_dir):
 
     train = B.measures(spark, sf_dir).where(F.col("period") < "2000")
     params = FE.fit_transformer(train, spec(spark))
-    return D.refresh_reference(train.where(F.col("class") == "N"), params, ["l_orderkey", "l_linenumber"], 1_000_000)
+    return D.refresh_reference(train.where(F.col("class") == "N"), params)

@@ -121,7 +121,7 @@ def m14_top_contributions(spark, sf_dir):
     scored, model = explained(spark, sf_dir)
     ready = scored.withColumns({
         "verdict": F.when(F.col("p_attack") > 0.5, "known_attack").otherwise("benign"), "attack_family": F.col("family")})
-    picked = D.select_for_explanation(ready, cap=50, gap_s=86400)
+    picked = D.select_for_explanation(ready, "batch", gap_s=86400)
     base = FE.baseline_stats(B.flows(spark, sf_dir).where(~attack()), FEATURES)
     rows = A.top_contributions(A.attribute(picked, FEATURES, model), FEATURES, base, "flow_id", "observed_at", 3)
     return r6(rows.drop("ts"))

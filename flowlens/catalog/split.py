@@ -103,13 +103,12 @@ def d6_manifest(spark, sf_dir):
  n AS (SELECT c_nationkey, count(*) AS k FROM s GROUP BY 1)
  SELECT o_orderkey, n_name, round(cast(f AS double) / k, 6) AS weight FROM s JOIN n USING (c_nationkey) JOIN full_count USING (c_nationkey) JOIN nation ON n_nationkey = c_nationkey""")
 def d7_weights(spark, sf_dir):
-    from flowlens.plans.recipes import bounded_broadcast
 
     c = B.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_nationkey")
     full = B.table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus").join(c, "o_custkey")
     names = B.table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_name")
     w = S.sampling_weights(full.where(F.col("o_orderstatus") == "F"), full, ["c_nationkey"])
-    return r6(w.join(bounded_broadcast(names), "c_nationkey").select("o_orderkey", "n_name", "weight"))
+    return r6(w.join(names, "c_nationkey").select("o_orderkey", "n_name", "weight"))
 
 
 @query("d8_working_set", D1_SQL + """ SELECT split, event_id, round(f_value, 6) AS f_value FROM parts WHERE split <> 'purged' AND (split <> 'train' OR family <> 'BENIGN' OR f_value < 40)""")

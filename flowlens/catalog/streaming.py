@@ -103,6 +103,14 @@ def t4_stream_drift(spark, sf_dir):
     return ntz(r6(J.run_available(live, fresh_path(spark, "drift"), mode="complete")))
 
 
+@query("t4_stream_attack_rate", f"""WITH {B.SCORED_SQL}, wins AS (SELECT DISTINCT date_trunc('day', observed_at) - INTERVAL 1 DAY * k AS start FROM scored, range(2) t(k))
+ SELECT start, count(*) AS flows, round(avg(CASE WHEN verdict <> 'benign' THEN 1e0 ELSE 0e0 END), 6) AS attack_rate FROM wins JOIN scored ON observed_at >= start AND observed_at < start + INTERVAL 2 DAY GROUP BY 1""")
+def t4_stream_attack_rate(spark, sf_dir):
+    s = B.scored(spark, sf_dir)
+    live = J.stream_attack_rate(as_stream(spark, s.select("observed_at", "verdict")), window="2 days", slide="1 day")
+    return ntz(r6(J.run_available(live, fresh_path(spark, "attack_rate"), mode="complete")))
+
+
 @query("t5_stream_dedupe", f"WITH {B.FLOWS_SQL} SELECT flow_id, tool FROM flows")
 def t5_stream_dedupe(spark, sf_dir):
     f = B.flows(spark, sf_dir).select("flow_id", "tool", "observed_at")

@@ -45,19 +45,18 @@ def i14_detail(spark, sf_dir):
     return ntz(out.select("incident_id", "risk_score", "attack_family", "kind", "ref", "at"))
 
 
-FOLD_SQL = f"""WITH {B.ACTIONS_SQL}, c AS (SELECT incident_id, min(("at", action_id)) AS c FROM actions WHERE action IN ('dismiss_fp', 'resolve') GROUP BY 1),
- ok AS (SELECT a.* FROM actions a LEFT JOIN c USING (incident_id) WHERE c.c IS NULL OR (a."at", a.action_id) <= c.c),
+OK_SQL = f"""WITH {B.ACTIONS_SQL}, c AS (SELECT incident_id, min(("at", action_id)) AS c FROM actions WHERE action IN ('dismiss_fp', 'resolve') GROUP BY 1),
+ ok AS (SELECT a.* FROM actions a LEFT JOIN c USING (incident_id) WHERE c.c IS NULL OR (a."at", a.action_id) <= c.c)"""
+FOLD_SQL = OK_SQL + """,
  mv AS (SELECT * FROM ok WHERE action IN ('acknowledge', 'escalate', 'dismiss_fp', 'resolve')),
  st AS (SELECT incident_id, last(action ORDER BY "at", action_id) AS la, first(action ORDER BY "at", action_id) AS fa, first("at" ORDER BY "at", action_id) AS ft FROM mv GROUP BY 1),
- folded AS (SELECT n.incident_id, n.actions, k.accepted, CASE la WHEN 'acknowledge' THEN 'acknowledged' WHEN 'escalate' THEN 'escalated' WHEN 'dismiss_fp' THEN 'dismissed_fp' WHEN 'resolve' THEN 'resolved' ELSE 'new' END AS status,
- CASE WHEN fa = 'acknowledge' THEN ft END AS acknowledged_at FROM (SELECT incident_id, count(*) AS actions FROM actions GROUP BY 1) n LEFT JOIN st USING (incident_id) JOIN (SELECT incident_id, count(*) AS accepted FROM ok GROUP BY 1) k USING (incident_id))"""
+ folded AS (SELECT k.incident_id, k.actions, CASE la WHEN 'acknowledge' THEN 'acknowledged' WHEN 'escalate' THEN 'escalated' WHEN 'dismiss_fp' THEN 'dismissed_fp' WHEN 'resolve' THEN 'resolved' ELSE 'new' END AS status,
+ CASE WHEN fa = 'acknowledge' THEN ft END AS acknowledged_at FROM (SELECT incident_id, count(*) AS actions FROM ok GROUP BY 1) k LEFT JOIN st USING (incident_id))"""
 
 
-@query("i15_fold", FOLD_SQL + " SELECT incident_id, actions, accepted, status, acknowledged_at FROM folded")
+@query("i15_fold", FOLD_SQL + " SELECT incident_id, actions, status, acknowledged_at FROM folded")
 def i15_fold(spark, sf_dir):
-    acts = B.actions(spark, sf_dir)
-    ok = W.accepted_actions(acts).groupBy("incident_id").agg(F.count(F.lit(1)).alias("accepted"))
-    return ntz(W.fold_actions(acts).join(ok, "incident_id").select("incident_id", "actions", "accepted", "status", "acknowledged_at"))
+    return ntz(W.fold_actions(B.actions(spark, sf_dir)).select("incident_id", "actions", "status", "acknowledged_at"))
 
 
 LIVE_SQL = FOLD_SQL + f""", i AS (SELECT f.*, CASE WHEN actions >= 75 THEN 'HIGH' WHEN actions >= 60 THEN 'MEDIUM' ELSE 'LOW' END AS risk_level, fs.first_seen FROM folded f JOIN (SELECT incident_id, min("at") AS first_seen FROM actions GROUP BY 1) fs USING (incident_id)),
@@ -65,8 +64,8 @@ LIVE_SQL = FOLD_SQL + f""", i AS (SELECT f.*, CASE WHEN actions >= 75 THEN 'HIGH
  SELECT (SELECT count(*) FROM events) AS flows_scored_total, round((SELECT count(*) FROM events, (SELECT max(ts) AS now FROM events) WHERE ts >= now - INTERVAL 60 SECONDS) / 60e0, 6) AS flows_per_sec_1m,
  round((SELECT quantile_cont(value, 0.5) FROM events), 6) AS latency_ms_p50, round((SELECT quantile_cont(value, 0.95) FROM events), 6) AS latency_ms_p95,
  count(*) FILTER (status NOT IN ('resolved', 'dismissed_fp')) AS incidents_open, {", ".join(f"count(*) FILTER (status NOT IN ('resolved', 'dismissed_fp') AND risk_level = '{lv}') AS open_{lv.lower()}" for lv in K.LEVELS)},
- (SELECT round(avg(s), 6) FROM d WHERE s >= 0) AS mtta_seconds, (SELECT round(count(*) FILTER (action = 'confirm') / cast(count(*) AS double), 6) FROM actions WHERE action IN ('confirm', 'dismiss_fp')) AS analyst_confirmed_precision,
- (SELECT round(count(*) FILTER (action = 'dismiss_fp') / cast(count(*) AS double), 6) FROM actions WHERE action IN ('confirm', 'dismiss_fp')) AS fp_dismiss_rate FROM i"""
+ (SELECT round(avg(s), 6) FROM d WHERE s >= 0) AS mtta_seconds, (SELECT round(count(*) FILTER (action = 'confirm') / cast(count(*) AS double), 6) FROM ok WHERE action IN ('confirm', 'dismiss_fp')) AS analyst_confirmed_precision,
+ (SELECT round(count(*) FILTER (action = 'dismiss_fp') / cast(count(*) AS double), 6) FROM ok WHERE action IN ('confirm', 'dismiss_fp')) AS fp_dismiss_rate FROM i"""
 
 
 def queue_state(spark, sf_dir):
@@ -84,12 +83,12 @@ def i16_live(spark, sf_dir):
     return r6(out)
 
 
-@query("i17_analyst", f"WITH {B.ACTIONS_SQL} SELECT analyst, {', '.join(f'''count(*) FILTER (action = '{a}') AS {a}''' for a in K.ACTIONS)}, count(*) AS total FROM actions GROUP BY 1")
+@query("i17_analyst", OK_SQL + f" SELECT analyst, {', '.join(f'''count(*) FILTER (action = '{a}') AS {a}''' for a in K.ACTIONS)}, count(*) AS total FROM ok GROUP BY 1")
 def i17_analyst(spark, sf_dir):
     return W.analyst_matrix(B.actions(spark, sf_dir))
 
 
-@query("i17_action_counts", f"WITH {B.ACTIONS_SQL} SELECT action, count(*) AS n FROM actions GROUP BY 1")
+@query("i17_action_counts", OK_SQL + " SELECT action, count(*) AS n FROM ok GROUP BY 1")
 def i17_action_counts(spark, sf_dir):
     return W.action_counts(B.actions(spark, sf_dir))
 

@@ -10,17 +10,14 @@ from pyspark.ml.classification import RandomForestClassificationModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowlens.plans.recipes import bounded_broadcast
 from flowlens.session import fresh_path
 
-NODE_LIMIT = 4_000_000
 
-
-def node_table(model: RandomForestClassificationModel, spark, trees: int = 25) -> DataFrame:
-    """Nodes of the first ``trees`` trees as a table: tree, node, p, feature, threshold, left, right."""
+def node_table(model: RandomForestClassificationModel, spark) -> DataFrame:
+    """Nodes of all trees as a table: tree, node, p, feature, threshold, left, right."""
     path = fresh_path(spark, "forest")
     model.write().save(path)
-    raw = spark.read.parquet(f"{path}/data").where(F.col("treeID") < trees)
+    raw = spark.read.parquet(f"{path}/data")
     n = F.col("nodeData")
     stats = n["impurityStats"]
     mass = F.aggregate(stats, F.lit(0.0), lambda a, x: a + x)
@@ -33,24 +30,22 @@ def node_table(model: RandomForestClassificationModel, spark, trees: int = 25) -
 
 
 def _arrays(nodes: DataFrame) -> list[tuple]:
-    rows = nodes.orderBy("tree", "node").limit(NODE_LIMIT + 1).toPandas()
-    if len(rows) > NODE_LIMIT:
-        raise ValueError("the forest is too large to ship; explain fewer trees")
+    """Nodes per tree as arrays: as large as the fitted forest, which its depth and number of trees bound."""
     out = []
-    for _, t in rows.groupby("tree", sort=True):
+    for _, t in nodes.toPandas().groupby("tree", sort=True):
         t = t.sort_values("node")
         out.append(tuple(t[c].to_numpy() for c in ("p", "feature", "threshold", "left", "right")))
     return out
 
 
-def attribute(df: DataFrame, features: Sequence[str], model: RandomForestClassificationModel, trees: int = 25) -> DataFrame:
+def attribute(df: DataFrame, features: Sequence[str], model: RandomForestClassificationModel) -> DataFrame:
     """Add ``base`` and ``contributions`` (one per feature); base + their sum is the forest's p(attack).
 
     Walking a tree, the change of p from a node to its child belongs to the feature the
-    node splits on. Only rows chosen for explanation should get here.
+    node splits on; every tree is walked. Only rows chosen for explanation should get here.
     """
     spark = df.sparkSession
-    packed = spark.sparkContext.broadcast(_arrays(node_table(model, spark, trees)))
+    packed = spark.sparkContext.broadcast(_arrays(node_table(model, spark)))
     width = len(features)
     inputs = F.struct(*[F.col(f).cast("double").alias(f) for f in features])
 
@@ -85,7 +80,7 @@ def top_contributions(df: DataFrame, features: Sequence[str], baseline: DataFram
     rows = df.select(row_id, F.col(ts).alias("ts"), best).select(
         row_id, "ts", "_b.feature", "_b.value", "_b.contribution")
     medians = baseline.select("feature", F.col("median").alias("baseline_median"))
-    return rows.join(bounded_broadcast(medians), "feature", "left")
+    return rows.join(medians, "feature", "left")
 
 
 def global_importance(attributions: DataFrame) -> DataFrame:

@@ -56,7 +56,7 @@ def fit_bundle(
     rules = train.sparkSession.createDataFrame(
         [(math.nextafter(cut["tau_binary"], math.inf), cut["tau_family"], budget, heads.classes)], RULES_SCHEMA)
     benign, raw = train.where(~attack), [n[2:] for n in names]
-    return Bundle(params, baseline_stats(benign, raw), refresh_reference(benign, params, ids, seed=seed), rules, binary, heads)
+    return Bundle(params, baseline_stats(benign, raw), refresh_reference(benign, params), rules, binary, heads)
 
 
 def detect(df: DataFrame, bundle: Bundle) -> DataFrame:
@@ -88,7 +88,7 @@ def save_bundle(bundle: Bundle, path: str) -> None:
 
 def load_bundle(spark: SparkSession, path: str) -> Bundle:
     """Read a stored bundle; a missing, unlisted or changed file is an error."""
-    problems = verify_manifest(read_spec(spark, f"{path}.manifest", MANIFEST_SCHEMA), file_manifest(spark, path)).limit(20).collect()
+    problems = verify_manifest(read_spec(spark, f"{path}.manifest", MANIFEST_SCHEMA), file_manifest(spark, path)).collect()
     if problems:
         raise ValueError(f"bundle does not match its manifest: {[(r['name'], r['problem']) for r in problems]}")
     rules = read_spec(spark, f"{path}/rules", RULES_SCHEMA)

@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from flowlens.plans.recipes import hash01
+
 TREE_SCHEMA = (
     "tree int, feature array<int>, threshold array<double>, left array<int>, right array<int>, size array<int>")
 NODES_PER_PASS = 2_000_000
@@ -77,7 +79,7 @@ def fit_isolation_forest(
     copies = trees * min(sample, n) / n
     whole, part = int(math.floor(copies)), copies - math.floor(copies)
     key = [F.col(c) for c in ids]
-    more = (F.pmod(F.xxhash64(F.lit(seed), *key), F.lit(1_000_000)) < int(part * 1_000_000)).cast("int")
+    more = (hash01(*key, seed=seed) < F.lit(part)).cast("int")
     picks = F.array_distinct(F.transform(
         F.sequence(F.lit(1), F.lit(whole) + more, F.lit(1)) if whole else F.when(more == 1, F.array(F.lit(1))),
         lambda i: F.pmod(F.xxhash64(F.lit(seed + 1), i, *key), F.lit(trees)).cast("int")))

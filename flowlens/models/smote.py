@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowlens.plans.recipes import bounded_broadcast, hash01
+from flowlens.plans.recipes import hash01
 
 BLOCK_ROWS = 2048
 NEAR_SCHEMA = "label string, id string, near string, dist double"
@@ -21,7 +21,7 @@ def nearest_in_class(points: DataFrame, k: int = 5, block_rows: int = BLOCK_ROWS
     neither a class nor its pairs meet anywhere as a whole.
     """
     sizes = points.groupBy("label").agg(F.count(F.lit(1)).alias("_n"))
-    blocks = bounded_broadcast(sizes.select("label", F.ceil(F.col("_n") / block_rows).cast("int").alias("_nb")))
+    blocks = sizes.select("label", F.ceil(F.col("_n") / block_rows).cast("int").alias("_nb"))
     cut = points.join(blocks, "label").withColumn(
         "_own", F.pmod(F.xxhash64("id"), F.col("_nb")).cast("int")).withColumn(
         "_other", F.explode(F.sequence(F.lit(0), F.col("_nb") - 1)))
@@ -56,7 +56,7 @@ def smote(points: DataFrame, target: int, k: int = 5, seed: int = 7) -> DataFram
     classes smaller than ``target`` take part, which bounds every class handled here.
     """
     sizes = points.groupBy("label").agg(F.count(F.lit(1)).alias("_n")).where((F.col("_n") < target) & (F.col("_n") > 1))
-    small = points.join(bounded_broadcast(sizes), "label")
+    small = points.join(sizes, "label")
     order = Window.partitionBy("label").orderBy(F.xxhash64(F.lit(seed), "id"), "id")
     need = F.lit(target) - F.col("_n")
     ranked = small.withColumn("_r", F.row_number().over(order) - 1)

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from flowlens import constants as K
 from flowlens.functions.detection import mitre_id, mitre_name, risk_level, risk_score, severity_of
 from flowlens.functions.exprs import finite, lookup, repair_epoch_us, snake
-from flowlens.plans.recipes import bounded_broadcast
 
 DAY_US = 86_400_000_000
 
@@ -35,9 +34,9 @@ def map_family(
     base = F.regexp_replace(F.col(label), F.lit(K.ATTEMPTED_SUFFIX + "$"), F.lit(""))
     fam = lookup(base, mapping)
     if strict:
-        missing = [r[0] for r in unmapped_labels(df, label, mapping).limit(50).collect()]
-        if missing:
-            raise ValueError(f"unmapped labels: {sorted(missing)}")
+        unknown = unmapped_labels(df, label, mapping)
+        if some := [r[0] for r in unknown.limit(50).collect()]:
+            raise ValueError(f"{unknown.count()} unmapped labels, such as: {sorted(some)}")
     if attempted:
         fam = F.when(F.col(attempted), F.lit("BENIGN")).otherwise(fam)
     return df.withColumn("family", fam)
@@ -86,7 +85,7 @@ def derive_period(df: DataFrame, ts: str, out: str = "period") -> DataFrame:
 def flow_identity(df: DataFrame, day: str, row: str, ts: str, slice_cols: Sequence[str]) -> DataFrame:
     """Add flow_id, ISO observed_at and seconds since the first flow of the slice."""
     first = df.groupBy(*slice_cols).agg(F.min(ts).alias("_first"))
-    joined = df.join(bounded_broadcast(first), list(slice_cols))
+    joined = df.join(first, list(slice_cols))
     seconds = (F.unix_micros(ts) - F.unix_micros("_first")) / F.lit(1e6)
     return joined.withColumns({
         "flow_id": F.concat_ws("-", F.col(day).cast("string"), F.col(row).cast("string")),

@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowlens import constants as K
 from flowlens.functions import detection as D
 from flowlens.functions.exprs import ratio
-from flowlens.operators.incidents import correlation_key, session_marks
-from flowlens.plans.recipes import bounded_broadcast, order_statistics, quantiles, running_totals
+from flowlens.operators.incidents import correlation_key
+from flowlens.plans.recipes import order_statistics, quantiles, running_totals
 
 
 def fuse(
@@ -134,32 +134,30 @@ def class_weights(df: DataFrame, label: str, mode: str = "balanced", out: str =
     """``none`` -> 1, ``balanced`` -> rows / (classes x rows of the class)."""
     if mode == "none":
         return df.withColumn(out, F.lit(1.0))
-    counts = bounded_broadcast(df.groupBy(label).agg(F.count(F.lit(1)).alias("_n")))
+    counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
     size = counts.agg(F.sum("_n").alias("n"), F.count(F.lit(1)).alias("k")).head()
     w = counts.select(label, (F.lit(float(size["n"] or 0)) / (F.lit(float(size["k"])) * F.col("_n"))).alias(out))
-    return df.join(bounded_broadcast(w), label)
+    return df.join(w, label)
 
 
 def select_for_explanation(
-    df: DataFrame, cap: int = K.EXPLAIN_CAP, ceiling: int = K.EXPLAIN_CEILING, gap_s: int = K.SESSION_GAP_S,
+    df: DataFrame, batch: str, cap: int = K.EXPLAIN_CAP, ceiling: int = K.EXPLAIN_CEILING, gap_s: int = K.SESSION_GAP_S,
     ts: str = "observed_at", p: str = "p_attack", row_id: str = "flow_id",
 ) -> DataFrame:
-    """The attack rows worth explaining: the best row of each incident run, then the best of the rest.
+    """The attack rows worth explaining in every batch: the best row of each incident run, then the best of the rest.
 
-    Runs come from per-tick summaries as in sessions, so a key that owns most rows is
-    folded before it meets one task. Needs src_ip, dst_ip, verdict and attack_family.
+    Batches are those the flows arrive in (at most ``MAX_BATCH`` rows), so ranking inside one is small and every run of
+    every batch up to ``max(cap, ceiling)`` has its representative. Needs src_ip, dst_ip, verdict and attack_family.
     """
     if cap <= 0:
         return df.limit(0)
     attacks = correlation_key(df.where(F.col("verdict") != K.BENIGN_VERDICT))
-    keys = ["src_ip", "dst_ip", "corr_family"]
-    order = F.struct((-F.col(p)).alias("neg"), F.col(row_id).alias("id"))
-    runs = session_marks(attacks, keys, ts, gap_s, [F.min(order).alias("best")])
-    best = runs.groupBy(*keys, "session").agg(F.min("best").alias("best"))
-    reps = best.select("best.*").orderBy("neg", "id").limit(max(cap, ceiling))
-    chosen = bounded_broadcast(reps.select(F.col("id").alias(row_id)), max(cap, ceiling))
-    room = max(0, cap - chosen.count())
-    if room:
-        rest = attacks.join(chosen, row_id, "left_anti").orderBy(F.desc(p), row_id).limit(room).select(row_id)
-        chosen = bounded_broadcast(chosen.unionByName(rest), cap)
-    return df.join(chosen, row_id, "left_semi")
+    keys = [batch, "src_ip", "dst_ip", "corr_family"]
+    in_run = Window.partitionBy(*keys).orderBy(ts, row_id)
+    new = F.coalesce(F.unix_micros(ts) - F.lag(F.unix_micros(ts)).over(in_run) > gap_s * 1_000_000, F.lit(True)).cast("int")
+    best = [F.desc(p), F.col(row_id)]
+    runs = attacks.withColumn("_new", new).withColumn("_run", F.sum("_new").over(in_run))
+    ranked = runs.withColumn("_rest", F.row_number().over(Window.partitionBy(*keys, "_run").orderBy(*best)) > 1)
+    ranked = ranked.withColumn("_place", F.row_number().over(Window.partitionBy(batch).orderBy("_rest", *best)))
+    most = F.when(F.col("_rest"), F.lit(cap)).otherwise(F.lit(max(cap, ceiling)))
+    return ranked.where(F.col("_place") <= most).select(*df.columns)

@@ -12,7 +12,7 @@ from flowlens import constants as K
 from flowlens.functions.detection import drift_status
 from flowlens.functions.exprs import finite
 from flowlens.operators.features import transform
-from flowlens.plans.recipes import bounded_broadcast, number_rows, quantiles, running_totals, smallest_by_hash
+from flowlens.plans.recipes import number_rows, quantiles, running_totals
 
 REFERENCE_SCHEMA = "feature string, edges array<double>, expected array<double>, n bigint"
 
@@ -76,7 +76,7 @@ def _index(binned: DataFrame, ref: DataFrame, keys: Sequence[str], width: int) -
     counted = cells.groupBy(*keys, "feature").agg(
         F.sum("_c").alias("n"),
         F.array(*[F.coalesce(F.sum(F.when(F.col("bin") == b, F.col("_c"))), F.lit(0)) for b in range(width)]).alias("_counts"))
-    return counted.join(bounded_broadcast(ref.select("feature", "expected")), "feature").select(
+    return counted.join(ref.select("feature", "expected"), "feature").select(
         *keys, "feature", "n", _psi_of(F.col("_counts"), F.col("expected"), F.col("n")).alias("psi"))
 
 
@@ -174,12 +174,9 @@ def drift_guidance(report: DataFrame) -> DataFrame:
         .otherwise(GUIDANCE_OK))
 
 
-def refresh_reference(
-    benign_train: DataFrame, params: DataFrame, ids: Sequence[str], cap: int = 1_000_000, seed: int = 7,
-) -> DataFrame:
-    """Reference from the transformed benign training rows, at most ``cap`` of them."""
-    sample = smallest_by_hash(benign_train, [], ids, cap, seed)
-    ready = transform(sample, params)
+def refresh_reference(benign_train: DataFrame, params: DataFrame) -> DataFrame:
+    """Reference from all transformed benign training rows."""
+    ready = transform(benign_train, params)
     return build_reference(ready, ready.columns)
 
 

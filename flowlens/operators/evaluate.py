@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from flowlens import constants as K
 from flowlens.functions.exprs import fixed, is_attack_truth, is_outlier_truth, ratio, wilson
 from flowlens.operators.decide import with_budgets, budget_scores, decide_flags, operating_points
-from flowlens.plans.recipes import bounded_broadcast, quantiles, running_totals
+from flowlens.plans.recipes import quantiles, running_totals
 
 
 def _mass(cond: Column, w: Column) -> Column:
@@ -216,7 +216,7 @@ def recalibrate_thresholds(
     """Per period: binary threshold score (flag ``p > tau``) and anomaly threshold from benign rows."""
     binary = budget_scores(window, p, [budget], [period]).select(period, "n", F.col("score").alias("tau_binary"))
     strange = quantiles(window, [score], {"tau_anomaly": anomaly_pct / 100.0}, keys=[period]).select(period, "tau_anomaly")
-    return binary.join(bounded_broadcast(strange), period)
+    return binary.join(strange, period)
 
 
 def first_share_window(df: DataFrame, period: str, ts: str, frac: float = 0.2) -> DataFrame:
@@ -224,7 +224,7 @@ def first_share_window(df: DataFrame, period: str, ts: str, frac: float = 0.2) -
     us = F.unix_micros(ts)
     spans = df.groupBy(period).agg(F.min(us).alias("_lo"), F.max(us).alias("_hi"))
     cut = spans.select(period, (F.col("_lo") + F.floor(F.lit(frac) * (F.col("_hi") - F.col("_lo")))).alias("_cut"))
-    return df.join(bounded_broadcast(cut), period).where(us < F.col("_cut")).drop("_cut")
+    return df.join(cut, period).where(us < F.col("_cut")).drop("_cut")
 
 
 def parity_check(a: DataFrame, b: DataFrame, key: str, p: str, threshold: float) -> DataFrame:

@@ -5,15 +5,14 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import array_to_vector
 from pyspark.ml.stat import Correlation
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowlens import constants as K
 from flowlens.functions.exprs import finite, fixed
-from flowlens.plans.recipes import BROADCAST_ROWS, bounded_broadcast, quantiles, running_totals
-from flowlens.session import durable
+from flowlens.plans.recipes import quantiles, running_totals
 
 SPEC_COLUMNS = "pos int, name string, clip_lo double, clip_hi double, log1p boolean, train_median double"
 
@@ -46,7 +45,7 @@ def column_stats(df: DataFrame, cols: Sequence[str], exact: bool = True) -> Data
     n = F.col("n").cast("double")
     unbias = F.when(n > 2, F.sqrt(n * (n - 1)) / (n - 2))
     return (
-        moments.join(bounded_broadcast(spread), "feature", "left").join(bounded_broadcast(q), "feature", "left")
+        moments.join(spread, "feature", "left").join(q, "feature", "left")
         .withColumn("skew", F.col("_sk") * unbias)
         .select("feature", "n", "nan_rate", F.coalesce("n_unique", F.lit(0)).alias("n_unique"), "min", "max",
                 "median", "q_lo", "q_hi", "skew", "top_share")
@@ -71,20 +70,20 @@ def spearman_matrix(df: DataFrame, cols: Sequence[str], fill: Mapping[str, float
     """Absolute Spearman correlation of every ordered pair (average ranks on ties).
 
     Rows are imputed first (``fill``, else 0) because the correlation works on full rows.
-    Ranks are computed once per distinct value; a feature with few distinct values gets
-    them by a broadcast of checked size, others by a shuffled join.
+    Ranks are computed once per distinct value. All cells of all rows meet their ranks in one join on (feature,
+    value); the products of a row's ranks are then summed per pair of features, whatever the number of columns.
     """
     cols = list(cols)
     rows = df.select(*[F.coalesce(finite(F.col(c)), F.lit(float((fill or {}).get(c, 0.0)))).alias(c) for c in cols])
-    ranks = durable(_mean_ranks(rows, cols))
-    sizes = {r["feature"]: r["count"] for r in ranks.groupBy("feature").count().collect()}
-    for c in sorted(cols, key=lambda x: sizes.get(x, 0)):
-        mine = ranks.where(F.col("feature") == c).select(F.col("value").alias(c), F.col("rank").alias(f"_r_{c}"))
-        rows = rows.join(F.broadcast(mine) if sizes.get(c, 0) <= BROADCAST_ROWS else mine, c)
-    vec = VectorAssembler(inputCols=[f"_r_{c}" for c in cols], outputCol="_v").transform(rows).select("_v")
+    ranks = _mean_ranks(rows, cols).select("feature", "value", "rank")
+    cells = _melt(rows.withColumn("_row", F.monotonically_increasing_id()), cols, ["_row"]).join(ranks, ["feature", "value"])
+    place = F.create_map(*[F.lit(x) for kv in enumerate(cols) for x in reversed(kv)])
+    vec = cells.groupBy("_row").agg(F.array_sort(F.collect_list(F.struct(
+        F.element_at(place, F.col("feature")).alias("i"), F.col("rank").alias("r")))).alias("_v"))
+    vec = vec.select(array_to_vector(F.transform("_v", lambda x: x["r"])).alias("_v"))
     m = Correlation.corr(vec, "_v", "pearson").head()[0].toArray()
-    cells = [(i, j, a, b, float(abs(m[i, j]))) for i, a in enumerate(cols) for j, b in enumerate(cols)]
-    return df.sparkSession.createDataFrame(cells, "i int, j int, feature_a string, feature_b string, rho double")
+    out = [(i, j, a, b, float(abs(m[i, j]))) for i, a in enumerate(cols) for j, b in enumerate(cols)]
+    return df.sparkSession.createDataFrame(out, "i int, j int, feature_a string, feature_b string, rho double")
 
 
 def prune_correlated(rho: DataFrame, order: Sequence[str], thr: float = 0.95) -> DataFrame:
@@ -231,7 +230,7 @@ def baseline_stats(benign: DataFrame, cols: Sequence[str], exact: bool = True) -
         F.struct(F.lit(i).alias("pos"), F.lit(c).alias("feature"), F.col(f"m{i}").alias("mean"),
                  F.col(f"s{i}").alias("std"), F.col(f"z{i}").alias("zero_share"))
         for i, c in enumerate(cols)])).alias("_m")).select("_m.*")
-    return moments.join(bounded_broadcast(q), "feature").select(
+    return moments.join(q, "feature").select(
         "pos", "feature", "n", "median", "p05", "p95", "mean", "std", "zero_share")
 
 
@@ -254,7 +253,7 @@ def significant(x: Column, digits: int, commas: bool) -> Column:
 
 def describe_vs_normal(df: DataFrame, baseline: DataFrame, feature: str = "feature", value: str = "value") -> DataFrame:
     """Add ``ratio`` to the benign median (null near 0) and a short text comparing the two."""
-    b = bounded_broadcast(baseline.select(F.col("feature").alias(feature), "median", "p95"))
+    b = baseline.select(F.col("feature").alias(feature), "median", "p95")
     v, label = F.col(value), F.replace(F.col(feature), F.lit("_"), F.lit(" "))
     r = F.col("ratio")
     times = lambda x: F.concat(

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from flowlens import constants as K
 from flowlens.functions import detection as D
-from flowlens.plans.recipes import bounded_broadcast
 
 KEYS = ["src_ip", "dst_ip", "corr_family"]
 
@@ -30,7 +29,7 @@ def _sub_ticks(df: DataFrame, closes: DataFrame, keys: list[str], ts: str) -> Da
     """
     per_tick = closes.groupBy(*keys, "_tick").agg(F.collect_set("_at").alias("_ats"))
     us = F.unix_micros(ts)
-    joined = df.join(bounded_broadcast(per_tick), [*keys, "_tick"], "left")
+    joined = df.join(per_tick, [*keys, "_tick"], "left")
     before = F.size(F.filter(F.coalesce("_ats", F.array().cast("array<bigint>")), lambda a: a < us))
     return joined.withColumn("_sub", before.cast("bigint")).drop("_ats")
 

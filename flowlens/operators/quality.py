@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from flowlens import constants as K
 from flowlens.functions.exprs import failed, ratio
-from flowlens.plans.recipes import bounded_broadcast
 
 
 def _comparable(df: DataFrame, keys: Sequence[str]) -> list:
@@ -152,7 +151,7 @@ def check_spec_consistency(spec: DataFrame, baseline: DataFrame, dropped: DataFr
     spec: pos, name, clip_lo, clip_hi, log1p; baseline: pos, feature, p05, median, p95.
     """
     b = baseline.select(F.col("pos").alias("_bpos"), F.col("feature").alias("name"), "p05", "median", "p95")
-    joined = spec.join(bounded_broadcast(b), "name", "left")
+    joined = spec.join(b, "name", "left")
     rules = [
         ("not_in_baseline", F.col("_bpos").isNull()),
         ("order", F.col("_bpos") != F.col("pos")),
@@ -162,6 +161,6 @@ def check_spec_consistency(spec: DataFrame, baseline: DataFrame, dropped: DataFr
     ]
     if dropped is not None:
         d = dropped.select("name").distinct().withColumn("_gone", F.lit(True))
-        joined = joined.join(bounded_broadcast(d), "name", "left")
+        joined = joined.join(d, "name", "left")
         rules.append(("kept_and_dropped", F.col("_gone")))
     return joined.select("name", failed(rules).alias("broken"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from flowlens.constants import MAX_BATCH
 from flowlens.functions.exprs import finite
-from flowlens.plans.recipes import bounded_broadcast, hash01, number_rows, order_statistics, smallest_by_hash
+from flowlens.plans.recipes import hash01, number_rows, order_statistics, smallest_by_hash
 
 SPLITS = ["train", "val", "test", "recal", "purged"]
 
@@ -48,7 +48,7 @@ def time_block_split(
     Cuts are order statistics of time per group, so equal timestamps never part.
     """
     cuts = split_boundaries(df, group, ts, fracs, purge_s, purge_frac)
-    joined = df.join(bounded_broadcast(cuts), list(group))
+    joined = df.join(cuts, list(group))
     return joined.withColumn("split", _three_way(F.unix_micros(ts))).drop("t1", "t2", "purge")
 
 
@@ -73,15 +73,15 @@ def drift_split(
         .when((F.col(family) == "BENIGN") & (us < F.col("_cut") - margin), "recal")
         .otherwise("purged")
     )
-    second = later.join(bounded_broadcast(cut), period).withColumn("split", named).drop("_cut")
+    second = later.join(cut, period).withColumn("split", named).drop("_cut")
     return first.select(*df.columns, "split").unionByName(second.select(*df.columns, "split"))
 
 
 def working_sample(
     df: DataFrame, ids: Sequence[str], tool: str = "tool", benign: str = "BENIGN",
-    train_attack_cap: int = 20_000, train_benign: int = 400_000, eval_benign: int = 200_000, seed: int = 7,
+    train_attack_cap: int = 20_000, train_benign: int = 400_000, eval_benign: int | None = None, seed: int = 7,
 ) -> DataFrame:
-    """Exact-size sample per (split, tool): capped training strata, every evaluation attack."""
+    """Exact-size sample per (split, tool): capped training strata, every evaluation row (benign ones capped on request)."""
     split, is_benign = F.col("split"), F.col(tool) == benign
     used = df.where(split.isin("train", "val", "test"))
     cap = (
@@ -89,8 +89,9 @@ def working_sample(
         .when(split == "train", F.lit(train_attack_cap))
         .otherwise(F.lit(eval_benign))
     )
-    whole = used.where((split != "train") & ~is_benign)
-    cut = smallest_by_hash(used.where((split == "train") | is_benign), ["split", tool], ids, cap, seed)
+    capped = (split == "train") | is_benign if eval_benign is not None else split == "train"
+    whole = used.where(~capped)
+    cut = smallest_by_hash(used.where(capped), ["split", tool], ids, cap, seed)
     return whole.unionByName(cut.select(*df.columns))
 
 
@@ -106,7 +107,7 @@ def bernoulli_stratified(
         cap = F.try_element_at(F.create_map(*pairs), F.col(stratum))
     frac = n.select(stratum, F.least(F.lit(1.0), F.coalesce(cap / F.col("_n"), F.lit(1.0))).alias("_frac"))
     keep = hash01(*[F.col(c) for c in ids], seed=seed) < F.col("_frac")
-    return df.join(bounded_broadcast(frac), stratum).where(keep).drop("_frac")
+    return df.join(frac, stratum).where(keep).drop("_frac")
 
 
 def exclude_unit(df: DataFrame, col: str, value: str) -> DataFrame:
@@ -130,10 +131,10 @@ def sampling_weights(sample: DataFrame, full: DataFrame, by: Sequence[str]) -> D
     """
     s = sample.groupBy(*by).agg(F.count(F.lit(1)).alias("_s"))
     f = full.groupBy(*by).agg(F.count(F.lit(1)).alias("_f"))
-    both = bounded_broadcast(s.join(f, list(by), "left"))
-    gone = both.where(F.col("_f").isNull()).limit(5).collect()
-    if gone:
-        raise ValueError(f"groups missing from the full table: {[tuple(r)[:len(by)] for r in gone]}")
+    both = s.join(f, list(by), "left")
+    gone = both.where(F.col("_f").isNull())
+    if some := gone.limit(5).collect():
+        raise ValueError(f"{gone.count()} groups missing from the full table, such as {[tuple(r)[:len(by)] for r in some]}")
     w = both.select(*by, (F.col("_f") / F.col("_s")).alias("weight"))
     return sample.join(w, list(by))
 
@@ -165,7 +166,7 @@ def random_slice(df: DataFrame, ids: Sequence[str], n: int, order: Sequence[str]
 def evenly_spaced(df: DataFrame, group: Sequence[str], order: Sequence[str], k: int) -> DataFrame:
     """Rows at positions ``rint(i (n-1)/(k-1))`` for i in 0..k-1 per group; every row when n <= k."""
     numbered = number_rows(df, order, "_pos", keys=group)
-    sizes = bounded_broadcast(numbered.groupBy(*group).agg(F.count(F.lit(1)).alias("_n")))
+    sizes = numbered.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"))
     with_n = numbered.join(sizes, list(group))
     step = (F.col("_n") - 1).cast("double") / F.lit(float(max(k - 1, 1)))
     nearest = F.rint(F.col("_pos") / F.when(step > 0, step))

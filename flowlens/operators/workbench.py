@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,46 +41,61 @@ def incident_detail(incidents: DataFrame, linked: DataFrame, actions: DataFrame,
     return one.join(sample.unionByName(log), "incident_id", "left").orderBy("kind", "at", "ref")
 
 
+_CLOSING = ("dismiss_fp", "resolve")
+_CODES = 16  # room for the action's number in a place
+_IDS = Decimal(1 << 64)
+_HALF = Decimal(1 << 63)
+
+
+def _place() -> Column:
+    """Time, action id and action as one number that sorts like them: a fixed-width value, so aggregates of it hash."""
+    code = F.coalesce(F.array_position(F.array(*[F.lit(a) for a in K.ACTIONS]), F.col("action")), F.lit(0))
+    us = F.unix_micros("at").cast("decimal(17,0)")
+    ids = F.col("action_id").cast("decimal(20,0)") + F.lit(_HALF).cast("decimal(20,0)")
+    return ((us * F.lit(_IDS).cast("decimal(20,0)") + ids) * F.lit(_CODES).cast("decimal(2,0)") + code.cast("decimal(2,0)")).cast("decimal(38,0)")
+
+
+def _action(place: str) -> Column:
+    return F.get(F.array(*[F.lit(a) for a in K.ACTIONS]), (F.col(place) % F.lit(_CODES)).cast("int") - 1)
+
+
+def _at(place: str) -> Column:
+    return F.timestamp_micros(F.expr(f"{place} div {_IDS * _CODES}BD"))
+
+
+def accepted_actions(actions: DataFrame) -> DataFrame:
+    """The actions up to and including the first closing one of their incident (action ids are integers)."""
+    placed = actions.withColumn("_place", _place())
+    ends = placed.where(F.col("action").isin(*_CLOSING)).groupBy("incident_id").agg(F.min("_place").alias("_end"))
+    return placed.join(ends, "incident_id", "left").where(
+        F.col("_end").isNull() | (F.col("_place") <= F.col("_end"))).select(*actions.columns)
+
+
 def fold_actions(actions: DataFrame) -> DataFrame:
-    """Action log -> final status per incident.
+    """Action log -> final status per incident and number of accepted actions.
 
-    The first closing action ends the log: it is the last accepted one. Without one the
-    latest acknowledge or escalate decides. ``acknowledged_at`` is the time of the first
-    status-changing action if that is an acknowledge. Everything is a min or max, so a
-    long log is folded before the shuffle.
+    The first closing action ends the log: it is the last accepted one, later ones were rejected. Without one the
+    latest acknowledge or escalate decides. ``acknowledged_at`` is the time of the first status-changing action if
+    that is an acknowledge. Everything is a min or max of one number, so a long log is folded before the shuffle.
     """
-    place = F.struct(F.col("at"), F.col("action_id"), F.col("action"))
-    closing = F.col("action").isin("dismiss_fp", "resolve")
-    moving = F.col("action").isin(list(K.ACTION_STATUS))
-    got = actions.groupBy("incident_id").agg(
-        F.min(F.when(closing, place)).alias("c"),
-        F.max(F.when(moving, place)).alias("last"),
-        F.min(F.when(moving, place)).alias("first"),
-        F.count(F.lit(1)).alias("actions"),
-    )
-    ended = F.coalesce(F.col("c.action"), F.col("last.action"))
+    place, moving = F.col("_place"), F.col("action").isin(list(K.ACTION_STATUS))
+    got = accepted_actions(actions).withColumn("_place", _place()).groupBy("incident_id").agg(
+        F.max(F.when(moving, place)).alias("_last"), F.min(F.when(moving, place)).alias("_first"),
+        F.count(F.lit(1)).alias("actions"))
     return got.select(
         "incident_id", "actions",
-        F.coalesce(lookup(ended, K.ACTION_STATUS), F.lit("new")).alias("status"),
-        F.when(F.col("first.action") == "acknowledge", F.col("first.at")).alias("acknowledged_at"),
-        F.col("c.at").alias("closed_at"), F.col("c.action_id").alias("closing_action"),
+        F.coalesce(lookup(_action("_last"), K.ACTION_STATUS), F.lit("new")).alias("status"),
+        F.when(_action("_first") == "acknowledge", _at("_first")).alias("acknowledged_at"),
+        F.when(_action("_last").isin(*_CLOSING), _at("_last")).alias("closed_at"),
     )
 
 
-def accepted_actions(actions: DataFrame) -> DataFrame:
-    """The actions up to and including the first closing one of their incident."""
-    ends = fold_actions(actions).where(F.col("closed_at").isNotNull()).select(
-        "incident_id", F.struct(F.col("closed_at").alias("at"), F.col("closing_action").alias("action_id")).alias("_c"))
-    here = F.struct(F.col("at"), F.col("action_id"))
-    return actions.join(ends, "incident_id", "left").where(F.col("_c").isNull() | (here <= F.col("_c"))).drop("_c")
-
-
 def live_metrics(flows: DataFrame, incidents: DataFrame, actions: DataFrame, now: Column, by: str = "action") -> DataFrame:
     """One row of service figures; a figure without data is null (latencies are 0).
 
     flows: received_at, latency_ms; incidents: status, risk_level, first_seen,
-    acknowledged_at; actions: incident_id, action. ``by`` counts reviews per action or
-    once per incident.
+    acknowledged_at; actions: the whole log, of which accepted ones count. ``by`` counts
+    reviews per action or once per incident.
     """
     f = flows.agg(
         F.count(F.lit(1)).alias("flows_scored_total"),
@@ -90,7 +107,7 @@ def live_metrics(flows: DataFrame, incidents: DataFrame, actions: DataFrame, now
         F.count_if(is_open).alias("incidents_open"),
         *[F.count_if(is_open & (F.col("risk_level") == lv)).alias(f"open_{lv.lower()}") for lv in K.LEVELS],
         F.avg(F.when(delta >= 0, delta)).alias("mtta_seconds"))
-    reviews = actions.where(F.col("action").isin("confirm", "dismiss_fp")).select("incident_id", "action")
+    reviews = accepted_actions(actions).where(F.col("action").isin("confirm", "dismiss_fp")).select("incident_id", "action")
     if by == "incident":
         reviews = reviews.distinct()
     yes, no = F.count_if(F.col("action") == "confirm"), F.count_if(F.col("action") == "dismiss_fp")
@@ -106,15 +123,16 @@ def live_metrics(flows: DataFrame, incidents: DataFrame, actions: DataFrame, now
     return i.withColumns(figures)
 
 
-def analyst_matrix(actions: DataFrame, analyst: str = "analyst", action: str = "action") -> DataFrame:
-    """Analyst x action counts with a total, busiest analyst first."""
-    wide = actions.groupBy(analyst).pivot(action, K.ACTIONS).count().na.fill(0)
+def analyst_matrix(actions: DataFrame, analyst: str = "analyst") -> DataFrame:
+    """Analyst x accepted action counts with a total, busiest analyst first."""
+    wide = accepted_actions(actions).groupBy(analyst).pivot("action", K.ACTIONS).count().na.fill(0)
     total = sum((F.col(a) for a in K.ACTIONS), F.lit(0))
     return wide.withColumn("total", total.cast("bigint")).orderBy(F.desc("total"), analyst)
 
 
-def action_counts(actions: DataFrame, action: str = "action") -> DataFrame:
-    return actions.groupBy(action).agg(F.count(F.lit(1)).alias("n"))
+def action_counts(actions: DataFrame) -> DataFrame:
+    """Accepted actions by kind."""
+    return accepted_actions(actions).groupBy("action").agg(F.count(F.lit(1)).alias("n"))
 
 
 def open_novel_count(incidents: DataFrame) -> DataFrame:

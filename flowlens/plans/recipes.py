@@ -15,23 +15,10 @@ from pyspark.sql import functions as F
 
 from flowlens.session import durable
 
-BROADCAST_ROWS = 50_000
 BUCKETS = 256
 LOCAL_INDEX_MASK = (1 << 33) - 1
 
 
-def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast ``df`` only after its row count is known to be at most ``max_rows``.
-
-    Beyond the bound the plain DataFrame comes back and the join is shuffled, with
-    adaptive skew handling splitting hot keys.
-    """
-    rows = df.limit(max_rows + 1).collect()
-    if len(rows) > max_rows:
-        return df
-    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
-
-
 def value_splits(df: DataFrame, cols: Sequence[str], buckets: int = BUCKETS) -> list[list[float]]:
     """Bucket borders per column that cut the rows into about equal parts (one pass, no shuffle)."""
     probs = [i / buckets for i in range(1, buckets)]
@@ -43,52 +30,54 @@ def value_splits(df: DataFrame, cols: Sequence[str], buckets: int = BUCKETS) ->
     return out
 
 
-def _bucketed(df: DataFrame, cols: Sequence[str], buckets: int) -> tuple[DataFrame, list[str]]:
-    outs = [f"_bucket_{i}" for i in range(len(cols))]
-    b = Bucketizer(
-        splitsArray=value_splits(df, cols, buckets),
-        inputCols=list(cols), outputCols=outs, handleInvalid="keep",
-    )
-    return b.transform(df).withColumns({o: F.col(o).cast("int") for o in outs}), outs
-
-
 def _finite(c: Column) -> Column:
     d = c.cast("double")
     return F.when(~F.isnan(d) & (F.abs(d) != float("inf")), d)
 
 
-def _pick_ranks(long: DataFrame, keys: list[str], ranks: dict[str, Callable[[Column], Column]]) -> DataFrame:
-    """``long`` has keys, ``_b`` (bucket) and ``_v``; returns keys, n and the value at every rank."""
-    by_key = Window.partitionBy(*(keys or [F.lit(0)]))
-    before = by_key.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    hist = (
-        long.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_c"))
-        .withColumn("_before", F.coalesce(F.sum("_c").over(before), F.lit(0)))
-        .withColumn("n", F.sum("_c").over(by_key))
-    )
-    wanted = F.explode(F.array(*[
-        F.struct(F.lit(name).alias("name"), fn(F.col("n")).cast("bigint").alias("rank"))
-        for name, fn in ranks.items()
-    ]))
-    targets = (
-        hist.select(*keys, "_b", "_before", "_c", "n", wanted.alias("_t"))
-        .where((F.col("_t.rank") >= F.col("_before")) & (F.col("_t.rank") < F.col("_before") + F.col("_c")))
-        .select(*keys, "_b", "_before", "n", F.col("_t.name").alias("_name"), F.col("_t.rank").alias("_rank"))
-    )
-    targets = bounded_broadcast(targets)
-    inside = Window.partitionBy(*keys, "_b").orderBy("_v")
+def _pick_ranks(
+    long: DataFrame, keys: list[str], ranks: dict[str, Callable[[Column], Column]], cells: int,
+) -> DataFrame:
+    """``long`` has keys and ``_v``; returns keys, n and the value at every 0-based rank, exactly.
+
+    A mergeable sketch per key gives ``cells`` borders of that key's own values, so a narrow group gets narrow cells.
+    The borders around a rank's cell bracket it with a margin far above the sketch's error; rows below a bracket are
+    only counted, rows inside are counted value by value and ranked. Everything is one lazy plan: no job runs while it
+    is built, and nothing is collected. At most about 5 / ``cells`` of a group's distinct values meet in one task.
+    """
+    by = keys or ["_all"]
+    if not keys:
+        long = long.withColumn("_all", F.lit(0))
+    names = list(ranks)
+    borders = [i / cells for i in range(cells + 1)]
+    brackets = long.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.percentile_approx(F.col("_v").cast("double"), borders, 20 * cells).alias("_e"))
+    brackets = brackets.select(*by, "n", "_e", *[fn(F.col("n")).cast("bigint").alias(f"_r{i}") for i, fn in enumerate(ranks.values())])
+    cell = [F.floor(F.col(f"_r{i}") / F.col("n") * cells).cast("int") for i in range(len(names))]
+    edge = lambda at: F.when(at.between(0, cells), F.get("_e", F.greatest(F.least(at, F.lit(cells)), F.lit(0))))
+    brackets = brackets.select(
+        *by, "n", *[f"_r{i}" for i in range(len(names))],
+        *[c for i in range(len(names)) for c in (edge(cell[i] - 2).alias(f"_lo{i}"), edge(cell[i] + 3).alias(f"_hi{i}"))])
+    rows = long.join(brackets, by)
+    # borders are doubles; casting keeps the order, so rows meet them in that type
+    value = F.col("_v").cast("double")
+    under = [F.coalesce(value < F.col(f"_lo{i}"), F.lit(False)) for i in range(len(names))]
+    over = [F.coalesce(value > F.col(f"_hi{i}"), F.lit(False)) for i in range(len(names))]
+    below = rows.groupBy(*by, "n", *[f"_r{i}" for i in range(len(names))]).agg(
+        *[F.count_if(under[i]).alias(f"_b{i}") for i in range(len(names))])
+    wanted = below.select(*by, "n", F.explode(F.array(*[
+        F.struct(F.lit(i).alias("i"), F.col(f"_r{i}").alias("rank"), F.col(f"_b{i}").alias("below")) for i in range(len(names))])).alias("_t"))
+    inside = F.filter(F.array(*[F.when(~under[i] & ~over[i], F.lit(i)) for i in range(len(names))]), lambda x: x.isNotNull())
+    upto = Window.partitionBy(*by, "_i").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
     counted = (
-        long.join(targets.select(*keys, "_b").distinct(), [*keys, "_b"], "left_semi")
-        .groupBy(*keys, "_b", "_v").agg(F.count(F.lit(1)).alias("_c"))
-        .withColumn("_upto", F.sum("_c").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
-    )
-    picked = counted.join(targets, [*keys, "_b"]).where(
-        (F.col("_rank") < F.col("_before") + F.col("_upto"))
-        & (F.col("_rank") >= F.col("_before") + F.col("_upto") - F.col("_c"))
+        rows.select(*by, "_v", F.explode(inside).alias("_i")).groupBy(*by, "_i", "_v").agg(F.count(F.lit(1)).alias("_c"))
+        .withColumn("_upto", F.sum("_c").over(upto))
     )
-    return picked.groupBy(*keys, "n").agg(*[
-        F.max(F.when(F.col("_name") == name, F.col("_v"))).alias(name) for name in ranks
-    ])
+    wanted = wanted.select(*by, "n", F.col("_t.i").alias("_i"), (F.col("_t.rank") - F.col("_t.below")).alias("_at"))
+    picked = counted.join(wanted, [*by, "_i"]).where(
+        (F.col("_at") < F.col("_upto")) & (F.col("_at") >= F.col("_upto") - F.col("_c")))
+    return picked.groupBy(*by, "n").agg(*[
+        F.max(F.when(F.col("_i") == i, F.col("_v"))).alias(name) for i, name in enumerate(names)
+    ]).drop("_all")
 
 
 def order_statistics(
@@ -97,15 +86,11 @@ def order_statistics(
 ) -> DataFrame:
     """Values at given 0-based ranks of ``value`` per key, exact, without sorting a whole group.
 
-    A histogram over value buckets tells which bucket holds each rank; only those
-    buckets are counted value by value and ranked. ``ranks`` maps an output name to
-    a function of the group size. Nulls and non-finite values are ignored.
+    ``ranks`` maps an output name to a function of the group size. Nulls and non-finite values are ignored.
     """
     keys = list(keys)
     base = df.select(*keys, F.col(value).alias("_v")).where(_finite(F.col("_v")).isNotNull())
-    base = base.withColumn("_d", F.col("_v").cast("double"))
-    bucketed, (b,) = _bucketed(base, ["_d"], buckets)
-    return _pick_ranks(bucketed.select(*keys, "_v", F.col(b).alias("_b")), keys, ranks)
+    return _pick_ranks(base, keys, ranks, buckets)
 
 
 def _quantile_ranks(probs: Sequence[float]) -> dict[str, Callable[[Column], Column]]:
@@ -133,27 +118,13 @@ def quantiles(
     """
     keys, names, ps = list(keys), list(probs), list(probs.values())
     vals = df.select(*keys, *[_finite(F.col(c)).alias(f"_c{i}") for i, c in enumerate(cols)])
-    inner = [f"_c{i}" for i in range(len(cols))]
-    if exact:
-        bucketed, outs = _bucketed(vals, inner, buckets)
-    else:
-        bucketed, outs = vals, None
-    cells = F.explode(F.array(*[
-        F.struct(
-            F.lit(c).alias("feature"), F.col(inner[i]).alias("_v"),
-            (F.col(outs[i]) if outs else F.lit(0)).alias("_b"),
-        )
-        for i, c in enumerate(cols)
-    ]))
-    long = (
-        bucketed.select(*keys, cells.alias("_x"))
-        .select(*keys, "_x.feature", "_x._v", "_x._b").where(F.col("_v").isNotNull())
-    )
+    cells = F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"_c{i}").alias("_v")) for i, c in enumerate(cols)]))
+    long = vals.select(*keys, cells.alias("_x")).select(*keys, "_x.feature", "_x._v").where(F.col("_v").isNotNull())
     if not exact:
         got = long.groupBy(*keys, "feature").agg(
             F.count(F.lit(1)).alias("n"), F.percentile_approx("_v", ps, 10_000).alias("_q"))
         return got.select(*keys, "feature", "n", *[F.col("_q")[i].alias(n) for i, n in enumerate(names)])
-    picked = _pick_ranks(long, [*keys, "feature"], _quantile_ranks(ps))
+    picked = _pick_ranks(long, [*keys, "feature"], _quantile_ranks(ps), buckets)
     return picked.select(
         *keys, "feature", "n", *[_interpolate(i, p).alias(names[i]) for i, p in enumerate(ps)])
 
@@ -185,7 +156,7 @@ def running_totals(
     out = b.select(
         *keys, "_b", value, *list(sums),
         *[F.coalesce(F.sum(s).over(inside), F.lit(0)).alias(f"_i_{s}") for s in sums],
-    ).join(bounded_broadcast(hist), [*keys, "_b"])
+    ).join(hist, [*keys, "_b"])
     return out.select(
         *keys, value,
         *[c for s in sums for c in (
@@ -212,11 +183,11 @@ def number_rows(df: DataFrame, order: Sequence[str], out: str = "seq", keys: Seq
     few = Window.partitionBy(F.lit(0)).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = placed.groupBy("_pid").agg(F.count(F.lit(1)).alias("_c")).select(
         "_pid", F.coalesce(F.sum("_c").over(few), F.lit(0)).alias("_off"))
-    numbered = placed.join(bounded_broadcast(offsets), "_pid").withColumn(
+    numbered = placed.join(offsets, "_pid").withColumn(
         out, F.col("_off") + F.col("_in_part")).drop("_pid", "_in_part", "_off")
     if not keys:
         return numbered
-    starts = bounded_broadcast(numbered.groupBy(*keys).agg(F.min(out).alias("_start")))
+    starts = numbered.groupBy(*keys).agg(F.min(out).alias("_start"))
     return numbered.join(starts, keys).withColumn(out, F.col(out) - F.col("_start")).drop("_start")
 
 
@@ -243,7 +214,7 @@ def smallest_by_hash(
     at = order_statistics(hashed, [*keys, "_cap"], "_h",
                           {"_edge": lambda n: F.least(n, F.col("_cap")) - 1})
     if keys:
-        near = hashed.join(bounded_broadcast(at.select(*keys, "_edge")), keys).where(F.col("_h") <= F.col("_edge"))
+        near = hashed.join(at.select(*keys, "_edge"), keys).where(F.col("_h") <= F.col("_edge"))
     else:
         top = at.head()
         near = hashed.where(F.col("_h") <= F.lit(top["_edge"])) if top else hashed.limit(0)

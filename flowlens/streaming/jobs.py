@@ -14,7 +14,6 @@ from flowlens.models.forest import FamilyForest, score
 from flowlens.operators.drift import windowed_index
 from flowlens.operators.evaluate import _outcomes
 from flowlens.operators.incidents import KEYS, _incident_id, add_risk, correlation_key
-from flowlens.session import fresh_path
 from flowlens.sources.stores import sink_flows_idempotent
 
 
@@ -77,6 +76,18 @@ def stream_drift(
     return windowed_index(calm, ref, ts, window, slide)
 
 
+def stream_attack_rate(
+    stream: DataFrame, ts: str = "observed_at", window: str = "5 minutes", slide: str = "1 minute",
+    watermark: str | None = "10 minutes", verdict: str = "verdict",
+) -> DataFrame:
+    """Flows and share of non-benign verdicts per sliding window, the rate that is shown beside the drift index."""
+    if watermark:
+        stream = stream.withWatermark(ts, watermark)
+    hit = (F.col(verdict) != K.BENIGN_VERDICT).cast("double")
+    return stream.groupBy(F.window(ts, window, slide).alias("w")).agg(
+        F.count(F.lit(1)).alias("flows"), F.avg(hit).alias("attack_rate")).select(F.col("w.start").alias("start"), "flows", "attack_rate")
+
+
 def stream_replay_metrics(stream: DataFrame, truth: str = "ground_truth", verdict: str = "verdict") -> DataFrame:
     """Running outcome counters of a replay (complete mode: one row)."""
     return stream.groupBy().agg(
@@ -89,14 +100,20 @@ def throughput(df: DataFrame, ts: str, seconds: int = 60) -> DataFrame:
         F.col("w.start").alias("start"), "flows", (F.col("flows") / F.lit(float(seconds))).alias("flows_per_s"))
 
 
-def run_available(stream: DataFrame, path: str, mode: str = "append") -> DataFrame:
-    """Process everything that is there, write it below ``path`` and return the stored table.
+def progress_of(path: str) -> str:
+    """Where a table's query keeps its progress: beside the table, so that the next run goes on where the last ended."""
+    return path.rstrip("/") + ".progress"
+
+
+def run_available(stream: DataFrame, path: str, mode: str = "append", progress: str | None = None) -> DataFrame:
+    """Process everything that is new, write it below ``path`` and return the stored table.
 
-    Append results go to the file sink; complete results replace the table each time.
+    Append results go to the file sink; complete results replace the table each time. Progress is kept in ``progress``
+    (by default beside the table): a further run on the same path continues with new rows and the state of the last.
     """
     spark = stream.sparkSession
     writer = stream.writeStream.outputMode(mode).trigger(availableNow=True).option(
-        "checkpointLocation", fresh_path(spark, "progress"))
+        "checkpointLocation", progress or progress_of(path))
     if mode == "append":
         q = writer.format("parquet").start(path)
     else:
@@ -105,9 +122,11 @@ def run_available(stream: DataFrame, path: str, mode: str = "append") -> DataFra
     return spark.read.schema(stream.schema).parquet(path)
 
 
-def run_flow_store(stream: DataFrame, path: str, key: str = "flow_id", order: Sequence[str] = ("observed_at",)) -> None:
-    """Feed the flow store from a stream; a batch that is replayed after a failure adds nothing."""
+def run_flow_store(
+    stream: DataFrame, path: str, key: str = "flow_id", order: Sequence[str] = ("observed_at",), progress: str | None = None,
+) -> None:
+    """Feed the flow store from a stream; a batch that is replayed after a failure adds nothing, a further run goes on."""
     q = stream.writeStream.trigger(availableNow=True).option(
-        "checkpointLocation", fresh_path(stream.sparkSession, "progress")).foreachBatch(
+        "checkpointLocation", progress or progress_of(path)).foreachBatch(
         lambda df, _: sink_flows_idempotent(df, path, key, order)).start()
     q.awaitTermination()

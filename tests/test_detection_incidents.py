@@ -56,7 +56,7 @@ def test_explanation_picks(spark, cap, moved, want):
     ver = ["known_attack"] * 4 + ["novel_anomaly", "benign", "known_attack"]
     rows = [(i, T0 + timedelta(minutes=10 if moved and i == 3 else 0), "aaaabcc"[i], "d", ver[i], fam[i], p[i]) for i in range(7)]
     df = spark.createDataFrame(rows, "flow_id int, observed_at timestamp, src_ip string, dst_ip string, verdict string, attack_family string, p_attack double")
-    assert sorted(r["flow_id"] for r in DE.select_for_explanation(df, cap=cap).collect()) == want
+    assert sorted(r["flow_id"] for r in DE.select_for_explanation(df.withColumn("batch", F.lit(1)), "batch", cap=cap).collect()) == want
 
 
 @pytest.mark.parametrize("gap,counts", [(180, [2]), (300, [2]), (301, [1, 1])])

@@ -10,6 +10,7 @@ from flowlens.models import forest as M
 from flowlens.models import isolation as ISO
 from flowlens.models import tuning as T
 from flowlens.operators import features as FE
+from flowlens.streaming import jobs as J
 from flowlens.streaming.incident_store import IncidentStore, as_close_events, as_flow_events
 
 FEATURES = ["a", "b", "c"]
@@ -104,3 +105,60 @@ def test_incident_store_over_batches(spark, tmp_path):
     assert final == [("a", 1, at(500)), ("a", 4, at(0)), ("b", 1, at(500))]
     assert [(r["flow_count"], r["first_seen"]) for r in store.open_incidents(spark, 5).collect()] == [(2, at(5000))]
     assert [r["flow_id"] for r in store.late_rows(spark).collect()] == ["f7"]
+
+
+def frames(spark):
+    t0 = datetime(2026, 1, 1)
+    at = lambda s: t0 + timedelta(seconds=s)
+    flows = lambda *seconds: as_flow_events(spark.createDataFrame(
+        [(f"f{s}", at(s), "a", "d", 80, "known_attack", "DoS", .9, .8, "1") for s in seconds], FLOW))
+    close = lambda s: as_close_events(spark.createDataFrame([("a", "d", "DoS", at(s))], "src_ip string, dst_ip string, corr_family string, at timestamp"))
+    return at, flows, close
+
+
+def test_a_late_close_parts_flows_that_came_before_it(spark, tmp_path):
+    at, flows, close = frames(spark)
+    store = IncidentStore(str(tmp_path / "store"), delay_s=600)
+    assert store.last_batch(spark) == -1
+    store.update(flows(10, 100, 200), 0)
+    store.update(close(50), 1)
+    assert store.late_rows(spark).count() == 0
+    got = sorted((r["flow_count"], r["first_seen"]) for r in store.open_incidents(spark, 1).collect())
+    assert got == [(1, at(10)), (2, at(100))]
+    store.update(flows(9000), 2)
+    assert sorted((r["flow_count"], r["first_seen"]) for r in store.final_incidents(spark).collect()) == got
+    assert store.last_batch(spark) == 2 and not (tmp_path / "store" / "state" / "batch=0").exists()
+
+
+def test_streams_go_on_where_the_last_run_ended(spark, tmp_path):
+    at, flows, _ = frames(spark)
+    source = str(tmp_path / "in")
+    flows(0, 60).coalesce(1).write.mode("append").parquet(source)
+    schema = flows(0).schema
+    stream = lambda: spark.readStream.schema(schema).parquet(source)
+    store, table, kept = IncidentStore(str(tmp_path / "store")), str(tmp_path / "table"), str(tmp_path / "flows")
+    for want, more in ((2, None), (3, flows(120)), (3, None)):
+        if more is not None:
+            more.coalesce(1).write.mode("append").parquet(source)
+        last = store.run_available(stream())
+        assert [r["flow_count"] for r in store.open_incidents(spark, last).collect()] == [want]
+        assert J.run_available(stream(), table).count() == want
+        J.run_flow_store(stream(), kept)
+        assert spark.read.parquet(kept).count() == want
+
+
+def test_late_rows_and_expiry_with_a_real_watermark(spark, tmp_path):
+    """Sessions close behind the watermark, a row behind it is dropped, a repeated key is kept once its state is gone."""
+    at, flows, _ = frames(spark)
+    source = str(tmp_path / "in")
+    schema = flows(0).schema
+    table, once = str(tmp_path / "incidents"), str(tmp_path / "once")
+    sizes = []
+    for batch in (flows(0, 60), flows(3000), flows(30), flows(9000)):
+        batch.coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(schema).parquet(source)
+        got = J.run_available(J.stream_incidents(stream.drop("kind"), 300, watermark="10 minutes"), table)
+        sizes.append(sorted(r["flow_count"] for r in got.collect()))
+        J.run_available(J.stream_dedupe(stream, watermark="10 minutes"), once)
+    assert sizes[-1] == [1, 2]
+    assert sorted(r["flow_id"] for r in spark.read.parquet(once).collect()) == ["f0", "f3000", "f60", "f9000"]
