@@ -12,6 +12,8 @@ likeness 1, also those without words; texts of fewer than k words have one ancho
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,17 +45,30 @@ def anchors(rows: DataFrame, text: str, out: str, k: int = K, keep: int = KEEP)
         h.alias("hash"), F.array_position(F.col(found), h).cast("int").alias("place")))).drop(words, pairs, found)
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once, however often it is named."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def likeness(a: str, b: str, keep: int = KEEP, drift: int = DRIFT) -> Column:
     """0 to 1 from two fingerprint columns."""
+    def moves(u: Column) -> Column:
+        """How far each hash that both have stands from one text to the other."""
+        last = F.try_element_at(u["union"], F.lit(-1))
+        return F.filter(F.transform(F.filter(a, lambda x: x["hash"] <= last), lambda x: F.get(
+            u["places"], (F.array_position(u["hashes"], x["hash"]) - 1).cast("int")) - x["place"]), lambda m: m.isNotNull())
+
+    def agreeing(moved: Column) -> Column:
+        """Of the anchors in both, those that moved as far as the middle one, give or take the drift."""
+        middle = F.try_element_at(F.sort_array(moved), (F.floor(F.size(moved) / 2) + 1).cast("int"))
+        return _let(middle, lambda m: F.size(F.filter(moved, lambda x: F.abs(x - m) <= drift)))
+
+    def score(u: Column) -> Column:
+        shared = _let(moves(u), agreeing) / F.size(u["union"]).cast("double")
+        return F.when(F.size(u["union"]) == 0, F.lit(1.0)).otherwise(_let(shared, lambda s: 2 * s / (1 + s)))
+
     union = F.slice(F.sort_array(F.array_union(F.col(f"{a}.hash"), F.col(f"{b}.hash"))), 1, keep)
-    last = F.element_at(union, -1)
-    moved = F.filter(F.transform(F.filter(a, lambda x: x["hash"] <= last), lambda x: F.try_element_at(
-        F.filter(b, lambda y: y["hash"] == x["hash"]), F.lit(1))["place"] - x["place"]), lambda m: m.isNotNull())
-    middle = F.try_element_at(F.sort_array(moved), F.floor(F.size(moved) / 2).cast("int") + 1)
-    # of the anchors in both, those that moved as far as the middle one, give or take the drift
-    agree = F.when(F.size(moved) > 0, F.size(F.filter(moved, lambda m: F.abs(m - middle) <= drift))).otherwise(0)
-    shared = agree / F.size(union).cast("double")
-    return F.when(F.size(union) == 0, F.lit(1.0)).otherwise(2 * shared / (1 + shared))
+    return _let(F.struct(union.alias("union"), F.col(f"{b}.hash").alias("hashes"), F.col(f"{b}.place").alias("places")), score)
 
 
 def as_text(fingerprint: str) -> Column:
