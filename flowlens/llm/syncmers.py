@@ -25,7 +25,7 @@ DRIFT = 16
 
 
 def anchors(rows: DataFrame, text: str, out: str, k: int = K, keep: int = KEEP) -> DataFrame:
-    """Adds ``out``: ``array<struct<hash:int, place:int>>`` by hash, at most ``keep`` long, for a text column without nulls."""
+    """Adds ``out``: at most ``keep`` longs by hash, the hash in the upper half and the place in the lower, for a text without nulls."""
     words, pairs, found = f"_{out}_words", f"_{out}_pairs", f"_{out}_found"
     inner = k - 1
     rows = rows.withColumn(words, F.transform(F.regexp_extract_all(F.col(text), F.lit(WORD), F.lit(0)), lambda w: F.xxhash64(w)))
@@ -41,8 +41,16 @@ def anchors(rows: DataFrame, text: str, out: str, k: int = K, keep: int = KEEP)
     whole = F.when(F.size(words) > 0, F.array(F.hash(F.col(words)))).otherwise(F.array().cast("array<int>"))
     rows = rows.withColumn(found, F.when(F.size(words) >= k, hashes).otherwise(whole))
     rows = rows.withColumn(out, F.slice(F.sort_array(F.array_distinct(found)), 1, keep))
-    return rows.withColumn(out, F.transform(out, lambda h: F.struct(
-        h.alias("hash"), F.array_position(F.col(found), h).cast("int").alias("place")))).drop(words, pairs, found)
+    return rows.withColumn(out, F.transform(out, lambda h: F.shiftleft(h.cast("long"), 32).bitwiseOR(
+        F.array_position(F.col(found), h)))).drop(words, pairs, found)
+
+
+def hash_of(anchor: Column) -> Column:
+    return F.shiftright(anchor, 32).cast("int")
+
+
+def place_of(anchor: Column) -> Column:
+    return anchor.bitwiseAND(F.lit(0xFFFFFFFF))
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -55,8 +63,8 @@ def likeness(a: str, b: str, keep: int = KEEP, drift: int = DRIFT) -> Column:
     def moves(u: Column) -> Column:
         """How far each hash that both have stands from one text to the other."""
         last = F.try_element_at(u["union"], F.lit(-1))
-        return F.filter(F.transform(F.filter(a, lambda x: x["hash"] <= last), lambda x: F.get(
-            u["places"], (F.array_position(u["hashes"], x["hash"]) - 1).cast("int")) - x["place"]), lambda m: m.isNotNull())
+        return F.filter(F.transform(F.filter(a, lambda x: hash_of(x) <= last), lambda x: F.get(
+            u["places"], (F.array_position(u["hashes"], hash_of(x)) - 1).cast("int")) - place_of(x)), lambda m: m.isNotNull())
 
     def agreeing(moved: Column) -> Column:
         """Of the anchors in both, those that moved as far as the middle one, give or take the drift."""
@@ -67,14 +75,14 @@ def likeness(a: str, b: str, keep: int = KEEP, drift: int = DRIFT) -> Column:
         shared = _let(moves(u), agreeing) / F.size(u["union"]).cast("double")
         return F.when(F.size(u["union"]) == 0, F.lit(1.0)).otherwise(_let(shared, lambda s: 2 * s / (1 + s)))
 
-    union = F.slice(F.sort_array(F.array_union(F.col(f"{a}.hash"), F.col(f"{b}.hash"))), 1, keep)
-    return _let(F.struct(union.alias("union"), F.col(f"{b}.hash").alias("hashes"), F.col(f"{b}.place").alias("places")), score)
+    union = F.slice(F.sort_array(F.array_union(F.transform(a, hash_of), F.transform(b, hash_of))), 1, keep)
+    return _let(F.struct(union.alias("union"), F.transform(b, hash_of).alias("hashes"), F.transform(b, place_of).alias("places")), score)
 
 
 def as_text(fingerprint: str) -> Column:
     """``hash:place`` in hexadecimal, by hash, comma-joined."""
     return F.array_join(F.transform(fingerprint, lambda x: F.concat_ws(
-        ":", F.lower(F.lpad(F.hex(x["hash"]), 8, "0").substr(-8, 8)), F.lower(F.hex(x["place"])))), ",")
+        ":", F.lower(F.lpad(F.hex(F.shiftrightunsigned(x, 32)), 8, "0")), F.lower(F.hex(place_of(x))))), ",")
 
 
 def successors(ids: DataFrame, parts: int | None = None) -> DataFrame:
@@ -107,7 +115,8 @@ def edited_fingerprints(docs: DataFrame, k: int = K, keep: int = KEEP) -> DataFr
     returned, a null id as the smallest. An empty table gives an empty result; other columns are ignored.
     """
     base = docs.select(F.col("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    base = anchors(base, "text", "own", k, keep).withColumn("n_chars", F.length("text").cast("long"))
+    # both joins below read the same three columns by the same key, so the texts are dealt out once
+    base = anchors(base, "text", "own", k, keep)
     # an id needs of its successor at most a quarter of its own length
     quarter = F.floor(F.length(F.coalesce("text", F.lit(""))) / 4).cast("int")
     ids = successors(docs.groupBy("doc_id").agg(F.max(quarter).alias("_most")))
@@ -116,9 +125,9 @@ def edited_fingerprints(docs: DataFrame, k: int = K, keep: int = KEEP) -> DataFr
         "_for", F.struct(F.xxhash64("text").alias("rank"), F.substring("text", F.lit(1), F.col("_most")).alias("start"), F.col("own").alias("next")).alias("_g"))
     given = given.groupBy("_for").agg(F.max("_g").alias("_g"))
     rows = base.join(given, base["doc_id"].eqNullSafe(F.col("_for")))
-    cut = F.floor(F.col("n_chars") / 4).cast("int")
-    rows = rows.select("doc_id", "n_chars", "own", F.col("_g.next").alias("next"), F.concat(
-        F.substring("text", F.lit(1), F.col("n_chars").cast("int") - cut), F.substring(F.col("_g.start"), F.lit(1), cut)).alias("edited_text"))
+    cut = F.floor(F.length("text") / 4).cast("int")
+    rows = rows.select("doc_id", F.length("text").cast("long").alias("n_chars"), "own", F.col("_g.next").alias("next"), F.concat(
+        F.substring("text", F.lit(1), F.length("text") - cut), F.substring(F.col("_g.start"), F.lit(1), cut)).alias("edited_text"))
     return anchors(rows, "edited_text", "edited", k, keep)
 
 
