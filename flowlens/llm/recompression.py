@@ -9,7 +9,7 @@ decided by (its support).
 A window of words takes as its anchor the symbol of the highest round whose support lies inside it, of several the one
 with the smallest name; single words are round 0 and always lie inside. The anchor depends on the window's words
 alone: equal windows have equal anchors. Spark groups the anchors of all documents; windows whose anchor occurs only once
-are unique, all others are compared by a 128-bit hash of their words. So every repeat is found, and nothing else.
+are unique, all others are compared by a 96-bit hash of their words. So every repeat is found, and nothing else.
 
 Before each of the two shuffles a task settles what its own rows already tell, and sends one row per name or window
 on; a passage that a third of all documents share costs one row per batch.
@@ -150,10 +150,10 @@ def word_sequences(docs: DataFrame) -> DataFrame:
 
 
 def anchor_runs(docs: DataFrame, window: int, rounds: int) -> DataFrame:
-    """``name, doc_id, start, run, place, sure``: runs of windows with one anchor.
+    """``name, doc_id, span, place``: runs of windows with one anchor.
 
-    ``place`` tells different occurrences apart; it is the same in exact copies. A name seen at two places in one batch
-    is settled: its runs are ``sure`` and spread by a name of their own, and a single row with place 0 goes on under
+    ``span`` holds the first window, the number of windows (16 bits) and whether the run is sure (1 bit). ``place``
+    tells different occurrences apart; it is the same in exact copies. A name seen at two places in one batch is settled: its runs are ``sure`` and spread by a name of their own, and a single row with place 0 goes on under
     the name, to tell the other batches.
     """
 
@@ -197,12 +197,11 @@ def anchor_runs(docs: DataFrame, window: int, rounds: int) -> DataFrame:
             back = np.lexsort((own, doc))
             yield pa.RecordBatch.from_arrays([
                 pa.array(np.concatenate([name[back], told]).view(np.int64)), pa.array(np.concatenate([doc[back], zero])),
-                pa.array(np.concatenate([own[back], zero]).astype(np.int64)), pa.array(np.concatenate([run[back], zero]).astype(np.int32)),
-                pa.array(np.concatenate([place[back].astype(np.int64), zero])), pa.array(np.concatenate([sure[back], zero > 0]))],
-                names=["name", "doc_id", "start", "run", "place", "sure"])
+                pa.array(np.concatenate([(own << 17 | run << 1 | sure)[back], zero])),
+                pa.array(np.concatenate([place[back].astype(np.int64), zero]))], names=["name", "doc_id", "span", "place"])
 
     return docs.select("doc_id", "text").mapInArrow(
-        read, "name long, doc_id long, start long, run int, place long, sure boolean")
+        read, "name long, doc_id long, span long, place long")
 
 
 def _marked(count: int, offsets: np.ndarray, which: np.ndarray, start: np.ndarray, run: np.ndarray, reach: int) -> np.ndarray:
@@ -222,10 +221,10 @@ def _runs_of(batch: pa.RecordBatch, first: int, last: int) -> tuple[np.ndarray,
 
 
 def window_rows(texts: DataFrame, window: int) -> DataFrame:
-    """``a, b, doc_id, start, run, later``: the 128-bit hash of every marked window.
+    """``a, b, doc_id, start, run``: the 96-bit hash of every marked window.
 
     Of equal windows in one batch the first goes on to meet those of other batches; the rest are certainly repeats and
-    are passed as runs with ``later``.
+    are passed as runs; only those have a ``run`` of 1 or more.
     """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -239,7 +238,7 @@ def window_rows(texts: DataFrame, window: int) -> DataFrame:
                 many = max(0, len(w.hashes) - window + 1)
                 at = np.flatnonzero(marked[:many] & (text[:many] == text[window - 1:]))
                 if len(at):
-                    parts.append((grams(w.hashes, window)[at], grams(w.hashes, window, _SALT)[at], ids[w.first + text[at]], at - w.offsets[text[at]]))
+                    parts.append((grams(w.hashes, window)[at], grams(w.hashes, window, _SALT)[at] >> _U(32), ids[w.first + text[at]], at - w.offsets[text[at]]))
             if not parts:
                 continue
             a, b, doc, start = (np.concatenate(c) for c in zip(*parts, strict=True))
@@ -259,13 +258,11 @@ def window_rows(texts: DataFrame, window: int) -> DataFrame:
             run = np.diff(np.concatenate([begin, [len(new)]]))
             spread = mix(later_doc[begin].astype(_U) * _MUL + later_start[begin].astype(_U))
             yield pa.RecordBatch.from_arrays([
-                pa.array(np.concatenate([a[first], spread]).view(np.int64)), pa.array(np.concatenate([b[first], spread]).view(np.int64)),
+                pa.array(np.concatenate([a[first], spread]).view(np.int64)), pa.array(np.concatenate([b[first], spread >> _U(32)]).view(np.int64)),
                 pa.array(np.concatenate([doc[first], later_doc[begin]])), pa.array(np.concatenate([start[first], later_start[begin]])),
-                pa.array(np.concatenate([np.ones(first.sum(), dtype=np.int64), run])),
-                pa.array(np.concatenate([np.zeros(first.sum(), dtype=bool), np.ones(len(begin), dtype=bool)]))],
-                names=["a", "b", "doc_id", "start", "run", "later"])
+                pa.array(np.concatenate([np.zeros(first.sum(), dtype=np.int64), run]))], names=["a", "b", "doc_id", "start", "run"])
 
-    return texts.mapInArrow(read, "a long, b long, doc_id long, start long, run long, later boolean")
+    return texts.mapInArrow(read, "a long, b long, doc_id long, start long, run long")
 
 
 def cut_texts(texts: DataFrame, window: int) -> DataFrame:
@@ -300,13 +297,15 @@ def repeated_windows(docs: DataFrame, firsts: DataFrame, window: int = WINDOW, r
     by_name = Window.partitionBy("name")
     met = anchor_runs(docs, window, rounds).withColumns({
         "_least": F.min("place").over(by_name), "_most": F.max("place").over(by_name)})
-    shared = met.where((F.col("place") > 0) & (F.col("sure") | (F.col("_least") < F.col("_most"))))
-    runs = shared.groupBy("doc_id").agg(F.collect_list(F.struct("start", F.col("run").cast("long").alias("run"))).alias("runs"))
+    sure = F.col("span").bitwiseAND(1) == 1
+    shared = met.where((F.col("place") > 0) & (sure | (F.col("_least") < F.col("_most"))))
+    span = F.struct(F.shiftright("span", 17).alias("start"), F.shiftright("span", 1).bitwiseAND(F.lit(0xFFFF)).alias("run"))
+    runs = shared.groupBy("doc_id").agg(F.collect_list(span).alias("runs"))
     runs = runs.join(firsts, "doc_id", "left_semi")
     rows = window_rows(docs.join(runs, "doc_id").select("doc_id", "text", "runs"), window)
     by_window = Window.partitionBy("a", "b")
     return rows.withColumn("_first", F.min("doc_id").over(by_window)).where(
-        F.col("later") | (F.col("doc_id") > F.col("_first"))).select("doc_id", "start", "run")
+        (F.col("run") > 0) | (F.col("doc_id") > F.col("_first"))).select("doc_id", "start", F.greatest("run", F.lit(1)).alias("run"))
 
 
 def without_repeats(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS) -> DataFrame:
