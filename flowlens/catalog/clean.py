@@ -74,6 +74,14 @@ def c5_far_ts(spark, sf_dir):
     return C.drop_far_timestamps(df, "ts_us", "file_date")
 
 
+@query("c5_report", f"""WITH x AS (SELECT ts, {GLUED_SQL} AS raw, cast(ts AS date) + cast(user_id % 7 - 3 AS integer) AS file_date FROM events)
+ SELECT count(*) AS rows, count(*) FILTER (raw <> epoch_us(ts)) AS repaired, count(*) FILTER (abs(epoch_us(ts) - epoch_us(cast(file_date AS timestamp))) > 172800000000) AS dropped FROM x""")
+def c5_report(spark, sf_dir):
+    df = B.table(spark, sf_dir, "events").select(
+        _glued().alias("raw"), F.date_add(F.to_date("ts"), (F.col("user_id") % 7 - 3).cast("int")).alias("file_date"))
+    return C.timestamp_report(df, "raw", "file_date")
+
+
 @query("c6_ports", """SELECT event_id, cast(coalesce(CASE WHEN user_id % 3 = 0 THEN NULL ELSE user_id END, -1) AS integer) AS ingest,
  cast(greatest(coalesce(CASE WHEN user_id % 3 = 0 THEN NULL ELSE user_id END, -1), 0) AS integer) AS export FROM events""")
 def c6_ports(spark, sf_dir):

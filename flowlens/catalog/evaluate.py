@@ -117,11 +117,7 @@ def a6_family(spark, sf_dir):
 @query("a6_family_auc", f"WITH {B.FLOWS_SQL}, g AS (SELECT fam, fconf AS s, sum(CASE WHEN family = fam THEN w ELSE 0e0 END) AS p, sum(CASE WHEN family = fam THEN 0e0 ELSE w END) AS q FROM flows, (SELECT DISTINCT family AS fam FROM flows) GROUP BY 1, 2),"
        " c AS (SELECT *, sum(p) OVER (PARTITION BY fam ORDER BY s DESC) AS cp, sum(p) OVER (PARTITION BY fam) AS tp, sum(q) OVER (PARTITION BY fam) AS tq FROM g) SELECT fam AS family, round(sum(q * (cp - p / 2)) / (max(tp) * max(tq)), 6) AS roc_auc FROM c GROUP BY 1")
 def a6_family_auc(spark, sf_dir):
-    f = B.flows(spark, sf_dir).select("family", "fconf", "w")
-    names = sorted(r[0] for r in f.select("family").distinct().collect())
-    rows = f.select(F.explode(F.array(*[F.lit(n) for n in names])).alias("one"), "family", "fconf", "w")
-    out = E.ranking_quality(rows, F.col("family") == F.col("one"), "fconf", F.col("w"), keys=["one"])
-    return r6(out.select(F.col("one").alias("family"), "roc_auc"))
+    return r6(E.family_auc(B.flows(spark, sf_dir), "family", "fconf", F.col("w")))
 
 
 @query("a7_low_support", FAMILY_REPORT_SQL + " SELECT family, family || ': only ' || sample_support || ' test flows, so its metrics are unreliable (recall 95% CI ' || printf('%.2f', recall_lo) || '-' || printf('%.2f', recall_hi) || ')' AS caveat FROM report WHERE sample_support > 0 AND sample_support < 2500")

@@ -113,9 +113,9 @@ def v2_missing(spark, sf_dir):
     return Q.missing_features(df, "features", ["a", "k", "z"]).select("event_id", F.array_join("missing", ",").alias("missing"))
 
 
-@query("v3_spec_check", """WITH s AS (SELECT event_type AS name, min(value) AS lo, max(value) AS hi, quantile_cont(value, 0.5) AS m FROM events GROUP BY 1)
+@query("v3_spec_check", """WITH s AS (SELECT event_type AS name, min(value) AS lo, max(value) AS hi, quantile_cont(value, 0.5) AS m, count(*) AS n FROM events GROUP BY 1)
  SELECT name, concat_ws(',', CASE WHEN name = 'view' THEN 'clip' END, CASE WHEN name = 'click' THEN 'quantiles' END, CASE WHEN name = 'signup' THEN 'log1p' END,
- CASE WHEN name = 'error' THEN 'kept_and_dropped' END) AS broken FROM s""")
+ CASE WHEN n <= 100000 THEN 'few_benign' END, CASE WHEN name = 'error' THEN 'kept_and_dropped' END) AS broken FROM s""")
 def v3_spec_check(spark, sf_dir):
     from flowlens.plans.recipes import quantiles
 
@@ -127,7 +127,7 @@ def v3_spec_check(spark, sf_dir):
         F.when(name == "view", F.col("hi")).when(name == "signup", -F.col("lo") - 1).otherwise(F.col("lo")).alias("clip_lo"),
         F.when(name == "view", F.col("lo")).otherwise(F.col("hi")).alias("clip_hi"), (name == "signup").alias("log1p"))
     base = q.select(
-        F.lit(0).alias("pos"), name.alias("feature"), "p05",
+        F.lit(0).alias("pos"), name.alias("feature"), "n", "p05",
         F.when(name == "click", F.col("hi") + 1).otherwise(F.col("m")).alias("median"), "p95")
     gone = spec.where(F.col("name") == "error").select("name")
     return Q.check_spec_consistency(spec, base, gone).select("name", F.array_join("broken", ",").alias("broken"))

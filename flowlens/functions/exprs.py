@@ -12,8 +12,7 @@ from pyspark.sql import functions as F
 
 def snake(name: str) -> str:
     """``Flow Bytes/s`` -> ``flow_bytes_per_s``."""
-    text = name.strip().replace("/", " per ").lower()
-    return re.sub(r"[^0-9a-z]+", "_", text).strip("_")
+    return "_".join(re.findall("[0-9a-z]+", name.replace("/", " per ").lower()))
 
 
 def snake_expr(c: Column) -> Column:

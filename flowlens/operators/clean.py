@@ -68,6 +68,14 @@ def drop_far_timestamps(df: DataFrame, ts_us: str, file_date: str, days: int = 2
     return df.where(near_file_date(F.col(ts_us), F.col(file_date), days))
 
 
+def timestamp_report(df: DataFrame, raw: str, file_date: str, days: int = 2) -> DataFrame:
+    """One row: rows read, times repaired, rows dropped because even the repaired time is far from the file's date."""
+    fixed = repair_timestamps(df, raw, "_us")
+    return fixed.agg(
+        F.count(F.lit(1)).alias("rows"), F.count_if("repaired").alias("repaired"),
+        F.count_if(~near_file_date(F.col("_us"), F.col(file_date), days)).alias("dropped"))
+
+
 def fill_ports(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Blank ports become -1 at ingest."""
     return df.withColumns({c: F.coalesce(F.col(c), F.lit(-1)).cast("int") for c in cols})

@@ -79,10 +79,9 @@ def confusion(df: DataFrame, true: str, pred: str, w: Column | None = None, dens
     cells = df.groupBy(F.col(true).alias("true"), F.col(pred).alias("pred")).agg(
         F.sum(w.cast("double")).alias("weighted"), F.count(F.lit(1)).alias("raw"))
     if dense:
-        labels = {r[0] for r in cells.select("true").union(cells.select("pred")).distinct().collect()}
-        order = [c for c in K.CANONICAL_ORDER if c in labels] + sorted(labels - set(K.CANONICAL_ORDER))
-        grid = df.sparkSession.createDataFrame([(a, b) for a in order for b in order], "true string, pred string")
-        cells = F.broadcast(grid).join(cells, ["true", "pred"], "left").na.fill(0)
+        labels = cells.select(F.explode(F.array("true", "pred")).alias("l")).agg(F.collect_set("l").alias("_l"))
+        grid = labels.select(F.explode("_l").alias("true"), "_l").select("true", F.explode("_l").alias("pred"))
+        cells = grid.join(cells, ["true", "pred"], "left").na.fill(0)
     return cells
 
 
@@ -115,6 +114,22 @@ def family_report(cells: DataFrame) -> DataFrame:
         lo.alias("recall_lo"), hi.alias("recall_hi"))
 
 
+def family_auc(df: DataFrame, family: str, score: str, w: Column | None = None) -> DataFrame:
+    """Exact one-vs-rest ROC-AUC of a score per family (ties share).
+
+    Scores are added up per value once over all rows and once per family; a family needs the values its own rows have
+    and no others, so rows are never repeated per family.
+    """
+    w = F.lit(1.0) if w is None else w
+    base = df.select(F.col(family).alias("family"), F.col(score).alias("_s"), w.cast("double").alias("_w"))
+    everyone = running_totals(base, "_s", {"a": F.sum("_w")})
+    own = running_totals(base, "_s", {"p": F.sum("_w")}, ["family"])
+    area = F.sum(F.col("p") * (F.col("a_below") - F.col("p_below") + (F.col("a") - F.col("p")) / 2))
+    got = own.join(everyone, "_s").groupBy("family").agg(
+        area.alias("_a"), F.max("p_total").alias("_p"), F.max(F.col("a_total") - F.col("p_total")).alias("_n"))
+    return got.select("family", F.when(F.col("_n") > 0, F.try_divide(F.col("_a"), F.col("_p") * F.col("_n"))).alias("roc_auc"))
+
+
 def macro_f1(report: DataFrame) -> DataFrame:
     return report.where(F.col("support") > 0).agg(F.avg("f1").alias("macro_f1"))
 

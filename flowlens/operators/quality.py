@@ -145,12 +145,14 @@ def missing_features(df: DataFrame, features: str, names: Sequence[str]) -> Data
     return df.withColumn("missing", F.filter(wanted, lambda x: ~F.array_contains(have, x)))
 
 
-def check_spec_consistency(spec: DataFrame, baseline: DataFrame, dropped: DataFrame | None = None) -> DataFrame:
+def check_spec_consistency(
+    spec: DataFrame, baseline: DataFrame, dropped: DataFrame | None = None, least_benign: int = K.LEAST_BENIGN,
+) -> DataFrame:
     """One row per spec feature with the names of broken rules.
 
-    spec: pos, name, clip_lo, clip_hi, log1p; baseline: pos, feature, p05, median, p95.
+    spec: pos, name, clip_lo, clip_hi, log1p; baseline: pos, feature, n (benign rows behind it), p05, median, p95.
     """
-    b = baseline.select(F.col("pos").alias("_bpos"), F.col("feature").alias("name"), "p05", "median", "p95")
+    b = baseline.select(F.col("pos").alias("_bpos"), F.col("feature").alias("name"), F.col("n").alias("_n"), "p05", "median", "p95")
     joined = spec.join(b, "name", "left")
     rules = [
         ("not_in_baseline", F.col("_bpos").isNull()),
@@ -158,6 +160,7 @@ def check_spec_consistency(spec: DataFrame, baseline: DataFrame, dropped: DataFr
         ("clip", F.col("clip_lo") > F.col("clip_hi")),
         ("quantiles", (F.col("p05") > F.col("median")) | (F.col("median") > F.col("p95"))),
         ("log1p", F.col("log1p") & (F.col("clip_lo") < 0)),
+        ("few_benign", F.col("_n") <= least_benign),
     ]
     if dropped is not None:
         d = dropped.select("name").distinct().withColumn("_gone", F.lit(True))

@@ -151,11 +151,17 @@ def materialise_working_set(flows: DataFrame, index: DataFrame, keys: Sequence[s
 
 
 def middle_slice(df: DataFrame, order: Sequence[str], n: int) -> DataFrame:
-    """``n`` consecutive rows around the middle of the time order (all rows when fewer)."""
-    numbered = number_rows(df, order, "_seq")
-    total = numbered.count()
-    start = max((total - n) // 2, 0)
-    return numbered.where((F.col("_seq") >= start) & (F.col("_seq") < start + n)).drop("_seq")
+    """``n`` consecutive rows around the middle of the order (all rows when fewer); the leading column has no nulls."""
+    first = F.unix_micros(order[0]) if dict(df.dtypes)[order[0]] == "timestamp" else F.col(order[0])
+    begin = lambda k: F.greatest(F.floor((k - n) / 2), F.lit(0))
+    found = order_statistics(df.select(first.alias("_v")), [], "_v", {"lo": begin, "hi": lambda k: F.least(begin(k) + n, k) - 1}).head()
+    if found is None:
+        return df.limit(0)
+    # only rows between the two values of the leading column are put in order
+    before = df.where(first < F.lit(found["lo"])).count()
+    near = number_rows(df.where(first.between(F.lit(found["lo"]), F.lit(found["hi"]))), order, "_seq")
+    start = max((found["n"] - n) // 2, 0) - before
+    return near.where((F.col("_seq") >= start) & (F.col("_seq") < start + n)).drop("_seq")
 
 
 def random_slice(df: DataFrame, ids: Sequence[str], n: int, order: Sequence[str], seed: int = 7) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,6 +26,12 @@ def build_session(app: str = "flowlens", master: str | None = None, **conf: str)
     return b.getOrCreate()
 
 
+@cache
+def _own_folder() -> tempfile.TemporaryDirectory:
+    """One folder per process, gone when it ends."""
+    return tempfile.TemporaryDirectory(prefix="flowlens-", ignore_cleanup_errors=True)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach: the one the cluster names in ``spark.checkpoint.dir``.
 
@@ -39,7 +46,7 @@ def shared_dir(spark: SparkSession) -> str:
         return current
     if not sc.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster")
-    return tempfile.mkdtemp(prefix="flowlens-")
+    return _own_folder().name
 
 
 def durable(df: DataFrame) -> DataFrame:

@@ -40,6 +40,9 @@ def test_forests_score_and_explain(spark, rows):
     a = A.attribute(scored, FEATURES, binary)
     total = F.col("base") + F.aggregate("contributions", F.lit(0.0), lambda x, y: x + y)
     assert a.agg(F.max(F.abs(total - F.col("p_attack")))).head()[0] < 1e-6
+    many = M.fit_binary_forest(rows, FEATURES, attack, M.ForestParams(trees=40, depth=4, min_rows=2, features="all"))
+    b = A.attribute(M.score(rows.limit(50), FEATURES, many), FEATURES, many)
+    assert b.agg(F.max(F.abs(total - F.col("p_attack")))).head()[0] < 1e-6
     base = spark.createDataFrame([(f, 0.0) for f in FEATURES], "feature string, median double")
     top = A.top_contributions(a.withColumn("ts", F.col("id")), FEATURES, base, "id", "ts", 2)
     assert top.groupBy("id").count().where("count <> 2").count() == 0
