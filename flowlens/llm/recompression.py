@@ -153,8 +153,9 @@ def anchor_runs(docs: DataFrame, window: int, rounds: int) -> DataFrame:
     """``name, doc_id, span, place``: runs of windows with one anchor.
 
     ``span`` holds the first window, the number of windows (16 bits) and whether the run is sure (1 bit). ``place``
-    tells different occurrences apart; it is the same in exact copies. A name seen at two places in one batch is settled: its runs are ``sure`` and spread by a name of their own, and a single row with place 0 goes on under
-    the name, to tell the other batches.
+    tells different occurrences apart; it is the same in exact copies. A name seen at two places in one batch is
+    settled: its runs are ``sure`` and spread by a name of their own, and a single row with place 0 goes on under the
+    name, to tell the other batches.
     """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
