@@ -8,7 +8,7 @@ The second part estimates the risk on negatives without any; where a step makes
 begun to memorise and the step goes the other way. The logistic loss makes sigmoid(g) a probability.
 
 The fit runs in numpy on a bounded, documented sample of rows (``POSITIVES``, ``UNLABELLED``), chosen by a hash of
-their ids; class prior and scores come from all rows. Labels are learnt from only where crc32(doc_id) mod 5 is not 0;
+their ids; texts with equal features count once; class prior and scores come from all rows. Labels are learnt from only where crc32(doc_id) mod 5 is not 0;
 unlabelled texts of the sample are held to the same rows.
 """
 
@@ -97,7 +97,7 @@ class Model:
 
 def fit_nnpu(positive: np.ndarray, features: np.ndarray, prior: float, l2: float, steps: int = 400, rate: float = 0.05) -> tuple[np.ndarray, float]:
     """Weights and bias that minimise the non-negative risk; rows are positives where ``positive``, else unlabelled."""
-    p, u = features[positive], features[~positive]
+    p, u = (features[rows].astype(np.float32) for rows in (positive, ~positive))
     w, bias = np.zeros(features.shape[1]), float(np.log(prior / (1 - prior)))
     m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
 
@@ -105,7 +105,7 @@ def fit_nnpu(positive: np.ndarray, features: np.ndarray, prior: float, l2: float
         return 1 / (1 + np.exp(-np.clip(g, -30, 30)))
 
     for step in range(1, steps + 1):
-        gp, gu = p @ w + bias, u @ w + bias
+        gp, gu = (x @ w.astype(np.float32) + bias for x in (p, u))
         sp, su = sigmoid(gp), sigmoid(gu)
         risk = np.logaddexp(0, gu).mean() - prior * np.logaddexp(0, gp).mean()
         for_p, for_u = prior * (sp - 1) / len(p), np.zeros(len(u))
@@ -113,7 +113,8 @@ def fit_nnpu(positive: np.ndarray, features: np.ndarray, prior: float, l2: float
             for_p, for_u = for_p - prior * sp / len(p), su / len(u)
         else:
             for_p, for_u = prior * sp / len(p), -su / len(u)
-        grad = np.concatenate([p.T @ for_p + u.T @ for_u + l2 * w, [for_p.sum() + for_u.sum()]])
+        grad = np.concatenate([
+            p.T @ for_p.astype(np.float32) + u.T @ for_u.astype(np.float32) + l2 * w, [for_p.sum() + for_u.sum()]])
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad ** 2
         move = rate * (m / (1 - 0.9 ** step)) / (np.sqrt(v / (1 - 0.999 ** step)) + 1e-8)
         w, bias = w - move[:-1], bias - move[-1]
@@ -146,8 +147,15 @@ def _sample(docs: DataFrame, labels: DataFrame, label: str, positives: int, unla
     return picked, (ones + 1) / (all_rows + 2)
 
 
+def _looks(seen: pa.Table, *names: str) -> list[bytes]:
+    """The features of each row as bytes."""
+    columns = [seen[n].combine_chunks() for n in names]
+    flat = [(c.offsets.to_numpy(), c.values.to_numpy(zero_copy_only=False)) for c in columns]
+    return [b"|".join(v[at[i]:at[i + 1]].tobytes() for at, v in flat) for i in range(len(seen))]
+
+
 def train(docs: DataFrame, labels: DataFrame, label: str, style: bool, words: bool, l2: float = 1e-3,
-          least_z: float = 4.0, most_words: int = 2_000, positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> Model | None:
+          least_z: float = 4.0, most_words: int = 1_000, positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> Model | None:
     """The fitted model, or None without any trusted positive or unlabelled text to learn from."""
     picked, prior = _sample(docs, labels, label, positives, unlabelled)
 
@@ -176,24 +184,25 @@ def train(docs: DataFrame, labels: DataFrame, label: str, style: bool, words: bo
     def flat(name: str) -> np.ndarray:
         return seen[name].combine_chunks().flatten().to_numpy(zero_copy_only=False)
 
-    parts = []
+    # texts that look alike in all features count once per side, so that a group of copies is no evidence
+    first = list({look: i for i, look in reversed(list(enumerate(zip(_looks(seen, "style", "words"), positive.tolist(), strict=True))))}.values())
+    seen, positive = seen.take(sorted(first)).combine_chunks(), positive[sorted(first)]
+
     mean = scale = np.zeros(0)
+    dense = flat("style").astype(np.float64).reshape(len(positive), -1)
     if style:
-        dense = flat("style").astype(np.float64).reshape(len(positive), -1)
         mean, scale = dense.mean(axis=0), dense.std(axis=0) + 1e-3
-        parts.append(np.clip((dense - mean) / scale, -5, 5))
-    chosen = np.zeros(0, dtype=np.int64)
-    if words:
-        lengths = np.array([len(x) for x in seen["words"].to_pylist()])
-        row, bucket = np.repeat(np.arange(len(positive)), lengths), flat("words").astype(np.int64)
-        chosen = _telling(positive, row, bucket, least_z, most_words)
-        place = np.full(1 << HASH_BITS, -1)
-        place[chosen] = np.arange(len(chosen))
-        grid = np.zeros((len(positive), len(chosen)))
-        hit = place[bucket] >= 0
-        grid[row[hit], place[bucket[hit]]] = 1
-        parts.append(grid)
-    w, bias = fit_nnpu(positive, np.hstack(parts), prior, l2)
+        dense = np.clip((dense - mean) / scale, -5, 5)
+    lengths = np.diff(seen["words"].combine_chunks().offsets.to_numpy())
+    row, bucket = np.repeat(np.arange(len(positive)), lengths), flat("words").astype(np.int64)
+    chosen = _telling(positive, row, bucket, least_z, most_words) if words else np.zeros(0, dtype=np.int64)
+    place = np.full(1 << HASH_BITS, -1)
+    place[chosen] = len(mean) + np.arange(len(chosen))
+    grid = np.zeros((len(positive), len(mean) + len(chosen)), dtype=np.float32)
+    grid[:, :len(mean)] = dense
+    hit = place[bucket] >= 0
+    grid[row[hit], place[bucket[hit]]] = 1
+    w, bias = fit_nnpu(positive, grid, prior, l2)
     table = np.zeros(1 << HASH_BITS if words else 0, dtype=np.float64)
     table[chosen] = w[len(mean):]
     return Model(mean, scale, w[:len(mean)], table, bias)

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from flowlens.llm import oracles
 from flowlens.llm.mixing import mix_summary
 from flowlens.llm.near_dedup import near_duplicates
 from flowlens.llm.packing import pack_documents
@@ -39,3 +40,7 @@ QUERIES["op7_recompression"] = _on("documents")(without_repeats)
 QUERIES["op8_pii"] = _on("documents")(personal_data)
 QUERIES["op9_toxicity"] = _on("documents", "labels")(toxicity_scores)
 QUERIES["op10_secrets"] = _on("documents")(secret_digest)
+
+ORACLES["op3_rp_forest"] = oracles.NEAR_VECTORS
+ORACLES["op5_superminhash"] = oracles.NEAR_DUPLICATES
+ORACLES["op7_recompression"] = oracles.WITHOUT_REPEATS
