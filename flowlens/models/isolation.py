@@ -141,3 +141,20 @@ def score_isolation(df: DataFrame, forest: IsolationForest, out: str = "anomaly_
     scale = float(average_path(forest.sample)) or 1.0
     mean = total / F.lit(float(len(forest.trees)))
     return df.withColumn(out, F.pow(F.lit(2.0), -mean / F.lit(scale)))
+
+
+def score_borders(benign: DataFrame, score: str = "anomaly_score", points: int = 10_000) -> list[float]:
+    """``points`` evenly ranked scores of the benign rows, from one mergeable sketch."""
+    found = benign.agg(F.percentile_approx(score, [(i + 1) / points for i in range(points)], 10 * points)).head()[0]
+    return [float(x) for x in found or []]
+
+
+def score_percentile(df: DataFrame, borders: Sequence[float], score: str = "anomaly_score", out: str = "anomaly_pct") -> DataFrame:
+    """Add the share of benign scores at or below the score, times 100; works on tables and streams."""
+    held = np.asarray(borders)
+
+    @F.pandas_udf("double")
+    def percentile(s: pd.Series) -> pd.Series:
+        return pd.Series(100.0 * np.searchsorted(held, s.to_numpy(), side="right") / max(len(held), 1))
+
+    return df.withColumn(out, percentile(F.col(score)))

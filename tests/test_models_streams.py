@@ -83,6 +83,23 @@ def test_bundle_detects_alike_after_reload_and_notices_tampering(spark, rows, tm
         BU.load_bundle(spark, path)
 
 
+def test_bundle_without_families_uses_the_anomaly_path(spark, rows, tmp_path):
+    spec = spark.createDataFrame([(i, f, -1e6, 1e6, False, None) for i, f in enumerate(FEATURES)], FE.SPEC_COLUMNS)
+    made = BU.fit_bundle(rows, rows, spec, ["id"], 0.01, binary_params=SMALL, with_family=False, tau_anomaly=99.5, trees=30, sample=128)
+    odd = rows.where("family = 'BENIGN'").limit(20).withColumns({f: F.lit(-9000.0 * (-1) ** i) for i, f in enumerate(FEATURES)})
+    path = str(tmp_path / "strange")
+    BU.save_bundle(made, path)
+    for bundle in (made, BU.load_bundle(spark, path)):
+        got = BU.detect(rows, bundle)
+        assert got.where("anomaly_pct < 0 or anomaly_pct > 100").count() == 0
+        assert {r[0] for r in got.where("verdict = 'known_attack'").select("attack_family").distinct().collect()} == {"Malicious"}
+        tau = bundle.rules.head()["tau_binary"]
+        novel = got.where("verdict = 'novel_anomaly'")
+        assert novel.where((F.col("p_attack") >= tau) | (F.col("anomaly_pct") < 99.5)).count() == 0
+        strange = BU.detect(odd, bundle)
+        assert strange.where("verdict = 'benign'").count() == 0 and strange.where("anomaly_pct < 99.5").count() == 0
+
+
 FLOW = "flow_id string, observed_at timestamp, src_ip string, dst_ip string, dst_port int, verdict string, attack_family string, confidence double, severity double, model_version string"
 
 
