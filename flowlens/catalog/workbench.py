@@ -30,10 +30,10 @@ def i13_queue_filtered(spark, sf_dir):
 
 
 @query("i14_detail", RANKED_SQL + f""", top AS (SELECT incident_id FROM incidents ORDER BY risk_score DESC, incident_id LIMIT 1),
- l AS (SELECT flow_id, observed_at, incident_id, user_id, tool FROM marked JOIN inc USING (src_ip, dst_ip, fam, session) JOIN top USING (incident_id)),
- fl AS (SELECT incident_id, 'flow' AS kind, flow_id AS ref, observed_at AS "at" FROM l ORDER BY observed_at, flow_id LIMIT 20),
- ac AS (SELECT incident_id, 'action' AS kind, CASE tool WHEN 'error' THEN 'escalate' WHEN 'signup' THEN 'confirm' ELSE 'note' END AS ref, observed_at AS "at" FROM l)
- SELECT i.incident_id, risk_score, attack_family, kind, ref, "at" FROM incidents i JOIN (SELECT * FROM fl UNION ALL SELECT * FROM ac) x ON x.incident_id = i.incident_id""")
+ l AS (SELECT flow_id, observed_at, incident_id, user_id, tool, f_k FROM marked JOIN inc USING (src_ip, dst_ip, fam, session) JOIN top USING (incident_id)),
+ fl AS (SELECT incident_id, 'flow' AS kind, flow_id AS ref, observed_at AS "at", f_k AS k FROM l ORDER BY observed_at, flow_id LIMIT 20),
+ ac AS (SELECT incident_id, 'action' AS kind, CASE tool WHEN 'error' THEN 'escalate' WHEN 'signup' THEN 'confirm' ELSE 'note' END AS ref, observed_at AS "at", NULL AS k FROM l)
+ SELECT i.incident_id, risk_score, attack_family, kind, ref, "at", cast(k AS double) AS k FROM incidents i JOIN (SELECT * FROM fl UNION ALL SELECT * FROM ac) x ON x.incident_id = i.incident_id""")
 def i14_detail(spark, sf_dir):
     inc = ranked_incidents(spark, sf_dir)
     top = inc.orderBy(F.desc("risk_score"), "incident_id").limit(1).head()["incident_id"]
@@ -42,7 +42,7 @@ def i14_detail(spark, sf_dir):
         "incident_id", F.when(F.col("tool") == "error", "escalate").when(F.col("tool") == "signup", "confirm").otherwise("note").alias("action"),
         F.col("observed_at").alias("at"))
     out = W.incident_detail(inc, linked, acts, top)
-    return ntz(out.select("incident_id", "risk_score", "attack_family", "kind", "ref", "at"))
+    return ntz(out.select("incident_id", "risk_score", "attack_family", "kind", "ref", "at", F.try_element_at("features", F.lit("k")).alias("k")))
 
 
 OK_SQL = f"""WITH {B.ACTIONS_SQL}, c AS (SELECT incident_id, min(("at", action_id)) AS c FROM actions WHERE action IN ('dismiss_fp', 'resolve') GROUP BY 1),

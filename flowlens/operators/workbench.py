@@ -29,15 +29,20 @@ def list_incidents(
 
 
 def incident_detail(incidents: DataFrame, linked: DataFrame, actions: DataFrame, incident_id: str, flows: int = 20) -> DataFrame:
-    """The incident with its first flows and its actions in time order, one row per flow or action."""
+    """The incident with its first flows and its actions in time order, one row per flow or action.
+
+    Flows come with their parsed feature map where ``linked`` has the raw features (JSON, ``props``).
+    """
+    raw = F.col("props") if "props" in linked.columns else F.lit(None).cast("string")
     one = incidents.where(F.col("incident_id") == incident_id)
     sample = (
         linked.where(F.col("incident_id") == incident_id)
-        .select("incident_id", F.lit("flow").alias("kind"), F.col("flow_id").alias("ref"), F.col("observed_at").alias("at"))
+        .select("incident_id", F.lit("flow").alias("kind"), F.col("flow_id").alias("ref"), F.col("observed_at").alias("at"),
+                F.from_json(raw, "map<string,double>").alias("features"))
         .orderBy("at", "ref").limit(flows)
     )
     log = actions.where(F.col("incident_id") == incident_id).select(
-        "incident_id", F.lit("action").alias("kind"), F.col("action").alias("ref"), "at")
+        "incident_id", F.lit("action").alias("kind"), F.col("action").alias("ref"), "at", F.lit(None).cast("map<string,double>").alias("features"))
     return one.join(sample.unionByName(log), "incident_id", "left").orderBy("kind", "at", "ref")
 
 

@@ -11,7 +11,6 @@ from pyarrow.fs import FileSystem
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
-from pyspark.sql.utils import AnalysisException
 
 
 READ_BYTES = 8 << 20
@@ -31,14 +30,18 @@ def ignore_known(batch: DataFrame, stored: DataFrame, key: str, order: Sequence[
 def sink_flows_idempotent(batch: DataFrame, path: str, key: str = "flow_id", order: Sequence[str] = ("observed_at",)) -> None:
     """Append the rows whose key is new; delivering a batch again changes nothing. Fits ``foreachBatch``."""
     spark = batch.sparkSession
-    try:
-        stored = spark.read.schema(batch.schema).parquet(path)
-        fresh = ignore_known(batch, stored, key, order)
-    except AnalysisException:
+    if _exists(spark, path):
+        fresh = ignore_known(batch, spark.read.schema(batch.schema).parquet(path), key, order)
+    else:
         fresh = first_delivery(batch, key, order)
     fresh.write.mode("append").parquet(path)
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
+
+
 def append_drift_snapshot(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
 
