@@ -8,7 +8,7 @@ The second part estimates the risk on negatives without any; where a step makes
 begun to memorise and the step goes the other way. The logistic loss makes sigmoid(g) a probability.
 
 The fit runs in numpy on a bounded, documented sample of rows (``POSITIVES``, ``UNLABELLED``), chosen by a hash of
-their ids; texts with equal features count once; class prior and scores come from all rows. Labels are learnt from only where crc32(doc_id) mod 5 is not 0;
+their ids; class prior and scores come from all rows. Labels are learnt from only where crc32(doc_id) mod 5 is not 0;
 unlabelled texts of the sample are held to the same rows.
 """
 
@@ -155,8 +155,12 @@ def _looks(seen: pa.Table, *names: str) -> list[bytes]:
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str, style: bool, words: bool, l2: float = 1e-3,
-          least_z: float = 4.0, most_words: int = 1_000, positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> Model | None:
-    """The fitted model, or None without any trusted positive or unlabelled text to learn from."""
+          least_z: float = 4.0, most_words: int = 1_000, steps: int = 400, distinct: bool = False, positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> Model | None:
+    """The fitted model, or None without any trusted positive or unlabelled text to learn from.
+
+    With ``distinct`` texts that are alike in all features count once per side, so that the words of a group of copies
+    are no evidence.
+    """
     picked, prior = _sample(docs, labels, label, positives, unlabelled)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,9 +188,10 @@ def train(docs: DataFrame, labels: DataFrame, label: str, style: bool, words: bo
     def flat(name: str) -> np.ndarray:
         return seen[name].combine_chunks().flatten().to_numpy(zero_copy_only=False)
 
-    # texts that look alike in all features count once per side, so that a group of copies is no evidence
-    first = list({look: i for i, look in reversed(list(enumerate(zip(_looks(seen, "style", "words"), positive.tolist(), strict=True))))}.values())
-    seen, positive = seen.take(sorted(first)).combine_chunks(), positive[sorted(first)]
+    if distinct:
+        looks = list(zip(_looks(seen, "style", "words"), positive.tolist(), strict=True))
+        first = sorted({look: i for i, look in reversed(list(enumerate(looks)))}.values())
+        seen, positive = seen.take(first).combine_chunks(), positive[first]
 
     mean = scale = np.zeros(0)
     dense = flat("style").astype(np.float64).reshape(len(positive), -1)
@@ -202,7 +207,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str, style: bool, words: bo
     grid[:, :len(mean)] = dense
     hit = place[bucket] >= 0
     grid[row[hit], place[bucket[hit]]] = 1
-    w, bias = fit_nnpu(positive, grid, prior, l2)
+    w, bias = fit_nnpu(positive, grid, prior, l2, steps)
     table = np.zeros(1 << HASH_BITS if words else 0, dtype=np.float64)
     table[chosen] = w[len(mean):]
     return Model(mean, scale, w[:len(mean)], table, bias)

@@ -8,6 +8,7 @@ from flowlens.llm.pu_learning import accepted, scored, train
 
 THRESHOLD = 0.3
 L2 = 1e-4
+STEPS = 1_500
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
@@ -17,9 +18,9 @@ def quality_scores(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
     empty texts get the score of a text without characters. Rows with equal ids are scored each by its own text.
     Null or contradicting labels: a null one is ignored, an id with any label 1 is trusted. Without labels every score is 0.5.
     """
-    return scored(docs, train(docs, labels, "quality", style=True, words=False, l2=L2, **how), THRESHOLD)
+    return scored(docs, train(docs, labels, "quality", style=True, words=False, l2=L2, steps=STEPS, **how), THRESHOLD)
 
 
 def good_documents(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
     """The rows of ``docs`` that the classifier does not reject, with all their columns."""
-    return accepted(docs, train(docs, labels, "quality", style=True, words=False, l2=L2, **how), THRESHOLD)
+    return accepted(docs, train(docs, labels, "quality", style=True, words=False, l2=L2, steps=STEPS, **how), THRESHOLD)

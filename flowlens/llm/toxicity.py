@@ -17,4 +17,4 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
     digits, A-Z lower-cased; each counts once per text, so neither length nor repetition adds to a score. Null and empty
     texts get the score of a text without words. Otherwise as for quality.
     """
-    return scored(docs, train(docs, labels, "toxic", style=False, words=True, l2=L2, **how), THRESHOLD)
+    return scored(docs, train(docs, labels, "toxic", style=False, words=True, l2=L2, distinct=True, **how), THRESHOLD)
