@@ -9,7 +9,7 @@ import corpus_pipeline
 from flowlens.llm.oracles import NEAR_DUPLICATES, NEAR_VECTORS, WITHOUT_REPEATS
 from flowlens.llm.storage import read_table
 
-SF = "/root/testdata/sf0.001"
+SF, SMALL = "/root/testdata/sf0.01", "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="module")
@@ -77,7 +77,7 @@ def test_sequences_hold_the_mix(stages):
 def test_registered(spark):
     names = entry_module.queries()
     assert "pipeline" in names and sorted(n.split("_")[0] for n in names if n.startswith("op")) == sorted(f"op{i}" for i in range(1, 11))
-    assert names["pipeline"](spark, SF).columns[:4] == ["doc_id", "start", "length", "ids_crc32"]
+    assert names["pipeline"](spark, SMALL).columns[:4] == ["doc_id", "start", "length", "ids_crc32"]
 
 
 def test_sql_twins_hold_odd_rows(spark, tmp_path):
