@@ -129,6 +129,25 @@ def quantiles(
         *keys, "feature", "n", *[_interpolate(i, p).alias(names[i]) for i, p in enumerate(ps)])
 
 
+def _sums_before(few: DataFrame, keys: Sequence[str], at: str, sums: Sequence[str]) -> DataFrame:
+    """Per key and ``at``: every sum over the smaller ``at`` (``_before``) and over all (``_total``).
+
+    For tables with few rows per key (buckets, partitions): a key's rows are put into one array and added up there.
+    """
+    kinds = dict(few.dtypes)
+
+    def total(rows: Column, s: str) -> Column:
+        zero = F.lit(0).cast(kinds[s])
+        return F.aggregate(rows, zero, lambda a, x: (a + F.coalesce(x[s], zero)).cast(kinds[s]))
+
+    def cell(x: Column, i: Column) -> Column:
+        return F.struct(x[at].alias(at), *[c for s in sums for c in (
+            total(F.slice("_l", F.lit(1), i), s).alias(f"{s}_before"), total(F.col("_l"), s).alias(f"{s}_total"))])
+
+    listed = few.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(at, *sums))).alias("_l"))
+    return listed.select(*keys, F.explode(F.transform("_l", cell)).alias("_x")).select(*keys, "_x.*")
+
+
 def running_totals(
     df: DataFrame, value: str, sums: dict[str, Column], keys: Sequence[str] = (), buckets: int = BUCKETS,
 ) -> DataFrame:
@@ -144,13 +163,11 @@ def running_totals(
     splits = value_splits(df.select(F.col(value).cast("double").alias("_d")), ["_d"], buckets)
     b = Bucketizer(splitsArray=splits, inputCols=["_d"], outputCols=["_b"], handleInvalid="keep").transform(tmp)
     b = b.withColumn("_b", F.col("_b").cast("int"))
-    by_key = Window.partitionBy(*(keys or [F.lit(0)]))
-    before = by_key.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     hist = b.groupBy(*keys, "_b").agg(*[F.sum(s).alias(f"_h_{s}") for s in sums])
+    hist = _sums_before(hist, keys, "_b", [f"_h_{s}" for s in sums])
     hist = hist.select(
-        *keys, "_b",
-        *[F.coalesce(F.sum(f"_h_{s}").over(before), F.lit(0)).alias(f"_o_{s}") for s in sums],
-        *[F.sum(f"_h_{s}").over(by_key).alias(f"{s}_total") for s in sums],
+        *keys, "_b", *[F.col(f"_h_{s}_before").alias(f"_o_{s}") for s in sums],
+        *[F.col(f"_h_{s}_total").alias(f"{s}_total") for s in sums],
     )
     inside = Window.partitionBy(*keys, "_b").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     out = b.select(
@@ -180,9 +197,8 @@ def number_rows(df: DataFrame, order: Sequence[str], out: str = "seq", keys: Seq
         .withColumn("_in_part", F.monotonically_increasing_id().bitwiseAND(F.lit(LOCAL_INDEX_MASK)))
     )
     placed = durable(placed)
-    few = Window.partitionBy(F.lit(0)).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = placed.groupBy("_pid").agg(F.count(F.lit(1)).alias("_c")).select(
-        "_pid", F.coalesce(F.sum("_c").over(few), F.lit(0)).alias("_off"))
+    offsets = _sums_before(placed.groupBy("_pid").agg(F.count(F.lit(1)).alias("_c")), [], "_pid", ["_c"]).select(
+        "_pid", F.col("_c_before").alias("_off"))
     numbered = placed.join(offsets, "_pid").withColumn(
         out, F.col("_off") + F.col("_in_part")).drop("_pid", "_in_part", "_off")
     if not keys:
