@@ -97,7 +97,7 @@ class Model:
 
 def fit_nnpu(positive: np.ndarray, features: np.ndarray, prior: float, l2: float, steps: int = 400, rate: float = 0.05) -> tuple[np.ndarray, float]:
     """Weights and bias that minimise the non-negative risk; rows are positives where ``positive``, else unlabelled."""
-    p, u = (features[rows].astype(np.float32) for rows in (positive, ~positive))
+    p, u = (features[rows].astype(np.float32, copy=False) for rows in (positive, ~positive))
     w, bias = np.zeros(features.shape[1]), float(np.log(prior / (1 - prior)))
     m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
 
