@@ -22,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowlens.llm.storage import stored
@@ -34,6 +34,7 @@ _U = np.uint64
 _MUL = _U(0x9FB21C651E98DF25)
 _SALT = 0x2545F4914F6CDD1D
 _NO_ID = -(1 << 63)  # stands for a null doc_id, the smallest
+_MARK = (1 << 32) - 1
 
 
 class _Symbols:
@@ -129,12 +130,30 @@ def mix_salt(r: int) -> int:
     return int(mix(np.array([r], dtype=_U))[0])
 
 
-def _ids(column: pa.Array) -> np.ndarray:
-    return column.fill_null(_NO_ID).to_numpy(zero_copy_only=False)
+def row_key() -> Column:
+    """Tells rows of one doc_id apart by their text; negative for rows without a doc_id, so that they come first."""
+    least, most = F.lit(-(1 << 63)), F.lit((1 << 63) - 1)
+    h = F.xxhash64("doc_id", "text")
+    return F.when(F.col("doc_id").isNull(), h.bitwiseOR(least)).otherwise(h.bitwiseAND(most))
+
+
+def _ranks(*columns: np.ndarray) -> np.ndarray:
+    """Place of every row in the order of the columns; equal rows share one."""
+    order = np.lexsort(columns[::-1])
+    new = np.zeros(len(order), dtype=bool)
+    for c in columns:
+        new[1:] |= c[order[1:]] != c[order[:-1]]
+    rank = np.empty(len(order), dtype=np.int64)
+    rank[order] = np.cumsum(new)
+    return rank
+
+
+def _longs(batch: pa.RecordBatch, name: str) -> np.ndarray:
+    return batch.column(name).to_numpy(zero_copy_only=False)
 
 
 def word_sequences(docs: DataFrame) -> DataFrame:
-    """``doc_id, n_words, sha``: the hash of all words joined by one space, per row."""
+    """``doc_id, key, row, n_words, sha``: the hash of all words joined by one space, per row."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -143,24 +162,30 @@ def word_sequences(docs: DataFrame) -> DataFrame:
                 words = text.as_buffer().to_pybytes().split() if text.is_valid else []
                 counts.append(len(words))
                 shas.append(hashlib.sha256(b" ".join(words)).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(shas, pa.string())],
-                                             names=["doc_id", "n_words", "sha"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array(counts, pa.int64()), pa.array(shas, pa.string())],
+                                             names=["doc_id", "key", "n_words", "sha"])
 
-    return docs.select("doc_id", "text").mapInArrow(read, "doc_id long, n_words long, sha string")
+    return docs.select("doc_id", "key", "text").mapInArrow(read, "doc_id long, key long, n_words long, sha string").withColumn(
+        "row", F.monotonically_increasing_id())
 
 
 def anchor_runs(docs: DataFrame, window: int, rounds: int) -> DataFrame:
-    """``name, doc_id, span, place``: runs of windows with one anchor.
+    """``name, span, place``: runs of windows with one anchor.
 
-    ``span`` holds the first window, the number of windows (16 bits) and whether the run is sure (1 bit). ``place``
-    tells different occurrences apart; it is the same in exact copies. A name seen at two places in one batch is
+    A mark, the 32 low bits of its key, stands for the row; half of it is above ``span``, half below ``place``. Rows that
+    share a mark only get more windows compared. ``span`` holds the first window (30 bits, as a text has 2^31 bytes at
+    most), the number of windows (16 bits) and whether the run is sure (1 bit). ``place`` tells different occurrences
+    apart; it is the same in exact copies. A name seen at two places in one batch is
     settled: its runs are ``sure`` and spread by a name of their own, and a single row with place 0 goes on under the
     name, to tell the other batches.
     """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = _ids(batch.column("doc_id"))
+            keys = _longs(batch, "key")
+            ranks = _ranks(_longs(batch, "doc_id"), keys)
+            marks = np.zeros(len(ranks), dtype=np.int64)
+            marks[ranks] = keys & _MARK
             parts = []
             for w in words_of(batch.column("text")):
                 start, name, anchor = anchors(w, window, rounds)
@@ -177,7 +202,7 @@ def anchor_runs(docs: DataFrame, window: int, rounds: int) -> DataFrame:
                 whole = mix(sums[w.offsets[1:]] - sums[w.offsets[:-1]])
                 own = own - w.offsets[text]
                 place = (mix(whole[text] + own.astype(_U) * _MUL) >> _U(17)) | _U(1)
-                parts.append((name[first], ids[w.first + text], own, run, place))
+                parts.append((name[first], ranks[w.first + text], own, run, place))
             if not parts:
                 continue
             name, doc, own, run, place = (np.concatenate(c) for c in zip(*parts, strict=True))
@@ -192,17 +217,19 @@ def anchor_runs(docs: DataFrame, window: int, rounds: int) -> DataFrame:
             sure[:-1] |= ~new[1:]
             told = name[new & sure]
             zero = np.zeros(len(told), dtype=np.int64)
+            mark, place = marks[doc], place.astype(np.int64)
+            span = mark >> 16 << 47 | own << 17 | run << 1 | sure
+            place = place << 16 | mark & 0xFFFF
             # a settled row needs no meeting point any more: any name will do
-            name = np.where(sure, mix(doc.astype(_U) * _MUL + own.astype(_U)), name)
+            name = np.where(sure, mix(mark.astype(_U) * _MUL + own.astype(_U)), name)
             # back in document order, so that rows of one document stand together
             back = np.lexsort((own, doc))
             yield pa.RecordBatch.from_arrays([
-                pa.array(np.concatenate([name[back], told]).view(np.int64)), pa.array(np.concatenate([doc[back], zero])),
-                pa.array(np.concatenate([(own << 17 | run << 1 | sure)[back], zero])),
-                pa.array(np.concatenate([place[back].astype(np.int64), zero]))], names=["name", "doc_id", "span", "place"])
+                pa.array(np.concatenate([name[back], told]).view(np.int64)), pa.array(np.concatenate([span[back], zero])),
+                pa.array(np.concatenate([place[back], zero]))], names=["name", "span", "place"])
 
-    return docs.select("doc_id", "text").mapInArrow(
-        read, "name long, doc_id long, span long, place long")
+    return docs.select("doc_id", "key", "text").mapInArrow(
+        read, "name long, span long, place long")
 
 
 def _marked(count: int, offsets: np.ndarray, which: np.ndarray, start: np.ndarray, run: np.ndarray, reach: int) -> np.ndarray:
@@ -222,7 +249,7 @@ def _runs_of(batch: pa.RecordBatch, first: int, last: int) -> tuple[np.ndarray,
 
 
 def window_rows(texts: DataFrame, window: int) -> DataFrame:
-    """``a, b, doc_id, start, run``: the 96-bit hash of every marked window.
+    """``a, b, doc_id, sub, start, run``: the 96-bit hash of every marked window.
 
     Of equal windows in one batch the first goes on to meet those of other batches; the rest are certainly repeats and
     are passed as runs; only those have a ``run`` of 1 or more.
@@ -230,7 +257,10 @@ def window_rows(texts: DataFrame, window: int) -> DataFrame:
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, parts = _ids(batch.column("doc_id")), []
+            ids, subs, parts = _longs(batch, "doc_id"), _longs(batch, "sub"), []
+            ranks = _ranks(ids, subs)
+            some = np.zeros(len(ranks), dtype=np.int64)  # a row of each rank
+            some[ranks] = np.arange(len(ranks))
             for w in words_of(batch.column("text")):
                 last = w.first + len(w.offsets) - 1
                 which, start, run = _runs_of(batch, w.first, last)
@@ -239,7 +269,7 @@ def window_rows(texts: DataFrame, window: int) -> DataFrame:
                 many = max(0, len(w.hashes) - window + 1)
                 at = np.flatnonzero(marked[:many] & (text[:many] == text[window - 1:]))
                 if len(at):
-                    parts.append((grams(w.hashes, window)[at], grams(w.hashes, window, _SALT)[at] >> _U(32), ids[w.first + text[at]], at - w.offsets[text[at]]))
+                    parts.append((grams(w.hashes, window)[at], grams(w.hashes, window, _SALT)[at] >> _U(32), ranks[w.first + text[at]], at - w.offsets[text[at]]))
             if not parts:
                 continue
             a, b, doc, start = (np.concatenate(c) for c in zip(*parts, strict=True))
@@ -248,7 +278,7 @@ def window_rows(texts: DataFrame, window: int) -> DataFrame:
             first = np.ones(len(a), dtype=bool)
             first[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
             lead = np.flatnonzero(first)[np.cumsum(first) - 1]
-            # in two rows of one id the same start is no earlier one
+            # in two equal rows the same start is no earlier one
             later = (doc != doc[lead]) | (start != start[lead])
             later_doc, later_start = doc[later], start[later]
             order = np.lexsort((later_start, later_doc))
@@ -256,21 +286,20 @@ def window_rows(texts: DataFrame, window: int) -> DataFrame:
             new = np.ones(len(later_doc), dtype=bool)
             new[1:] = (later_doc[1:] != later_doc[:-1]) | (later_start[1:] > later_start[:-1] + 1)
             begin = np.flatnonzero(new)
-            run = np.diff(np.concatenate([begin, [len(new)]]))
+            # equal rows name a start more than once
+            run = later_start[np.append(begin[1:], len(new))[:len(begin)] - 1] - later_start[begin] + 1
             spread = mix(later_doc[begin].astype(_U) * _MUL + later_start[begin].astype(_U))
+            row = some[np.concatenate([doc[first], later_doc[begin]])]
             yield pa.RecordBatch.from_arrays([
                 pa.array(np.concatenate([a[first], spread]).view(np.int64)), pa.array(np.concatenate([b[first], spread >> _U(32)]).view(np.int64)),
-                pa.array(np.concatenate([doc[first], later_doc[begin]])), pa.array(np.concatenate([start[first], later_start[begin]])),
-                pa.array(np.concatenate([np.zeros(first.sum(), dtype=np.int64), run]))], names=["a", "b", "doc_id", "start", "run"])
+                pa.array(ids[row]), pa.array(subs[row]), pa.array(np.concatenate([start[first], later_start[begin]])),
+                pa.array(np.concatenate([np.zeros(first.sum(), dtype=np.int64), run]))], names=["a", "b", "doc_id", "sub", "start", "run"])
 
-    return texts.mapInArrow(read, "a long, b long, doc_id long, start long, run long")
+    return texts.mapInArrow(read, "a long, b long, doc_id long, sub long, start long, run long")
 
 
 def cut_texts(texts: DataFrame, window: int) -> DataFrame:
-    """``doc_id, sha, text, n_removed, kept_sha256``: texts without the words that their runs of repeated windows cover.
-
-    ``sha`` is the hash of all words, as in :func:`word_sequences`.
-    """
+    """``doc_id, key, n_removed, kept_sha256``: what is left without the words that the runs of repeated windows cover."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -278,57 +307,71 @@ def cut_texts(texts: DataFrame, window: int) -> DataFrame:
                 n = len(w.offsets) - 1
                 which, start, run = _runs_of(batch, w.first, w.first + n)
                 gone = _marked(len(w.hashes), w.offsets, which, start, run, window)
-                kept, counts, shas = [], [], []
+                shas, counts = [], []
                 data = w.data.tobytes()
                 for j in range(n):
                     lo, hi = w.offsets[j], w.offsets[j + 1]
                     stay = np.flatnonzero(~gone[lo:hi]) + lo
                     counts.append(hi - lo - len(stay))
-                    kept.append(b" ".join([data[s:e] for s, e in zip(w.starts[stay].tolist(), w.ends[stay].tolist(), strict=True)]))
-                    shas.append(hashlib.sha256(b" ".join(data[w.text_offsets[j]:w.text_offsets[j + 1]].split())).hexdigest())
+                    kept = b" ".join([data[s:e] for s, e in zip(w.starts[stay].tolist(), w.ends[stay].tolist(), strict=True)])
+                    shas.append(hashlib.sha256(kept).hexdigest())
                 yield pa.RecordBatch.from_arrays([
-                    batch.column("doc_id").slice(w.first, n), pa.array(shas, pa.string()), pa.array([k.decode() for k in kept], pa.string()), pa.array(counts, pa.int64()),
-                    pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string())], names=["doc_id", "sha", "text", "n_removed", "kept_sha256"])
+                    batch.column("doc_id").slice(w.first, n), batch.column("key").slice(w.first, n), pa.array(counts, pa.int64()),
+                    pa.array(shas, pa.string())], names=["doc_id", "key", "n_removed", "kept_sha256"])
 
-    return texts.mapInArrow(read, "doc_id long, sha string, text string, n_removed long, kept_sha256 string")
+    return texts.mapInArrow(read, "doc_id long, key long, n_removed long, kept_sha256 string")
 
 
 def repeated_windows(docs: DataFrame, firsts: DataFrame, window: int = WINDOW, rounds: int = ROUNDS) -> DataFrame:
-    """``doc_id, start, run``: runs of windows in the documents ``firsts`` that also start earlier."""
+    """``doc_id, sub, start, run``: runs of windows in the rows ``firsts`` (``doc_id, key, sub``) that also start earlier.
+
+    Rows are ordered by doc_id and ``sub``.
+    """
     by_name = Window.partitionBy("name")
     met = anchor_runs(docs, window, rounds).withColumns({
         "_least": F.min("place").over(by_name), "_most": F.max("place").over(by_name)})
     sure = F.col("span").bitwiseAND(1) == 1
-    shared = met.where((F.col("place") > 0) & (sure | (F.col("_least") < F.col("_most"))))
-    span = F.struct(F.shiftright("span", 17).alias("start"), F.shiftright("span", 1).bitwiseAND(F.lit(0xFFFF)).alias("run"))
-    runs = shared.groupBy("doc_id").agg(F.collect_list(span).alias("runs"))
-    runs = runs.join(firsts, "doc_id", "left_semi")
-    rows = window_rows(docs.join(runs, "doc_id").select("doc_id", "text", "runs"), window)
+    differ = F.shiftright("_least", 16) < F.shiftright("_most", 16)
+    shared = met.where((F.shiftright("place", 16) > 0) & (sure | differ)).withColumn(
+        "mark", F.shiftleft(F.shiftright("span", 47), 16).bitwiseOR(F.col("place").bitwiseAND(F.lit(0xFFFF))))
+    span = F.struct(F.shiftright("span", 17).bitwiseAND(F.lit((1 << 30) - 1)).alias("start"), F.shiftright("span", 1).bitwiseAND(F.lit(0xFFFF)).alias("run"))
+    runs = shared.groupBy("mark").agg(F.collect_list(span).alias("runs"))
+    runs = firsts.withColumn("mark", F.col("key").bitwiseAND(F.lit(_MARK))).join(runs, "mark")
+    rows = window_rows(docs.join(runs, ["doc_id", "key"]).select("doc_id", "sub", "text", "runs"), window)
     by_window = Window.partitionBy("a", "b")
-    return rows.withColumn("_first", F.min("doc_id").over(by_window)).where(
-        (F.col("run") > 0) | (F.col("doc_id") > F.col("_first"))).select("doc_id", "start", F.greatest("run", F.lit(1)).alias("run"))
+    rows = rows.withColumn("_first", F.min("doc_id").over(by_window))
+    rows = rows.withColumn("_sub", F.min(F.when(F.col("doc_id") == F.col("_first"), F.col("sub"))).over(by_window))
+    return rows.where(
+        (F.col("run") > 0) | (F.col("doc_id") > F.col("_first")) | (F.col("sub") > F.col("_sub"))).select("doc_id", "sub", "start", F.greatest("run", F.lit(1)).alias("run"))
 
 
 def without_repeats(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS) -> DataFrame:
     """Per row of ``docs`` (``doc_id, text``): ``doc_id, n_words, n_removed, kept_sha256``.
 
     Removed is every word covered by a window whose words also start earlier (smaller doc_id, or earlier in the same
-    document). Null and empty texts have no words; texts shorter than a window lose nothing. A null doc_id is the
-    smallest. Rows that share a doc_id are one document with several texts: a place that repeats in one of them is taken
-    out of each. An empty table gives an empty result; other columns are ignored.
+    text). Null and empty texts have no words; texts shorter than a window lose nothing. A null doc_id is the smallest.
+    Different texts that share a doc_id, or have none, are documents of their own, ordered by :func:`row_key`. Equal rows
+    are one document if they have a doc_id (all get its result), and copies of the first if they have none. An empty
+    table gives an empty result; other columns are ignored.
     """
-    plain = docs.select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("doc_id"), "text")
+    plain = docs.select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("doc_id"), row_key().alias("key"), "text")
     seen = stored(word_sequences(plain), "sequences")
-    firsts = seen.groupBy("sha").agg(F.min("doc_id").alias("_first"))
-    seen = seen.join(firsts, "sha").withColumn("_copy", F.col("doc_id") > F.col("_first"))
-    removed = repeated_windows(plain, firsts.select(F.col("_first").alias("doc_id")).distinct(), window, rounds)
-    removed = removed.groupBy("doc_id").agg(F.collect_list(F.struct("start", "run")).alias("runs"))
-    cut = cut_texts(plain.join(removed, "doc_id").select("doc_id", "text", "runs"), window).select(
-        F.col("doc_id").alias("_id"), F.col("sha").alias("_of"), F.col("n_removed").alias("_n"), F.col("kept_sha256").alias("_sha")).distinct()
+    firsts = seen.groupBy("sha").agg(F.min(F.struct("doc_id", "key", "row")).alias("_first"))
+    own, first = F.struct("doc_id", "key"), F.struct("_first.doc_id", "_first.key")
+    seen = seen.join(firsts, "sha").withColumn("_copy", (own > first) | ((F.col("key") < 0) & (F.col("row") > F.col("_first.row")) & (own == first)))
+    firsts = firsts.select("_first.doc_id", "_first.key")
+    shared = firsts.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1)
+    firsts = stored(firsts.join(shared, "doc_id", "left").select(
+        "doc_id", "key", F.when(F.col("_n").isNull(), F.lit(0)).otherwise(F.col("key")).alias("sub")), "firsts")
+    removed = repeated_windows(plain, firsts, window, rounds)
+    removed = removed.groupBy("doc_id", "sub").agg(F.collect_list(F.struct("start", "run")).alias("runs"))
+    removed = removed.join(firsts, ["doc_id", "sub"])
+    cut = cut_texts(plain.join(removed, ["doc_id", "key"]).select("doc_id", "key", "text", "runs"), window).distinct()
+    cut = cut.withColumnsRenamed({"n_removed": "_n", "kept_sha256": "_sha"})
     # a later copy of a whole text is repeated from its first word to its last
     whole = F.col("_copy") & (F.col("n_words") >= window)
-    rows = seen.join(cut, (F.col("doc_id") == F.col("_id")) & (F.col("sha") == F.col("_of")), "left")
+    rows = seen.join(cut, ["doc_id", "key"], "left")
     return rows.select(
-        F.when(F.col("doc_id") != _NO_ID, F.col("doc_id")).alias("doc_id"), "n_words",
+        F.when(F.col("key") >= 0, F.col("doc_id")).alias("doc_id"), "n_words",
         F.when(whole, F.col("n_words")).otherwise(F.coalesce("_n", F.lit(0))).alias("n_removed"),
         F.when(whole, F.sha2(F.lit(""), 256)).when(F.col("_copy"), F.col("sha")).otherwise(F.coalesce("_sha", "sha")).alias("kept_sha256"))
