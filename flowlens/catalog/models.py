@@ -19,8 +19,6 @@ from flowlens.plans import bindings as B
 from flowlens.session import fresh_path
 
 FEATURES = ["f_value", "f_k", "protocol", "f_port"]
-SMALL = M.ForestParams(trees=10, depth=6, min_rows=5, features="0.8", bins=64)
-SMALL_FAMILY = M.ForestParams(trees=10, depth=6, min_rows=2, features="0.8")
 
 
 def parts(spark, sf_dir):
@@ -43,8 +41,8 @@ def m1_forest(spark, sf_dir):
 @query("m2_family", f"WITH {B.FLOWS_SQL} SELECT DISTINCT family, true AS better_than_chance, true AS not_perfect FROM flows WHERE family <> 'BENIGN'")
 def m2_family(spark, sf_dir):
     train, _, test = parts(spark, sf_dir)
-    binary = M.fit_binary_forest(train, FEATURES, attack(), SMALL)
-    family = M.fit_family_forest(train.where(attack()), FEATURES, params=SMALL_FAMILY)
+    binary = M.fit_binary_forest(train, FEATURES, attack())
+    family = M.fit_family_forest(train.where(attack()), FEATURES)
     scored = M.score(test.drop("p_attack", "fconf").where(attack()), FEATURES, binary, family)
     right = F.avg((F.col("closest_family") == F.col("family")).cast("double"))
     return scored.groupBy("family").agg((right > 0.5).alias("better_than_chance"), (right < 0.99).alias("not_perfect"))
@@ -53,8 +51,8 @@ def m2_family(spark, sf_dir):
 @query("m3_score", f"WITH {B.FLOWS_SQL} SELECT count(*) AS n, count(*) AS p_in_range, count(*) AS probs_sum_to_one, count(*) AS best_is_largest FROM flows")
 def m3_score(spark, sf_dir):
     f = B.flows(spark, sf_dir).drop("p_attack", "fconf")
-    binary = M.fit_binary_forest(f, FEATURES, attack(), SMALL)
-    family = M.fit_family_forest(f.where(attack()), FEATURES, params=SMALL_FAMILY)
+    binary = M.fit_binary_forest(f, FEATURES, attack())
+    family = M.fit_family_forest(f.where(attack()), FEATURES)
     s = M.score(f, FEATURES, binary, family)
     values = F.map_values("family_probs")
     total = F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
@@ -103,7 +101,7 @@ def m12_smote(spark, sf_dir):
 
 def explained(spark, sf_dir):
     f = B.flows(spark, sf_dir).drop("p_attack")
-    model = M.fit_binary_forest(f, FEATURES, attack(), SMALL)
+    model = M.fit_binary_forest(f, FEATURES, attack())
     return M.score(f, FEATURES, model), model
 
 
@@ -140,7 +138,7 @@ def a16_bundle_parity(spark, sf_dir):
     train, val, _ = parts(spark, sf_dir)
     rows = [(i, c, 0.0, 70000.0, c == "f_value", None) for i, c in enumerate(FEATURES)]
     spec = spark.createDataFrame(rows, FE.SPEC_COLUMNS)
-    made = BU.fit_bundle(train, val, spec, ["event_id"], 0.01, binary_params=SMALL, family_params=SMALL_FAMILY)
+    made = BU.fit_bundle(train, val, spec, ["event_id"], 0.01)
     path = fresh_path(spark, "bundle")
     BU.save_bundle(made, path)
     flows = B.flows(spark, sf_dir).drop("p_attack", "fconf")
@@ -148,25 +146,38 @@ def a16_bundle_parity(spark, sf_dir):
     return E.parity_check(a, b, "flow_id", "p_attack", made.rules.head()["tau_binary"])
 
 
+def attack_units(df, *columns):
+    """(column, value) of every attack family or tool in the table."""
+    found = df.where(attack()).select(F.explode(F.array(*[
+        F.struct(F.lit(c).alias("column"), F.col(c).alias("value")) for c in columns])).alias("u")).select("u.*").distinct()
+    return sorted((r["column"], r["value"]) for r in found.collect())
+
+
 @query("a11_run_holdouts")
 def a11_run_holdouts(spark, sf_dir):
     train, val, test = parts(spark, sf_dir)
     drop = ["p_attack", "fconf"]
-    setting = T.Setting(FEATURES, SMALL, SMALL_FAMILY)
-    out = T.run_holdouts(train.drop(*drop), val.drop(*drop), test.drop(*drop), [("family", "Botnet"), ("tool", "signup")], setting, budgets=[0.01, 0.05])
+    setting = T.Setting(FEATURES, M.ForestParams(), M.FAMILY_PARAMS)
+    units = attack_units(B.flows(spark, sf_dir), "family", "tool")
+    out = T.run_holdouts(train.drop(*drop), val.drop(*drop), test.drop(*drop), units, setting)
     return r6(out.select("unit", "seed", "budget", "n_held_out", "recall", "recall_seen_ceiling", "benign_fpr", "familiar_attack_recall"))
 
 
 @query("a12_tune")
 def a12_tune(spark, sf_dir):
     train, val, _ = parts(spark, sf_dir)
-    ranked, _ = T.tune(train.drop("p_attack"), val.drop("p_attack"), FEATURES, ["signup"], n=1, trees=5, confirm_seeds=(8,),
-                       budgets=(0.05, 0.01))
-    return ranked
+    tools = [value for _, value in attack_units(B.flows(spark, sf_dir), "tool")]
+    ranked, confirmed = T.tune(train.drop("p_attack"), val.drop("p_attack"), FEATURES, tools)
+    return ranked.withColumn("run", F.lit("search")).unionByName(confirmed.withColumn("run", F.lit("confirm")))
 
 
 @query("a13_ablation")
 def a13_ablation(spark, sf_dir):
     train, _, test = parts(spark, sf_dir)
-    variants = {"all": FEATURES, "no_port": ["f_value", "f_k", "protocol"]}
-    return r6(T.ablation(train.drop("p_attack"), test.drop("p_attack"), variants, SMALL, budget=0.01, held_tool="signup", minimum=20))
+    train, test = train.drop("p_attack"), test.drop("p_attack")
+    variants = {"all": FEATURES} | {f"no_{x}": [c for c in FEATURES if c != x] for x in FEATURES}
+    out = T.ablation(train, test, variants, M.ForestParams(), minimum=20).withColumn("held_tool", F.lit(None).cast("string"))
+    for _, tool in attack_units(B.flows(spark, sf_dir), "tool"):
+        held = T.ablation(train, test, variants, M.ForestParams(), budget=0.005, held_tool=tool, minimum=20)
+        out = out.unionByName(held.withColumn("held_tool", F.lit(tool)))
+    return r6(out)

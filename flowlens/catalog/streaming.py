@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from flowlens.catalog.drift import FLOW_FEATURES, FLOW_REF_SQL, flow_reference
 from flowlens.catalog.evaluate import OUTCOMES, REPLAY_SQL, replay_rows
 from flowlens.catalog.incidents import GAP, GUARD_SQL, islands_sql
-from flowlens.catalog.models import FEATURES, SMALL, SMALL_FAMILY, attack
+from flowlens.catalog.models import FEATURES, attack
 from flowlens.catalog.registry import ntz, query, r6
 from flowlens.models import forest as M
 from flowlens.operators import incidents as I
@@ -43,8 +43,8 @@ def far_row(df):
 @query("t1_stream_score", "SELECT count(*) AS flows, count(*) AS same_as_batch FROM events")
 def t1_stream_score(spark, sf_dir):
     f = B.flows(spark, sf_dir).drop("p_attack", "fconf")
-    binary = M.fit_binary_forest(f, FEATURES, attack(), SMALL)
-    family = M.fit_family_forest(f.where(attack()), FEATURES, params=SMALL_FAMILY)
+    binary = M.fit_binary_forest(f, FEATURES, attack())
+    family = M.fit_family_forest(f.where(attack()), FEATURES)
     cols = ["flow_id", "p_attack", "verdict", "confidence", "attack_family", "severity"]
     live = J.stream_score(as_stream(spark, f), FEATURES, binary, family, 0.5, 0.6).select(*cols)
     got = J.run_available(live, fresh_path(spark, "scored"))
