@@ -5,9 +5,11 @@ import os
 from pyspark.sql import functions as F
 
 from flowlens.catalog import models as CM
+from flowlens.catalog import sources as CS
 from flowlens.models import forest as M
 from flowlens.models import tuning as T
 from flowlens.plans import bindings as B
+from flowlens.sources import stores as S
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TOOLS = ["error", "purchase", "signup"]
@@ -45,3 +47,12 @@ def test_operators_are_called_with_their_defaults(spark, monkeypatch):
     assert asked["holdouts"] == (UNITS, T.Setting(CM.FEATURES, M.ForestParams(), M.FAMILY_PARAMS), {})
     CM.a13_ablation(spark, SF)
     assert held == [(len(CM.FEATURES) + 1, M.ForestParams(), t) for t in [None, *TOOLS]]
+
+
+def test_every_file_is_hashed_and_verified(spark, monkeypatch):
+    asked = []
+    monkeypatch.setattr(S, "verify_manifest", lambda listed, have: asked.extend([listed, have]) or have)
+    CS.s9_manifest_verify(spark, SF)
+    every = {f for f in os.listdir(SF) if f.endswith(".parquet")}
+    listed, have = ({r["name"] for r in df.collect()} for df in asked)
+    assert listed == every - {"nation.parquet"} and have == every - {"customer.parquet"}
