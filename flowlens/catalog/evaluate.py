@@ -219,6 +219,16 @@ def a15_recal(spark, sf_dir):
     return r6(E.recalibrate_thresholds(win, "period", "p_attack", "anomaly_pct", 0.05), "tau_anomaly")
 
 
+@query("a15_recal_rescore")
+def a15_recal_rescore(spark, sf_dir):
+    from flowlens.catalog.split import weekly_flows
+    from flowlens.models.recalibration import recalibrate
+
+    f, family = weekly_flows(spark, sf_dir), F.col("family")
+    return r6(recalibrate(f, "period", "observed_at", ["f_value", "f_k", "src_port"], ["event_id"], family.isin("DoS", "BruteForce"),
+                          family == "BENIGN", family == "Botnet", "p_attack", 0.05, F.col("w")))
+
+
 @query("a16_parity", f"WITH {B.FLOWS_SQL} SELECT count(*) AS rows, round(avg(CASE WHEN (p_attack >= 0.5e0) = (fconf >= 0.5e0) THEN 1e0 ELSE 0e0 END), 6) AS agreement FROM flows")
 def a16_parity(spark, sf_dir):
     f = B.flows(spark, sf_dir)

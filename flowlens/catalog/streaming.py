@@ -133,6 +133,13 @@ def t6_stream_metrics(spark, sf_dir):
     return J.run_available(J.stream_replay_metrics(as_stream(spark, rows)), fresh_path(spark, "metrics"), mode="complete")
 
 
+@query("t6_stream_throughput")
+def t6_stream_throughput(spark, sf_dir):
+    rows = replay_rows(spark, sf_dir).select("observed_at", "ground_truth", "verdict")
+    live = J.stream_replay_metrics(as_stream(spark, rows), ts="observed_at")
+    return ntz(r6(J.run_available(live, fresh_path(spark, "metrics"), mode="complete")))
+
+
 @query("t7_throughput", "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, count(*) AS flows, round(count(*) / 3600e0, 6) AS flows_per_s FROM events GROUP BY 1")
 def t7_throughput(spark, sf_dir):
     return ntz(r6(J.throughput(B.table(spark, sf_dir, "events"), "ts", 3600)))

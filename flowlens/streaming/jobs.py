@@ -88,10 +88,20 @@ def stream_attack_rate(
         F.count(F.lit(1)).alias("flows"), F.avg(hit).alias("attack_rate")).select(F.col("w.start").alias("start"), "flows", "attack_rate")
 
 
-def stream_replay_metrics(stream: DataFrame, truth: str = "ground_truth", verdict: str = "verdict") -> DataFrame:
-    """Running outcome counters of a replay (complete mode: one row)."""
-    return stream.groupBy().agg(
-        F.count(F.lit(1)).alias("flows"), *[F.count_if(c).alias(n) for n, c in _outcomes(truth, verdict).items()])
+def stream_replay_metrics(
+    stream: DataFrame, truth: str = "ground_truth", verdict: str = "verdict", ts: str | None = None,
+) -> DataFrame:
+    """Running outcome counters of a replay (complete mode: one row).
+
+    With ``ts`` also the first and last time, and flows per second between them (null if they are equal).
+    """
+    times = [F.min(ts).alias("first_ts"), F.max(ts).alias("last_ts")] if ts else []
+    out = stream.groupBy().agg(
+        F.count(F.lit(1)).alias("flows"), *[F.count_if(c).alias(n) for n, c in _outcomes(truth, verdict).items()], *times)
+    if not ts:
+        return out
+    span = (F.unix_micros("last_ts") - F.unix_micros("first_ts")) / F.lit(1e6)
+    return out.withColumn("flows_per_s", F.try_divide(F.col("flows").cast("double"), span))
 
 
 def throughput(df: DataFrame, ts: str, seconds: int = 60) -> DataFrame:
