@@ -3,7 +3,7 @@
 Every text becomes a vector of transformed statistics. Per group (language and source) location and scatter are the
 minimum covariance determinant estimate: of all subsets holding ``SUBSET`` of the group, the one whose covariance has
 the smallest determinant. It is approached by concentration steps from three robust starts (coordinatewise medians,
-tanh scores, spatial signs): keep the rows nearest to the present estimate, estimate again, until no determinant falls.
+tanh scores, spatial signs): keep the rows nearest to the present estimate, estimate again, until no group's determinant falls by 1 %.
 A last reweighted step uses all rows within the 97.5 % ellipsoid. Texts beyond the cut-off by Mahalanobis distance go.
 
 A step is two passes over a packed table of vectors (a row per Arrow batch and group), without the texts: tasks count
@@ -46,6 +46,7 @@ CUT = 1e-5  # share of a normal population beyond the cut-off
 #: Vectors of fewer words scatter more; a deviation is scaled by sqrt(n / (n + STEADY)).
 STEADY = 100.0
 STEPS = 30
+SETTLED = 1e-2  # a log determinant that falls by less has settled
 GRID, FINE = 512, 64
 _PAIRS = np.triu_indices(P)
 _NEWLINE = np.zeros(256, dtype=bool)
@@ -372,7 +373,7 @@ def fit_groups(packed: DataFrame) -> DataFrame:
 
     for _ in range(STEPS):
         after = refined(now, SUBSET)
-        falls = after.alias("a").join(now.alias("b"), ["fit", "start"]).where("a.logdet < b.logdet - 1e-3").limit(1).count()
+        falls = after.alias("a").join(now.alias("b"), ["fit", "start"]).where(F.col("a.logdet") < F.col("b.logdet") - SETTLED).limit(1).count()
         now = after
         if not falls:
             break

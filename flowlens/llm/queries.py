@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from flowlens.llm import oracles
 from flowlens.llm.mixing import mix_summary
 from flowlens.llm.near_dedup import near_duplicates
+from flowlens.llm.outliers import quality_rules
 from flowlens.llm.packing import pack_documents
 from flowlens.llm.pii import personal_data
 from flowlens.llm.quality import quality_scores
@@ -40,6 +41,7 @@ QUERIES["op7_recompression"] = _on("documents")(without_repeats)
 QUERIES["op8_pii"] = _on("documents")(personal_data)
 QUERIES["op9_toxicity"] = _on("documents", "labels")(toxicity_scores)
 QUERIES["op10_secrets"] = _on("documents")(secret_digest)
+QUERIES["op11_outliers"] = _on("documents")(quality_rules)
 
 ORACLES["op3_rp_forest"] = oracles.NEAR_VECTORS
 ORACLES["op5_superminhash"] = oracles.NEAR_DUPLICATES
