@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from flowlens.llm import oracles
+from flowlens.llm.filter_audit import audit_filters
 from flowlens.llm.mixing import mix_summary
 from flowlens.llm.near_dedup import near_duplicates
 from flowlens.llm.outliers import quality_rules
 from flowlens.llm.packing import pack_documents
 from flowlens.llm.pii import personal_data
+from flowlens.llm.prefix_trie import prefix_trie
 from flowlens.llm.quality import quality_scores
 from flowlens.llm.recompression import without_repeats
 from flowlens.llm.rp_forest import near_vectors
@@ -42,7 +44,11 @@ QUERIES["op8_pii"] = _on("documents")(personal_data)
 QUERIES["op9_toxicity"] = _on("documents", "labels")(toxicity_scores)
 QUERIES["op10_secrets"] = _on("documents")(secret_digest)
 QUERIES["op11_outliers"] = _on("documents")(quality_rules)
+QUERIES["op12_prefix_trie"] = _on("conversations")(prefix_trie)
+QUERIES["op13_filter_audit"] = lambda spark, sf_dir: audit_filters(spark, f"{sf_dir}/documents.parquet", read_table(spark, sf_dir, "labels"))
 
 ORACLES["op3_rp_forest"] = oracles.NEAR_VECTORS
 ORACLES["op5_superminhash"] = oracles.NEAR_DUPLICATES
 ORACLES["op7_recompression"] = oracles.WITHOUT_REPEATS
+ORACLES["op12_prefix_trie"] = oracles.PREFIX_TRIE
+ORACLES["op13_filter_audit"] = oracles.FILTER_AUDIT
