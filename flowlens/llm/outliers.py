@@ -220,7 +220,7 @@ def _in_tasks(table: DataFrame, count: Callable, names: tuple[str, ...], schema:
 def _cells(fit: str, counts: np.ndarray, vectors: np.ndarray) -> list[tuple]:
     out = []
     for j in range(P):
-        cell, n = np.unique(np.floor(vectors[:, j] * GRID).astype(np.int64), return_counts=True)
+        cell, n = np.unique(np.rint(vectors[:, j] * GRID).astype(np.int64), return_counts=True)
         out += [(fit, j, int(c), int(k)) for c, k in zip(cell, n, strict=True)]
     return out
 
@@ -230,7 +230,7 @@ def _centres(rows: pd.DataFrame) -> pd.DataFrame:
     centre, spread = np.zeros(P), np.array(FLOORS)
     for j, part in rows.groupby("stat"):
         part = part.sort_values("cell")
-        x, n = (part["cell"].to_numpy() + 0.5) / GRID, part["n"].to_numpy()
+        x, n = part["cell"].to_numpy() / GRID, part["n"].to_numpy()
         centre[j] = x[np.searchsorted(np.cumsum(n), n.sum() / 2)]
         away = np.abs(x - centre[j])
         order = np.argsort(away, kind="stable")
@@ -272,8 +272,8 @@ def _chi2_share(p: float, x: float) -> float:
 def estimate(moments: np.ndarray, share: float, correlation_only: bool = False) -> tuple[np.ndarray, np.ndarray, float]:
     """Mean, inverse covariance (flat) and log determinant from weight, sums and products of scaled rows.
 
-    The covariance of a truncated sample is made consistent for a normal population. A statistic that hardly varies in
-    the subset (say, no symbols at all) counts with the unit spread of its floor, so no determinant is ever zero.
+    The covariance of a truncated sample is made consistent for a normal population. A statistic that varies by less than
+    its floor (say, no symbols at all) gets the missing variance as if by independent noise, so no determinant is ever zero.
     """
     n = max(moments[0], 1.0)
     mean = moments[1:1 + P] / n
@@ -282,16 +282,11 @@ def estimate(moments: np.ndarray, share: float, correlation_only: bool = False)
     cov = cov + np.triu(cov, 1).T - np.outer(mean, mean)
     if correlation_only:
         mean = np.zeros(P)
+        cov = cov / np.sqrt(np.outer(np.maximum(np.diag(cov), 1e-3), np.maximum(np.diag(cov), 1e-3)))
     else:
         varied = max(int((np.diag(cov) > 0.05).sum()), 1)
         cov = cov * share / max(_chi2_share(varied + 2, _chi2(varied, share)), 1e-3)
-    variance = np.diag(cov).copy()
-    still = variance < 1e-3
-    grow = np.sqrt(1 / np.where(still, 1, variance if correlation_only else np.minimum(variance, 1)))
-    cov = cov * np.outer(grow, grow)
-    cov[still, :], cov[:, still] = 0, 0
-    cov[still, still] = 1
-    cov = cov + 0.05 * np.eye(P)
+    cov = cov + np.diag(np.maximum(1 - np.diag(cov), 0)) + 0.05 * np.eye(P)
     return mean, np.linalg.inv(cov).ravel(), float(np.linalg.slogdet(cov)[1])
 
 
