@@ -1,4 +1,4 @@
-"""Random search, hold-out runs and ablations over the forest models."""
+"""Random search, hold-out runs and ablations: lists of forests grown side by side and judged in one plan each."""
 
 from __future__ import annotations
 
@@ -6,26 +6,33 @@ import json
 import random
 from collections.abc import Sequence
 from dataclasses import dataclass
-from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowlens import constants as K
-from flowlens.models.forest import ForestParams, fit_binary_forest, fit_family_forest, score
-from flowlens.operators.decide import budget_scores, class_weights, threshold_for_fpr
-from flowlens.operators.evaluate import holdout_report, recall_by_tool, worst_tool
+from flowlens.models.forest import ForestParams
+from flowlens.models.growing import Job, grow_forests, training_sample
+from flowlens.models.tree_tables import leaf_values, meet_trees
+from flowlens.operators.decide import budget_scores
+from flowlens.operators.evaluate import holdout_reports
+from flowlens.plans.recipes import number_rows
+from flowlens.session import written
+
+def _attack():
+    return F.col("family") != "BENIGN"
 
 
 def rank_configs(results: DataFrame, config: str, main: str, tie: str) -> DataFrame:
     """Configurations by mean objective over their units, then by the tie-break, then by name.
 
-    There is one row per tried configuration, so the final ranking is small.
+    Ranks are row numbers of a range sort, so any number of configurations may be ranked.
     """
     per = results.groupBy(config).agg(
         F.round(F.avg(main), 6).alias("objective"), F.round(F.avg(tie), 6).alias("tie_break"))
-    w = Window.orderBy(F.desc("objective"), F.desc("tie_break"), config)
-    return per.withColumn("rank", F.row_number().over(w))
+    ordered = per.withColumns({"_o": -F.coalesce("objective", F.lit(-1.0)), "_t": -F.coalesce("tie_break", F.lit(-1.0))})
+    return number_rows(ordered, ["_o", "_t", config], "rank").select(
+        config, "objective", "tie_break", (F.col("rank") + 1).cast("int").alias("rank"))
 
 
 @dataclass
@@ -37,33 +44,57 @@ class Setting:
     family: ForestParams
 
 
+def _job(fit: str, label: str, p: ForestParams, seed: int, features: Sequence[str], **more) -> Job:
+    return Job(fit, label, p.trees, p.depth, p.min_rows, p.features, seed, tuple(features), bins=p.bins, **more)
+
+
+def _with_fit(rows: DataFrame, fits: DataFrame) -> DataFrame:
+    """Every row once per run; ``fits`` is a handful of rows (one per forest asked for)."""
+    names = [c for c in fits.columns]
+    listed = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(names, r, strict=True)]) for r in fits.collect()])
+    return rows.withColumn("_run", F.explode(listed)).select(*rows.columns, *[F.col(f"_run.{n}").alias(n) for n in names])
+
+
+def _attack_scores(rows: DataFrame, trees: DataFrame, features: Sequence[str], ids: Sequence[str], out: str) -> DataFrame:
+    met = meet_trees(rows, trees, features, 2, leaf_values(2), ids, "_sums")
+    share = F.try_divide(F.element_at("_sums", 2), F.col("n_trees").cast("double"))
+    return met.withColumn(out, F.coalesce(share, F.lit(0.0))).drop("_sums", "n_trees")
+
+
 def run_holdouts(
     train: DataFrame, val: DataFrame, evaluation: DataFrame, units: Sequence[tuple[str, str]], setting: Setting,
-    seeds: Sequence[int] = (7,), budgets: Sequence[float] = tuple(K.HOLDOUT_BUDGETS),
+    seeds: Sequence[int] = (7, 8, 9), budgets: Sequence[float] = tuple(K.HOLDOUT_BUDGETS), ids: Sequence[str] = ("flow_id",),
 ) -> DataFrame:
     """Refit both heads without each unit (column, value) and report how the unit is then treated.
 
-    One model with everything per seed gives the ceiling. Rows need family, tool and the
-    weight ``w``. Output: unit, seed and the hold-out report columns, a row per budget.
+    One model with everything per seed gives the ceiling. Rows need family, tool and the weight ``w``. All forests of all
+    seeds and units grow in one job from one bounded sample (see growing); every row of ``val`` and ``evaluation`` is scored.
+    Output: unit, seed and the hold-out report columns, a row per budget; :func:`aggregate_seeds` sums it up.
     """
-    attack = F.col("family") != "BENIGN"
-    out = []
+    spark, features = train.sparkSession, list(setting.features)
+    sample = training_sample(train, features, _attack(), ["family", "tool"], ids)
+    jobs = []
     for seed in seeds:
-        full = fit_binary_forest(train, setting.features, attack, setting.binary, seed)
-        seen = [score(d, setting.features, full).withColumnRenamed("p_attack", "p_full") for d in (val, evaluation)]
-        for col, value in units:
-            kept = train.where(F.col(col) != value)
-            binary = fit_binary_forest(kept, setting.features, attack, setting.binary, seed)
-            family = fit_family_forest(kept.where(attack), setting.features, "family", setting.family, seed)
-            needed = ["p", "fconf", "p_full", "family", "tool", "w"]
-            v, e = (score(d, setting.features, binary, family).withColumn("p", F.col("p_attack")).select(*needed).persist()
-                    for d in seen)
-            report = holdout_report(v, e, F.col(col) == value, budgets).withColumns(
-                {"unit": F.lit(value), "seed": F.lit(seed)})
-            out.append(train.sparkSession.createDataFrame(report.collect(), report.schema))
-            v.unpersist()
-            e.unpersist()
-    return reduce(DataFrame.unionByName, out)
+        jobs.append(_job(f"full|{seed}", "attack", setting.binary, seed, features))
+        for i, unit in enumerate(units):
+            jobs.append(_job(f"binary|{i}|{seed}", "attack", setting.binary, seed, features, without=unit))
+            jobs.append(_job(f"family|{i}|{seed}", "family", setting.family, seed, features, without=unit, attacks_only=True))
+    trees = grow_forests(spark, sample, jobs)
+    classes = len(sample.classes(_job("", "family", setting.family, 0, features, attacks_only=True)))
+
+    rows = val.withColumn("_part", F.lit("val")).unionByName(evaluation.withColumn("_part", F.lit("eval")))
+    rows = rows.select(*ids, "_part", "family", "tool", "w", *[F.col(f).cast("double").alias(f) for f in features])
+    rows = _with_fit(rows, spark.createDataFrame([(s, f"full|{s}") for s in seeds], "seed int, fit string"))
+    rows = _attack_scores(rows, trees, features, ids, "p_full").drop("fit")
+    rows = rows.withColumn("_unit", F.explode(F.sequence(F.lit(0), F.lit(len(units) - 1))))
+    name = F.concat(F.col("_unit").cast("string"), F.lit("|"), F.col("seed").cast("string"))
+    rows = _attack_scores(rows.withColumn("fit", F.concat(F.lit("binary|"), name)), trees, features, ids, "p")
+    rows = meet_trees(rows.withColumn("fit", F.concat(F.lit("family|"), name)), trees, features, classes, leaf_values(classes), ids, "_sums")
+    rows = rows.withColumn("fconf", F.try_divide(F.array_max("_sums"), F.col("n_trees").cast("double")))
+    held = F.element_at(F.array(*[F.coalesce(F.col(c) == v, F.lit(False)) for c, v in units]), F.col("_unit") + 1)
+    named = F.element_at(F.array(*[F.lit(v) for _, v in units]), F.col("_unit") + 1)
+    scored = written(rows.select("_part", "_unit", named.alias("unit"), "seed", held.alias("_held"), "family", "w", "p", "fconf", "p_full"), "holdouts")
+    return holdout_reports(scored.where("_part = 'val'"), scored.where("_part = 'eval'"), ["_unit", "unit", "seed"], "_held", budgets).drop("_unit")
 
 
 # values a tuned setting may take (fixed values)
@@ -90,64 +121,73 @@ def random_configs(n: int, seed: int = 7) -> list[dict]:
     return found
 
 
-def _unit_recalls(train: DataFrame, val: DataFrame, features: Sequence[str], tools: Sequence[str], config: dict,
-                  trees: int, seed: int, budgets: Sequence[float]) -> list[tuple]:
-    attack = F.col("family") != "BENIGN"
-    params = ForestParams(trees, config["depth"], config["min_rows"], config["features"])
-    weight = "class_weight" if config["balanced"] else None
-    rows = []
-    for tool in tools:
-        kept = train.where(F.col("tool") != tool).withColumn("_attack", attack)
-        if weight:
-            kept = class_weights(kept, "_attack")
-        model = fit_binary_forest(kept, features, attack, params, seed, weight)
-        scored = score(val, features, model).select("p_attack", "tool", "family").persist()
-        cuts = {r["budget"]: r["score"] for r in budget_scores(scored.where(~attack), "p_attack", budgets).collect()}
-        hit = scored.where(F.col("tool") == tool).agg(*[
-            F.avg((F.col("p_attack") > cuts[b]).cast("double")).alias(f"r{i}") for i, b in enumerate(budgets)]).head()
-        scored.unpersist()
-        rows.append((json.dumps(config, sort_keys=True), tool, seed, hit["r0"], hit["r1"]))
-    return rows
+def _unit_recalls(
+    train: DataFrame, val: DataFrame, features: Sequence[str], tools: Sequence[str], configs: Sequence[dict], trees: int,
+    seeds: Sequence[int], budgets: tuple[float, float], ids: Sequence[str],
+) -> DataFrame:
+    """``config, unit, seed, main, tie``: recall on each tool by the forest that never saw it, at both budgets.
+
+    All configurations, tools and seeds are one list of forests over one sample. Benign validation rows meet every forest,
+    attack rows only those that left their tool out.
+    """
+    spark = train.sparkSession
+    sample = training_sample(train, list(features), _attack(), ["tool"], ids)
+    runs = [(f"{i}|{j}|{s}", json.dumps(c, sort_keys=True), tool, s)
+            for i, c in enumerate(configs) for j, tool in enumerate(tools) for s in seeds]
+    jobs = [Job(fit, "attack", trees, c["depth"], c["min_rows"], c["features"], seed, tuple(features), ("tool", tool), c["balanced"])
+            for (fit, _, tool, seed), c in zip(runs, [c for c in configs for _ in tools for _ in seeds], strict=True)]
+    grown = grow_forests(spark, sample, jobs)
+    listed = spark.createDataFrame(runs, "fit string, config string, unit string, seed int")
+    rows = val.select(*ids, "tool", (~_attack()).alias("_benign"), *[F.col(f).cast("double").alias(f) for f in features])
+    rows = _with_fit(rows, listed.select("fit", "unit")).where(F.col("_benign") | (F.col("tool") == F.col("unit")))
+    scored = written(_attack_scores(rows, grown, features, ids, "p").select("fit", "_benign", "p"), "search")
+    cuts = budget_scores(scored.where("_benign"), "p", budgets, ["fit"]).groupBy("fit").agg(*[
+        F.max(F.when(F.col("budget") == float(b), F.col("score"))).alias(f"_cut{i}") for i, b in enumerate(budgets)])
+    hits = scored.where("not _benign").join(cuts, "fit").groupBy("fit").agg(*[
+        F.avg((F.col("p") > F.col(f"_cut{i}")).cast("double")).alias(n) for i, n in enumerate(("main", "tie"))])
+    return written(listed.join(hits, "fit", "left").select("config", "unit", "seed", "main", "tie"), "recalls")
 
 
 def tune(
     train: DataFrame, val: DataFrame, features: Sequence[str], tools: Sequence[str], n: int = 10, trees: int = 60,
     seed: int = 7, confirm_seeds: Sequence[int] = (8, 9),
-    budgets: tuple[float, float] = (0.0005, 0.0001),
+    budgets: tuple[float, float] = (0.0005, 0.0001), ids: Sequence[str] = ("flow_id",),
 ) -> tuple[DataFrame, DataFrame]:
-    """Random search for unseen-tool recall: (ranking of all ``n`` tried, ranking of the best three re-run on new seeds)."""
-    spark = train.sparkSession
-    schema = "config string, unit string, seed int, main double, tie double"
-    rows = []
-    for c in random_configs(n, seed):
-        rows += _unit_recalls(train, val, features, tools, c, trees, seed, budgets)
-    ranked = rank_configs(spark.createDataFrame(rows, schema), "config", "main", "tie")
-    best = [json.loads(r["config"]) for r in ranked.orderBy("rank").limit(3).collect()]
-    again = [x for s in confirm_seeds for c in best for x in _unit_recalls(train, val, features, tools, c, trees, s, budgets)]
-    return ranked, rank_configs(spark.createDataFrame(again, schema), "config", "main", "tie")
+    """Random search for unseen-tool recall: (ranking of all tried, ranking of the best three and the default on new seeds).
+
+    A tool without validation rows counts for no configuration.
+    """
+    ranked = rank_configs(_unit_recalls(train, val, features, tools, random_configs(n, seed), trees, [seed], budgets, ids), "config", "main", "tie")
+    best = [json.loads(r["config"]) for r in ranked.where("rank <= 3").orderBy("rank").collect()]
+    best += [c for c in [DEFAULT_CONFIG] if c not in best]
+    again = _unit_recalls(train, val, features, tools, best, trees, list(confirm_seeds), budgets, ids)
+    return ranked, rank_configs(again, "config", "main", "tie")
 
 
 def ablation(
     train: DataFrame, evaluation: DataFrame, variants: dict[str, Sequence[str]], params: ForestParams,
-    budget: float = 0.001, seed: int = 7, held_tool: str | None = None, minimum: int = K.LOW_SUPPORT,
+    budget: float = 0.001, seed: int = 7, held_tool: str | None = None, minimum: int = K.LOW_SUPPORT, ids: Sequence[str] = ("flow_id",),
 ) -> DataFrame:
-    """Refit per feature variant: recall at the budget and the worst tool.
+    """Refit per feature variant: recall at the budget and the worst tool with at least ``minimum`` rows.
 
-    With ``held_tool`` the tool is left out of training and its recall reported.
+    With ``held_tool`` the tool is left out of training and its recall reported. All variants grow in one job.
     """
-    attack = F.col("family") != "BENIGN"
-    rows = []
-    for name, features in variants.items():
-        kept = train if held_tool is None else train.where(F.col("tool") != held_tool)
-        model = fit_binary_forest(kept, list(features), attack, params, seed)
-        scored = score(evaluation, list(features), model).select("p_attack", "tool", "family").persist()
-        cut = threshold_for_fpr(scored.where(~attack), "p_attack", budget)
-        per = recall_by_tool(scored, "tool", F.col("p_attack") > cut, attack)
-        total = per.agg(F.sum("hits").alias("h"), F.sum("n").alias("n")).head()
-        worst = worst_tool(per, "tool", minimum).head()
-        held = per.where(F.col("tool") == held_tool).head() if held_tool else None
-        rows.append((name, len(features), float(total["h"] / total["n"]) if total["n"] else 0.0,
-                     worst["tool"], worst["recall"], held["recall"] if held else None))
-        scored.unpersist()
-    return train.sparkSession.createDataFrame(
-        rows, "variant string, features int, recall double, worst_tool string, worst_recall double, held_recall double")
+    spark = train.sparkSession
+    features = list(dict.fromkeys(f for fs in variants.values() for f in fs))
+    sample = training_sample(train, features, _attack(), ["tool"], ids)
+    without = ("tool", held_tool) if held_tool is not None else None
+    grown = grow_forests(spark, sample, [_job(v, "attack", params, seed, fs, without=without) for v, fs in variants.items()])
+    listed = spark.createDataFrame([(v, len(fs)) for v, fs in variants.items()], "fit string, features int")
+    rows = evaluation.select(*ids, "tool", _attack().alias("_attack"), *[F.col(f).cast("double").alias(f) for f in features])
+    rows = _attack_scores(_with_fit(rows, listed.select("fit")), grown, features, ids, "p")
+    scored = written(rows.select("fit", "tool", "_attack", "p"), "ablation")
+    cuts = budget_scores(scored.where("not _attack"), "p", [budget], ["fit"]).select("fit", F.col("score").alias("_cut"))
+    per = scored.where("_attack").join(cuts, "fit").groupBy("fit", "tool").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("p") > F.col("_cut")).alias("hits"))
+    recall = F.col("hits") / F.col("n")
+    worst = F.min(F.when(F.col("n") >= minimum, F.struct(recall.alias("recall"), F.col("tool").alias("tool"))))
+    found = per.groupBy("fit").agg((F.sum("hits") / F.sum("n")).alias("recall"), worst.alias("_worst"),
+                                   F.max(F.when(F.col("tool") == F.lit(held_tool), recall)).alias("held_recall"))
+    return listed.join(found, "fit", "left").select(
+        F.col("fit").alias("variant"), "features", F.coalesce("recall", F.lit(0.0)).alias("recall"),
+        F.col("_worst.tool").alias("worst_tool"), F.col("_worst.recall").alias("worst_recall"), "held_recall")

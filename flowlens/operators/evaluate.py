@@ -174,13 +174,18 @@ def holdout_report(
     for t in taus:
         t["tau_full"] = full[t["budget"]]
     rows = with_budgets(evaluation.select(p, fconf, p_full, family, F.col(weight).alias("_w"), held.alias("_held")), taus)
+    return _holdout_rates(rows, [], p, fconf, p_full, family)
+
+
+def _holdout_rates(rows: DataFrame, keys: Sequence[str], p: str, fconf: str, p_full: str, family: str) -> DataFrame:
+    """Rates per key and budget from rows that carry ``_w``, ``_held`` and the thresholds of their budget."""
     flagged, novel = decide_flags(F.col(p), F.col(fconf))
-    rows = rows.select("budget", "tau_binary", "tau_family", "_w", "_held", flagged.alias("_f"), novel.alias("_n"),
+    rows = rows.select(*keys, "budget", "tau_binary", "tau_family", "_w", "_held", flagged.alias("_f"), novel.alias("_n"),
                        (F.col(p_full) > F.col("tau_full")).alias("_ff"), (F.col(family) == "BENIGN").alias("_b"))
     h, f, n, b = F.col("_held"), F.col("_f"), F.col("_n"), F.col("_b")
     familiar = ~b & ~h
     lo, hi = wilson(F.col("_k"), F.col("n_held_out"))
-    return rows.groupBy("budget", "tau_binary", "tau_family").agg(
+    return rows.groupBy(*keys, "budget", "tau_binary", "tau_family").agg(
         F.count_if(h).alias("n_held_out"), F.count_if(h & f).alias("_k"),
         F.coalesce(_share(f, h), F.lit(0.0)).alias("recall"),
         F.coalesce(_share(F.col("_ff"), h), F.lit(0.0)).alias("recall_seen_ceiling"),
@@ -192,6 +197,23 @@ def holdout_report(
     ).withColumns({"recall_lo": lo, "recall_hi": hi}).drop("_k")
 
 
+def holdout_reports(
+    val: DataFrame, evaluation: DataFrame, keys: Sequence[str], held: str, budgets: Sequence[float] = tuple(K.HOLDOUT_BUDGETS),
+    false_novel: float = K.FALSE_NOVEL, p: str = "p", fconf: str = "fconf", p_full: str = "p_full",
+    family: str = "family", weight: str = "w",
+) -> DataFrame:
+    """:func:`holdout_report` of many runs (``keys``) in one plan; ``held`` is the flag of the left-out rows of a run."""
+    keys, benign = list(keys), F.col(family) == "BENIGN"
+    calm, at = val.where(benign), [*keys, "budget"]
+    base = budget_scores(calm, p, budgets, keys).select(*at, F.col("score").alias("tau_binary"))
+    full = budget_scores(calm, p_full, budgets, keys).select(*at, F.col("score").alias("tau_full"))
+    familiar = val.where(~benign & ~F.col(held)).select(*keys, p, fconf).join(base, keys).where(F.col(p) > F.col("tau_binary"))
+    cut = quantiles(familiar, [fconf], {"tau_family": false_novel}, keys=at).select(*at, "tau_family")
+    taus = base.join(full, at).join(cut, at, "left").fillna(0.0, ["tau_family"])
+    rows = evaluation.select(*keys, p, fconf, p_full, family, F.col(weight).alias("_w"), F.col(held).alias("_held")).join(taus, keys)
+    return _holdout_rates(rows, keys, p, fconf, p_full, family)
+
+
 def aggregate_seeds(runs: DataFrame, unit: str, budget: str, metrics: Sequence[str], recall: str = "recall") -> DataFrame:
     """Mean of every metric over seeds, and the smallest, largest and every recall.
 

@@ -60,3 +60,10 @@ def durable(df: DataFrame) -> DataFrame:
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A new path under the shared folder."""
     return os.path.join(shared_dir(spark), f"flowlens-{uuid.uuid4().hex}", name)
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a table below the shared folder, read again: one computation, whatever reads it, and no lineage."""
+    path = fresh_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

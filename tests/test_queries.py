@@ -33,7 +33,7 @@ def test_matches_sql(spark, con, name):
     assert rows_of(df.columns, df.collect()) == rows_of(cols, cur.fetchall())
 
 
-@pytest.mark.parametrize("name", [n for n in QUERIES if n not in ORACLES and n not in ("a11_run_holdouts", "a12_tune", "a13_ablation")])
+@pytest.mark.parametrize("name", [n for n in QUERIES if n not in ORACLES])
 def test_runs(spark, name):
     assert QUERIES[name](spark, SF).limit(1).count() == 1
 
