@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
-import pandas as pd
 from pyspark.ml.classification import RandomForestClassificationModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowlens.session import fresh_path
+from flowlens.models.tree_tables import Tree, meet_trees
+from flowlens.session import fresh_path, written
 
 
 def node_table(model: RandomForestClassificationModel, spark) -> DataFrame:
@@ -29,45 +29,53 @@ def node_table(model: RandomForestClassificationModel, spark) -> DataFrame:
         n["leftChild"].alias("left"), n["rightChild"].alias("right"))
 
 
-def _arrays(nodes: DataFrame) -> list[tuple]:
-    """Nodes per tree as arrays: as large as the fitted forest, which its depth and number of trees bound."""
-    out = []
-    for _, t in nodes.toPandas().groupby("tree", sort=True):
-        t = t.sort_values("node")
-        out.append(tuple(t[c].to_numpy() for c in ("p", "feature", "threshold", "left", "right")))
-    return out
-
-
-def attribute(df: DataFrame, features: Sequence[str], model: RandomForestClassificationModel) -> DataFrame:
+def _trees(model: RandomForestClassificationModel, spark) -> DataFrame:
+    """One row of node arrays per tree (node numbers are places in the arrays)."""
+    listed = F.array_sort(F.collect_list(F.struct("node", "p", "feature", "threshold", "left", "right")))
+    per = node_table(model, spark).groupBy("tree").agg(listed.alias("n"))
+    return per.select(
+        F.lit("model").alias("fit"), F.col("tree").cast("int").alias("tree"),
+        F.transform("n.feature", lambda x: x.cast("int")).alias("feature"), F.col("n.threshold").alias("threshold"),
+        F.transform("n.left", lambda x: x.cast("int")).alias("left"), F.transform("n.right", lambda x: x.cast("int")).alias("right"),
+        F.col("n.p").alias("value"))
+
+
+def path_contributions(width: int) -> Callable[[np.ndarray, Tree], np.ndarray]:
+    """Per row the change of p at every step down a tree, added to the feature of the split; the root's p comes last."""
+    def visit(x: np.ndarray, tree: Tree) -> np.ndarray:
+        total, p = np.zeros((len(x), width + 1)), tree.value
+        total[:, width] = p[0]
+        at = np.zeros(len(x), dtype=np.int64)
+        live = np.flatnonzero(tree.left[at] >= 0)
+        while len(live):
+            node = at[live]
+            child = np.where(x[live, tree.feature[node]] <= tree.threshold[node], tree.left[node], tree.right[node])
+            np.add.at(total, (live, tree.feature[node]), p[child] - p[node])
+            at[live] = child
+            live = live[tree.left[child] >= 0]
+        return total
+
+    return visit
+
+
+def attribute(
+    df: DataFrame, features: Sequence[str], model: RandomForestClassificationModel, ids: Sequence[str] = ("flow_id",),
+) -> DataFrame:
     """Add ``base`` and ``contributions`` (one per feature); base + their sum is the forest's p(attack).
 
-    Walking a tree, the change of p from a node to its child belongs to the feature the
-    node splits on; every tree is walked. Only rows chosen for explanation should get here.
+    Walking a tree, the change of p from a node to its child belongs to the feature the node splits on; every tree is
+    walked. Trees are a table that blocks of rows meet in tasks: the forest never passes the driver, whatever its size.
+    ``ids`` spread the rows over blocks (other columns, where a table has none of them, do as well).
     """
-    spark = df.sparkSession
-    packed = spark.sparkContext.broadcast(_arrays(node_table(model, spark)))
     width = len(features)
-    inputs = F.struct(*[F.col(f).cast("double").alias(f) for f in features])
-
-    @F.pandas_udf("array<double>")
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
-        for pdf in batches:
-            x = pdf.to_numpy(dtype=float)
-            total = np.zeros((len(x), width + 1))
-            for p, feature, threshold, left, right in packed.value:
-                at = np.zeros(len(x), dtype=int)
-                total[:, width] += p[0]
-                live = np.flatnonzero(left[at] >= 0)
-                while len(live):
-                    node = at[live]
-                    child = np.where(x[live, feature[node]] <= threshold[node], left[node], right[node])
-                    np.add.at(total, (live, feature[node]), p[child] - p[node])
-                    at[live] = child
-                    live = live[left[child] >= 0]
-            yield pd.Series(list(total / max(len(packed.value), 1)))
-
-    got = df.withColumn("_c", walk(inputs))
-    return got.withColumns({"base": F.element_at("_c", -1), "contributions": F.slice("_c", 1, width)}).drop("_c")
+    spread = [c for c in ids if c in df.columns] or list(features)
+    trees = written(_trees(model, df.sparkSession), "trees")
+    inputs = [f"_x{i}" for i in range(width)]
+    rows = df.withColumns({"fit": F.lit("model"), **{x: F.col(f).cast("double") for x, f in zip(inputs, features, strict=True)}})
+    met = meet_trees(rows, trees, inputs, width + 1, path_contributions(width), spread, "_c")
+    mean = F.transform("_c", lambda x: F.try_divide(x, F.col("n_trees").cast("double")))
+    got = met.withColumn("_c", mean).withColumns({"base": F.element_at("_c", -1), "contributions": F.slice("_c", 1, width)})
+    return got.select(*df.columns, "base", "contributions")
 
 
 def top_contributions(df: DataFrame, features: Sequence[str], baseline: DataFrame, row_id: str, ts: str, k: int = 5) -> DataFrame:

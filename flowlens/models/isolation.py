@@ -8,10 +8,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flowlens.plans.recipes import hash01
+from flowlens.functions.exprs import wilson
+from flowlens.models.tree_tables import TREE_COLUMNS, leaf_values, meet_trees
+from flowlens.operators.evaluate import ranking_quality
+from flowlens.plans.recipes import hash01, quantiles
+from flowlens.session import written
 
 TREE_SCHEMA = (
     "tree int, feature array<int>, threshold array<double>, left array<int>, right array<int>, size array<int>")
@@ -34,7 +38,8 @@ def average_path(n: np.ndarray | float) -> np.ndarray:
     return np.where(n > 2, big, np.where(n == 2, 1.0, 0.0))
 
 
-def _grow(x: np.ndarray, rng: np.random.Generator, limit: int) -> dict[str, list]:
+def _grow(x: np.ndarray, rng: np.random.Generator, limit: int, among: np.ndarray | None = None) -> dict[str, list]:
+    """One tree; ``among`` names the features it may split on (all when not given)."""
     nodes: dict[str, list] = {"feature": [], "threshold": [], "left": [], "right": [], "size": []}
 
     def leaf(size: int) -> int:
@@ -49,7 +54,7 @@ def _grow(x: np.ndarray, rng: np.random.Generator, limit: int) -> dict[str, list
         if depth >= limit or len(rows) < 2:
             continue
         lo, hi = part.min(axis=0), part.max(axis=0)
-        usable = np.flatnonzero(hi > lo)
+        usable = np.flatnonzero(hi > lo) if among is None else among[hi[among] > lo[among]]
         if len(usable) == 0:
             continue
         f = int(rng.choice(usable))
@@ -96,6 +101,95 @@ def fit_isolation_forest(
     return IsolationForest(sorted(got, key=lambda r: r["tree"]), features, float(np.mean(sizes)))
 
 
+def grow_isolation_forests(
+    rows: DataFrame, settings: DataFrame, features: Sequence[str], ids: Sequence[str], seed: int = 7,
+) -> DataFrame:
+    """Any number of isolation forests in one job, as a stored table of trees (see tree_tables, and ``rows`` per tree).
+
+    ``rows`` has ``fit`` and the benign rows to fit it on, ``settings`` one row per fit: trees, sample and share (of the
+    features that a tree may split on). Rows are dealt to trees by hash, so a task holds one subsample of one tree, and the
+    trees of all fits grow side by side. Fits without rows have no trees.
+    """
+    features, key = list(features), [F.col(c) for c in ids]
+    counts = rows.groupBy("fit").agg(F.count(F.lit(1)).alias("_n"))
+    plan = counts.join(settings, "fit")
+    size = F.least(F.col("sample").cast("long"), F.col("_n"))
+    copies = F.col("trees") * size / F.col("_n")
+    plan = plan.select("fit", "trees", "share", F.floor(copies).cast("int").alias("_whole"), (copies - F.floor(copies)).alias("_part"),
+                       F.greatest(F.lit(1), F.ceil(F.log2(F.greatest(size, F.lit(2)).cast("double"))).cast("int")).alias("_limit"))
+    drawn = rows.select("fit", *ids, *[F.col(f).cast("double").alias(f"_x{i}") for i, f in enumerate(features)]).join(plan, "fit")
+    times = F.col("_whole") + (hash01(*key, seed=seed) < F.col("_part")).cast("int")
+    picks = F.array_distinct(F.transform(
+        F.when(times > 0, F.sequence(F.lit(1), times)).otherwise(F.array().cast("array<int>")),
+        lambda i: F.pmod(F.xxhash64(F.lit(seed + 1), i, *key), F.col("trees")).cast("int")))
+    names = [f"_x{i}" for i in range(len(features))]
+    spread = drawn.select("fit", "share", "_limit", *names, F.explode(picks).alias("tree"))
+
+    def grow(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        x, rng = pdf.sort_values(names)[names].to_numpy(), np.random.default_rng([seed, int(key[1])])
+        tried = max(1, int(round(float(pdf["share"].iloc[0]) * len(names))))
+        among = None if tried >= len(names) else np.sort(rng.choice(len(names), tried, replace=False))
+        t = _grow(x, rng, int(pdf["_limit"].iloc[0]), among)
+        depth = np.zeros(len(t["size"]))
+        for at in range(len(depth)):  # children come after their parent
+            for child in (t["left"][at], t["right"][at]):
+                if child >= 0:
+                    depth[child] = depth[at] + 1
+        return pd.DataFrame([{"fit": key[0], "tree": int(key[1]), "feature": t["feature"], "threshold": t["threshold"], "left": t["left"],
+                              "right": t["right"], "value": (depth + average_path(np.array(t["size"]))).tolist(), "rows": int(t["size"][0])}])
+
+    return written(spread.groupBy("fit", "tree").applyInPandas(grow, TREE_COLUMNS + ", rows int"), "isolation")
+
+
+def score_isolation_forests(df: DataFrame, trees: DataFrame, features: Sequence[str], ids: Sequence[str], out: str = "anomaly_score") -> DataFrame:
+    """Add the anomaly score by the forest of each row's ``fit``; null where that has no trees."""
+    met = meet_trees(df, trees, features, 1, leaf_values(1), ids, "_path")
+    n = F.col("_rows")
+    scale = trees.groupBy("fit").agg(F.avg("rows").alias("_rows")).select(
+        "fit", F.when(n > 2, 2 * (F.log(n - 1) + F.lit(float(np.euler_gamma))) - 2 * (n - 1) / n).otherwise(F.lit(1.0)).alias("_scale"))
+    mean = F.try_divide(F.element_at("_path", 1), F.col("n_trees").cast("double"))
+    return met.join(scale, "fit", "left").withColumn(out, F.pow(F.lit(2.0), -mean / F.col("_scale"))).drop("_path", "n_trees", "_scale")
+
+
+# settings compared by the study: trees, subsample, share of the features per tree (fixed values)
+STUDY = {
+    "n100_s256": (100, 256, 1.0),
+    "n300_s256": (300, 256, 1.0),
+    "n200_s2048": (200, 2048, 1.0),
+    "n200_s8192": (200, 8192, 1.0),
+    "n200_s2048_f05": (200, 2048, 0.5),
+    "n200_s256_f03": (200, 256, 0.3),
+}
+
+
+def isolation_study(
+    benign: DataFrame, val: DataFrame, features: Sequence[str], ids: Sequence[str], attack: Column, tool: str,
+    settings: dict[str, tuple[int, int, float]] | None = None, share: float = 0.995, seed: int = 7,
+) -> tuple[DataFrame, DataFrame]:
+    """Which setting separates attacks best on ``val``: (a row per setting, a row per setting and tool).
+
+    Per setting the ROC-AUC, the cut at the ``share`` quantile of benign scores, and the rates of benign and attack rows
+    above it; per tool its recall with an interval.
+    """
+    settings = settings or STUDY
+    spark, fits = benign.sparkSession, F.explode(F.array(*[F.lit(k) for k in settings])).alias("fit")
+    plan = spark.createDataFrame([(k, *v) for k, v in settings.items()], "fit string, trees int, sample int, share double")
+    trees = grow_isolation_forests(benign.select(fits, *ids, *features), plan, features, ids, seed)
+    rows = val.select(fits, *ids, attack.alias("_attack"), F.col(tool).alias("tool"), *[F.col(f).cast("double").alias(f) for f in features])
+    scored = written(score_isolation_forests(rows, trees, features, ids).select("fit", "tool", "_attack", "anomaly_score"), "study")
+    cut = quantiles(scored.where("not _attack"), ["anomaly_score"], {"tau": share}, keys=["fit"]).select("fit", "tau")
+    judged = scored.join(cut, "fit").withColumn("_hit", F.col("anomaly_score") > F.col("tau"))
+    auc = ranking_quality(scored, F.col("_attack"), "anomaly_score", keys=["fit"]).select("fit", "roc_auc")
+    rate = lambda c: F.avg(F.when(c, F.col("_hit").cast("double")))
+    overall = judged.groupBy("fit", "tau").agg(
+        F.count_if(~F.col("_attack")).alias("n_benign"), rate(~F.col("_attack")).alias("benign_flag_rate"), rate(F.col("_attack")).alias("recall"))
+    per_tool = judged.where("_attack").groupBy("fit", "tool").agg(F.count(F.lit(1)).alias("n"), F.count_if("_hit").alias("hits"))
+    lo, hi = wilson(F.col("hits"), F.col("n"))
+    per_tool = per_tool.withColumns({"recall": F.col("hits") / F.col("n"), "recall_lo": lo, "recall_hi": hi})
+    name = {"fit": "setting"}
+    return overall.join(auc, "fit").withColumnsRenamed(name), per_tool.withColumnsRenamed(name)
+
+
 def _passes(trees: list) -> list[list]:
     out: list[list] = [[]]
     held = 0

@@ -25,7 +25,7 @@ def test_operators_are_called_with_their_defaults(spark, monkeypatch):
 
     def tune(train, val, features, tools, **more):
         asked["tune"] = (tools, more)
-        one = spark.range(1).select(F.lit("c").alias("config"), F.lit(1).alias("rank"))
+        one = spark.range(1).select(F.lit("c").alias("config"), F.lit(1).alias("rank"), F.lit(0.0).alias("objective"), F.lit(0.0).alias("tie_break"))
         return one, one
 
     def run_holdouts(train, val, test, units, setting, **more):
@@ -37,7 +37,7 @@ def test_operators_are_called_with_their_defaults(spark, monkeypatch):
 
     def ablation(train, test, variants, params, **more):
         held.append((len(variants), params, more.get("held_tool")))
-        return spark.range(1)
+        return spark.range(1).select(*[F.lit(0).alias(c) for c in ("variant", "features", "recall", "worst_recall", "held_recall")])
 
     for name, f in (("tune", tune), ("run_holdouts", run_holdouts), ("ablation", ablation)):
         monkeypatch.setattr(T, name, f)
