@@ -3,50 +3,165 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+from pyspark import Accumulator
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowlens.plans.recipes import hash01
+from flowlens.plans.recipes import hash01, smallest_by_hash
+from flowlens.session import written
 
 BLOCK_ROWS = 2048
-NEAR_SCHEMA = "label string, id string, near string, dist double"
+MOST_PIVOTS = 256
+SLACK = 1e-9  # of a distance: what rounding may take from the triangle inequality
+FOUND = "label string, id string, near string, dist double"
 
 
-def nearest_in_class(points: DataFrame, k: int = 5, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Exact k nearest rows of the same class: ``label, id, near, dist, rank`` (ties by id).
+def _matrix(vectors: pa.ChunkedArray) -> np.ndarray:
+    flat = vectors.combine_chunks()
+    return flat.flatten().to_numpy(zero_copy_only=False).reshape(len(flat), -1).astype(np.float64)
+
+
+def _nearest(label: str, ids: list[str], x: np.ndarray, names: np.ndarray, y: np.ndarray, spans, k: int) -> tuple[list[tuple], int]:
+    """The k nearest of ``y`` per row of ``x``, looking only at rows ``spans[i]`` of ``y``; ``names`` sorted per distance tie."""
+    out, looked = [], 0
+    for i, name in enumerate(ids):
+        lo, hi = spans[i]
+        if lo >= hi:
+            continue
+        d = np.sqrt(((y[lo:hi] - x[i]) ** 2).sum(axis=1))
+        looked += hi - lo
+        mine = names[lo:hi]
+        d[mine == name] = np.inf
+        best = np.lexsort((mine, d))[:k] if hi - lo <= 4 * k else None
+        if best is None:
+            edge = np.partition(d, k - 1)[k - 1]
+            some = np.flatnonzero(d <= edge)
+            best = some[np.lexsort((mine[some], d[some]))[:k]]
+        out += [(label, name, str(mine[j]), float(d[j])) for j in best if np.isfinite(d[j])]
+    return out, looked
+
+
+def _table(rows: list[tuple]) -> pa.Table:
+    columns = list(zip(*rows, strict=True)) if rows else [[], [], [], []]
+    return pa.table([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.string()),
+                     pa.array(columns[3], pa.float64())], names=["label", "id", "near", "dist"])
+
 
-    points: label, id (strings), vec (array of doubles). A class is cut into blocks; every
-    task compares two blocks and keeps k rows per query, and the survivors are merged, so
-    neither a class nor its pairs meet anywhere as a whole.
+def _distinct_neighbours(points: DataFrame, k: int, block_rows: int, looked: Accumulator | None) -> DataFrame:
+    """``label, id, near, dist``: the k nearest (ties by id) among points with distinct vectors, by a pivot index.
+
+    Every point belongs to the cell of its nearest pivot. The k-th distance found in its own cell bounds its search: by the
+    triangle inequality a cell with pivot distance D, radius R can only hold a nearer point if D - R, and half of D minus
+    the distance to its own pivot, do not exceed the bound; inside a cell only points in the ring D +- bound can.
     """
+    def count(n: int) -> None:
+        if looked is not None:
+            looked.add(n)
+
     sizes = points.groupBy("label").agg(F.count(F.lit(1)).alias("_n"))
-    blocks = sizes.select("label", F.ceil(F.col("_n") / block_rows).cast("int").alias("_nb"))
-    cut = points.join(blocks, "label").withColumn(
-        "_own", F.pmod(F.xxhash64("id"), F.col("_nb")).cast("int")).withColumn(
-        "_other", F.explode(F.sequence(F.lit(0), F.col("_nb") - 1)))
-    ask = cut.select("label", F.col("_own").alias("q"), F.col("_other").alias("r"), "id", "vec")
-    ref = cut.select(F.col("label").alias("label_b"), F.col("_other").alias("q_b"), F.col("_own").alias("r_b"),
-                     F.col("id").alias("id_b"), F.col("vec").alias("vec_b"))
-
-    def compare(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if a.empty or b.empty:
-            return pd.DataFrame({"label": [], "id": [], "near": [], "dist": []})
-        b = b.sort_values("id_b")
-        x, y = np.stack(a["vec"].to_numpy()), np.stack(b["vec_b"].to_numpy())
-        names = b["id_b"].to_numpy()
-        out = []
-        for i, name in enumerate(a["id"]):
-            d = np.sqrt(((y - x[i]) ** 2).sum(axis=1))
-            d[names == name] = np.inf
-            best = np.argsort(d, kind="stable")[:k]
-            out += [(key[0], name, names[j], float(d[j])) for j in best if np.isfinite(d[j])]
-        return pd.DataFrame(out, columns=["label", "id", "near", "dist"])
-
-    pairs = ask.groupBy("label", "q", "r").cogroup(ref.groupBy("label_b", "q_b", "r_b"))
-    near = pairs.applyInPandas(compare, NEAR_SCHEMA)
+    sized = points.join(sizes, "label").withColumns({
+        "_blocks": F.ceil(F.col("_n") / block_rows).cast("int"),
+        "_pivots": F.least(F.lit(MOST_PIVOTS), F.ceil(F.sqrt(F.col("_n").cast("double"))).cast("int"))})
+    pivots = written(smallest_by_hash(sized, ["label"], ["id"], F.col("_pivots")).select(
+        "label", F.col("id").alias("cell"), F.col("vec").alias("at"), "_blocks"), "pivots")
+    dealt = sized.select("label", "id", "vec", F.pmod(F.xxhash64("id"), F.col("_blocks")).cast("int").alias("_block"))
+    spread = pivots.withColumn("_block", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))).drop("_blocks")
+    pivot_side = spread.select(F.col("label").alias("label_b"), F.col("_block").alias("_block_b"), "cell", "at")
+
+    def assign(key: tuple, a: pa.Table, b: pa.Table) -> pa.Table:
+        if not a.num_rows:
+            return pa.table([a["label"], a["id"], a["vec"], pa.array([], pa.string()), pa.array([], pa.float64())], names=["label", "id", "vec", "cell", "own"])
+        b = b.sort_by("cell")
+        x, p = _matrix(a["vec"]), _matrix(b["at"])
+        d = np.stack([np.sqrt(((x - c) ** 2).sum(axis=1)) for c in p], axis=1)
+        best = d.argmin(axis=1)
+        return pa.table([a["label"], a["id"], a["vec"], b["cell"].take(pa.array(best)), pa.array(d[np.arange(len(x)), best])],
+                        names=["label", "id", "vec", "cell", "own"])
+
+    placed = written(dealt.groupBy("label", "_block").cogroup(pivot_side.groupBy("label_b", "_block_b")).applyInArrow(
+        assign, "label string, id string, vec array<double>, cell string, own double"), "placed")
+    cells = placed.groupBy("label", "cell").agg(F.max("own").alias("radius"), F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("_parts"))
+    members = placed.join(cells.select("label", "cell", "_parts"), ["label", "cell"]).withColumn("_part", F.pmod(F.xxhash64(F.lit(5), "id"), F.col("_parts")).cast("int"))
+    inside = members.select("label", "cell", "_part", F.col("id").alias("near"), F.col("vec").alias("to"), "own")
+
+    def compare(key: tuple, a: pa.Table, b: pa.Table) -> pa.Table:
+        if not a.num_rows or not b.num_rows:
+            return _table([])
+        b = b.sort_by([("own", "ascending"), ("near", "ascending")])
+        ring = b["own"].to_numpy()
+        away, bound = a["away"].to_numpy(), a["bound"].to_numpy()
+        lo, hi = np.searchsorted(ring, away - bound, "left"), np.searchsorted(ring, away + bound, "right")
+        rows, n = _nearest(key[0].as_py(), a["id"].to_pylist(), _matrix(a["vec"]), np.array(b["near"].to_pylist(), dtype=object), _matrix(b["to"]),
+                           list(zip(lo, hi, strict=True)), k)
+        count(n)
+        return _table(rows)
+
+    def meet(asks: DataFrame) -> DataFrame:
+        """Every ask (``label, cell, id, vec, away, bound``) against all parts of its cell."""
+        wide = asks.join(cells.select("label", "cell", "_parts"), ["label", "cell"]).withColumn(
+            "_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts")
+        # an ask lies in one group per part; blocks of asks bound what a task holds
+        wide = wide.withColumn("_ask", F.pmod(F.xxhash64(F.lit(9), "id"), F.lit(4)).cast("int"))
+        held = inside.withColumn("_ask", F.explode(F.sequence(F.lit(0), F.lit(3))))
+        keys = ["label", "cell", "_part", "_ask"]
+        held = held.select(*[F.col(c).alias(f"{c}_b") for c in keys], "near", "to", "own")
+        return wide.groupBy(*keys).cogroup(held.groupBy(*[f"{c}_b" for c in keys])).applyInArrow(compare, FOUND)
+
+    own = placed.select("label", "cell", "id", "vec", F.col("own").alias("away"), F.lit(float("inf")).alias("bound"))
+    first = written(_best(meet(own), k), "own_cell")
+    bounds = first.groupBy("label", "id").agg(F.max("dist").alias("_far"), F.count(F.lit(1)).alias("_k"))
+    asking = placed.join(bounds, ["label", "id"], "left").withColumn(
+        "bound", F.when(F.col("_k") >= k, F.col("_far") * (1 + SLACK) + SLACK).otherwise(F.lit(float("inf"))))
+    asking = asking.join(sizes, "label").withColumn(
+        "_block", F.pmod(F.xxhash64("id"), F.ceil(F.col("_n") / block_rows).cast("int")).cast("int")).select(
+        "label", "_block", "id", "vec", "cell", "own", "bound")
+    around = spread.join(cells.select("label", "cell", "radius"), ["label", "cell"]).select(
+        F.col("label").alias("label_b"), F.col("_block").alias("_block_b"), F.col("cell").alias("cell_b"), "at", "radius")
+
+    def visits(key: tuple, a: pa.Table, b: pa.Table) -> pa.Table:
+        names = ["label", "cell", "id", "vec", "away", "bound"]
+        if not a.num_rows or not b.num_rows:
+            return a.append_column("away", a["own"]).select(names).slice(0, 0)
+        x, home, bound = _matrix(a["vec"]), a["own"].to_numpy()[:, None], a["bound"].to_numpy()[:, None]
+        d = np.stack([np.sqrt(((x - c) ** 2).sum(axis=1)) for c in _matrix(b["at"])], axis=1)
+        least = np.maximum(d - b["radius"].to_numpy()[None, :], (d - home) / 2)
+        other = np.array(b["cell_b"].to_pylist(), dtype=object)[None, :] != np.array(a["cell"].to_pylist(), dtype=object)[:, None]
+        i, j = np.nonzero(other & (least * (1 - SLACK) - SLACK <= bound))
+        rows = a.take(pa.array(i))
+        return pa.table([rows["label"], b["cell_b"].take(pa.array(j)), rows["id"], rows["vec"], pa.array(d[i, j]), rows["bound"]], names=names)
+
+    asks = asking.groupBy("label", "_block").cogroup(around.groupBy("label_b", "_block_b")).applyInArrow(
+        visits, "label string, cell string, id string, vec array<double>, away double, bound double")
+    return _best(first.unionByName(meet(asks)), k)
+
+
+def _best(found: DataFrame, k: int) -> DataFrame:
+    """At most k rows per point: every cell that was met gives k at most."""
     w = Window.partitionBy("label", "id").orderBy("dist", "near")
-    return near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return found.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k).drop("_r")
+
+
+def nearest_in_class(points: DataFrame, k: int = 5, block_rows: int = BLOCK_ROWS, looked: Accumulator | None = None) -> DataFrame:
+    """Exact k nearest rows of the same class: ``label, id, near, dist, rank`` (ties by id).
+
+    points: label, id (strings), vec (array of doubles). Equal vectors are searched once: of any group of them only the
+    k + 1 smallest ids can be among the nearest of anything. Distinct vectors go through a pivot index, so a point is
+    compared with its own cell and the rings of other cells that the triangle inequality cannot rule out. ``looked``
+    counts the distances computed between points.
+    """
+    points = points.select("label", "id", "vec")
+    reps = points.groupBy("label", "vec").agg(F.min("id").alias("rep"))
+    named = written(points.join(reps, ["label", "vec"]), "points")
+    w = Window.partitionBy("label", "rep").orderBy("id")
+    firsts = named.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k + 1).select("label", "rep", F.col("id").alias("near"))
+    distinct = named.where(F.col("id") == F.col("rep")).select("label", "id", "vec")
+    found = _distinct_neighbours(distinct, k, block_rows, looked).select("label", F.col("id").alias("rep"), F.col("near").alias("other"), "dist")
+    ids = named.select("label", "id", "rep")
+    others = ids.join(found, ["label", "rep"]).join(firsts.withColumnRenamed("rep", "other"), ["label", "other"]).select("label", "id", "near", "dist")
+    equal = ids.join(firsts, ["label", "rep"]).where(F.col("near") != F.col("id")).select("label", "id", "near", F.lit(0.0).alias("dist"))
+    best = Window.partitionBy("label", "id").orderBy("dist", "near")
+    return others.unionByName(equal).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 
 def smote(points: DataFrame, target: int, k: int = 5, seed: int = 7) -> DataFrame:

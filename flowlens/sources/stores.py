@@ -27,19 +27,17 @@ def ignore_known(batch: DataFrame, stored: DataFrame, key: str, order: Sequence[
     return first_delivery(batch.join(stored.select(key), key, "left_anti").select(*batch.columns), key, order)
 
 
-def sink_flows_idempotent(batch: DataFrame, path: str, key: str = "flow_id", order: Sequence[str] = ("observed_at",)) -> None:
-    """Append the rows whose key is new; delivering a batch again changes nothing. Fits ``foreachBatch``."""
-    spark = batch.sparkSession
-    if _exists(spark, path):
-        fresh = ignore_known(batch, spark.read.schema(batch.schema).parquet(path), key, order)
-    else:
-        fresh = first_delivery(batch, key, order)
-    fresh.write.mode("append").parquet(path)
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
+def sink_flows_idempotent(
+    batch: DataFrame, path: str, key: str = "flow_id", order: Sequence[str] = ("observed_at",), batch_id: int | None = None,
+) -> None:
+    """Add the rows whose key is new to a pruned store (see flow_store); without ``batch_id`` as the next batch.
+
+    Delivering a batch again changes nothing.
+    """
+    from flowlens.sources.flow_store import FlowStore
+
+    store = FlowStore(path, key, order)
+    store.sink(batch, store.last_batch(batch.sparkSession) + 1 if batch_id is None else batch_id)
 
 
 def append_drift_snapshot(df: DataFrame, path: str) -> None:

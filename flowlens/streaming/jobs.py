@@ -138,5 +138,5 @@ def run_flow_store(
     """Feed the flow store from a stream; a batch that is replayed after a failure adds nothing, a further run goes on."""
     q = stream.writeStream.trigger(availableNow=True).option(
         "checkpointLocation", progress or progress_of(path)).foreachBatch(
-        lambda df, _: sink_flows_idempotent(df, path, key, order)).start()
+        lambda df, batch_id: sink_flows_idempotent(df, path, key, order, batch_id)).start()
     q.awaitTermination()
