@@ -154,8 +154,11 @@ def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     Documents stay whole: the one in which a source's target is reached is used when at least half of its words are wanted.
     Rows that share an id follow it together, once per pass.
     """
-    uses = training_positions(docs.select("doc_id", "text", "source"), **how).select("doc_id", "size", F.explode("uses").alias("_use"))
-    uses = uses.where(F.col("_use.words") * 2 >= F.col("size")).groupBy(F.col("doc_id").alias("_id"), F.col("_use.pass").alias("_pass")).agg(
-        F.min("_use.position").alias("_position"))
-    placed = docs.join(uses, docs["doc_id"].eqNullSafe(F.col("_id"))).repartitionByRange("_position", "doc_id")
-    return placed.sortWithinPartitions("_position", "doc_id").drop("_id", "_pass", "_position")
+    uses = training_positions(docs.select("doc_id", "text", "source"), **how).select("doc_id", "size", F.explode("uses").alias("use"))
+    uses = uses.where(F.col("use.words") * 2 >= F.col("size")).groupBy(F.col("doc_id").alias("used_id"), F.col("use.pass").alias("pass")).agg(
+        F.min("use.position").alias("position"))
+    # the columns of docs travel as one, so that theirs may have any names
+    rows = docs.select(F.col("doc_id").alias("own_id"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    placed = rows.join(uses, F.col("own_id").eqNullSafe(F.col("used_id"))).repartitionByRange("position", "own_id")
+    placed = placed.sortWithinPartitions("position", "own_id")
+    return placed.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])

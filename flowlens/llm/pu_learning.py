@@ -8,13 +8,13 @@ The second part estimates the risk on negatives without any; where a step makes
 begun to memorise and the step goes the other way. The logistic loss makes sigmoid(g) a probability.
 
 The fit runs in numpy on a bounded, documented sample of rows (``POSITIVES``, ``UNLABELLED``), chosen by a hash of
-their ids; class prior and scores come from all rows. Labels are learnt from only where crc32(doc_id) mod 5 is not 0;
+their ids; scores cover all rows. Labels are learnt from only where crc32(doc_id) mod 5 is not 0;
 unlabelled texts of the sample are held to the same rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,17 +22,23 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from flowlens.llm.storage import stored
 from flowlens.llm.words import SIGNS, Words, words_of
 
 POSITIVES = 8_192
 UNLABELLED = 16_384
 HASH_BITS = 18
 FOLDS = 5
+LEAST_FOR_PRIOR = 50
+
+
+def fold_of(doc_id: Column) -> Column:
+    """Fold 0 is kept for testing; a null id counts as an empty one."""
+    return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))), F.lit(FOLDS))
 
 
 def held_out(doc_id: Column) -> Column:
-    """True where the row is kept for testing; a null id counts as an empty one."""
-    return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))), F.lit(FOLDS)) == 0
+    return fold_of(doc_id) == 0
 
 
 # ---- what a text looks like
@@ -121,47 +127,70 @@ def fit_nnpu(positive: np.ndarray, features: np.ndarray, prior: float, l2: float
     return w, float(bias)
 
 
-def _telling(positive: np.ndarray, row: np.ndarray, bucket: np.ndarray, least_z: float, most: int) -> np.ndarray:
+def _telling(c_p: np.ndarray, c_u: np.ndarray, n_p: int, n_u: int, least_z: float, most: int) -> np.ndarray:
     """Buckets whose share of texts differs between positives and unlabelled by ``least_z`` standard errors."""
-    n_p, n_u = positive.sum(), (~positive).sum()
-    c_p = np.bincount(bucket[positive[row]], minlength=1 << HASH_BITS)
-    c_u = np.bincount(bucket[~positive[row]], minlength=1 << HASH_BITS)
     pooled = (c_p + c_u + 1) / (n_p + n_u + 2)
     z = (c_p / max(n_p, 1) - c_u / max(n_u, 1)) / np.sqrt(pooled * (1 - pooled) * (1 / max(n_p, 1) + 1 / max(n_u, 1)))
     best = np.argsort(-np.abs(z), kind="stable")[:most]
     return best[np.abs(z[best]) >= least_z]
 
 
-def _sample(docs: DataFrame, labels: DataFrame, label: str, positives: int, unlabelled: int) -> tuple[DataFrame, float]:
-    """``doc_id, text, positive`` of the rows to fit on, and the class prior from all labelled rows outside the test fold."""
-    known = labels.select("doc_id", F.col(label).alias("_label")).where(F.col("_label").isNotNull() & ~held_out(F.col("doc_id")))
+def estimate_prior(of_positives: np.ndarray, of_unlabelled: np.ndarray, delta: float = 0.1, gamma: float = 0.01) -> float:
+    """Share of positives among unlabelled texts, from scores that no model was fitted on.
+
+    Above any score c the unlabelled texts hold at least the positives: q_U(c) >= prior * q_P(c). Where only positives are
+    left above c, the ratio is the prior itself. The c is taken at which the ratio plus its sampling error is smallest.
+    """
+    cuts = np.unique(of_positives)
+    q_p = 1 - np.searchsorted(np.sort(of_positives), cuts, side="left") / len(of_positives)
+    q_u = 1 - np.searchsorted(np.sort(of_unlabelled), cuts, side="left") / len(of_unlabelled)
+    error = np.sqrt(np.log(4 / delta) / 2) * (len(of_positives) ** -0.5 + len(of_unlabelled) ** -0.5)
+    best = int(np.argmin((q_u + (1 + gamma) * error) / q_p))
+    return float(np.clip(q_u[best] / q_p[best], 0.001, 0.999))
+
+
+def _sample(docs: DataFrame, labels: DataFrame, label: str, positives: int, unlabelled: int, without: Sequence[int]) -> tuple[DataFrame, float]:
+    """``doc_id, text, positive`` of the rows to fit on, and the share of positives among labelled rows outside the test fold.
+
+    At most ``positives + unlabelled`` rows, whatever rows share an id: of those the smallest text stands for all.
+    """
+    def may_learn() -> Column:
+        return ~fold_of(F.col("doc_id")).isin([0, *without])
+
+    known = labels.select("doc_id", F.col(label).alias("_label")).where(F.col("_label").isNotNull() & may_learn())
     ones, all_rows = known.agg(F.coalesce(F.sum((F.col("_label") == 1).cast("long")), F.lit(0)), F.count(F.lit(1))).first()
     by_hash = F.xxhash64(F.lit(31), "doc_id")
     trusted = known.where("_label = 1").select("doc_id").distinct().orderBy(by_hash, "doc_id").limit(positives)
     # unlabelled texts: their labels, where there are any, are not looked at
-    pool = docs.select("doc_id").where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).distinct()
+    pool = docs.select("doc_id").where(F.col("doc_id").isNotNull() & may_learn()).distinct()
     pool = pool.orderBy(F.xxhash64(F.lit(37), "doc_id"), "doc_id").limit(unlabelled)
     ids = trusted.select("doc_id", F.lit(True).alias("positive")).unionByName(pool.select("doc_id", F.lit(False).alias("positive")))
     # at most positives + unlabelled ids of 8 bytes: the limits above bound what is broadcast
     picked = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
-    return picked, (ones + 1) / (all_rows + 2)
+    return picked.groupBy("doc_id", "positive").agg(F.min("text").alias("text")), (ones + 1) / (all_rows + 2)
 
 
-def _looks(seen: pa.Table, *names: str) -> list[bytes]:
-    """The features of each row as bytes."""
-    columns = [seen[n].combine_chunks() for n in names]
-    flat = [(c.offsets.to_numpy(), c.values.to_numpy(zero_copy_only=False)) for c in columns]
-    return [b"|".join(v[at[i]:at[i + 1]].tobytes() for at, v in flat) for i in range(len(seen))]
+def _chosen_words(rows: DataFrame, least_z: float, most: int) -> np.ndarray:
+    """The telling buckets; Spark counts them, at most 2^HASH_BITS counts reach the driver."""
+    n_p, n_u = rows.agg(F.count_if("positive"), F.count_if(~F.col("positive"))).first()
+    per = rows.select("positive", F.explode("words").alias("bucket")).groupBy("bucket").agg(
+        F.count_if("positive").alias("p"), F.count_if(~F.col("positive")).alias("u")).toArrow()
+    counts = np.zeros((2, 1 << HASH_BITS))
+    counts[:, per["bucket"].to_numpy()] = per["p"].to_numpy(), per["u"].to_numpy()
+    return _telling(counts[0], counts[1], n_p, n_u, least_z, most)
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str, style: bool, words: bool, l2: float = 1e-3,
-          least_z: float = 4.0, most_words: int = 1_000, steps: int = 400, distinct: bool = False, positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> Model | None:
+          least_z: float = 4.0, most_words: int = 1_000, steps: int = 400, distinct: bool = False, positives: int = POSITIVES,
+          unlabelled: int = UNLABELLED, without: Sequence[int] = ()) -> Model | None:
     """The fitted model, or None without any trusted positive or unlabelled text to learn from.
 
     With ``distinct`` texts that are alike in all features count once per side, so that the words of a group of copies
-    are no evidence.
+    are no evidence. ``without`` names folds that are left out beside the test fold. The class prior is estimated over the
+    unlabelled half of the sample that a first fit does not see; a sample too small for that keeps the share of labels.
+    What reaches the driver is at most ``positives + unlabelled`` rows of the style features and ``most_words`` word places.
     """
-    picked, prior = _sample(docs, labels, label, positives, unlabelled)
+    picked, share = _sample(docs, labels, label, positives, unlabelled, without)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -174,13 +203,29 @@ def train(docs: DataFrame, labels: DataFrame, label: str, style: bool, words: bo
                 cuts = np.searchsorted(t, np.arange(n + 1))
                 at = np.arange(0, n * dense.shape[1] + 1, max(dense.shape[1], 1)) if dense.shape[1] else np.zeros(n + 1)
                 yield pa.RecordBatch.from_arrays([
-                    batch.column("doc_id").slice(a.first, n), batch.column("positive").slice(a.first, n),
+                    batch.column("positive").slice(a.first, n),
                     pa.ListArray.from_arrays(at.astype(np.int32), dense.astype(np.float32).ravel()),
                     pa.ListArray.from_arrays(cuts.astype(np.int32), k.astype(np.int32)),
-                ], names=["doc_id", "positive", "style", "words"])
+                ], names=["positive", "style", "words"])
+
+    rows = picked.mapInArrow(features, "positive boolean, style array<float>, words array<int>").withColumn("look", F.xxhash64("style", "words"))
+    rows = stored(rows.dropDuplicates(["positive", "look"]) if distinct else rows, "features")
+    chosen = _chosen_words(rows, least_z, most_words) if words else np.zeros(0, dtype=np.int64)
+    place = np.full(1 << HASH_BITS, -1, dtype=np.int32)
+    place[chosen] = np.arange(len(chosen))
 
-    seen = picked.mapInArrow(features, "doc_id long, positive boolean, style array<float>, words array<int>").toArrow()
-    seen = seen.sort_by([("doc_id", "ascending"), ("positive", "ascending")]).combine_chunks()
+    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held = batch.column("words")
+            at, found = held.offsets.to_numpy(), place[held.values.to_numpy(zero_copy_only=False)]
+            upto = np.concatenate([[0], np.cumsum(found >= 0)])[at]
+            yield pa.RecordBatch.from_arrays([
+                batch.column("positive"), batch.column("look"), batch.column("style"),
+                pa.ListArray.from_arrays((upto - upto[0]).astype(np.int32), found[at[0]:at[-1]][found[at[0]:at[-1]] >= 0])], names=["positive", "look", "style", "words"])
+
+    seen = rows.select("positive", "look", "style", "words").mapInArrow(told, "positive boolean, look long, style array<float>, words array<int>").toArrow()
+    # rows that tie are alike, so the order of the sums is always the same
+    seen = seen.sort_by([("look", "ascending"), ("positive", "ascending")]).combine_chunks()
     positive = np.array(seen["positive"].to_pylist(), dtype=bool)
     if not positive.any() or positive.all():
         return None
@@ -188,31 +233,49 @@ def train(docs: DataFrame, labels: DataFrame, label: str, style: bool, words: bo
     def flat(name: str) -> np.ndarray:
         return seen[name].combine_chunks().flatten().to_numpy(zero_copy_only=False)
 
-    if distinct:
-        looks = list(zip(_looks(seen, "style", "words"), positive.tolist(), strict=True))
-        first = sorted({look: i for i, look in reversed(list(enumerate(looks)))}.values())
-        seen, positive = seen.take(first).combine_chunks(), positive[first]
-
     mean = scale = np.zeros(0)
     dense = flat("style").astype(np.float64).reshape(len(positive), -1)
     if style:
         mean, scale = dense.mean(axis=0), dense.std(axis=0) + 1e-3
         dense = np.clip((dense - mean) / scale, -5, 5)
     lengths = np.diff(seen["words"].combine_chunks().offsets.to_numpy())
-    row, bucket = np.repeat(np.arange(len(positive)), lengths), flat("words").astype(np.int64)
-    chosen = _telling(positive, row, bucket, least_z, most_words) if words else np.zeros(0, dtype=np.int64)
-    place = np.full(1 << HASH_BITS, -1)
-    place[chosen] = len(mean) + np.arange(len(chosen))
     grid = np.zeros((len(positive), len(mean) + len(chosen)), dtype=np.float32)
     grid[:, :len(mean)] = dense
-    hit = place[bucket] >= 0
-    grid[row[hit], place[bucket[hit]]] = 1
+    grid[np.repeat(np.arange(len(positive)), lengths), len(mean) + flat("words").astype(np.int64)] = 1
+
+    prior = share
+    first = (seen["look"].combine_chunks().to_numpy() >> 7) % 2 == 0
+    if min(positive[first].sum(), positive[~first].sum(), (~positive[first]).sum(), (~positive[~first]).sum()) >= LEAST_FOR_PRIOR:
+        w, bias = fit_nnpu(positive[first], grid[first], share, l2, min(steps, 400))
+        score = grid[~first] @ w.astype(np.float32) + bias
+        prior = estimate_prior(score[positive[~first]], score[~positive[~first]])
     w, bias = fit_nnpu(positive, grid, prior, l2, steps)
     table = np.zeros(1 << HASH_BITS if words else 0, dtype=np.float64)
     table[chosen] = w[len(mean):]
     return Model(mean, scale, w[:len(mean)], table, bias)
 
 
+def cross_validate(
+    docs: DataFrame, labels: DataFrame, label: str, settings: Sequence[dict], threshold: float, **how,
+) -> list[tuple[dict, float, float]]:
+    """Per setting the mean recall of 1s and of 0s over the learning folds, each scored by a model that never saw it.
+
+    The test fold has no part in it, so settings chosen by these figures may be judged on that fold.
+    """
+    known = labels.select("doc_id", F.col(label).alias("_y")).where(F.col("_y").isNotNull()).distinct()
+    out = []
+    for setting in settings:
+        found = []
+        for fold in range(1, FOLDS):
+            model = train(docs, labels, label, without=(fold,), **how, **setting)
+            mine = docs.where(fold_of(F.col("doc_id")) == fold)
+            got = scored(mine, model, threshold).join(known, "doc_id")
+            found.append(got.agg(*[F.avg(F.when(F.col("_y") == y, (F.col("predicted") == y).cast("double"))) for y in (1, 0)]).first())
+        ones, zeros = (float(np.mean([f[i] for f in found if f[i] is not None])) for i in (0, 1))
+        out.append((setting, ones, zeros))
+    return out
+
+
 def scored(docs: DataFrame, model: Model | None, threshold: float) -> DataFrame:
     """``doc_id, held_out, score, predicted`` of every row; without a model every score is 0.5."""
 

@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame
 from flowlens.llm.pu_learning import accepted, scored, train
 
 THRESHOLD = 0.3
+#: Chosen by cross_validate over the four learning folds of the sf0.1 tables (highest mean of both recalls): 1e-3 and 400
+#: steps 0.9863, 1e-4 and 400 steps 0.9921, 1e-4 and 1,500 steps 0.9922. The test fold had no part in it.
 L2 = 1e-4
 STEPS = 1_500
 

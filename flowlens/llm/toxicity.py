@@ -7,7 +7,9 @@ from pyspark.sql import DataFrame
 from flowlens.llm.pu_learning import scored, train
 
 THRESHOLD = 0.5
-L2 = 1e-4
+#: Chosen by cross_validate over the four learning folds of the sf0.1 tables (highest mean of both recalls): 1e-3 0.854,
+#: 1e-4 0.922, 3e-5 0.943, 1e-5 0.947. The test fold had no part in it.
+L2 = 1e-5
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:

@@ -3,7 +3,7 @@ import random
 import pytest
 
 #: Names that the operators use inside.
-CLASHING = {"size": 1, "band": "b", "component": 2, "rep": 3, "start": 4, "name": "n", "group": 5, "_group": 6, "target": 7.0, "_h": 8}
+CLASHING = {"size": 1, "band": "b", "component": 2, "rep": 3, "start": 4, "name": "n", "group": 5, "_group": 6, "target": 7.0, "_h": 8, "_id": 9, "_position": 1.5, "_pass": 10}
 
 
 def corpus(seed=3, n=120):

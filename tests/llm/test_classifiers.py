@@ -3,7 +3,7 @@ import zlib
 
 import numpy as np
 
-from flowlens.llm.pu_learning import fit_nnpu
+from flowlens.llm.pu_learning import _sample, cross_validate, estimate_prior, fit_nnpu
 from flowlens.llm.quality import good_documents, quality_scores
 from flowlens.llm.toxicity import toxicity_scores
 
@@ -71,3 +71,30 @@ def test_odd_rows(spark, odd, nothing):
         both = odd.select("doc_id", "text").unionByName(docs.select("doc_id", "text"))
         assert scores(both, labels.unionByName(spark.createDataFrame([(None, 1, 1), (3, None, None)], labels.schema))).count() == 309
     assert good_documents(docs, labels).columns == docs.columns
+
+
+def test_prior_is_estimated_over_unlabelled_texts():
+    rng = np.random.default_rng(3)
+    for prior in (0.1, 0.4, 0.9):
+        p = rng.normal(3, 1, 4_000)
+        u = np.concatenate([rng.normal(3, 1, int(8_000 * prior)), rng.normal(-1, 1, 8_000 - int(8_000 * prior))])
+        assert abs(estimate_prior(p, u) - prior) < 0.05
+
+
+def test_the_sample_is_bounded_whatever_rows_share_an_id(spark):
+    """A third of the rows have one id; labels name it too."""
+    rows = [(1, f"text {i}") for i in range(300)] + [(i, f"other {i}") for i in range(10, 610)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1, 1), *[(i, i % 2, 0) for i in range(10, 110)]], "doc_id long, quality int, toxic int")
+    picked, share = _sample(docs, labels, "quality", 20, 30, ())
+    got = picked.collect()
+    assert len(got) <= 50 and len({(r.doc_id, r.positive) for r in got}) == len(got)
+    assert all(zlib.crc32(str(r.doc_id).encode()) % 5 for r in got) and 0.3 < share < 0.7
+    assert {zlib.crc32(str(r.doc_id).encode()) % 5 for r in _sample(docs, labels, "quality", 20, 30, (2, 3))[0].collect()} <= {1, 4}
+
+
+def test_settings_are_judged_without_the_test_fold(spark):
+    docs, labels, _ = planted(spark, 400)
+    turned = labels.selectExpr("doc_id", "case when crc32(cast(doc_id as string)) % 5 = 0 then 1 - quality else quality end as quality", "toxic")
+    a, b = (cross_validate(docs, x, "quality", [{"l2": 1e-4, "steps": 50}], 0.3, style=True, words=False) for x in (labels, turned))
+    assert a == b and a[0][1] > 0.8
