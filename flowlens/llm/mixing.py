@@ -17,7 +17,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowlens.llm.storage import WORD, stored
+from flowlens.llm.storage import WORD, numbered, stored
 
 #: Relative demand at the times 0 and 1 (straight lines between the knots), dealt to sources in their order.
 CURRICULUM = (
@@ -88,7 +88,7 @@ def source_targets(sized: DataFrame, weights: Sequence[float] = WEIGHTS, share:
     return totals.select("source", "source_size", target.cast("double").alias("target"), "segments")
 
 
-def _running(sized: DataFrame) -> DataFrame:
+def _running(sized: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
     """``_start``: words of the documents that come before, within the source's hash order."""
     h = sized.withColumn("_h", F.xxhash64(F.lit(17), "doc_id", "size")).withColumns({
         "_b1": F.pmod(F.shiftrightunsigned("_h", 58), F.lit(FAN)), "_b2": F.pmod(F.shiftrightunsigned("_h", 52), F.lit(FAN))})
@@ -105,28 +105,31 @@ def _running(sized: DataFrame) -> DataFrame:
     offsets = fine.alias("f").join(
         coarse.alias("c"), F.col("f.source").eqNullSafe(F.col("c.source")) & (F.col("f._b1") == F.col("c._b1"))
     ).select("f.source", "f._b1", "f._b2", (F.col("c._o1") + F.col("f._o2")).alias("_o"))
-    inside = before("source", "_b1", "_b2").orderBy("_h", "doc_id", "size").rowsBetween(*up_to)
+    inside = before("source", "_b1", "_b2").orderBy("_h", "doc_id", "size", *carry).rowsBetween(*up_to)
     h = h.withColumn("_i", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     return h.alias("h").join(
         offsets.alias("o"),
         F.col("h.source").eqNullSafe(F.col("o.source")) & (F.col("h._b1") == F.col("o._b1")) & (F.col("h._b2") == F.col("o._b2")),
-    ).select("h.doc_id", "h.source", "h.size", (F.col("h._i") + F.col("o._o")).alias("_start"))
+    ).select("h.doc_id", "h.source", "h.size", *[f"h.{c}" for c in carry], (F.col("h._i") + F.col("o._o")).alias("_start"))
 
 
 def training_positions(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = 1.5, most: float = 2.0,
-                       curriculum: Sequence[Schedule] = CURRICULUM) -> DataFrame:
+                       curriculum: Sequence[Schedule] = CURRICULUM, row: str | None = None) -> DataFrame:
     """Per row of ``docs`` (``doc_id, text, source``): ``doc_id, size, source, source_size, target, uses``.
 
     ``uses`` has one entry per time the document is trained on: ``pass`` (0, 1), ``words`` (the document's size;
     less only for the one document per source and pass in which the target is reached) and ``position`` (0 to 1).
     Its words add up to the source's target but for rounding. Null and empty texts have size 0 and no uses;
     null sources are one source, the last; rows with equal ids are documents of their own; an empty table gives
-    an empty result; further columns are ignored. The same rows always give the same positions.
+    an empty result; further columns are ignored, but for the one that ``row`` names: unique longs that tell rows apart, returned
+    as ``row``. The same rows always give the same positions.
     """
-    sized = stored(docs.select(F.col("doc_id"), F.col("source"), word_count(F.col("text")).alias("size")), "sizes")
+    carry = ["row"] if row else []
+    own = [F.col(f"`{row}`").alias("row")] if row else []
+    sized = stored(docs.select(F.col("doc_id"), F.col("source"), word_count(F.col("text")).alias("size"), *own), "sizes")
     totals = source_targets(sized, weights, share, most, curriculum)
-    rows = _running(sized).alias("r").join(totals.alias("t"), F.col("r.source").eqNullSafe(F.col("t.source")))
-    rows = rows.select("r.doc_id", "r.source", "r.size", "r._start", "t.source_size", "t.target", "t.segments")
+    rows = _running(sized, carry).alias("r").join(totals.alias("t"), F.col("r.source").eqNullSafe(F.col("t.source")))
+    rows = rows.select("r.doc_id", "r.source", "r.size", *[f"r.{c}" for c in carry], "r._start", "t.source_size", "t.target", "t.segments")
     demand = F.round("target").cast("long")
     passes = int(-(-most // 1))
     uses = F.array(*[
@@ -135,7 +138,7 @@ def training_positions(docs: DataFrame, weights: Sequence[float] = WEIGHTS, shar
             F.least(F.greatest(demand - F.col("source_size") * k - F.col("_start"), F.lit(0)), F.col("size")).alias("words"),
             invert(F.col("segments"), (F.col("source_size") * k + F.col("_start")) / F.greatest(demand, F.lit(1))).alias("position"),
         ) for k in range(passes)])
-    return rows.select("doc_id", "size", "source", "source_size", "target", F.filter(uses, lambda x: x["words"] > 0).alias("uses"))
+    return rows.select("doc_id", *carry, "size", "source", "source_size", "target", F.filter(uses, lambda x: x["words"] > 0).alias("uses"))
 
 
 def mix_summary(docs: DataFrame, **how) -> DataFrame:
@@ -152,13 +155,13 @@ def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     """The documents in training order, with all their columns, repeated as often as they are used.
 
     Documents stay whole: the one in which a source's target is reached is used when at least half of its words are wanted.
-    Rows that share an id follow it together, once per pass.
+    Every row is a document of its own, also where ids are shared or null. An empty table gives an empty result.
     """
-    uses = training_positions(docs.select("doc_id", "text", "source"), **how).select("doc_id", "size", F.explode("uses").alias("use"))
-    uses = uses.where(F.col("use.words") * 2 >= F.col("size")).groupBy(F.col("doc_id").alias("used_id"), F.col("use.pass").alias("pass")).agg(
-        F.min("use.position").alias("position"))
+    rows, row = numbered(docs, "rows")
+    uses = training_positions(rows, **how, row=row).select("row", "size", F.explode("uses").alias("use"))
+    uses = uses.where(F.col("use.words") * 2 >= F.col("size")).select(F.col("row").alias("used"), F.col("use.position").alias("position"))
     # the columns of docs travel as one, so that theirs may have any names
-    rows = docs.select(F.col("doc_id").alias("own_id"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    placed = rows.join(uses, F.col("own_id").eqNullSafe(F.col("used_id"))).repartitionByRange("position", "own_id")
-    placed = placed.sortWithinPartitions("position", "own_id")
-    return placed.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
+    whole = rows.select(F.col(row).alias("own"), F.col("doc_id").alias("own_id"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole"))
+    placed = whole.join(uses, F.col("own") == F.col("used")).repartitionByRange("position", "own_id", "own")
+    placed = placed.sortWithinPartitions("position", "own_id", "own")
+    return placed.select(*[F.col("whole").getField(c).alias(c) for c in docs.columns])

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowlens.llm.components import connected_components
-from flowlens.llm.storage import columns_of, stored
+from flowlens.llm.storage import columns_of, numbered, stored
 from flowlens.llm.superminhash import band_keys, signatures
 from flowlens.llm.words import distinct_shingles, mix, words_of
 
@@ -215,6 +215,19 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, bands: i
 
 
 def drop_near_duplicates(docs: DataFrame, **how: int) -> DataFrame:
-    """One document of each group: the one with the smallest doc_id. Columns of ``docs`` stay as they are."""
-    lost = near_duplicates(docs, **how).where("not kept").select("doc_id").distinct()
-    return docs.join(lost, "doc_id", "left_anti")
+    """One document of each group: the one with the smallest doc_id. Columns of ``docs`` stay as they are, whatever their names.
+
+    Every row is a document of its own: rows that share an id are judged by their own texts, rows without an id take
+    part and stay only where their group has no id at all, and of rows that tie (equal ids, or none) one stays. Texts
+    without words are linked with nothing, so all of them stay. An empty table gives an empty result.
+    """
+    rows, row = numbered(docs, "numbered")
+    nodes = rows.select(F.col(row).alias("doc_id"), F.col("text"))
+    found = near_duplicates(nodes, **how).select(F.col("doc_id").alias("node"), F.col("component_id").alias("component"))
+    large = found.groupBy("component").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("component")
+    ids = rows.select(F.col(row).alias("node"), F.col("doc_id").alias("id"))
+    members = stored(found.join(large, "component", "left_semi").join(ids, "node"), "members")
+    least = members.groupBy("component").agg(F.min("id").alias("least"))
+    tied = members.join(least, "component").where(F.col("id").eqNullSafe(F.col("least")))
+    lost = members.join(tied.groupBy("component").agg(F.min("node").alias("stays")), "component").where("node != stays")
+    return rows.join(lost.select(F.col("node").alias(row)), row, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

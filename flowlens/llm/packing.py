@@ -172,11 +172,11 @@ def pack_documents(docs: DataFrame, length: int = LENGTH, group_size: int = GROU
     """One row per piece: ``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset``.
 
     Null and empty texts are one token, the end id. Rows are packed as documents of their own, with equal or null
-    ids too; an empty table gives no pieces; columns besides ``doc_id`` and ``text`` are ignored. Sequence ids are
+    ids too, and equal rows are spread over the groups by their row number; an empty table gives no pieces; columns besides ``doc_id`` and ``text`` are ignored. Sequence ids are
     unique, not consecutive.
     """
     groups = max(1, -(-docs.count() // group_size))
-    rows = docs.select("doc_id", "text", F.pmod(F.xxhash64(F.lit(29), "doc_id", "text"), F.lit(groups)).alias("_group"))
+    rows = docs.select("doc_id", "text", F.pmod(F.xxhash64(F.lit(29), "doc_id", F.monotonically_increasing_id()), F.lit(groups)).alias("_group"))
 
     def pack(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["doc_id", "doc_tokens", "rest"], kind="stable", na_position="first")

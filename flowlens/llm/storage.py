@@ -25,6 +25,17 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """``df`` stored with one more column of unique longs, and that column's name, which no column of ``df`` has.
+
+    It tells apart rows that share an id, have none, or are equal. Written once, so a retried task cannot number anew.
+    """
+    taken, row = {c.lower() for c in df.columns}, "row_number"
+    while row in taken:
+        row = f"_{row}"
+    return stored(df.withColumn(row, F.monotonically_increasing_id()), name), row
+
+
 def read_table(spark, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

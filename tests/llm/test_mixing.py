@@ -73,3 +73,14 @@ def test_odd_rows(odd, nothing):
 def test_documents_are_repeated_whole(docs, rows):
     got = mixed_documents(docs).collect()
     assert {r.text for r in got} <= {t for _, t in rows} and len(got) > len({r.doc_id for r in got})
+
+
+def test_rows_that_share_an_id_are_mixed_alone(spark):
+    """What is mixed comes near the targets, however rows are named."""
+    rows = [(None if i % 3 else 4, f"w{i} " * (1 + i % 7), "ab"[i % 2]) for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    targets = {r.source: r.target for r in training_positions(docs).select("source", "target").distinct().collect()}
+    mixed = {}
+    for r in mixed_documents(docs).collect():
+        mixed[r.source] = mixed.get(r.source, 0) + len(words(r.text))
+    assert all(abs(mixed[s] - targets[s]) <= 7 for s in targets)

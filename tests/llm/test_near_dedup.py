@@ -31,7 +31,20 @@ def test_odd_rows(odd, nothing):
     assert all(r.kept and r.component_id is None for r in got if r.doc_id is None)
     assert {(r.doc_id, r.component_id) for r in got if r.doc_id is not None} == {(d, d) for d in (-3, 5, 7, 9, 11)}
     assert [r.n_shingles for r in got if r.doc_id == 9] == [0]
-    assert drop_near_duplicates(odd).columns == odd.columns
+    assert drop_near_duplicates(odd).columns == odd.columns and drop_near_duplicates(nothing).count() == 0
+
+
+def test_stage_keeps_one_row_of_each_group(odd, spark):
+    """Also where rows repeat whole, share an id or have none."""
+    left = sorted((r.doc_id is None, r.doc_id or 0, r.text or "") for r in drop_near_duplicates(odd).collect())
+    want = {(r.doc_id is None, r.doc_id or 0, r.text or "") for r in odd.collect()}
+    assert left == sorted(want)
+    many = " ".join(f"w{i}" for i in range(40))
+    rows = [(None, many)] * 4 + [(8, many + " end")] * 3 + [(3, "other words of this one")] + [(None, "none has an id here")] * 2 + [(8, "")] * 2
+    rows += [(20 + i, many) for i in range(60)]
+    got = drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
+    assert sorted((r.doc_id or -1, r.text) for r in got) == [
+        (-1, "none has an id here"), (3, "other words of this one"), (8, ""), (8, ""), (8, many + " end")]
 
 
 def test_signatures_estimate_the_likeness_of_sets():

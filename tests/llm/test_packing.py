@@ -70,3 +70,9 @@ def test_odd_rows(odd, nothing):
     got = pack_documents(odd).collect()
     assert sum(p.start == 0 for p in got) == 9 and pack_documents(nothing).count() == 0
     assert [p.length for p in got if p.doc_id == 9] == [1]
+
+
+def test_equal_rows_are_spread_over_the_groups(spark):
+    same = spark.range(3000).selectExpr("1L AS doc_id", "'the same row' AS text")
+    groups = {r.sequence_id >> 32 for r in pack_documents(same, group_size=400).collect()}
+    assert len(groups) == 8

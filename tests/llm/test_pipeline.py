@@ -76,7 +76,7 @@ def test_sequences_hold_the_mix(stages):
 
 def test_registered(spark):
     names = entry_module.queries()
-    assert "pipeline" in names and sorted(n.split("_")[0] for n in names if n.startswith("op")) == sorted(f"op{i}" for i in range(1, 11))
+    assert "pipeline" in names and sorted(n.split("_")[0] for n in names if n.startswith("op")) == sorted(f"op{i}" for i in range(1, 14))
     assert names["pipeline"](spark, SMALL).columns[:4] == ["doc_id", "start", "length", "ids_crc32"]
 
 
