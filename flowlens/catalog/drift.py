@@ -92,7 +92,10 @@ ROLL_SQL = FLOW_REF_SQL + f""", q AS (SELECT *, row_number() OVER (ORDER BY obse
  win AS (SELECT checkpoint, f_value, f_k, p_attack FROM cps JOIN bq ON bq.pos > e - 2000 AND bq.pos <= e WHERE e >= 200), {psi_sql('win', FLOW_FEATURES, ['checkpoint'])}"""
 
 
-@query("r5_rolling", ROLL_SQL + " SELECT checkpoint, least(e, 2000) AS window_size, round(attack_rate, 6) AS attack_rate, feature, round(psi, 6) AS psi FROM got JOIN cps USING (checkpoint)")
+ROLLING_SQL = ROLL_SQL + " SELECT checkpoint, least(e, 2000) AS window_size, round(attack_rate, 6) AS attack_rate, feature, round(psi, 6) AS psi FROM got JOIN cps USING (checkpoint)"
+
+
+@query("r5_rolling", ROLLING_SQL)
 def r5_rolling(spark, sf_dir):
     s = B.scored(spark, sf_dir)
     return r6(D.rolling_drift(s, flow_reference(spark, sf_dir), ["observed_at", "flow_id"]))

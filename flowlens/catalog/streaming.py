@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from flowlens.catalog.drift import FLOW_FEATURES, FLOW_REF_SQL, flow_reference
+from flowlens.catalog.drift import FLOW_FEATURES, FLOW_REF_SQL, ROLLING_SQL, flow_reference
 from flowlens.catalog.evaluate import OUTCOMES, REPLAY_SQL, replay_rows
 from flowlens.catalog.incidents import GAP, GUARD_SQL, islands_sql
 from flowlens.catalog.models import FEATURES, attack
@@ -14,6 +14,7 @@ from flowlens.operators import incidents as I
 from flowlens.plans import bindings as B
 from flowlens.session import fresh_path
 from flowlens.streaming import jobs as J
+from flowlens.streaming.drift_store import RollingDriftStore
 from flowlens.streaming.incident_store import IncidentStore, as_close_events, as_flow_events
 
 FILES = 4
@@ -64,13 +65,17 @@ def t2_stream_sessions(spark, sf_dir):
                              "max_confidence", "severity", "first_seen", "last_seen")))
 
 
+def time_slices(df, parts=FILES):
+    """The rows in slices of time of equal length."""
+    span = df.agg(F.min(F.unix_micros("observed_at")), F.max(F.unix_micros("observed_at"))).head()
+    step = (span[1] - span[0]) // parts + 1
+    return [df.where(F.floor((F.unix_micros("observed_at") - F.lit(span[0])) / F.lit(step)) == i) for i in range(parts)]
+
+
 def in_order(spark, df, files=FILES):
     """The rows as files written one after the other in time order, read back one per trigger."""
     path = fresh_path(spark, "ordered")
-    span = df.agg(F.min(F.unix_micros("observed_at")), F.max(F.unix_micros("observed_at"))).head()
-    step = (span[1] - span[0]) // files + 1
-    for i in range(files):
-        part = df.where(F.floor((F.unix_micros("observed_at") - F.lit(span[0])) / F.lit(step)) == i)
+    for part in time_slices(df, files):
         part.write.mode("append").parquet(path)
     return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 8).parquet(path)
 
@@ -103,6 +108,19 @@ def t4_stream_drift(spark, sf_dir):
     return ntz(r6(J.run_available(live, fresh_path(spark, "drift"), mode="complete")))
 
 
+@query("t4_stream_rolling", ROLLING_SQL)
+def t4_stream_rolling(spark, sf_dir):
+    """Flows arrive in slices of time; the stream is started again for each."""
+    s = B.scored(spark, sf_dir).select("observed_at", "flow_id", "verdict", *FLOW_FEATURES)
+    ref = flow_reference(spark, sf_dir)
+    path = fresh_path(spark, "arriving")
+    store = RollingDriftStore(fresh_path(spark, "drift_store"), ["observed_at", "flow_id"])
+    for arrived in time_slices(s):
+        arrived.write.mode("append").parquet(path)
+        store.run_available(spark.readStream.schema(s.schema).parquet(path), ref)
+    return r6(store.snapshots(spark))
+
+
 @query("t4_stream_attack_rate", f"""WITH {B.SCORED_SQL}, wins AS (SELECT DISTINCT date_trunc('day', observed_at) - INTERVAL 1 DAY * k AS start FROM scored, range(2) t(k))
  SELECT start, count(*) AS flows, round(avg(CASE WHEN verdict <> 'benign' THEN 1e0 ELSE 0e0 END), 6) AS attack_rate FROM wins JOIN scored ON observed_at >= start AND observed_at < start + INTERVAL 2 DAY GROUP BY 1""")
 def t4_stream_attack_rate(spark, sf_dir):

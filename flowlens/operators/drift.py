@@ -68,11 +68,12 @@ def _psi_of(counts: Column, expected: Column, n: Column) -> Column:
 def psi(df: DataFrame, ref: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Index per key and feature: ``keys, feature, n, psi``. One aggregation, no sort."""
     edges, width = _edges(ref)
-    return _index(_binned(df, edges, keys), ref, keys, width)
+    cells = _binned(df, edges, keys).groupBy(*keys, "feature", "bin").agg(F.count(F.lit(1)).alias("_c"))
+    return _index(cells, ref, keys, width)
 
 
-def _index(binned: DataFrame, ref: DataFrame, keys: Sequence[str], width: int) -> DataFrame:
-    cells = binned.groupBy(*keys, "feature", "bin").agg(F.count(F.lit(1)).alias("_c"))
+def _index(cells: DataFrame, ref: DataFrame, keys: Sequence[str], width: int) -> DataFrame:
+    """``cells``: keys, feature, bin, count ``_c``."""
     counted = cells.groupBy(*keys, "feature").agg(
         F.sum("_c").alias("n"),
         F.array(*[F.coalesce(F.sum(F.when(F.col("bin") == b, F.col("_c"))), F.lit(0)) for b in range(width)]).alias("_counts"))
@@ -104,49 +105,84 @@ def drift_report(
     ).orderBy(F.desc("psi"), "feature")
 
 
-def rolling_drift(
-    df: DataFrame, ref: DataFrame, order: Sequence[str], verdict: str = "verdict",
-    window: int = K.DRIFT_WINDOW, every: int = K.DRIFT_EVERY, minimum: int = K.DRIFT_MIN_WINDOW,
+def _is_benign(verdict: str) -> Column:
+    return F.coalesce(F.col(verdict) == K.BENIGN_VERDICT, F.lit(False))
+
+
+def row_positions(df: DataFrame, order: Sequence[str], verdict: str, every: int = K.DRIFT_EVERY, after: tuple[int, int] = (0, 0)) -> DataFrame:
+    """Adds ``_seq`` (rows before) and ``_pos`` (benign rows before), both from what ``after`` says of earlier rows."""
+    quiet = _is_benign(verdict)
+    rows = number_rows(df, order, "_seq").withColumn("_part", F.floor(F.col("_seq") / every))
+    below = running_totals(rows, "_part", {"ben": F.count_if(quiet)}).select("_part", "ben_below")
+    inside = Window.partitionBy("_part").orderBy("_seq").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.join(below, "_part").withColumn(
+        "_pos", F.col("ben_below") + F.coalesce(F.sum(quiet.cast("bigint")).over(inside), F.lit(0)) + F.lit(after[1]))
+    return rows.withColumn("_seq", F.col("_seq") + F.lit(after[0])).drop("_part", "ben_below")
+
+
+def window_checks(
+    rows: DataFrame, ref: DataFrame, verdict: str = "verdict", window: int = K.DRIFT_WINDOW, every: int = K.DRIFT_EVERY,
+    minimum: int = K.DRIFT_MIN_WINDOW, after: int = 0,
 ) -> DataFrame:
-    """After every ``every`` rows: attack rate of the last ``window`` rows and index of the last
-    ``window`` benign rows. ``window`` must be a multiple of ``every``.
+    """The checks past row ``after`` of rows with ``_seq`` and ``_pos``: see :func:`rolling_drift`.
 
-    Output: ``checkpoint, window_size, attack_rate, feature, psi``; checks with fewer than
-    ``minimum`` benign rows are left out. A check's benign window is a range of benign
-    positions, met through position blocks of ``window`` rows; every check reads at most
-    ``window`` rows, so the joined volume stays below rows x window / every.
+    Of rows before ``after`` only those in the last ``window`` rows or benign rows are needed. A benign row is counted
+    once: where a window of some check begins or ends, the run of benign rows is cut, bins are counted per piece, and
+    the checks add up pieces. So rows are never copied per check, however the windows overlap.
     """
     if window % every:
         raise ValueError("window must be a multiple of every")
     edges, width = _edges(ref)
-    quiet = F.col(verdict) == K.BENIGN_VERDICT
-    wanted = list(dict.fromkeys([*order, verdict, *edges]))
-    rows = number_rows(df.select(*wanted), order, "_seq").withColumn("_block", F.floor(F.col("_seq") / every))
-    blocks = running_totals(rows, "_block", {"all": F.count(F.lit(1)), "ben": F.count_if(quiet)})
+    quiet = _is_benign(verdict)
+    rows = rows.withColumn("_block", F.floor(F.col("_seq") / every))
+    blocks = rows.groupBy("_block").agg(
+        F.count(F.lit(1)).alias("all"), F.count_if(quiet).alias("ben"),
+        F.max(F.col("_pos") + quiet.cast("bigint")).alias("_end"), F.min(F.when(quiet, F.col("_pos"))).alias("_first"))
     checks = (
-        blocks.select(F.explode(F.sequence("_block", F.col("_block") + (window // every - 1))).alias("_check"),
-                      "all", "ben")
+        blocks.select(F.explode(F.sequence("_block", F.col("_block") + (window // every - 1))).alias("_check"), "all", "ben")
         .groupBy("_check").agg(F.sum("all").alias("_n"), F.sum("ben").alias("_b"))
-        .join(blocks.where(F.col("all") == every).select(
-            F.col("_block").alias("_check"), (F.col("ben_below") + F.col("ben")).alias("_end")), "_check")
+        .join(blocks.where((F.col("all") == every) & ((F.col("_block") + 1) * every > after)).select(
+            F.col("_block").alias("_check"), "_end"), "_check")
         .where(F.col("_end") >= minimum)
         .select(((F.col("_check") + 1) * every).alias("checkpoint"), "_end",
                 (F.lit(1.0) - F.col("_b") / F.col("_n")).alias("attack_rate"))
     )
-    inside = Window.partitionBy("_block").orderBy("_seq")
-    benign = rows.where(quiet).join(blocks.select("_block", "ben_below"), "_block").withColumn(
-        "_pos", F.col("ben_below") + F.row_number().over(inside) - 1).withColumn(
-        "_pblock", F.floor(F.col("_pos") / window))
     ends = checks.select("_end").distinct().withColumn("_from", F.greatest(F.col("_end") - window, F.lit(0)))
-    ends = ends.withColumn("_pblock", F.explode(F.sequence(
-        F.floor(F.col("_from") / window), F.floor((F.col("_end") - 1) / window))))
-    covered = benign.join(ends, "_pblock").where(
-        (F.col("_pos") >= F.col("_from")) & (F.col("_pos") < F.col("_end")))
-    index = _index(_binned(covered, edges, ["_end"]), ref, ["_end"], width)
-    return checks.join(index, "_end").select(
+
+    def parts(first: Column, last: Column) -> Column:
+        return F.explode(F.sequence(F.floor(first / window), F.floor(last / window))).alias("_part")
+
+    held = blocks.where("ben > 0").select("_block", "_first", "_end", parts(F.col("_first"), F.col("_end") - 1))
+    starts = ends.select("_from", F.floor(F.col("_from") / window).alias("_part")).distinct()
+    cuts = held.join(starts, "_part").where((F.col("_from") >= F.col("_first")) & (F.col("_from") < F.col("_end")))
+    cuts = cuts.groupBy("_block").agg(F.collect_set("_from").alias("_cuts"))
+    marks = blocks.select("_block", "_first").join(cuts, "_block", "left")
+    piece = F.greatest(F.col("_first"), F.array_max(F.filter("_cuts", lambda c: c <= F.col("_pos"))))
+    pieces = rows.where(quiet).join(marks, "_block").withColumn("_piece", piece)
+    cells = _binned(pieces, edges, ["_piece"]).groupBy("_piece", "feature", "bin").agg(F.count(F.lit(1)).alias("_c"))
+    cells = cells.withColumn("_part", F.floor(F.col("_piece") / window))
+    covered = cells.join(ends.select("_end", "_from", parts(F.col("_from"), F.col("_end") - 1)), "_part").where(
+        (F.col("_piece") >= F.col("_from")) & (F.col("_piece") < F.col("_end")))
+    covered = covered.groupBy("_end", "feature", "bin").agg(F.sum("_c").alias("_c"))
+    return checks.join(_index(covered, ref, ["_end"], width), "_end").select(
         "checkpoint", F.least(F.col("_end"), F.lit(window)).alias("window_size"), "attack_rate", "feature", "psi")
 
 
+def rolling_drift(
+    df: DataFrame, ref: DataFrame, order: Sequence[str], verdict: str = "verdict",
+    window: int = K.DRIFT_WINDOW, every: int = K.DRIFT_EVERY, minimum: int = K.DRIFT_MIN_WINDOW,
+) -> DataFrame:
+    """After every ``every`` rows: attack rate of the last ``window`` rows and index of the last
+    ``window`` benign rows. ``window`` must be a multiple of ``every``.
+
+    Output: ``checkpoint, window_size, attack_rate, feature, psi``; checks with fewer than
+    ``minimum`` benign rows are left out.
+    """
+    edges, _ = _edges(ref)
+    wanted = list(dict.fromkeys([*order, verdict, *edges]))
+    return window_checks(row_positions(df.select(*wanted), order, verdict, every), ref, verdict, window, every, minimum)
+
+
 def monthly_drift(df: DataFrame, ref: DataFrame, period: str) -> DataFrame:
     """Per period: largest index, the feature it belongs to (ties by name) and the status."""
     per = psi(df, ref, [period])
