@@ -2,18 +2,27 @@
 
 Base entities are the seeds. The words around each mention make lexical patterns; all identifier-like words
 of the corpus (with a digit or an at sign) are instances in the slots of the same patterns. In rounds, Spark scores
-the graph of patterns and instances: a pattern is as good as the share of its distinct instances that are trusted,
-an unseen instance as good as its patterns together; instances above the limit are trusted in the next round. In
-the end, mentions of trusted unseen instances in a trusted pattern become spans of the kind ``context``.
+the graph of patterns and instances. A pattern is as good as the share of trusted instances among everything that stands
+in its slot anywhere in the corpus, plain words included, so that "the _" is worth nothing however many identifiers follow
+an article; one match more that is not trusted keeps rare patterns low. An unseen instance is as good as its contexts
+together; instances above the limit are trusted in the next round, until a round adds none. In the end, mentions of
+trusted unseen instances in a trusted pattern become spans of the kind ``context``.
 
-All tables of the graph hold one row per mention or fewer; they are grouped and joined, never gathered.
+Shapes of values are no evidence: numbers that fail their check digit look like those that pass.
+
+All tables of the graph hold one row per mention or fewer; they are grouped and joined, never gathered. Plain words are
+counted in a second pass over the texts, and only in the slots of patterns with enough instances: tasks get these as a
+set of at most ``BUCKETS`` hash buckets, and a join takes out what shares a bucket by chance.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+import zlib
+from collections import Counter
 from collections.abc import Iterator
+from itertools import compress
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -31,9 +40,11 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _DIGIT = re.compile(r"[0-9]")
 
-LEAST_SEEDS = 5
-TRUST = 0.9
-ROUNDS = 3
+LEAST_SEEDS = 5  # trusted instances of a trusted pattern
+LEAST_SCORE = 0.5  # of a trusted pattern
+TRUST = 0.75  # of a trusted instance, over all its contexts
+BUCKETS = 1 << 17  # of the filter that tells tasks which slots to count
+SLOTS_HELD = 200_000  # counters a task holds before it hands them on
 
 Span = tuple[str, int, int]
 
@@ -78,14 +89,33 @@ def base_spans(text: str) -> list[Span]:
     return out
 
 
-def _near(text: str) -> str:
+def _short(word: str) -> str:
+    """Words keep their identity; very long ones are known by their hash."""
+    return word if len(word) <= 64 else hashlib.sha256(word.encode()).hexdigest()
+
+
+def _near(word: str) -> str:
     """A context word in the form used in patterns."""
-    return _DIGIT.sub("0", text.lower()).strip(".,;:!?\"'()")[:32]
+    return _short(_DIGIT.sub("0", word.lower()).strip(".,;:!?\"'()"))
+
+
+def _like_identifier(word: str) -> bool:
+    return "@" in word or _DIGIT.search(word) is not None
+
+
+def _patterns(before: list[str], after: list[str]) -> list[str]:
+    """Patterns of a slot from up to two words before it and the word after it."""
+    out = [f"{before[-1]} _"] if before else []
+    if len(before) == 2:
+        out.append(f"{before[0]} {before[1]} _")
+    if before and after:
+        out.append(f"{before[-1]} _ {after[0]}")
+    return out
 
 
 def mentions(text: str, base: list[Span]) -> list[dict]:
-    """Base entities and identifier-like words outside them, each with its patterns: two words before, one on each side."""
-    if not base and "@" not in text and not _DIGIT.search(text):
+    """Base entities and identifier-like words outside them, each with its patterns."""
+    if not base and not _like_identifier(text):
         return []
     taken = sorted((s, e, k) for k, s, e in base)
     words = [(m.start(), m.end()) for m in _WORD.finditer(text)]
@@ -95,7 +125,7 @@ def mentions(text: str, base: list[Span]) -> list[dict]:
             i += 1
         if not (i < len(taken) and taken[i][0] < end):
             inner = text[start:end].strip(".,;:!?\"'()")
-            if len(inner) >= 6 and ("@" in inner or _DIGIT.search(inner)):
+            if _like_identifier(inner):
                 at = text.index(inner, start)
                 slots.append((w, w, at, at + len(inner), None))
     first = 0
@@ -110,10 +140,8 @@ def mentions(text: str, base: list[Span]) -> list[dict]:
     for a, b, start, end, kind in slots:
         before = [_near(text[s:e]) for s, e in words[max(0, a - 2):a]]
         after = [_near(text[s:e]) for s, e in words[b + 1:b + 2]]
-        patterns = [f"{before[0]} {before[1]} _"] if len(before) == 2 else []
-        if before and after:
-            patterns.append(f"{before[-1]} _ {after[0]}")
-        out.append({"start": start, "end": end, "value": text[start:end].lower(), "kind": kind, "patterns": patterns})
+        out.append({"start": start, "end": end, "value": _short(text[start:end].lower()), "kind": kind,
+                    "patterns": _patterns(before, after)})
     return out
 
 
@@ -148,32 +176,75 @@ def scan_personal_data(docs: DataFrame) -> DataFrame:
     return docs.select(F.xxhash64("doc_id", "text").alias("row_key"), "doc_id", "text").mapInArrow(scan, _FOUND)
 
 
-def bootstrap(edges: DataFrame, seeds: int = LEAST_SEEDS, trust: float = TRUST, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
-    """Trusted patterns and trusted unseen instances from ``pattern, value, seed`` (distinct rows).
+def count_plain_words(docs: DataFrame, patterns: DataFrame) -> DataFrame:
+    """``pattern, plain``: how often a word that is not like an identifier stands in the slot of each of ``patterns``."""
+    bucket = (F.crc32(F.col("pattern").cast("binary")) % BUCKETS).alias("bucket")
+    wanted = frozenset(r.bucket for r in patterns.select(bucket).distinct().collect())  # at most BUCKETS numbers
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        alone, pairs, around = Counter(), Counter(), Counter()
+        forms: dict[str, str] = {}
+
+        def totals() -> pa.RecordBatch:
+            found = Counter()
+            for counter, form in ((alone, "{} _"), (pairs, "{0[0]} {0[1]} _"), (around, "{0[0]} _ {0[1]}")):
+                for key, n in counter.items():
+                    pattern = form.format(key)
+                    if zlib.crc32(pattern.encode()) % BUCKETS in wanted:
+                        found[pattern] += n
+                counter.clear()
+            forms.clear()
+            return pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.string()), pa.array(found.values(), pa.int64())], names=["pattern", "plain"])
+
+        for batch in batches:
+            for text in batch.column("text"):
+                words = _WORD.findall(text.as_py() or "")
+                near = []
+                for w in words:
+                    if w not in forms:
+                        forms[w] = _near(w)
+                    near.append(forms[w])
+                plain = [not _like_identifier(w) for w in words]
+                alone.update(compress(near, plain[1:]))
+                pairs.update(compress(zip(near, near[1:]), plain[2:]))
+                around.update(compress(zip(near, near[2:]), plain[1:]))
+                if len(pairs) + len(around) + len(forms) > SLOTS_HELD:
+                    yield totals()
+        yield totals()
+
+    counted = docs.select("text").mapInArrow(scan, "pattern string, plain long")
+    return counted.groupBy("pattern").agg(F.sum("plain").alias("plain")).join(patterns.select("pattern"), "pattern", "left_semi")
 
-    A pattern is trusted with at least ``seeds`` trusted instances that make up ``trust`` of its instances; an unseen
-    instance is trusted when one minus the product of (1 - pattern score) over its trusted patterns reaches ``trust``.
+
+def bootstrap(edges: DataFrame, plain: DataFrame, seeds: int = LEAST_SEEDS, least: float = LEAST_SCORE,
+              trust: float = TRUST) -> tuple[DataFrame, DataFrame]:
+    """Trusted patterns and trusted unseen instances from ``pattern, value, context, seed, n`` and ``pattern, plain``.
+
+    A pattern is trusted with at least ``seeds`` distinct trusted instances and a score, trusted mentions over all mentions,
+    plain words and one, of at least ``least``. A context of an instance is as good as the best of its trusted patterns; an
+    unseen instance is trusted when one minus the product of (1 - score) over its contexts reaches ``trust``. Trust only
+    grows from round to round, so the rounds end.
     """
-    spark = edges.sparkSession
-    found = spark.createDataFrame([], "value string")
-    for _ in range(rounds):
-        marked = edges.join(found.select("value", F.lit(1.0).alias("_new")), "value", "left")
-        good = F.when(F.col("seed"), F.lit(1.0)).otherwise(F.coalesce("_new", F.lit(0.0)))
-        patterns = stored(
-            marked.groupBy("pattern").agg(F.sum(good).alias("support"), F.count(F.lit(1)).alias("n"))
-            .where((F.col("support") >= seeds) & (F.col("support") >= trust * F.col("n")))
-            # one instance more that is not trusted, so that no pattern is certain
-            .select("pattern", (F.col("support") / (F.col("n") + 1)).alias("score")), "patterns")
-        instances = edges.where(~F.col("seed")).join(patterns, "pattern").groupBy("value").agg(
-            F.sum(F.log1p(-F.col("score"))).alias("_doubt"))
-        before = found.count()
-        found = stored(instances.where(F.exp("_doubt") <= 1 - trust).select("value"), "instances")
-        if found.count() == before:
-            break
-    return patterns, found
-
-
-def personal_data(docs: DataFrame, seeds: int = LEAST_SEEDS, trust: float = TRUST, rounds: int = ROUNDS) -> DataFrame:
+    found, known = edges.sparkSession.createDataFrame([], "value string"), 0
+    slots = stored(edges.groupBy("pattern", "value").agg(F.max("seed").alias("seed"), F.sum("n").alias("n")), "slots")
+    while True:
+        marked = slots.join(found.withColumn("_new", F.lit(True)), "value", "left")
+        good = F.col("seed") | F.coalesce("_new", F.lit(False))
+        scored = marked.groupBy("pattern").agg(
+            F.count_if(good).alias("support"), F.sum(F.when(good, F.col("n")).otherwise(0)).alias("hits"), F.sum("n").alias("n"))
+        scored = scored.where(F.col("support") >= seeds).join(plain, "pattern", "left")
+        score = F.col("hits") / (F.col("n") + F.coalesce("plain", F.lit(0)) + 1)
+        patterns = stored(scored.select("pattern", score.alias("score")).where(F.col("score") >= least), "patterns")
+        contexts = edges.where(~F.col("seed")).join(patterns, "pattern").groupBy("value", "context").agg(F.max("score").alias("score"))
+        doubt = contexts.groupBy("value").agg(F.sum(F.log1p(-F.col("score"))).alias("_doubt"))
+        found = stored(doubt.where(F.exp("_doubt") <= 1 - trust).select("value"), "instances")
+        now = found.count()
+        if now == known:
+            return patterns, found
+        known = now
+
+
+def personal_data(docs: DataFrame, seeds: int = LEAST_SEEDS, least: float = LEAST_SCORE, trust: float = TRUST) -> DataFrame:
     """Per row of ``docs`` (``doc_id, text``): counts, hash of the base spans, and all spans.
 
     Null texts count as empty; empty texts have no spans. Each row is scanned whole by itself; rows with equal ids are
@@ -181,9 +252,13 @@ def personal_data(docs: DataFrame, seeds: int = LEAST_SEEDS, trust: float = TRUS
     """
     seen = stored(scan_personal_data(docs), "personal")
     placed = seen.select("row_key", F.explode("mentions").alias("m")).select(
-        "row_key", "m.start", "m.end", "m.value", F.col("m.kind").isNotNull().alias("seed"), F.explode("m.patterns").alias("pattern"))
-    edges = placed.groupBy("pattern", "value").agg(F.max("seed").alias("seed"))
-    patterns, found = bootstrap(stored(edges, "graph"), seeds, trust, rounds)
+        "row_key", "m.start", "m.end", "m.value", F.col("m.kind").isNotNull().alias("seed"),
+        F.xxhash64("m.patterns").alias("context"), F.explode("m.patterns").alias("pattern"))
+    edges = stored(placed.groupBy("pattern", "value", "context").agg(F.max("seed").alias("seed"), F.count(F.lit(1)).alias("n")), "graph")
+    distinct = edges.select("pattern", "value").distinct().groupBy("pattern").count()
+    many = stored(distinct.where(F.col("count") >= seeds).select("pattern"), "candidates")
+    plain = stored(count_plain_words(docs, many), "plain")
+    patterns, found = bootstrap(edges.join(many, "pattern", "left_semi"), plain, seeds, least, trust)
     hits = placed.where(~F.col("seed")).join(found, "value", "left_semi").join(patterns.select("pattern"), "pattern", "left_semi")
     hits = hits.select("row_key", "start", "end").distinct().groupBy("row_key").agg(
         F.array_sort(F.collect_list(F.struct("start", "end"))).alias("_hits"))

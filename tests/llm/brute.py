@@ -109,3 +109,66 @@ def joined(spans):
 
 def sha(text):
     return hashlib.sha256(text.encode()).hexdigest()
+
+
+def contexts(texts, seeds=5, least=0.5, trust=0.75):
+    """Spans (text number, start, end) that the graph of patterns and instances adds, over the whole corpus in one place."""
+    def like(w):
+        return "@" in w or any(c in "0123456789" for c in w)
+
+    def near(w):
+        return "".join("0" if c in "0123456789" else c for c in w.lower()).strip(".,;:!?\"'()")
+
+    def around(before, after):
+        keys = []
+        if before:
+            keys.append((before[-1], None, None))
+        if len(before) == 2:
+            keys.append((before[-1], before[0], None))
+        if before and after:
+            keys.append((before[-1], None, after[0]))
+        return keys
+
+    mentions, plain = [], Counter()
+    for i, t in enumerate(texts):
+        t = t or ""
+        w = [(m.start(), m.end(), m.group()) for m in WORD.finditer(t)]
+        base = [(s, e) for _, s, e in personal(t)]
+        slots = []
+        for j, (s, e, x) in enumerate(w):
+            over = [b for b in base if b[0] < e and s < b[1]]
+            inner = x.strip(".,;:!?\"'()")
+            if like(inner) and not over:
+                at = t.index(inner, s)
+                slots.append((j, j, at, at + len(inner), False))
+            if not like(x):
+                before = [near(y[2]) for y in w[max(0, j - 2):j]]
+                plain.update(around(before, [near(y[2]) for y in w[j + 1:j + 2]]))
+        for s, e in base:
+            inside = [j for j, (a, b, _) in enumerate(w) if a < e and s < b]
+            slots.append((inside[0], inside[-1], s, e, True))
+        for a, b, s, e, seed in slots:
+            keys = around([near(y[2]) for y in w[max(0, a - 2):a]], [near(y[2]) for y in w[b + 1:b + 2]])
+            mentions.append((i, s, e, t[s:e].lower(), seed, tuple(keys)))
+    good = {m[3] for m in mentions if m[4]}
+    while True:
+        score = {}
+        for p in {k for m in mentions for k in m[5]}:
+            # a value is a seed in a slot where it was one
+            values = defaultdict(lambda: [False, 0])
+            for m in mentions:
+                if p in m[5]:
+                    values[m[3]][0] |= m[4] or m[3] in good and not any(x[4] for x in mentions if x[3] == m[3])
+                    values[m[3]][1] += 1
+            if sum(v[0] for v in values.values()) >= seeds:
+                x = sum(v[1] for v in values.values() if v[0]) / (sum(v[1] for v in values.values()) + plain[p] + 1)
+                if x >= least:
+                    score[p] = x
+        doubt = defaultdict(lambda: 1.0)
+        for value, keys in {(m[3], m[5]) for m in mentions if not m[4]}:
+            best = max((score[k] for k in keys if k in score), default=0.0)
+            doubt[value] *= 1 - best
+        now = {m[3] for m in mentions if m[4]} | {v for v, x in doubt.items() if x <= 1 - trust}
+        if now == good:
+            return sorted((m[0], m[1], m[2]) for m in mentions if not m[4] and m[3] in good and any(k in score for k in m[5]))
+        good = now

@@ -2,7 +2,7 @@ import math
 import random
 
 import pytest
-from brute import joined, personal, secrets, sha
+from brute import contexts, joined, personal, secrets, sha
 from pyspark.sql import functions as F
 
 from flowlens.llm.pii import base_spans, personal_data
@@ -43,6 +43,49 @@ def test_contexts_discover_unseen_identifiers(spark):
     assert got[12].base_sha256 == sha("")
 
 
+def added(spans):
+    return [tuple(map(int, x.split(":")[1:])) for x in spans.split(",") if x.startswith("context:")]
+
+
+def test_context_spans_equal_plain_graph_scoring(spark):
+    rng = random.Random(8)
+    leads, tails = ["mail me", "reach", "case", "call", "the", "of the", "id:"], ["today", "now", "", "the end"]
+    things = [f"p{i}@x{i}.org" for i in range(30)] + [f"DE-{i}77" for i in range(12)] + [f"10.0.0.{i}" for i in range(20)] + ["us", "them", "2024,", "(7)"]
+    rows = []
+    for i in range(400):
+        parts = []
+        for _ in range(rng.randint(0, 5)):
+            lead = rng.choice(leads)
+            pool = things[-4:] if lead in ("the", "of the") and rng.random() < 0.9 else things
+            parts.append(f"{lead} {rng.choice(pool)} {rng.choice(tails)}")
+        rows.append((i, " ".join(parts)))
+    got = personal_data(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    want = contexts([t for _, t in rows])
+    assert sorted((r.doc_id, *x) for r in got for x in added(r.spans)) == want and 0 < len(want)
+    assert all(r.n_context == len(added(r.spans)) for r in got)
+
+
+def test_planted_unseen_identifiers_are_found_on_the_given_tables(spark):
+    """Badge numbers stand where addresses stand, a second kind is reached only through them; nothing else is added."""
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()]
+    rows, planted = [], {}
+    for n, (d, t) in enumerate(sorted(docs, key=lambda x: x[0])):
+        t, say = t or "", ""
+        if n % 3 == 0 and n < 90:
+            say = f" customer contact: person{n}@home{n}.org (verified)"
+        elif n % 12 == 1 and n < 90:
+            say = f" customer contact: BX-{n}-Q7 (verified) and badge holder BX-{n}-Q7 signed"
+        elif n == 2:
+            say = f" and badge holder ZK/{n}/44 signed"
+        rows.append((d, t + say))
+        value = next((x for x in say.split() if x.startswith(("BX-", "ZK/"))), None)
+        if value:
+            at = [len(t) + i for i in range(len(say)) if say.startswith(value, i)]
+            planted[d] = [(i, i + len(value)) for i in at]
+    got = {r.doc_id: added(r.spans) for r in personal_data(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert {d: x for d, x in got.items() if x} == planted and len(planted) == 9
+
+
 def test_secret_base_spans(spark):
     rows = list(enumerate(texts(SECRET, 1500, 3))) + [(9000, None)]
     got = {r.doc_id: r for r in secret_digest(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
