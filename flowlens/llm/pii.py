@@ -255,10 +255,14 @@ def personal_data(docs: DataFrame, seeds: int = LEAST_SEEDS, least: float = LEAS
         "row_key", "m.start", "m.end", "m.value", F.col("m.kind").isNotNull().alias("seed"),
         F.xxhash64("m.patterns").alias("context"), F.explode("m.patterns").alias("pattern"))
     edges = stored(placed.groupBy("pattern", "value", "context").agg(F.max("seed").alias("seed"), F.count(F.lit(1)).alias("n")), "graph")
-    distinct = edges.select("pattern", "value").distinct().groupBy("pattern").count()
-    many = stored(distinct.where(F.col("count") >= seeds).select("pattern"), "candidates")
-    plain = stored(count_plain_words(docs, many), "plain")
-    patterns, found = bootstrap(edges.join(many, "pattern", "left_semi"), plain, seeds, least, trust)
+    many = stored(
+        edges.groupBy("pattern", "value").agg(F.sum("n").alias("n")).groupBy("pattern").agg(F.count(F.lit(1)).alias("values"), F.sum("n").alias("n"))
+        .where(F.col("values") >= seeds).select("pattern", "n"), "candidates")
+    # were all instances trusted, the score would still be too low beside so many plain words
+    plain = many.join(count_plain_words(docs, many), "pattern", "left").select("pattern", "n", F.coalesce("plain", F.lit(0)).alias("plain"))
+    plain = stored(plain.where(F.col("n") >= least * (F.col("n") + F.col("plain") + 1)).select("pattern", "plain"), "plain")
+    edges = stored(edges.join(plain.select("pattern"), "pattern", "left_semi"), "edges")
+    patterns, found = bootstrap(edges, plain, seeds, least, trust)
     hits = placed.where(~F.col("seed")).join(found, "value", "left_semi").join(patterns.select("pattern"), "pattern", "left_semi")
     hits = hits.select("row_key", "start", "end").distinct().groupBy("row_key").agg(
         F.array_sort(F.collect_list(F.struct("start", "end"))).alias("_hits"))
