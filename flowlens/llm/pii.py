@@ -11,8 +11,8 @@ trusted unseen instances in a trusted pattern become spans of the kind ``context
 Shapes of values are no evidence: numbers that fail their check digit look like those that pass.
 
 All tables of the graph hold one row per mention or fewer; they are grouped and joined, never gathered. Plain words are
-counted in a second pass over the texts, and only in the slots of patterns with enough instances: tasks get these as a
-set of at most ``BUCKETS`` hash buckets, and a join takes out what shares a bucket by chance.
+counted in a second pass over the texts, and only beside words of patterns with enough instances: tasks get the places of
+these words in at most ``BUCKETS`` hash buckets, and a join takes out what is not such a pattern.
 """
 
 from __future__ import annotations
@@ -22,10 +22,9 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
-from itertools import compress
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowlens.llm.storage import stored
@@ -43,7 +42,8 @@ _DIGIT = re.compile(r"[0-9]")
 LEAST_SEEDS = 5  # trusted instances of a trusted pattern
 LEAST_SCORE = 0.5  # of a trusted pattern
 TRUST = 0.75  # of a trusted instance, over all its contexts
-BUCKETS = 1 << 17  # of the filter that tells tasks which slots to count
+BUCKETS = 1 << 17  # of the filter that tells tasks which words to count
+ALONE, FIRST, SECOND, LEFT, RIGHT, PLAIN = 1, 2, 4, 8, 16, 32  # places of a word in patterns; not like an identifier
 SLOTS_HELD = 200_000  # counters a task holds before it hands them on
 
 Span = tuple[str, int, int]
@@ -178,36 +178,45 @@ def scan_personal_data(docs: DataFrame) -> DataFrame:
 
 def count_plain_words(docs: DataFrame, patterns: DataFrame) -> DataFrame:
     """``pattern, plain``: how often a word that is not like an identifier stands in the slot of each of ``patterns``."""
-    bucket = (F.crc32(F.col("pattern").cast("binary")) % BUCKETS).alias("bucket")
-    wanted = frozenset(r.bucket for r in patterns.select(bucket).distinct().collect())  # at most BUCKETS numbers
+    parts = F.split("pattern", " ")
+    last = F.element_at(parts, -1) == "_"  # the slot is the last word; else the middle one
+    none = F.array().cast("array<struct<role:int,word:string>>")
+
+    def place(role: int, i: int) -> Column:
+        return F.struct(F.lit(role).alias("role"), parts[i].alias("word"))
+
+    places = F.when(F.size(parts) == 2, F.array(place(ALONE, 0))).otherwise(F.concat(
+        F.when(last, F.array(place(FIRST, 0), place(SECOND, 1))).otherwise(none),
+        F.when(parts[1] == "_", F.array(place(LEFT, 0), place(RIGHT, 2))).otherwise(none)))
+    bucket = F.crc32(F.col("part.word").cast("binary")) % BUCKETS
+    roles = patterns.select(F.explode(places).alias("part")).groupBy(bucket.alias("bucket")).agg(F.bit_or("part.role").alias("roles"))
+    wanted = {r.bucket: r.roles for r in roles.collect()}  # at most BUCKETS pairs of numbers
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         alone, pairs, around = Counter(), Counter(), Counter()
-        forms: dict[str, str] = {}
+        forms: dict[str, tuple[str, int]] = {}
+
+        def form(word: str) -> tuple[str, int]:
+            near = _near(word)
+            forms[word] = near, wanted.get(zlib.crc32(near.encode()) % BUCKETS, 0) | (0 if _like_identifier(word) else PLAIN)
+            return forms[word]
 
         def totals() -> pa.RecordBatch:
             found = Counter()
-            for counter, form in ((alone, "{} _"), (pairs, "{0[0]} {0[1]} _"), (around, "{0[0]} _ {0[1]}")):
+            for counter, pattern in ((alone, "{} _"), (pairs, "{0[0]} {0[1]} _"), (around, "{0[0]} _ {0[1]}")):
                 for key, n in counter.items():
-                    pattern = form.format(key)
-                    if zlib.crc32(pattern.encode()) % BUCKETS in wanted:
-                        found[pattern] += n
+                    found[pattern.format(key)] += n
                 counter.clear()
             forms.clear()
             return pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.string()), pa.array(found.values(), pa.int64())], names=["pattern", "plain"])
 
         for batch in batches:
             for text in batch.column("text"):
-                words = _WORD.findall(text.as_py() or "")
-                near = []
-                for w in words:
-                    if w not in forms:
-                        forms[w] = _near(w)
-                    near.append(forms[w])
-                plain = [not _like_identifier(w) for w in words]
-                alone.update(compress(near, plain[1:]))
-                pairs.update(compress(zip(near, near[1:]), plain[2:]))
-                around.update(compress(zip(near, near[2:]), plain[1:]))
+                seen = [forms.get(w) or form(w) for w in _WORD.findall(text.as_py() or "")]
+                near, flags = [n for n, _ in seen], [f for _, f in seen]
+                alone.update(a for a, x, y in zip(near, flags, flags[1:]) if x & ALONE and y & PLAIN)
+                pairs.update((a, b) for a, b, x, y, z in zip(near, near[1:], flags, flags[1:], flags[2:]) if x & FIRST and y & SECOND and z & PLAIN)
+                around.update((a, c) for a, c, x, y, z in zip(near, near[2:], flags, flags[1:], flags[2:]) if x & LEFT and y & PLAIN and z & RIGHT)
                 if len(pairs) + len(around) + len(forms) > SLOTS_HELD:
                     yield totals()
         yield totals()
