@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import math
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.ml.functions import array_to_vector
-from pyspark.ml.stat import Correlation
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowlens import constants as K
 from flowlens.functions.exprs import finite, fixed
 from flowlens.plans.recipes import quantiles, running_totals
+from flowlens.session import written
 
 SPEC_COLUMNS = "pos int, name string, clip_lo double, clip_hi double, log1p boolean, train_median double"
 
@@ -56,33 +58,91 @@ def group_clip_bounds(
     df: DataFrame, cols: Sequence[str], group: str, lo: float = 0.0001, hi: float = 0.9999, exact: bool = True,
 ) -> DataFrame:
     """Widest quantile range over the groups, so rare classes keep their tails."""
-    per = quantiles(df, cols, {"lo": lo, "hi": hi}, keys=[group], exact=exact)
+    groups = df.select(group).distinct().count() if exact else None
+    per = quantiles(df, cols, {"lo": lo, "hi": hi}, keys=[group], exact=exact, groups=groups)
     return per.groupBy("feature").agg(F.min("lo").alias("clip_lo"), F.max("hi").alias("clip_hi"))
 
 
+# distinct values of all features together whose ranks are broadcast
+RANKS_BROADCAST = 400_000
+
+
 def _mean_ranks(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Average rank of every distinct value per feature, shifted so a feature's ranks have mean 0."""
-    t = running_totals(_melt(df, cols), "value", {"c": F.count(F.lit(1))}, ["feature"])
+    """Average rank of every distinct value per feature (its place in ``cols``), shifted so a feature's ranks have mean 0."""
+    cells = F.explode(F.array(*[F.struct(F.lit(i).alias("feature"), F.col(c).alias("value")) for i, c in enumerate(cols)]))
+    t = running_totals(df.select(cells.alias("_x")).select("_x.*"), "value", {"c": F.count(F.lit(1))}, ["feature"])
     return t.select("feature", "value", (F.col("c_below") + F.col("c") / 2 - F.col("c_total") / 2).alias("rank"))
 
 
+def _rank_vectors(rows: DataFrame, cols: Sequence[str], ranks: DataFrame) -> tuple[DataFrame, list[int]]:
+    """One row per row of ``rows``: ``_v``, its ranks in some order of the features, and that order.
+
+    Features with few distinct values look their ranks up in broadcast tables, as counted. Only the cells of the others are
+    dealt by (feature, value) and gathered per row; the ranks already known travel with the first of them.
+    """
+    distinct = {r["feature"]: r["n"] for r in ranks.groupBy("feature").agg(F.count(F.lit(1)).alias("n")).collect()}
+    small, total = [], 0
+    for i in sorted(distinct, key=lambda i: (distinct[i], i)):
+        total += distinct[i]
+        if total > RANKS_BROADCAST:
+            break
+        small.append(i)
+    large = [i for i in range(len(cols)) if i not in small]
+    names = [f"_c{i}" for i in range(len(cols))]
+    now = rows.toDF(*names)
+    for i in small:
+        found = ranks.where(F.col("feature") == i).select(F.col("value").alias(names[i]), F.col("rank").alias(f"_r{i}"))
+        now = now.join(F.broadcast(found), names[i])
+    known = F.array(*[F.col(f"_r{i}") for i in small]) if small else F.array().cast("array<double>")
+    if not large:
+        return now.select(known.alias("_v")), small
+    now = now.select(F.monotonically_increasing_id().alias("_row"), known.alias("_known"), *[names[i] for i in large])
+    cells = F.explode(F.array(*[
+        F.struct(F.lit(i).alias("feature"), F.col(names[i]).alias("value"), (F.col("_known") if i == large[0] else F.lit(None)).alias("_known"))
+        for i in large]))
+    met = now.select("_row", cells.alias("_x")).select("_row", "_x.*").join(ranks.where(F.col("feature").isin(large)), ["feature", "value"])
+    got = met.groupBy("_row").agg(
+        F.max("_known").alias("_known"), *[F.max(F.when(F.col("feature") == i, F.col("rank"))).alias(f"_r{i}") for i in large])
+    return got.select(F.concat("_known", F.array(*[F.col(f"_r{i}") for i in large])).alias("_v")), [*small, *large]
+
+
+def _product_sums(vectors: DataFrame, width: int) -> tuple[int, np.ndarray]:
+    """Number of vectors and the sums of products of every two places, added up inside tasks first."""
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, total = 0, np.zeros((width, width))
+        for batch in batches:
+            x = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+            n, total = n + len(x), total + x.T @ x
+        yield pa.RecordBatch.from_pydict({"n": [n], "sums": [total.ravel().tolist()]}, pa.schema([("n", pa.int64()), ("sums", pa.list_(pa.float64()))]))
+
+    parts = vectors.mapInArrow(add, "n bigint, sums array<double>")
+    got = parts.select("n", F.posexplode("sums").alias("at", "s")).groupBy("at").agg(F.sum("n").alias("n"), F.sum("s").alias("s")).collect()
+    sums = np.zeros(width * width)
+    for r in got:
+        sums[r["at"]] = r["s"]
+    return max((r["n"] for r in got), default=0), sums.reshape(width, width)
+
+
 def spearman_matrix(df: DataFrame, cols: Sequence[str], fill: Mapping[str, float] | None = None) -> DataFrame:
     """Absolute Spearman correlation of every ordered pair (average ranks on ties).
 
-    Rows are imputed first (``fill``, else 0) because the correlation works on full rows.
-    Ranks are computed once per distinct value. All cells of all rows meet their ranks in one join on (feature,
-    value); the products of a row's ranks are then summed per pair of features, whatever the number of columns.
+    Rows are imputed first (``fill``, else 0) because the correlation works on full rows. Ranks are computed once per
+    distinct value and have mean 0, so one pass over the rows' ranks, adding products per pair of features, is enough.
     """
     cols = list(cols)
     rows = df.select(*[F.coalesce(finite(F.col(c)), F.lit(float((fill or {}).get(c, 0.0)))).alias(c) for c in cols])
-    ranks = _mean_ranks(rows, cols).select("feature", "value", "rank")
-    cells = _melt(rows.withColumn("_row", F.monotonically_increasing_id()), cols, ["_row"]).join(ranks, ["feature", "value"])
-    place = F.create_map(*[F.lit(x) for kv in enumerate(cols) for x in reversed(kv)])
-    vec = cells.groupBy("_row").agg(F.array_sort(F.collect_list(F.struct(
-        F.element_at(place, F.col("feature")).alias("i"), F.col("rank").alias("r")))).alias("_v"))
-    vec = vec.select(array_to_vector(F.transform("_v", lambda x: x["r"])).alias("_v"))
-    m = Correlation.corr(vec, "_v", "pearson").head()[0].toArray()
-    out = [(i, j, a, b, float(abs(m[i, j]))) for i, a in enumerate(cols) for j, b in enumerate(cols)]
+    vectors, order = _rank_vectors(rows, cols, written(_mean_ranks(rows, cols), "ranks"))
+    n, sums = _product_sums(vectors, len(cols))
+    if n < 2:
+        raise ValueError("a correlation needs two rows or more")
+    place = {c: k for k, c in enumerate(order)}
+
+    def rho(i: int, j: int) -> float:
+        a, b = place[i], place[j]
+        spread = math.sqrt(sums[a, a]) * math.sqrt(sums[b, b])
+        return 1.0 if i == j else min(float(abs(sums[a, b])) / spread, 1.0) if spread else math.nan
+
+    out = [(i, j, a, b, rho(i, j)) for i, a in enumerate(cols) for j, b in enumerate(cols)]
     return df.sparkSession.createDataFrame(out, "i int, j int, feature_a string, feature_b string, rho double")
 
 
