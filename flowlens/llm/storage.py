@@ -13,7 +13,7 @@ from flowlens.session import shared_dir
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Write ``df`` as Parquet below the shared folder and read it back.
 
     Cuts the lineage and survives the loss of any executor. An empty table comes back empty
@@ -21,19 +21,20 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/llm-{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def numbered(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """``df`` stored with one more column of unique longs, and that column's name, which no column of ``df`` has.
 
-    It tells apart rows that share an id, have none, or are equal. Written once, so a retried task cannot number anew.
+    It tells apart rows that share an id, have none, or are equal. Written once, so a retried task cannot number anew; as it
+    is a copy of all texts, it is packed more tightly than other tables.
     """
     taken, row = {c.lower() for c in df.columns}, "row_number"
     while row in taken:
         row = f"_{row}"
-    return stored(df.withColumn(row, F.monotonically_increasing_id()), name), row
+    return stored(df.withColumn(row, F.monotonically_increasing_id()), name, compression="zstd"), row
 
 
 def read_table(spark, sf_dir: str, name: str) -> DataFrame:
