@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from flowlens import constants as K
 from flowlens.functions import detection as D
+from flowlens.models.cell_forest import BORDER_COLUMNS, TREE_COLUMNS, CellForest
 from flowlens.models.forest import FamilyForest, ForestParams, fit_binary_forest, fit_family_forest, score
 from flowlens.models.isolation import (
     TREE_SCHEMA, IsolationForest, fit_isolation_forest, score_borders, score_isolation, score_percentile)
@@ -102,7 +103,9 @@ def save_bundle(bundle: Bundle, path: str) -> None:
     """Store every part below ``path`` and a manifest of the files beside it."""
     bundle.binary.write().overwrite().save(f"{path}/binary")
     if bundle.family:
-        bundle.family.model.write().overwrite().save(f"{path}/family")
+        trees, borders = bundle.family.model.tables(bundle.params.sparkSession)
+        trees.write.mode("overwrite").parquet(f"{path}/family/trees")
+        write_spec(borders, f"{path}/family/borders")
     if bundle.anomaly:
         trees = [tuple(t[c] for c in ("tree", "feature", "threshold", "left", "right", "size")) for t in bundle.anomaly.trees]
         write_spec(bundle.params.sparkSession.createDataFrame(trees, TREE_SCHEMA), f"{path}/anomaly")
@@ -122,7 +125,11 @@ def load_bundle(spark: SparkSession, path: str) -> Bundle:
     if held["anomaly_features"]:
         trees = read_spec(spark, f"{path}/anomaly", TREE_SCHEMA).collect()
         strange = IsolationForest(sorted(trees, key=lambda r: r["tree"]), list(held["anomaly_features"]), held["anomaly_sample"])
-    family = FamilyForest(RandomForestClassificationModel.load(f"{path}/family"), list(classes)) if classes else None
+    family = None
+    if classes:
+        trees = spark.read.schema(TREE_COLUMNS).parquet(f"{path}/family/trees")
+        borders = read_spec(spark, f"{path}/family/borders", BORDER_COLUMNS)
+        family = FamilyForest(CellForest.of_tables(trees, borders, len(classes)), list(classes))
     return Bundle(
         read_spec(spark, f"{path}/params", PARAMS_SCHEMA), read_spec(spark, f"{path}/baseline", BASELINE_SCHEMA),
         read_spec(spark, f"{path}/reference", REFERENCE_SCHEMA), rules,

@@ -1,4 +1,4 @@
-"""Attack forest and family forest on MLlib, and scoring with both."""
+"""Attack forest on MLlib, family forest on cells (see cell_forest), and scoring with both."""
 
 from __future__ import annotations
 
@@ -11,6 +11,9 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from flowlens.models.cell_forest import CellForest, Grower, binned_cells, feature_borders, grow_forest, tried_features
+from flowlens.session import written
+
 
 @dataclass
 class ForestParams:
@@ -28,7 +31,7 @@ FAMILY_PARAMS = ForestParams(depth=30, min_rows=2, features="sqrt")
 
 @dataclass
 class FamilyForest:
-    model: RandomForestClassificationModel
+    model: CellForest
     classes: list[str]
 
 
@@ -56,10 +59,16 @@ def fit_binary_forest(
 def fit_family_forest(
     attacks: DataFrame, features: Sequence[str], family: str = "family", params: ForestParams | None = None, seed: int = 7,
 ) -> FamilyForest:
-    """Family of an attack, trained on attack rows only; classes in alphabetical order."""
+    """Family of an attack, trained on all attack rows and on them only; classes in alphabetical order."""
+    p = params or FAMILY_PARAMS
+    if p.bins > 256:
+        raise ValueError("at most 256 bins")
     index = StringIndexer(inputCol=family, outputCol="_y", stringOrderType="alphabetAsc").fit(attacks)
-    ready = assemble(index.transform(attacks), features)
-    return FamilyForest(_classifier(params or FAMILY_PARAMS, seed, None).fit(ready.select("_x", "_y")), list(index.labels))
+    borders = feature_borders(attacks, features, p.bins)
+    cells = written(binned_cells(index.transform(attacks), features, "_y", borders), "cells")
+    tried = tried_features(p.features, len(features))
+    trees = grow_forest(cells, Grower(p.trees, len(index.labels), len(features), p.depth, p.min_rows, tried, p.bins, seed))
+    return FamilyForest(CellForest(trees, borders, len(index.labels)), list(index.labels))
 
 
 def _probabilities(df: DataFrame, model: RandomForestClassificationModel, out: str) -> DataFrame:
@@ -79,8 +88,8 @@ def score(
     out = out.withColumn("p_attack", F.coalesce(F.get("_b", 1), F.lit(0.0))).drop("_b")
     if family is not None:
         names = F.array(*[F.lit(c) for c in family.classes])
-        out = _probabilities(out, family.model, "_f")
-        probs = F.slice("_f", 1, len(family.classes))
+        out = out.withColumn("_f", family.model.probabilities(out, features))
+        probs = F.col("_f")
         best = F.array_max(probs)
         out = out.withColumns({
             "family_probs": F.map_from_arrays(names, probs), "fconf": best,
