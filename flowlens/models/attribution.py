@@ -9,7 +9,8 @@ from pyspark.ml.classification import RandomForestClassificationModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowlens.models.tree_tables import Tree, meet_trees
+from flowlens.models.cell_forest import CellForest
+from flowlens.models.tree_tables import TREE_COLUMNS, Tree, meet_trees
 from flowlens.session import fresh_path, written
 
 
@@ -29,8 +30,12 @@ def node_table(model: RandomForestClassificationModel, spark) -> DataFrame:
         n["leftChild"].alias("left"), n["rightChild"].alias("right"))
 
 
-def _trees(model: RandomForestClassificationModel, spark) -> DataFrame:
+def _trees(model: CellForest | RandomForestClassificationModel, spark) -> DataFrame:
     """One row of node arrays per tree (node numbers are places in the arrays)."""
+    if isinstance(model, CellForest):
+        rows = [("model", tree, np.where(left >= 0, feature, -1).tolist(), threshold.tolist(), left.tolist(), np.where(left >= 0, left + 1, -1).tolist(),
+                 shares[:, 1].tolist()) for tree, feature, threshold, left, shares in model.arrays()]
+        return spark.createDataFrame(rows, TREE_COLUMNS)
     listed = F.array_sort(F.collect_list(F.struct("node", "p", "feature", "threshold", "left", "right")))
     per = node_table(model, spark).groupBy("tree").agg(listed.alias("n"))
     return per.select(
@@ -59,12 +64,12 @@ def path_contributions(width: int) -> Callable[[np.ndarray, Tree], np.ndarray]:
 
 
 def attribute(
-    df: DataFrame, features: Sequence[str], model: RandomForestClassificationModel, ids: Sequence[str] = ("flow_id",),
+    df: DataFrame, features: Sequence[str], model: CellForest | RandomForestClassificationModel, ids: Sequence[str] = ("flow_id",),
 ) -> DataFrame:
     """Add ``base`` and ``contributions`` (one per feature); base + their sum is the forest's p(attack).
 
     Walking a tree, the change of p from a node to its child belongs to the feature the node splits on; every tree is
-    walked. Trees are a table that blocks of rows meet in tasks: the forest never passes the driver, whatever its size.
+    walked. Trees are a table that blocks of rows meet in tasks.
     ``ids`` spread the rows over blocks (other columns, where a table has none of them, do as well).
     """
     width = len(features)

@@ -6,7 +6,6 @@ import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.ml.classification import RandomForestClassificationModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,7 +34,7 @@ class Bundle:
     baseline: DataFrame
     reference: DataFrame
     rules: DataFrame
-    binary: RandomForestClassificationModel
+    binary: CellForest
     family: FamilyForest | None
     anomaly: IsolationForest | None = None
 
@@ -101,11 +100,11 @@ def detect(df: DataFrame, bundle: Bundle) -> DataFrame:
 
 def save_bundle(bundle: Bundle, path: str) -> None:
     """Store every part below ``path`` and a manifest of the files beside it."""
-    bundle.binary.write().overwrite().save(f"{path}/binary")
-    if bundle.family:
-        trees, borders = bundle.family.model.tables(bundle.params.sparkSession)
-        trees.write.mode("overwrite").parquet(f"{path}/family/trees")
-        write_spec(borders, f"{path}/family/borders")
+    for name, forest in (("binary", bundle.binary), ("family", bundle.family and bundle.family.model)):
+        if forest:
+            trees, borders = forest.tables(bundle.params.sparkSession)
+            trees.write.mode("overwrite").parquet(f"{path}/{name}/trees")
+            write_spec(borders, f"{path}/{name}/borders")
     if bundle.anomaly:
         trees = [tuple(t[c] for c in ("tree", "feature", "threshold", "left", "right", "size")) for t in bundle.anomaly.trees]
         write_spec(bundle.params.sparkSession.createDataFrame(trees, TREE_SCHEMA), f"{path}/anomaly")
@@ -114,6 +113,11 @@ def save_bundle(bundle: Bundle, path: str) -> None:
     write_spec(file_manifest(bundle.params.sparkSession, path), f"{path}.manifest")
 
 
+def _load_forest(spark: SparkSession, path: str, classes: int) -> CellForest:
+    trees = spark.read.schema(TREE_COLUMNS).parquet(f"{path}/trees")
+    return CellForest.of_tables(trees, read_spec(spark, f"{path}/borders", BORDER_COLUMNS), classes)
+
+
 def load_bundle(spark: SparkSession, path: str) -> Bundle:
     """Read a stored bundle; a missing, unlisted or changed file is an error."""
     problems = verify_manifest(read_spec(spark, f"{path}.manifest", MANIFEST_SCHEMA), file_manifest(spark, path)).collect()
@@ -125,12 +129,8 @@ def load_bundle(spark: SparkSession, path: str) -> Bundle:
     if held["anomaly_features"]:
         trees = read_spec(spark, f"{path}/anomaly", TREE_SCHEMA).collect()
         strange = IsolationForest(sorted(trees, key=lambda r: r["tree"]), list(held["anomaly_features"]), held["anomaly_sample"])
-    family = None
-    if classes:
-        trees = spark.read.schema(TREE_COLUMNS).parquet(f"{path}/family/trees")
-        borders = read_spec(spark, f"{path}/family/borders", BORDER_COLUMNS)
-        family = FamilyForest(CellForest.of_tables(trees, borders, len(classes)), list(classes))
+    family = FamilyForest(_load_forest(spark, f"{path}/family", len(classes)), list(classes)) if classes else None
     return Bundle(
         read_spec(spark, f"{path}/params", PARAMS_SCHEMA), read_spec(spark, f"{path}/baseline", BASELINE_SCHEMA),
         read_spec(spark, f"{path}/reference", REFERENCE_SCHEMA), rules,
-        RandomForestClassificationModel.load(f"{path}/binary"), family, strange)
+        _load_forest(spark, f"{path}/binary", 2), family, strange)

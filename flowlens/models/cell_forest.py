@@ -6,8 +6,8 @@ its count, which is what its rows would have drawn together. Nodes of more than
 rounds over summed histograms, one level per round; smaller ones are grown to the end inside a task, side by side. Growing
 keeps to MLlib's rules: Gini gain, counts of drawn rows per leaf, siblings that name the same class merged.
 
-A grown tree is a row of packed node arrays (7 bytes a node and the distinct class shares of its leaves). Rows are scored
-in tasks, the same way in tables and streams.
+A grown tree is a row of packed node arrays (7 bytes a node and its class shares). Rows are scored in tasks, the same way
+in tables and streams.
 """
 
 from __future__ import annotations
@@ -97,6 +97,8 @@ def binned_cells(df: DataFrame, features: Sequence[str], label: str, borders: Se
         for batch in batches:
             if not len(batch):
                 continue
+            if batch.column(width).null_count:
+                raise ValueError("a label is null")
             y = batch.column(width).to_numpy(zero_copy_only=False).astype(np.int32)
             whole = np.ascontiguousarray(np.hstack([bin_codes(_matrix(batch, width), cuts), y.view(np.uint8).reshape(-1, 4)]))
             cell, n = np.unique(whole.view(f"V{width + 4}").ravel(), return_counts=True)
@@ -233,12 +235,9 @@ def merge_siblings(tree: Nodes) -> Nodes:
 
 
 def packed(tree: Nodes) -> tuple[bytes, bytes, bytes, bytes]:
-    """Node arrays as bytes; equal class shares are kept once."""
-    left, leaf = tree.left.astype(np.int32), tree.left < 0
-    mass = tree.mass[leaf]
-    shares, which = np.unique(mass / np.maximum(mass.sum(axis=1, keepdims=True), 1e-300), axis=0, return_inverse=True)
-    left[leaf] = -1 - which.reshape(-1)
-    return tree.feature.astype(np.int16).tobytes(), tree.code.tobytes(), left.tobytes(), shares.tobytes()
+    """Node arrays as bytes, with the class shares of every node."""
+    shares = tree.mass / np.maximum(tree.mass.sum(axis=1, keepdims=True), 1e-300)
+    return tree.feature.astype(np.int16).tobytes(), tree.code.tobytes(), tree.left.astype(np.int32).tobytes(), shares.tobytes()
 
 
 @dataclass
@@ -409,28 +408,45 @@ def _put_together(top: Top, tree: int, pieces: dict, classes: int) -> tuple[byte
         if ends and np.argmax(top.mass[a]) == np.argmax(top.mass[a + 1]):
             top.left[node] = -1
             pieces[tree, node] = packed(_leaf(np.add(top.mass[a], top.mass[a + 1])))
+    for node in range(len(top.left) - 1, -1, -1):
+        if top.mass[node] is None and top.left[node] >= 0:
+            top.mass[node] = np.add(top.mass[top.left[node]], top.mass[top.left[node] + 1])
     feature, code, left = (list(a) for a in top.arrays())
-    shares, held = [], 0
-    rest = [[], [], []]
-    made = len(left)
+    value = packed(Nodes(np.array(feature), np.array(code, dtype=np.uint8), np.array(left), np.array(top.mass, dtype=np.float64)))[3]
+    value = list(np.frombuffer(value, np.float64).reshape(-1, classes))
+    rest, made = [[], [], [], []], len(left)
     for node in range(len(top.left)):
         if top.left[node] >= 0 or (tree, node) not in pieces:
             continue
         f, c, a, v = (np.frombuffer(b, kind) for b, kind in zip(pieces[tree, node], (np.int16, np.uint8, np.int32, np.float64), strict=True))
         # the subtree's root takes the place of the top's leaf, its other nodes follow at the end
-        a = np.where(a >= 0, a + made - 1, a - held)
-        feature[node], code[node], left[node] = f[0], c[0], a[0]
-        rest[0].append(f[1:]), rest[1].append(c[1:]), rest[2].append(a[1:])
+        a, v = np.where(a >= 0, a + made - 1, -1), v.reshape(-1, classes)
+        feature[node], code[node], left[node], value[node] = f[0], c[0], a[0], v[0]
+        for held, more in zip(rest, (f, c, a, v), strict=True):
+            held.append(more[1:])
         made += len(a) - 1
-        shares.append(v)
-        held += len(v) // classes
-    whole = [np.concatenate([np.array(own), *more]) for own, more in zip((feature, code, left), rest, strict=True)]
-    return whole[0].astype(np.int16).tobytes(), whole[1].astype(np.uint8).tobytes(), whole[2].astype(np.int32).tobytes(), np.concatenate(shares).tobytes()
+    whole = [np.concatenate([np.array(own), *more]) for own, more in zip((feature, code, left, value), rest, strict=True)]
+    kinds = (np.int16, np.uint8, np.int32, np.float64)
+    return tuple(a.astype(k).tobytes() for a, k in zip(whole, kinds, strict=True))
+
+
+def fit_cells(
+    df: DataFrame, features: Sequence[str], label: Column, classes: int, trees: int, depth: int, min_rows: int, subset: str, bins: int, seed: int,
+) -> CellForest:
+    """A forest of all rows; ``label`` counts classes from 0. At most 256 bins, since a code is one byte."""
+    if not 1 < bins <= 256:
+        raise ValueError("2 to 256 bins")
+    names = [f"_{i}" for i in range(len(features))]
+    rows = written(df.select(*[F.col(f).cast("double").alias(n) for f, n in zip(features, names, strict=True)], label.cast("int").alias("_y")), "rows")
+    borders = feature_borders(rows, names, bins)
+    cells = written(binned_cells(rows, names, "_y", borders), "cells")
+    grower = Grower(trees, classes, len(names), depth, min_rows, tried_features(subset, len(names)), bins, seed)
+    return CellForest(grow_forest(cells, grower), borders, classes)
 
 
 @dataclass
 class CellForest:
-    """Packed trees, one row each (``tree, feature, code, left, value``); a leaf's ``left`` is -1 - the row of its class shares."""
+    """Packed trees, one row each (``tree, feature, code, left, value``): node arrays as in :class:`Nodes`, and class shares."""
 
     trees: list[tuple[int, bytes, bytes, bytes, bytes]]
     borders: list[np.ndarray]
@@ -443,6 +459,16 @@ class CellForest:
         return (spark.createDataFrame([tuple(bytearray(x) if isinstance(x, bytes) else x for x in t) for t in self.trees], TREE_COLUMNS),
                 spark.createDataFrame([(i, b.tolist()) for i, b in enumerate(self.borders)], BORDER_COLUMNS))
 
+    def arrays(self) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """Per tree: its number, feature, threshold (rows with x <= threshold go left), left and class shares of its nodes."""
+        for tree, f, c, a, v in self.trees:
+            feature, code, left = np.frombuffer(f, np.int16), np.frombuffer(c, np.uint8), np.frombuffer(a, np.int32)
+            threshold = np.zeros(len(left))
+            for j, cuts in enumerate(self.borders):
+                at = (left >= 0) & (feature == j)
+                threshold[at] = cuts[code[at]]
+            yield tree, feature, threshold, left, np.frombuffer(v, np.float64).reshape(-1, self.classes)
+
     @classmethod
     def of_tables(cls, trees: DataFrame, borders: DataFrame, classes: int) -> CellForest:
         rows = sorted((r["tree"], *(bytes(r[c]) for c in ("feature", "code", "left", "value"))) for r in trees.toLocalIterator())
@@ -499,7 +525,7 @@ class Scores:
     def walked(self, codes: np.ndarray) -> np.ndarray:
         total = np.zeros((len(codes), self.classes))
         for feature, code, left, value in self.trees:
-            total += value[-1 - left[walk(feature, code, left, codes)]]
+            total += value[walk(feature, code, left, codes)]
         return total / np.maximum(total.sum(axis=1, keepdims=True), 1e-300)
 
 

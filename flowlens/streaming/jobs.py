@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from flowlens import constants as K
 from flowlens.functions import detection as D
+from flowlens.models.cell_forest import CellForest
 from flowlens.models.forest import FamilyForest, score
 from flowlens.operators.drift import windowed_index
 from flowlens.operators.evaluate import _outcomes
@@ -18,7 +19,7 @@ from flowlens.sources.stores import sink_flows_idempotent
 
 
 def stream_score(
-    stream: DataFrame, features: Sequence[str], binary: RandomForestClassificationModel, family: FamilyForest | None,
+    stream: DataFrame, features: Sequence[str], binary: CellForest | RandomForestClassificationModel, family: FamilyForest | None,
     tau_binary: float, tau_family: float = 0.0, tau_anomaly: float = K.ANOMALY_DISABLED,
 ) -> DataFrame:
     """Score, decide and weigh every flow; stateless, so it needs no watermark."""
