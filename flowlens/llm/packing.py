@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -35,10 +36,46 @@ CACHE = 600_000
 _OTHER = re.compile(r"[^\n -~¡-ɏ]")
 _GAPS = ("  ", " \n", "\n ", "\n\n")
 #: Signs that close a word; they are a part of their own, marked so that no space is put before it.
-_CLOSING = re.compile(r"(?<=[^\W_])([!-&(-/:-@\[-`{-~]+)(?=[ \n]|$)")
+_CLOSING = re.compile(r"[!-&(-/:-@\[-`{-~](?<=[^\W_].)[!-&(-/:-@\[-`{-~]*(?=[ \n]|$)")
 _MARK = "\x02"
 
 
+#: The sign that stands for each byte in a byte-level vocabulary, where it is not the byte's own.
+_BYTES = dict(zip([b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174)], range(256, 512)))  # noqa: B905
+
+
+class _Ids(dict):
+    """Ids of parts as bytes; a part that is not there yet is tokenised when asked for.
+
+    A run of letters is one piece to the tokenizer, so it goes to the merges at once, without the search for pieces.
+    """
+
+    def __init__(self, model: Tokenizer):
+        super().__init__()
+        self.model, self.merges = model, model.model
+        self.line_end = self.whole("\n")
+        pieces = model.pre_tokenizer.pre_tokenize_str(" ab\n é's") if model.pre_tokenizer and not model.normalizer else []
+        self.plain = [p for p, _ in pieces] == ["Ġab", "Ċ", "ĠÃ©", "'s"]
+
+    def whole(self, text: str) -> bytes:
+        return np.asarray(self.model.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4").tobytes()
+
+    def __missing__(self, part: str) -> bytes:
+        # a part starting with a line end or a mark stands for itself, any other for a space and itself
+        first = part[:1]
+        word = part[1:] if first in ("\n", _MARK) else part
+        if self.plain and first != _MARK and word.isalpha():
+            signs = word if word.isascii() else word.encode().decode("latin-1").translate(_BYTES)
+            ids = [t.id for t in self.merges.tokenize(signs if first == "\n" else "Ġ" + signs)]
+            found = struct.pack(f"<{len(ids)}I", *ids)
+            if first == "\n":
+                found = self.line_end + found
+        else:
+            found = self.whole(word if first == _MARK else part if first == "\n" else " " + part)
+        self[part] = found
+        return found
+
+
 class Encoder:
     """Ids of whole texts as little-endian 32-bit numbers.
 
@@ -51,28 +88,21 @@ class Encoder:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.model = Tokenizer.from_file(path)
         self.special = [t.content for t in self.model.get_added_tokens_decoder().values()]
-        self.seen: dict[str, bytes] = {}
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, dtype="<u4").tobytes() for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
+        self.seen = _Ids(self.model)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.seen) > CACHE:
             self.seen.clear()
-        parts: list[list[str] | None] = []
+        ids, line_end = self.seen.__getitem__, len(self.seen.line_end)
+        out = []
         for text in texts:
             if text and not (_OTHER.search(text) or any(g in text for g in _GAPS) or any(t in text for t in self.special)):
-                # a part starting with a line end or a mark stands for itself, any other for a space and itself
-                parts.append(_CLOSING.sub(rf" {_MARK}\1", "\n" + text).replace("\n", " \n")[1:].split(" "))
+                parts = _CLOSING.sub(rf" {_MARK}\g<0>", "\n" + text).replace("\n", " \n")[1:].split(" ")
+                # the line end put before the first part is taken off again
+                out.append(b"".join(map(ids, parts))[line_end:])
             else:
-                parts.append(None)
-        new = list(set().union(*[p for p in parts if p]).difference(self.seen))
-        spelled = [p[1:] if p[:1] == _MARK else p if p[:1] == "\n" else " " + p for p in new]
-        self.seen.update(zip(new, self._ids(spelled), strict=True))
-        whole = iter(self._ids([t for t, p in zip(texts, parts, strict=True) if p is None]))
-        line_end = 4 * len(self.model.encode("\n", add_special_tokens=False).ids)
-        # the line end put before the first part is taken off again
-        return [next(whole) if p is None else b"".join(map(self.seen.__getitem__, p))[line_end:] for p in parts]
+                out.append(self.seen.whole(text))
+        return out
 
 
 @lru_cache(maxsize=4)

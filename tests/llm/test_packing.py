@@ -19,6 +19,20 @@ def test_encoder_equals_the_tokenizer():
         assert np.frombuffer(ids, dtype="<u4").tolist() == model.encode(text, add_special_tokens=False).ids, text
 
 
+def test_words_of_letters_go_to_the_merges_at_once():
+    own, model = Encoder(public_tokenizers.path(MODEL)), Tokenizer.from_file(public_tokenizers.path(MODEL))
+    letters = [c for c in map(chr, range(0x250)) if c.isalpha()]
+    rng = random.Random(4)
+    asked, whole = [], own.seen.whole
+    own.seen.whole = lambda text: asked.append(text) or whole(text)
+    word = lambda: "".join(rng.choices(letters, k=rng.randint(1, 9)))
+    texts = [" ".join(word() for _ in range(40)) + f",\n{word()}'s {word()}._ \"{word()}?!\"" for _ in range(200)]
+    texts += ["a " * 5, "", "\n", " ", "a\n", "x  y", "\n'll we", "_a, b_, c", "tail."]
+    for text, ids in zip(texts, own.encode(texts), strict=True):
+        assert np.frombuffer(ids, dtype="<u4").tolist() == model.encode(text, add_special_tokens=False).ids, text
+    assert len(asked) < 1000  # of some 9,000 different parts
+
+
 def test_tournament_finds_the_first_fit():
     rng = random.Random(2)
     for n in (1, 2, 7, 100):
