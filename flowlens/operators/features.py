@@ -13,9 +13,10 @@ from pyspark.sql import functions as F
 
 from flowlens import constants as K
 from flowlens.functions.exprs import finite, fixed
-from flowlens.plans.recipes import quantiles, running_totals
+from flowlens.plans.recipes import quantiles, quantiles_of_totals, running_totals
 from flowlens.session import written
 
+CLIP = {"lo": 0.0001, "hi": 0.9999}
 SPEC_COLUMNS = "pos int, name string, clip_lo double, clip_hi double, log1p boolean, train_median double"
 
 
@@ -25,8 +26,11 @@ def _melt(df: DataFrame, cols: Sequence[str], keys: Sequence[str] = ()) -> DataF
     return df.select(*keys, cells.alias("_x")).select(*keys, "_x.*")
 
 
-def column_stats(df: DataFrame, cols: Sequence[str], exact: bool = True) -> DataFrame:
-    """One row per column: missing rate, distinct values, range, quantiles, skew, top-value share."""
+def column_stats(df: DataFrame, cols: Sequence[str], exact: bool = True, totals: DataFrame | None = None) -> DataFrame:
+    """One row per column: missing rate, distinct values, range, quantiles, skew, top-value share.
+
+    ``totals``: running totals ``c`` of the rows per ``feature`` and ``value``, where they are known already.
+    """
     wide = []
     for i, c in enumerate(cols):
         v = finite(F.col(c))
@@ -39,11 +43,12 @@ def column_stats(df: DataFrame, cols: Sequence[str], exact: bool = True) -> Data
         F.struct(F.lit(c).alias("feature"), F.col(f"nan{i}").alias("nan_rate"), F.col(f"min{i}").alias("min"),
                  F.col(f"max{i}").alias("max"), F.col(f"sk{i}").alias("_sk"))
         for i, c in enumerate(cols)])).alias("_m")).select("_m.*")
-    per_value = _melt(df, cols).where(F.col("value").isNotNull()).groupBy("feature", "value").agg(
-        F.count(F.lit(1)).alias("_c"))
+    per_value = totals if totals is not None else _melt(df, cols).where(F.col("value").isNotNull()).groupBy("feature", "value").agg(
+        F.count(F.lit(1)).alias("c"))
     spread = per_value.groupBy("feature").agg(
-        F.count(F.lit(1)).alias("n_unique"), (F.max("_c") / F.sum("_c")).alias("top_share"))
-    q = quantiles(df, cols, {"median": 0.5, "q_lo": 0.0001, "q_hi": 0.9999}, exact=exact)
+        F.count(F.lit(1)).alias("n_unique"), (F.max("c") / F.sum("c")).alias("top_share"))
+    probs = {"median": 0.5, "q_lo": 0.0001, "q_hi": 0.9999}
+    q = quantiles(df, cols, probs, exact=exact) if totals is None else quantiles_of_totals(totals, "value", "c", ["feature"], probs)
     n = F.col("n").cast("double")
     unbias = F.when(n > 2, F.sqrt(n * (n - 1)) / (n - 2))
     return (
@@ -55,11 +60,14 @@ def column_stats(df: DataFrame, cols: Sequence[str], exact: bool = True) -> Data
 
 
 def group_clip_bounds(
-    df: DataFrame, cols: Sequence[str], group: str, lo: float = 0.0001, hi: float = 0.9999, exact: bool = True,
+    df: DataFrame, cols: Sequence[str], group: str, lo: float = CLIP["lo"], hi: float = CLIP["hi"], exact: bool = True,
 ) -> DataFrame:
     """Widest quantile range over the groups, so rare classes keep their tails."""
     groups = df.select(group).distinct().count() if exact else None
-    per = quantiles(df, cols, {"lo": lo, "hi": hi}, keys=[group], exact=exact, groups=groups)
+    return _widest(quantiles(df, cols, {"lo": lo, "hi": hi}, keys=[group], exact=exact, groups=groups))
+
+
+def _widest(per: DataFrame) -> DataFrame:
     return per.groupBy("feature").agg(F.min("lo").alias("clip_lo"), F.max("hi").alias("clip_hi"))
 
 
@@ -70,32 +78,39 @@ RANKS_BROADCAST = 400_000
 def _mean_ranks(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Average rank of every distinct value per feature (its place in ``cols``), shifted so a feature's ranks have mean 0."""
     cells = F.explode(F.array(*[F.struct(F.lit(i).alias("feature"), F.col(c).alias("value")) for i, c in enumerate(cols)]))
-    t = running_totals(df.select(cells.alias("_x")).select("_x.*"), "value", {"c": F.count(F.lit(1))}, ["feature"])
-    return t.select("feature", "value", (F.col("c_below") + F.col("c") / 2 - F.col("c_total") / 2).alias("rank"))
+    return _ranks_of_totals(running_totals(df.select(cells.alias("_x")).select("_x.*"), "value", {"c": F.count(F.lit(1))}, ["feature"]))
+
+
+def _ranks_of_totals(totals: DataFrame) -> DataFrame:
+    return totals.select("feature", "value", (F.col("c_below") + F.col("c") / 2 - F.col("c_total") / 2).alias("rank"))
 
 
 def _rank_vectors(rows: DataFrame, cols: Sequence[str], ranks: DataFrame) -> tuple[DataFrame, list[int]]:
     """One row per row of ``rows``: ``_v``, its ranks in some order of the features, and that order.
 
-    Features with few distinct values look their ranks up in broadcast tables, as counted. Only the cells of the others are
-    dealt by (feature, value) and gathered per row; the ranks already known travel with the first of them.
+    Features with few distinct values look their ranks up in broadcast tables, as counted. Of the others the one with the most is
+    left out and stays a value, ``_f``, last in the order (see :func:`_folded_sums`). Only the cells of the rest are dealt by
+    (feature, value) and gathered per row; what is known already travels with the first of them.
     """
     distinct = {r["feature"]: r["n"] for r in ranks.groupBy("feature").agg(F.count(F.lit(1)).alias("n")).collect()}
-    small, total = [], 0
-    for i in sorted(distinct, key=lambda i: (distinct[i], i)):
+    by_size, small, total = sorted(distinct, key=lambda i: (distinct[i], i)), [], 0
+    for i in by_size:
         total += distinct[i]
         if total > RANKS_BROADCAST:
             break
         small.append(i)
     large = [i for i in range(len(cols)) if i not in small]
+    folded = [by_size[-1]] if large else []
+    large = [i for i in large if i not in folded]
     names = [f"_c{i}" for i in range(len(cols))]
     now = rows.toDF(*names)
     for i in small:
         found = ranks.where(F.col("feature") == i).select(F.col("value").alias(names[i]), F.col("rank").alias(f"_r{i}"))
         now = now.join(F.broadcast(found), names[i])
     known = F.array(*[F.col(f"_r{i}") for i in small]) if small else F.array().cast("array<double>")
+    known = F.struct(known.alias("_v"), *[F.col(names[i]).alias("_f") for i in folded])
     if not large:
-        return now.select(known.alias("_v")), small
+        return now.select(known.alias("_x")).select("_x.*"), [*small, *folded]
     now = now.select(F.monotonically_increasing_id().alias("_row"), known.alias("_known"), *[names[i] for i in large])
     cells = F.explode(F.array(*[
         F.struct(F.lit(i).alias("feature"), F.col(names[i]).alias("value"), (F.col("_known") if i == large[0] else F.lit(None)).alias("_known"))
@@ -103,38 +118,58 @@ def _rank_vectors(rows: DataFrame, cols: Sequence[str], ranks: DataFrame) -> tup
     met = now.select("_row", cells.alias("_x")).select("_row", "_x.*").join(ranks.where(F.col("feature").isin(large)), ["feature", "value"])
     got = met.groupBy("_row").agg(
         F.max("_known").alias("_known"), *[F.max(F.when(F.col("feature") == i, F.col("rank"))).alias(f"_r{i}") for i in large])
-    return got.select(F.concat("_known", F.array(*[F.col(f"_r{i}") for i in large])).alias("_v")), [*small, *large]
+    vectors = got.select(F.concat("_known._v", F.array(*[F.col(f"_r{i}") for i in large])).alias("_v"), F.col("_known._f").alias("_f"))
+    return written(vectors, "rank_vectors"), [*small, *large, *folded]
+
 
+def _folded_sums(vectors: DataFrame, width: int, ranks: DataFrame) -> np.ndarray:
+    """Sums of products of the feature left out of ``_v`` with every place of it and with itself.
 
-def _product_sums(vectors: DataFrame, width: int) -> tuple[int, np.ndarray]:
-    """Number of vectors and the sums of products of every two places, added up inside tasks first."""
+    Rows are added up per value first, so that a value meets its rank once and no row is joined.
+    """
+    per = vectors.groupBy(F.col("_f").alias("value")).agg(F.count(F.lit(1)).alias("_n"), *[F.sum(F.col("_v")[i]).alias(f"_s{i}") for i in range(width)])
+    got = per.join(ranks.select("value", "rank"), "value").agg(
+        *[F.sum(F.col("rank") * F.col(f"_s{i}")) for i in range(width)], F.sum(F.col("rank") * F.col("rank") * F.col("_n"))).head()
+    return np.array([x or 0.0 for x in got])
+
+
+def _product_sums(vectors: DataFrame, width: int) -> np.ndarray:
+    """The sums of products of every two places, added up inside tasks first."""
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, total = 0, np.zeros((width, width))
+        total = np.zeros((width, width))
         for batch in batches:
             x = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
-            n, total = n + len(x), total + x.T @ x
-        yield pa.RecordBatch.from_pydict({"n": [n], "sums": [total.ravel().tolist()]}, pa.schema([("n", pa.int64()), ("sums", pa.list_(pa.float64()))]))
+            total = total + x.T @ x
+        yield pa.RecordBatch.from_pydict({"sums": [total.ravel().tolist()]}, pa.schema([("sums", pa.list_(pa.float64()))]))
 
-    parts = vectors.mapInArrow(add, "n bigint, sums array<double>")
-    got = parts.select("n", F.posexplode("sums").alias("at", "s")).groupBy("at").agg(F.sum("n").alias("n"), F.sum("s").alias("s")).collect()
+    parts = vectors.mapInArrow(add, "sums array<double>")
+    got = parts.select(F.posexplode("sums").alias("at", "s")).groupBy("at").agg(F.sum("s").alias("s")).collect()
     sums = np.zeros(width * width)
     for r in got:
         sums[r["at"]] = r["s"]
-    return max((r["n"] for r in got), default=0), sums.reshape(width, width)
+    return sums.reshape(width, width)
 
 
-def spearman_matrix(df: DataFrame, cols: Sequence[str], fill: Mapping[str, float] | None = None) -> DataFrame:
+def spearman_matrix(
+    df: DataFrame, cols: Sequence[str], fill: Mapping[str, float] | None = None, ranks: DataFrame | None = None,
+) -> DataFrame:
     """Absolute Spearman correlation of every ordered pair (average ranks on ties).
 
     Rows are imputed first (``fill``, else 0) because the correlation works on full rows. Ranks are computed once per
-    distinct value and have mean 0, so one pass over the rows' ranks, adding products per pair of features, is enough.
+    distinct value (unless given, see :func:`_mean_ranks`) and have mean 0, so it is enough to add up products per pair of features.
     """
     cols = list(cols)
     rows = df.select(*[F.coalesce(finite(F.col(c)), F.lit(float((fill or {}).get(c, 0.0)))).alias(c) for c in cols])
-    vectors, order = _rank_vectors(rows, cols, written(_mean_ranks(rows, cols), "ranks"))
-    n, sums = _product_sums(vectors, len(cols))
-    if n < 2:
+    if len(df.take(2)) < 2:
         raise ValueError("a correlation needs two rows or more")
+    ranks = written(_mean_ranks(rows, cols) if ranks is None else ranks, "ranks")
+    vectors, order = _rank_vectors(rows, cols, ranks)
+    folded = "_f" in vectors.columns
+    width = len(order) - folded
+    sums = _product_sums(vectors.select("_v"), width) if width else np.zeros((0, 0))
+    if folded:
+        more = _folded_sums(vectors, width, ranks.where(F.col("feature") == order[-1]))
+        sums = np.block([[sums, more[:-1, None]], [more[None, :-1], more[-1:, None]]])
     place = {c: k for k, c in enumerate(order)}
 
     def rho(i: int, j: int) -> float:
@@ -182,15 +217,30 @@ def build_feature_spec(
     df: DataFrame, cols: Sequence[str], group: str, preference: Sequence[str] | None = None,
     thr: float = 0.95, skew_limit: float = 5.0,
 ) -> FeatureSpec:
-    """Constants out, correlated copies out, then clip bounds, log flag and the unclipped median."""
+    """Constants out, correlated copies out, then clip bounds, log flag and the unclipped median.
+
+    Rows are counted per group, feature and value once and stored; quantiles and ranks come from these counts.
+    """
     spark = df.sparkSession
-    stats = {r["feature"]: r for r in column_stats(df, cols).collect()}
+    cells = _melt(df.select(F.col(group).alias("_group"), *cols), cols, ["_group"])
+    counted = written(cells.groupBy("_group", "feature", "value").agg(F.count(F.lit(1)).alias("c")), "counts")
+    finite_ones = counted.where(F.col("value").isNotNull())
+    totals = written(running_totals(finite_ones, "value", {"c": F.sum("c")}, ["feature"]), "value_totals")
+    stats = {r["feature"]: r for r in column_stats(df, cols, totals=totals).collect()}
     constant = [c for c in cols if stats[c]["n_unique"] <= 1]
     live = [c for c in (preference or cols) if c in cols and c not in constant]
-    rho = spearman_matrix(df, live, {c: stats[c]["median"] for c in live})
+    if any(stats[c]["nan_rate"] for c in live):
+        fills = F.create_map(*[x for c in live for x in (F.lit(c), F.lit(float(stats[c]["median"])))])
+        full = counted.where(F.col("feature").isin(live)).withColumn("value", F.coalesce("value", fills[F.col("feature")]))
+        totals = running_totals(full, "value", {"c": F.sum("c")}, ["feature"])
+    place = F.array_position(F.array(*[F.lit(c) for c in live]), F.col("feature")).cast("int") - 1
+    ranks = _ranks_of_totals(totals).where(F.col("feature").isin(live)).withColumn("feature", place) if live else None
+    rho = spearman_matrix(df, live, {c: stats[c]["median"] for c in live}, ranks)
     walked = prune_correlated(rho, live, thr).collect()
     kept = {r["name"] for r in walked if r["kept"]}
-    bounds = {r["feature"]: r for r in group_clip_bounds(df, [c for c in cols if c in kept], group).collect()}
+    inside = finite_ones.where(F.col("_group").isNotNull() & F.col("feature").isin(list(kept)))
+    per = quantiles_of_totals(running_totals(inside, "value", {"c": F.sum("c")}, ["_group", "feature"]), "value", "c", ["_group", "feature"], CLIP)
+    bounds = {r["feature"]: r for r in _widest(per).collect()}
     rows, pos = [], 0
     for c in cols:
         if c not in kept:

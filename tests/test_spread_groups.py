@@ -70,3 +70,25 @@ def test_cells_with_few_values_are_not_shuffled(spark):
     vectors, order = FE._rank_vectors(rows, ["a", "b"], ranks)
     assert order == [0, 1] and plan(vectors).count("strategy=broadcast") == 2
     assert "Aggregate" not in plan(vectors)
+
+
+def test_the_largest_feature_is_folded_by_value(spark, monkeypatch):
+    monkeypatch.setattr(FE, "RANKS_BROADCAST", 100)
+    rows = table(spark).select(*[F.coalesce(F.col(c), F.lit(0.0)).alias(c) for c in ("v", "few")]).where("not isnan(v)")
+    ranks = R.written(FE._mean_ranks(rows, ["v", "few"]), "ranks")
+    vectors, order = FE._rank_vectors(rows, ["v", "few"], ranks)
+    assert order == [1, 0] and vectors.columns == ["_v", "_f"] and "Aggregate" not in plan(vectors)
+
+
+def test_a_spec_takes_its_quantiles_from_one_count(spark, monkeypatch):
+    rows = [(i % 3 if i % 50 else None, float(i * i % 97), float(i % 7) if i % 5 else None, -float(i) if i % 11 else math.nan) for i in range(400)]
+    df, cols = spark.createDataFrame(rows, "g int, a double, b double, c double"), ["a", "b", "c"]
+    calls = []
+    monkeypatch.setattr(FE, "quantiles", lambda *a, **k: calls.append(a))
+    got = {r["name"]: r for r in FE.build_feature_spec(df, cols, "g").features.collect()}
+    assert sorted(got) == cols and not calls
+    x = pd.DataFrame(rows, columns=["g", *cols])
+    for c in cols:
+        assert got[c]["train_median"] == x[c].median()
+        per = x.groupby("g")[c]
+        assert got[c]["clip_lo"] == pytest.approx(per.quantile(0.0001).min()) and got[c]["clip_hi"] == pytest.approx(per.quantile(0.9999).max())
