@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import json
 import random
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -61,6 +64,36 @@ def _attack_scores(rows: DataFrame, trees: DataFrame, features: Sequence[str], i
     return met.withColumn(out, F.coalesce(share, F.lit(0.0))).drop("_sums", "n_trees")
 
 
+# scores of cells (cells x runs) that may be broadcast
+SCORES_BROADCAST = 1_000_000
+
+
+def _with_cell(rows: DataFrame, trees: DataFrame, features: Sequence[str]) -> DataFrame:
+    """Add ``_cell``: rows with the same one lie between the same thresholds of all trees, so every tree leads them to the same leaf.
+
+    The thresholds are bounded by the bins of the forests and pass through the driver.
+    """
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            feature, at = (batch.column(c).flatten().to_numpy(zero_copy_only=False) for c in ("feature", "threshold"))
+            for j in np.unique(feature[feature >= 0]):
+                found = np.unique(at[feature == j])
+                yield pa.RecordBatch.from_pydict({"feature": pa.array(np.full(len(found), j), pa.int32()), "threshold": pa.array(found, pa.float64())})
+
+    cuts = trees.select("feature", "threshold").mapInArrow(pairs, "feature int, threshold double").distinct()
+    borders = [np.zeros(0)] * len(features)
+    for r in cuts.groupBy("feature").agg(F.array_sort(F.collect_list("threshold")).alias("at")).collect():
+        borders[r["feature"]] = np.array(r["at"])
+
+    @F.pandas_udf("binary")
+    def cell(*columns: pd.Series) -> pd.Series:
+        # x <= threshold goes left; a missing number goes right everywhere, as the largest do
+        codes = [np.searchsorted(b, c.to_numpy(dtype=np.float64), side="left") for b, c in zip(borders, columns, strict=True)]
+        return pd.Series([r.tobytes() for r in np.stack(codes, axis=1).astype("<u4")])
+
+    return rows.withColumn("_cell", cell(*[F.col(f) for f in features]))
+
+
 def run_holdouts(
     train: DataFrame, val: DataFrame, evaluation: DataFrame, units: Sequence[tuple[str, str]], setting: Setting,
     seeds: Sequence[int] = (7, 8, 9), budgets: Sequence[float] = tuple(K.HOLDOUT_BUDGETS), ids: Sequence[str] = ("flow_id",),
@@ -68,7 +101,8 @@ def run_holdouts(
     """Refit both heads without each unit (column, value) and report how the unit is then treated.
 
     One model with everything per seed gives the ceiling. Rows need family, tool and the weight ``w``. All forests of all
-    seeds and units grow in one job from one bounded sample (see growing); every row of ``val`` and ``evaluation`` is scored.
+    seeds and units grow in one job from one bounded sample (see growing); every row of ``val`` and ``evaluation`` is scored,
+    rows that no tree can tell apart once (see :func:`_with_cell`).
     Output: unit, seed and the hold-out report columns, a row per budget; :func:`aggregate_seeds` sums it up.
     """
     spark, features = train.sparkSession, list(setting.features)
@@ -83,14 +117,20 @@ def run_holdouts(
     classes = len(sample.classes(_job("", "family", setting.family, 0, features, attacks_only=True)))
 
     rows = val.withColumn("_part", F.lit("val")).unionByName(evaluation.withColumn("_part", F.lit("eval")))
-    rows = rows.select(*ids, "_part", "family", "tool", "w", *[F.col(f).cast("double").alias(f) for f in features])
-    rows = _with_fit(rows, spark.createDataFrame([(s, f"full|{s}") for s in seeds], "seed int, fit string"))
-    rows = _attack_scores(rows, trees, features, ids, "p_full").drop("fit")
-    rows = rows.withColumn("_unit", F.explode(F.sequence(F.lit(0), F.lit(len(units) - 1))))
+    rows = rows.select("_part", "family", "tool", "w", *[F.col(f).cast("double").alias(f) for f in features])
+    rows = written(_with_cell(rows, trees, features), "holdout_rows")
+    cells = rows.groupBy("_cell").agg(*[F.min(f).alias(f) for f in features])
+    cells = _with_fit(cells, spark.createDataFrame([(s, f"full|{s}") for s in seeds], "seed int, fit string"))
+    cells = _attack_scores(cells, trees, features, ["_cell"], "p_full").drop("fit")
+    cells = cells.withColumn("_unit", F.explode(F.sequence(F.lit(0), F.lit(len(units) - 1))))
     name = F.concat(F.col("_unit").cast("string"), F.lit("|"), F.col("seed").cast("string"))
-    rows = _attack_scores(rows.withColumn("fit", F.concat(F.lit("binary|"), name)), trees, features, ids, "p")
-    rows = meet_trees(rows.withColumn("fit", F.concat(F.lit("family|"), name)), trees, features, classes, leaf_values(classes), ids, "_sums")
-    rows = rows.withColumn("fconf", F.try_divide(F.array_max("_sums"), F.col("n_trees").cast("double")))
+    cells = _attack_scores(cells.withColumn("fit", F.concat(F.lit("binary|"), name)), trees, features, ["_cell"], "p")
+    cells = meet_trees(cells.withColumn("fit", F.concat(F.lit("family|"), name)), trees, features, classes, leaf_values(classes), ["_cell"], "_sums")
+    cells = cells.withColumn("fconf", F.try_divide(F.array_max("_sums"), F.col("n_trees").cast("double")))
+    cells = written(cells.groupBy("_cell").agg(F.collect_list(F.struct("_unit", "seed", "p", "fconf", "p_full")).alias("_runs")), "cell_scores")
+    few = cells.count() * len(units) * len(seeds) <= SCORES_BROADCAST
+    rows = rows.join(F.broadcast(cells) if few else cells, "_cell")
+    rows = rows.select("_part", "family", "tool", "w", F.explode("_runs").alias("_run")).select("_part", "family", "tool", "w", "_run.*")
     held = F.element_at(F.array(*[F.coalesce(F.col(c) == v, F.lit(False)) for c, v in units]), F.col("_unit") + 1)
     named = F.element_at(F.array(*[F.lit(v) for _, v in units]), F.col("_unit") + 1)
     scored = written(rows.select("_part", "_unit", named.alias("unit"), "seed", held.alias("_held"), "family", "w", "p", "fconf", "p_full"), "holdouts")

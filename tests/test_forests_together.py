@@ -139,6 +139,21 @@ def test_run_holdouts_search_and_ablation(spark, flows):
     assert rows["all"].features == 3 and rows["no_y"].held_recall < 0.3 and rows["all"].recall > 0.5
 
 
+def test_rows_of_a_cell_reach_the_same_leaves(spark, flows):
+    """Missing and infinite numbers and such on a threshold too; holdouts score every cell once."""
+    sample = training_sample(flows, ["x", "y", "z"], attack(), ["tool", "family"], ["flow_id"])
+    trees = grow_forests(spark, sample, [job("a"), job("b", trees=3, without=("tool", "ares"))])
+    cut = [t for r in trees.collect() for f, t in zip(r.feature, r.threshold, strict=True) if f == 0]
+    odd = [(float("nan"), 0.0, 1.0), (None, 0.0, 1.0), (float("inf"), 0.0, 1.0), (float("-inf"), -0.0, 1.0), *[(t, 0.0, 1.0) for t in sorted(set(cut))[:20]]]
+    rows = flows.select("x", "y", "z").unionByName(spark.createDataFrame(odd, "x double, y double, z double"))
+    rows = rows.withColumn("id", F.monotonically_increasing_id().cast("string")).withColumn("fit", F.explode(F.array(F.lit("a"), F.lit("b"))))
+    met = TT.meet_trees(T._with_cell(rows, trees, ["x", "y", "z"]), trees, ["x", "y", "z"], 2, TT.leaf_values(2), ["id"]).collect()
+    found = {}
+    for r in met:
+        found.setdefault((r.fit, bytes(r._cell)), set()).add(tuple(r.sums))
+    assert all(len(v) == 1 for v in found.values()) and len(found) < len(met)
+
+
 def test_isolation_forests_of_all_fits_equal_single_ones(spark, flows):
     benign = flows.where(~attack())
     plan = spark.createDataFrame([("a", 20, 64, 1.0), ("b", 20, 256, 1.0)], "fit string, trees int, sample int, share double")
