@@ -252,6 +252,7 @@ class Grower:
     tried: int
     bins: int
     seed: int
+    merge: bool = True  # siblings that name the same class
 
     def rng(self, *of: int) -> np.random.Generator:
         return np.random.default_rng([self.seed & 0xFFFFFFFF, *of])
@@ -293,9 +294,10 @@ class Grower:
         tree, node = (k.as_py() for k in key)
         drawn = drawn.sort_by("block")
         join = lambda c, kind: np.frombuffer(b"".join(drawn[c].to_pylist()), dtype=kind)
-        grown = merge_siblings(grow_cells(
+        grown = grow_cells(
             join("codes", np.uint8).reshape(-1, self.width), join("y", np.int32), join("w", np.int32), self.classes, self.rng(2, tree, node),
-            self.depth - depth.get((tree, node), 0), self.min_rows, self.tried, self.bins))
+            self.depth - depth.get((tree, node), 0), self.min_rows, self.tried, self.bins)
+        grown = merge_siblings(grown) if self.merge else grown
         return pa.table({"tree": pa.array([tree], pa.int32()), "node": pa.array([node], pa.int32()),
                          **{c: pa.array([b], pa.binary()) for c, b in zip(("feature", "code", "left", "value"), packed(grown), strict=True)}})
 
@@ -391,20 +393,20 @@ def grow_forest(cells: DataFrame, grower: Grower) -> list[tuple[int, bytes, byte
     grown = written(dealt.repartition(slots, "tree", "node").groupBy("tree", "node").applyInArrow(finish, PIECE_COLUMNS), "trees")
     for r in grown.toLocalIterator():
         pieces[r["tree"], r["node"]] = tuple(bytes(r[c]) for c in ("feature", "code", "left", "value"))
-    return [(t, *_put_together(top, t, pieces, g.classes)) for t, top in enumerate(tops) if any((t, k) in pieces for k in range(len(top.left)))]
+    return [(t, *_put_together(top, t, pieces, g.classes, g.merge)) for t, top in enumerate(tops) if any((t, k) in pieces for k in range(len(top.left)))]
 
 
 def _leaf(mass: Sequence[float]) -> Nodes:
     return Nodes(np.array([-1], dtype=np.int16), np.zeros(1, dtype=np.uint8), np.array([-1], dtype=np.int32), np.array([mass], dtype=np.float64))
 
 
-def _put_together(top: Top, tree: int, pieces: dict, classes: int) -> tuple[bytes, bytes, bytes, bytes]:
+def _put_together(top: Top, tree: int, pieces: dict, classes: int, merge: bool = True) -> tuple[bytes, bytes, bytes, bytes]:
     """One tree from its top and the subtrees that hang below it."""
     if len(top.left) == 1:
         return pieces[tree, 0]
     for node in range(len(top.left) - 1, -1, -1):  # children have higher numbers
         a = top.left[node]
-        ends = a >= 0 and all(top.left[k] < 0 and len(pieces[tree, k][1]) == 1 for k in (a, a + 1))
+        ends = merge and a >= 0 and all(top.left[k] < 0 and len(pieces[tree, k][1]) == 1 for k in (a, a + 1))
         if ends and np.argmax(top.mass[a]) == np.argmax(top.mass[a + 1]):
             top.left[node] = -1
             pieces[tree, node] = packed(_leaf(np.add(top.mass[a], top.mass[a + 1])))

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from flowlens import constants as K
 from flowlens.models.forest import ForestParams
-from flowlens.models.growing import Job, grow_forests, training_sample
+from flowlens.models.growing import Job, grow_forests, training_cells, training_sample
 from flowlens.models.tree_tables import leaf_values, meet_trees
 from flowlens.operators.decide import budget_scores
 from flowlens.operators.evaluate import holdout_reports
@@ -101,20 +101,20 @@ def run_holdouts(
     """Refit both heads without each unit (column, value) and report how the unit is then treated.
 
     One model with everything per seed gives the ceiling. Rows need family, tool and the weight ``w``. All forests of all
-    seeds and units grow in one job from one bounded sample (see growing); every row of ``val`` and ``evaluation`` is scored,
-    rows that no tree can tell apart once (see :func:`_with_cell`).
+    seeds and units grow in one job from all rows of ``train``, counted by their bins (see growing); every row of ``val`` and
+    ``evaluation`` is scored, rows that no tree can tell apart once (see :func:`_with_cell`).
     Output: unit, seed and the hold-out report columns, a row per budget; :func:`aggregate_seeds` sums it up.
     """
     spark, features = train.sparkSession, list(setting.features)
-    sample = training_sample(train, features, _attack(), ["family", "tool"], ids)
     jobs = []
     for seed in seeds:
         jobs.append(_job(f"full|{seed}", "attack", setting.binary, seed, features))
         for i, unit in enumerate(units):
             jobs.append(_job(f"binary|{i}|{seed}", "attack", setting.binary, seed, features, without=unit))
             jobs.append(_job(f"family|{i}|{seed}", "family", setting.family, seed, features, without=unit, attacks_only=True))
-    trees = grow_forests(spark, sample, jobs)
-    classes = len(sample.classes(_job("", "family", setting.family, 0, features, attacks_only=True)))
+    cells = training_cells(train, features, _attack(), ["family", "tool"], jobs)
+    trees = grow_forests(spark, cells, jobs)
+    classes = len(cells.classes(_job("", "family", setting.family, 0, features, attacks_only=True)))
 
     rows = val.withColumn("_part", F.lit("val")).unionByName(evaluation.withColumn("_part", F.lit("eval")))
     rows = rows.select("_part", "family", "tool", "w", *[F.col(f).cast("double").alias(f) for f in features])

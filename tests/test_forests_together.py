@@ -1,5 +1,6 @@
 """Many forests in one job: trees, scores, hold-outs and searches against plain computation."""
 
+import dataclasses
 import datetime as dt
 import random
 
@@ -7,11 +8,12 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from flowlens.models import growing
 from flowlens.models import isolation as ISO
 from flowlens.models import tree_tables as TT
 from flowlens.models import tuning as T
 from flowlens.models.forest import ForestParams
-from flowlens.models.growing import Job, grow_forests, grow_tree, training_sample
+from flowlens.models.growing import Job, _drawn, grow_forests, grow_tree, training_cells, training_sample
 from flowlens.operators import evaluate as E
 
 START = dt.datetime(2026, 1, 1)
@@ -175,3 +177,59 @@ def test_study_of_settings_with_a_share_of_the_features(spark, flows):
     plan = spark.createDataFrame([("third", 30, 128, 0.34)], "fit string, trees int, sample int, share double")
     used = ISO.grow_isolation_forests(flows.withColumn("fit", F.lit("third")), plan, ["x", "y", "z"], ["flow_id"])
     assert all(len({f for f in r.feature if f >= 0}) <= 1 for r in used.collect())
+
+
+def holdout_jobs():
+    return [job("full|1"), job("b", without=("tool", "hulk")), job("f", label="family", without=("tool", "hulk"), attacks_only=True)]
+
+
+def test_holdouts_train_on_all_rows(spark, flows, monkeypatch):
+    """No sample is drawn, and the cells of a set of rows stand for every one of them, with the cut points of all."""
+    odd = flows.limit(3).withColumns({"family": F.lit(None).cast("string"), "tool": F.lit(None).cast("string")})
+    rows = flows.unionByName(odd).unionByName(flows.limit(50))  # labels without a value, and copies
+    jobs = holdout_jobs()
+    sample = training_sample(rows, ["x", "y", "z"], attack(), ["tool", "family"], ["flow_id"])
+    cells = training_cells(rows, ["x", "y", "z"], attack(), ["tool", "family"], jobs)
+    for j in jobs:
+        cuts, codes, y, _ = sample.prepared(j)
+        got_cuts, got_codes, got_y, n = cells.prepared(j)
+        assert all(a.tolist() == b.tolist() for a, b in zip(cuts, got_cuts, strict=True)) and n.sum() == len(y)
+        want, counts = np.unique(np.hstack([codes, y[:, None]]), axis=0, return_counts=True)
+        found = {}
+        for c, label, m in zip(got_codes.tolist(), got_y, n, strict=True):
+            found[(*c, label)] = found.get((*c, label), 0) + m
+        assert found == dict(zip(map(tuple, want.tolist()), counts, strict=True))
+    monkeypatch.setattr(T, "training_sample", lambda *a, **k: pytest.fail("rows were sampled"))
+    parts = [flows.where(F.pmod(F.col("flow_id").cast("int"), F.lit(3)) == k) for k in range(3)]
+    small = ForestParams(trees=4, depth=4, min_rows=3, features="sqrt")
+    assert T.run_holdouts(*parts, [("tool", "hulk")], T.Setting(["x", "y", "z"], small, small), seeds=(1,), budgets=(0.05,)).count() == 1
+
+
+def test_cells_beyond_a_task_grow_in_rounds(spark, flows, monkeypatch):
+    """The same jobs with cells held by tasks and not: forests that tell the classes apart alike."""
+    jobs, scores = [dataclasses.replace(j, trees=40) for j in holdout_jobs()], []
+    for most in (growing.GROUP_CODES, 0):
+        monkeypatch.setattr(growing, "GROUP_CODES", most)
+        cells = training_cells(flows, ["x", "y", "z"], attack(), ["tool", "family"], jobs)
+        assert bool(cells.beyond) == (most == 0) and bool(cells.held) == (most > 0)
+        trees = grow_forests(spark, cells, jobs)
+        assert {r.fit: r["n"] for r in trees.groupBy("fit").agg(F.count(F.lit(1)).alias("n")).collect()} == {j.fit: 40 for j in jobs}
+        met = TT.meet_trees(flows.withColumn("fit", F.lit("full|1")), trees, ["x", "y", "z"], 2, TT.leaf_values(2), ["flow_id"])
+        scores.append({r.flow_id: r.sums[1] / r.n_trees for r in met.collect()})
+    a, b = (np.array([s[k] for k in sorted(scores[0])]) for s in scores)
+    assert np.corrcoef(a, b)[0, 1] > 0.98 and abs(a - b).mean() < 0.05
+
+
+def test_a_missing_number_keeps_a_feature_from_being_split_on(spark, flows):
+    holed = flows.withColumn("z", F.when(F.col("flow_id") != "5", F.col("z")))
+    cells = training_cells(holed, ["x", "y", "z"], attack(), ["tool", "family"], holdout_jobs())
+    assert [len(c) for c in cells.prepared(holdout_jobs()[0])[0]] == [63, 63, 0]
+
+
+def test_draws_of_cells_are_those_of_their_rows():
+    rng = np.random.default_rng(3)
+    times = np.array([1, 4, 50, 2_000])
+    drawn = [_drawn(times, rng) for _ in range(4_000)]
+    weight, met = (np.mean([d[i] for d in drawn], axis=0) / times for i in (0, 1))
+    assert weight == pytest.approx(np.ones(4), abs=0.05) and met == pytest.approx(np.full(4, 1 - np.exp(-1)), abs=0.03)
+    assert all(_drawn(np.array([1]), rng)[0][0] > 0 for _ in range(50))
