@@ -20,6 +20,7 @@ from flowlens.session import written
 TREE_SCHEMA = (
     "tree int, feature array<int>, threshold array<double>, left array<int>, right array<int>, size array<int>")
 NODES_PER_PASS = 2_000_000
+HELD_NODES = 8_000_000
 
 
 @dataclass
@@ -112,12 +113,12 @@ def grow_isolation_forests(
     """
     features, key = list(features), [F.col(c) for c in ids]
     counts = rows.groupBy("fit").agg(F.count(F.lit(1)).alias("_n"))
-    plan = counts.join(settings, "fit")
+    plan = counts.join(F.broadcast(settings), "fit")
     size = F.least(F.col("sample").cast("long"), F.col("_n"))
     copies = F.col("trees") * size / F.col("_n")
     plan = plan.select("fit", "trees", "share", F.floor(copies).cast("int").alias("_whole"), (copies - F.floor(copies)).alias("_part"),
                        F.greatest(F.lit(1), F.ceil(F.log2(F.greatest(size, F.lit(2)).cast("double"))).cast("int")).alias("_limit"))
-    drawn = rows.select("fit", *ids, *[F.col(f).cast("double").alias(f"_x{i}") for i, f in enumerate(features)]).join(plan, "fit")
+    drawn = rows.select("fit", *ids, *[F.col(f).cast("double").alias(f"_x{i}") for i, f in enumerate(features)]).join(F.broadcast(plan), "fit")
     times = F.col("_whole") + (hash01(*key, seed=seed) < F.col("_part")).cast("int")
     picks = F.array_distinct(F.transform(
         F.when(times > 0, F.sequence(F.lit(1), times)).otherwise(F.array().cast("array<int>")),
@@ -151,6 +152,71 @@ def score_isolation_forests(df: DataFrame, trees: DataFrame, features: Sequence[
     return met.join(scale, "fit", "left").withColumn(out, F.pow(F.lit(2.0), -mean / F.col("_scale"))).drop("_path", "n_trees", "_scale")
 
 
+class HeldForests:
+    """Isolation forests as node arrays that a task holds whole: a leaf points at itself with a threshold that no number passes.
+
+    ``trees`` are those of :func:`grow_isolation_forests`, whose right child is next to the left one.
+    """
+
+    def __init__(self, trees: DataFrame, fits: Sequence[str]):
+        self.fits, got = list(fits), trees.select("fit", "tree", "feature", "threshold", "left", "value", "rows").toArrow().sort_by(
+            [("fit", "ascending"), ("tree", "ascending")])
+        self.trees: dict[str, list[tuple]] = {f: [] for f in self.fits}
+        rows: dict[str, list[int]] = {f: [] for f in self.fits}
+        for t in got.to_batches():
+            for i in range(len(t)):
+                fit = t.column("fit")[i].as_py()
+                feature, threshold, left, value = (t.column(c)[i].values.to_numpy(zero_copy_only=False) for c in ("feature", "threshold", "left", "value"))
+                split, depth = left >= 0, np.zeros(len(left), dtype=np.int32)
+                for at in np.flatnonzero(split):  # children come after their parent
+                    depth[left[at]:left[at] + 2] = depth[at] + 1
+                self.trees[fit].append((np.where(split, feature, 0).astype(np.int16), np.where(split, threshold, np.inf),
+                                        np.where(split, left, np.arange(len(left))).astype(np.int32), value.copy(), int(depth.max())))
+                rows[fit].append(t.column("rows")[i].as_py())
+        # as in score_isolation, with the mean number of rows that the trees of a fit were grown from
+        self.scale = {f: (float(average_path(np.mean(n))) if np.mean(n) > 2 else 1.0) if n else math.nan for f, n in rows.items()}
+
+    def scores(self, x: np.ndarray) -> np.ndarray:
+        """Rows x fits; not a number where a fit has no trees. A missing number goes right everywhere."""
+        flat = np.ascontiguousarray(np.where(np.isnan(x), np.inf, x)).ravel()
+        first = np.arange(len(x)) * x.shape[1]
+        out = np.full((len(x), len(self.fits)), np.nan)
+        for i, fit in enumerate(self.fits):
+            total = np.zeros(len(x))
+            for feature, threshold, left, value, depth in self.trees[fit]:
+                feature, left, at = feature.astype(np.intp), left.astype(np.intp), np.zeros(len(x), dtype=np.intp)
+                for _ in range(depth):
+                    at = left.take(at) + (flat.take(feature.take(at) + first) > threshold.take(at))
+                total += value.take(at)
+            if self.trees[fit]:
+                out[:, i] = 2.0 ** (-(total / len(self.trees[fit])) / self.scale[fit])
+        return out
+
+
+def score_all_settings(df: DataFrame, trees: DataFrame, fits: Sequence[str], features: Sequence[str], keep: Sequence[str]) -> DataFrame:
+    """``fit, *keep, anomaly_score``: every row of ``df`` by every one of ``fits``, as :func:`score_isolation_forests` gives them.
+
+    Trees of up to ``HELD_NODES`` nodes (settings bound them, not rows) are broadcast once, so rows and trees are never
+    shuffled and a row is read once for all fits; larger forests meet the rows in blocks.
+    """
+    nodes = trees.agg(F.sum(F.size("feature"))).first()[0] or 0
+    if nodes > HELD_NODES:
+        named = df.withColumns({"fit": F.explode(F.array(*[F.lit(f) for f in fits])), "_id": F.monotonically_increasing_id()})
+        return score_isolation_forests(named, trees, features, ["_id"]).select("fit", *keep, "anomaly_score")
+    held = df.sparkSession.sparkContext.broadcast(HeldForests(trees, fits))
+
+    @F.pandas_udf("array<double>")
+    def scores(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+        for batch in batches:
+            x = np.stack([s.to_numpy(dtype=np.float64, na_value=np.nan) for s in batch], axis=1)
+            yield pd.Series(list(held.value.scores(x)), dtype=object)
+
+    got = df.withColumn("_s", scores(*[F.col(f).cast("double") for f in features]))
+    each = F.explode(F.array(*[F.struct(F.lit(f).alias("fit"), F.get("_s", i).alias("anomaly_score")) for i, f in enumerate(fits)])).alias("_e")
+    score = F.col("_e.anomaly_score")
+    return got.select(*keep, each).select("_e.fit", *keep, F.when(~F.isnan(score), score).alias("anomaly_score"))
+
+
 # settings compared by the study: trees, subsample, share of the features per tree (fixed values)
 STUDY = {
     "n100_s256": (100, 256, 1.0),
@@ -175,10 +241,10 @@ def isolation_study(
     spark, fits = benign.sparkSession, F.explode(F.array(*[F.lit(k) for k in settings])).alias("fit")
     plan = spark.createDataFrame([(k, *v) for k, v in settings.items()], "fit string, trees int, sample int, share double")
     trees = grow_isolation_forests(benign.select(fits, *ids, *features), plan, features, ids, seed)
-    rows = val.select(fits, *ids, attack.alias("_attack"), F.col(tool).alias("tool"), *[F.col(f).cast("double").alias(f) for f in features])
-    scored = written(score_isolation_forests(rows, trees, features, ids).select("fit", "tool", "_attack", "anomaly_score"), "study")
-    cut = quantiles(scored.where("not _attack"), ["anomaly_score"], {"tau": share}, keys=["fit"]).select("fit", "tau")
-    judged = scored.join(cut, "fit").withColumn("_hit", F.col("anomaly_score") > F.col("tau"))
+    rows = val.select(attack.alias("_attack"), F.col(tool).alias("tool"), *[F.col(f).cast("double").alias(f) for f in features])
+    scored = written(score_all_settings(rows, trees, list(settings), features, ["tool", "_attack"]), "study")
+    cut = quantiles(scored.where("not _attack"), ["anomaly_score"], {"tau": share}, keys=["fit"], groups=len(settings)).select("fit", "tau")
+    judged = scored.join(F.broadcast(cut), "fit").withColumn("_hit", F.col("anomaly_score") > F.col("tau"))
     auc = ranking_quality(scored, F.col("_attack"), "anomaly_score", keys=["fit"]).select("fit", "roc_auc")
     rate = lambda c: F.avg(F.when(c, F.col("_hit").cast("double")))
     overall = judged.groupBy("fit", "tau").agg(

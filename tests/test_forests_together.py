@@ -233,3 +233,25 @@ def test_draws_of_cells_are_those_of_their_rows():
     weight, met = (np.mean([d[i] for d in drawn], axis=0) / times for i in (0, 1))
     assert weight == pytest.approx(np.ones(4), abs=0.05) and met == pytest.approx(np.full(4, 1 - np.exp(-1)), abs=0.03)
     assert all(_drawn(np.array([1]), rng)[0][0] > 0 for _ in range(50))
+
+
+def test_study_scores_rows_in_place(spark, flows, monkeypatch):
+    """Held forests give the scores of forests as tables, for missing and infinite numbers too; a fit without trees gives none."""
+    odd = spark.createDataFrame([(None, 1.0), (float("nan"), 2.0), (float("inf"), 3.0), (float("-inf"), None)], "x double, y double")
+    rows = flows.select("x", "y").unionByName(odd).withColumn("id", F.monotonically_increasing_id())
+    plan = spark.createDataFrame([("a", 20, 64, 1.0), ("b", 10, 256, 0.5)], "fit string, trees int, sample int, share double")
+    both = flows.where(~attack()).withColumn("fit", F.explode(F.array(F.lit("a"), F.lit("b"))))
+    trees, fits = ISO.grow_isolation_forests(both, plan, ["x", "y"], ["flow_id"]), ["a", "b", "none"]
+    named = rows.withColumn("fit", F.explode(F.array(*[F.lit(f) for f in fits])))
+    want = {(r.fit, r.id): r.anomaly_score for r in ISO.score_isolation_forests(named, trees, ["x", "y"], ["id"]).collect()}
+    met = []
+    monkeypatch.setattr(ISO, "meet_trees", lambda *a: met.append(a) or TT.meet_trees(*a))
+    for most in (ISO.HELD_NODES, 0):
+        monkeypatch.setattr(ISO, "HELD_NODES", most)
+        got = {(r.fit, r.id): r.anomaly_score for r in ISO.score_all_settings(rows, trees, fits, ["x", "y"], ["id"]).collect()}
+        assert got == {k: v if v is None else pytest.approx(v, abs=1e-9) for k, v in want.items()} and len(met) == (most == 0)
+    assert {k[0] for k, v in want.items() if v is None} == {"none"}
+    monkeypatch.undo()
+    monkeypatch.setattr(ISO, "meet_trees", lambda *a: pytest.fail("rows were shuffled to the trees"))
+    per, _ = ISO.isolation_study(flows.where(~attack()), flows, ["x", "y"], ["flow_id"], attack(), "tool", {"a": (10, 64, 1.0)})
+    assert per.count() == 1
