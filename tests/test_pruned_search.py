@@ -157,3 +157,20 @@ def test_matrices_and_rows_one_by_one_find_the_same():
         allowed.setdefault(name, []).append(b)
     once = {n for n, b in allowed.items() if len(b) == 1}
     assert [g for g in got if g[0] in once] == sorted((a, b, c) for _, a, b, c in rows if a in once and c <= allowed[a][0])
+
+
+def test_oversampling_looks_up_neighbours_by_matrices(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    rows = [("a", f"a{i}", v.tolist()) for i, v in enumerate(rng.normal(0, 1, (400, 30)))]
+    alone = spark.sparkContext.accumulator(0)
+    plain = smote._nearest
+
+    def counted(label, ids, *more):
+        alone.add(len(ids))
+        return plain(label, ids, *more)
+
+    monkeypatch.setattr(smote, "_nearest", counted)
+    made = smote.smote(spark.createDataFrame(rows, "label string, id string, vec array<double>"), 600, 3).collect()
+    near = brute(rows, 3)
+    assert len(made) == 200 and all(r.near in {n for n, _ in near["a", r.base]} for r in made)
+    assert alone.value == 0
